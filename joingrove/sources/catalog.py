@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from joingrove.functions.naming import qualify, quote
-from joingrove.functions.types import OTHER, family
+from joingrove.functions.types import OTHER, TIMESTAMP, family
 
 LINK_FILE = "connections.csv"
 
@@ -28,9 +28,12 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     reader = (spark.read.option("header", True).option("encoding", "UTF-8")
               .option("quote", '"').option("escape", "\\").option("multiLine", True)
               .option("enforceSchema", False))
-    if schema is not None:
-        return reader.schema(schema).csv(path)
-    return reader.option("inferSchema", True).option("preferDate", False).csv(path)
+    if schema is None:
+        found = reader.option("inferSchema", True).csv(path).schema
+        schema = T.StructType([
+            T.StructField(f.name, T.StringType()) if family(f.dataType) == TIMESTAMP else f
+            for f in found.fields])
+    return reader.schema(schema).csv(path)
 
 
 class Catalog:
