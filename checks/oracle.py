@@ -37,7 +37,7 @@ def num(expr: str, kind: str) -> str:
 
 
 def rnd(expr: str, name: str) -> str:
-    return f"round({expr}, 6) + 0.0 AS {name}"
+    return f"round(CAST({expr} AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS {name}"
 
 
 # -- relationships -----------------------------------------------------------
@@ -97,8 +97,8 @@ def composite_cte(tables: list[str]) -> str:
 named AS (SELECT a.t AS table1, a.c AS col1, b.t AS table2, b.c AS col2,
   ((1 - levenshtein(lower(a.c), lower(b.c)) / CAST(greatest(length(a.c), length(b.c)) AS DOUBLE))
    + len(list_intersect(a.g, b.g)) / CAST(len(list_distinct(list_concat(a.g, b.g))) AS DOUBLE)) / 2 AS name_score,
-  CASE WHEN a.family = b.family THEN 1.0 WHEN a.family IN ('integral', 'fractional')
-    AND b.family IN ('integral', 'fractional') THEN 0.5 ELSE 0.0 END AS type_score
+  CASE WHEN a.family = b.family THEN 1.0::DOUBLE WHEN a.family IN ('integral', 'fractional')
+    AND b.family IN ('integral', 'fractional') THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS type_score
   FROM grams a JOIN grams b ON a.t < b.t),
 comp AS (SELECT n.*, coalesce(j.weight, 0.0) AS inst_score,
   0.7 * name_score + 0.1 * type_score + 0.2 * coalesce(j.weight, 0.0) AS weight
@@ -175,7 +175,7 @@ def corr(x: str, y: str = "y") -> str:
     return safe(f"(CASE WHEN min({x}) = max({x}) OR min({y}) = max({y}) THEN 0.0 ELSE corr({x}, {y}) END)")
 
 
-CONSTANT = " UNION ALL SELECT 'constant', o_orderkey, y, 1.0 FROM j"
+CONSTANT = " UNION ALL SELECT 'constant', o_orderkey, y, 1.0::DOUBLE FROM j"
 LEAK = CONSTANT + " UNION ALL SELECT 'leak', o_orderkey, y, y * 2.0 FROM j"
 BINS = """lims AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM long GROUP BY feature),
 bins AS (SELECT feature, rid, y, CASE WHEN v IS NULL THEN 0 WHEN lo = hi THEN 1
@@ -315,7 +315,7 @@ def chain() -> str:
                                  f"(SELECT avg(CASE WHEN {c2} IS NULL THEN 0.0 ELSE 1.0 END) FROM rows{i}) AS ratio"
                                  for i, (_, _, _, c2) in enumerate(CHAIN, 1))
     return f"""WITH {hop_start()}, {hops},
-trees AS (SELECT 0 AS tree_id, 0 AS hop, 0.0 AS rank, '{base}' AS features, '' AS join_keys UNION ALL
+trees AS (SELECT 0 AS tree_id, 0 AS hop, 0.0::DOUBLE AS rank, '{base}' AS features, '' AS join_keys UNION ALL
   SELECT CAST(row_number() OVER (ORDER BY hop) AS INT), hop, rank, features, join_keys FROM ({' UNION ALL '.join(steps)})),
 links(join_idx, from_table, to_table, from_col, to_col) AS (VALUES {links}),
 bridged AS ({bridged}),
@@ -420,13 +420,13 @@ def oracle_sql() -> dict[str, str]:
         "b12_edges_of_pair": on_edges(f"SELECT from_table AS from_label, to_table AS to_label, {EDGE_COLS} FROM edges "
                                       "WHERE from_table IN ('orders', 'lineitem') AND to_table IN ('orders', 'lineitem')"),
         "b13_add_edge": on_edges(f"SELECT {EDGE_COLS} FROM (SELECT * FROM edges UNION ALL "
-                                 "SELECT 'orders', 'region', 'o_orderpriority', 'r_name', 0.25 UNION ALL "
-                                 "SELECT 'region', 'orders', 'r_name', 'o_orderpriority', 0.25)"),
+                                 "SELECT 'orders', 'region', 'o_orderpriority', 'r_name', 0.25::DOUBLE UNION ALL "
+                                 "SELECT 'region', 'orders', 'r_name', 'o_orderpriority', 0.25::DOUBLE)"),
         "b14_remove_edge": on_edges(f"SELECT {EDGE_COLS} FROM edges WHERE (from_table, from_col, to_table, to_col) NOT IN "
                                     "(('customer', 'c_custkey', 'orders', 'o_custkey'), ('orders', 'o_custkey', 'customer', 'c_custkey'))"),
         "b15_update_edge": on_edges("SELECT from_table, to_table, from_col, to_col, round(CASE WHEN (from_table, from_col, to_table, to_col) IN "
                                     "(('customer', 'c_custkey', 'orders', 'o_custkey'), ('orders', 'o_custkey', 'customer', 'c_custkey')) "
-                                    "THEN 0.75 ELSE weight END, 6) AS weight FROM edges"),
+                                    "THEN 0.75::DOUBLE ELSE weight END, 6) AS weight FROM edges"),
         "b17_short_labels": "WITH d AS (SELECT doc_id, lang || '/' || source || '_' || doc_id || '.csv' AS f, lang, "
                             "source || '_' || doc_id || '.csv' AS n FROM documents) SELECT doc_id, CASE WHEN length(f) > 20 "
                             "THEN lang || '/' || substr(split_part(f, '/', 2), 1, 3) || '...' || right(split_part(f, '/', 2), 7) ELSE f END AS label FROM d",
@@ -436,7 +436,7 @@ def oracle_sql() -> dict[str, str]:
         "c2_reachable": on_edges("SELECT t AS \"table\", CAST(min(d) AS INT) AS depth FROM r GROUP BY t", recursive=True,
                                  more=", r(t, d) AS (SELECT 'region', 0 UNION SELECT to_table, d + 1 FROM r JOIN edges ON from_table = t WHERE d < 7)"),
         "c3_neighbours": on_edges(f"SELECT {EDGE_COLS} FROM edges WHERE from_table IN (SELECT from_table FROM edges WHERE to_table = 'region')"),
-        "c4_unvisited": on_edges("SELECT DISTINCT to_table AS \"table\" FROM edges WHERE to_table NOT IN (SELECT from_table FROM edges WHERE weight = 1)"),
+        "c4_unvisited": on_edges("SELECT DISTINCT to_table AS \"table\" FROM edges WHERE to_table NOT IN (SELECT from_table FROM edges WHERE to_table = 'region')"),
         "c5_best_keys": on_edges(f"SELECT {EDGE_COLS} FROM edges QUALIFY rank() OVER (PARTITION BY from_table, to_table ORDER BY weight DESC) = 1"),
         "c6_type_check": f"WITH {composite_cte(STAR)} SELECT table1, col1, table2, col2 FROM comp WHERE weight > 0.4 AND type_score = 1",
         "c7_one_per_key": f"SELECT * REPLACE (CAST(l_shipdate AS DATE) AS l_shipdate) FROM {one('lineitem', 'l_orderkey')}",
@@ -514,7 +514,8 @@ def oracle_sql() -> dict[str, str]:
                     f"SELECT 'rel' AS kind, feature, {rnd('score', 'score')}, true AS selected FROM s WHERE score > {EPS} AND score < 1 - {EPS} "
                     f"UNION ALL SELECT 'red', feature, {rnd('score', 'score')}, score > {EPS} FROM n",
         "d18_cmim": f"WITH {JOINED}, raw AS (" + " UNION ALL ".join(
-            f"SELECT '{f}' AS feature, {conditional(short(f), 'y', 'o_custkey')} AS score" for f in NEW)
+            f"SELECT '{f}' AS feature, least({conditional(short(f), 'y', 'o_orderpriority')}, "
+            f"{conditional(short(f), 'y', 'n_regionkey')}) AS score" for f in NEW[:2])
             + f"), n AS ({norm('raw')}) SELECT feature, {rnd('score', 'score')}, score > {EPS} AS selected FROM n",
         "d19_group_redundancy": f"WITH {JOINED}, raw AS (" + " UNION ALL ".join(
             f"SELECT '{f}' AS feature, (" + " + ".join(conditional(short(f), "y", short(g)) for g in CODES if g != f) + ") / 2 AS score" for f in CODES)
@@ -526,7 +527,7 @@ def oracle_sql() -> dict[str, str]:
             "CASE WHEN feature = 'customer__c_acctbal' AND kind = 'rel' AND selected THEN 0.9 ELSE score END")),
         "e4_adjust_redundancy": SCORES1 + " " + shown("selected", edited(
             "CASE WHEN feature = 'customer__c_acctbal' AND kind = 'red' AND selected THEN 0.1 ELSE score END")),
-        "e5_adjust_ratio": f"{SCORES1} {shown('selected', ratio='0.25')}",
+        "e5_adjust_ratio": f"{SCORES1} {shown('selected', ratio='0.25::DOUBLE')}",
         "e6_discard": moved(["customer__c_acctbal", "customer__c_mktsegment"], "false",
                             "SELECT feature FROM kept1 WHERE feature NOT IN ('customer__c_acctbal', 'customer__c_mktsegment')"),
         "e7_select": moved(["customer__c_custkey"], "true", "SELECT feature FROM kept1 UNION SELECT 'customer__c_custkey'"),
