@@ -16,9 +16,9 @@ from joingrove.functions.naming import quote, text
 from joingrove.functions.types import BOOLEAN, FRACTIONAL, INTEGRAL, STRING, TIMESTAMP, family, number_sql
 from joingrove.operators.edges import above, both_directions
 from joingrove.sources.catalog import Catalog
-from joingrove.sources.staging import stage
+from joingrove.sources.staging import stage, stage_observed
 
-# Strings longer than this many bytes meet by their digest.
+# Strings longer than this meet by their digest, which is longer still.
 LONG_VALUE = 64
 WORD = 63
 
@@ -65,7 +65,7 @@ def _value_sql(name: str, kind: str, dtype) -> str:
     elif kind == FRACTIONAL:
         real = number_sql(name, dtype)
     else:
-        chars = f"CASE WHEN octet_length({col}) > {LONG_VALUE} THEN sha2({col}, 256) ELSE {col} END"
+        chars = f"CASE WHEN length({col}) > {LONG_VALUE} THEN concat('sha256:', sha2({col}, 256)) ELSE {col} END"
     return f"{whole} AS whole, {real} AS real, {chars} AS chars"
 
 
@@ -189,6 +189,8 @@ def near_jaccard(catalog: Catalog, near: float = NEAR, max_length: int = NEAR_LE
     sizes go by column id. Other types, and strings longer than `max_length`,
     count as shared when equal.
     """
+    if max_length > LONG_VALUE:
+        raise ValueError(f"near-equality reaches up to {LONG_VALUE} characters")
     values, words = column_values(catalog)
     values = stage(values, "values")
     counts = stage(overlap_counts(values, words), "overlap")
@@ -214,78 +216,94 @@ def near_jaccard(catalog: Catalog, near: float = NEAR, max_length: int = NEAR_LE
 def near_columns(values: DataFrame, words: int, near: float = NEAR) -> DataFrame:
     """Adds r0, r1, ...: the bitmap of the columns that hold a near-equal value.
 
-    `values` has distinct `chars` with column bitmaps w0, w1, ... A value first
-    reaches its own columns. Then values that agree after dropping one
-    character from each are at most two edits apart; their bitmaps are merged
-    per shortened form, so a crowd of similar values costs one row per form and
-    never meets pairwise. Only what is still open goes to the segment join.
+    `values` has distinct `chars` with column bitmaps w0, w1, ... Three steps,
+    each on what the one before left open:
+
+    1. Values that agree after dropping one character from each are at most two
+       edits apart. Bitmaps are merged per shortened form, so a crowd of similar
+       values costs one row per form and never meets pairwise.
+    2. Writing 9 for every digit never makes two values differ more. Columns
+       are only looked for behind near patterns; a million numbered names are
+       one pattern.
+    3. The rest is compared where a segment agrees.
     """
-    bitmap = [f"w{w}" for w in range(words)]
+    bits = range(words)
+    bitmap = [f"w{i}" for i in bits]
     slack = 1 - near
     # With room for two edits, sharing a shortened form is proof enough.
     roomy = values.filter(f"floor({slack} * length(chars) + 1e-9D) >= 2")
     forms = roomy.selectExpr("chars", *bitmap, f"""explode(array_distinct(concat(array(chars),
         transform(sequence(1, length(chars)), i -> concat(substring(chars, 1, i - 1),
         substring(chars, i + 1, length(chars))))))) AS form""")
-    merged = forms.groupBy("form").agg(*[F.expr(f"bit_or({w}) AS m{i}") for i, w in enumerate(bitmap)])
-    by_form = (forms.join(merged, "form").groupBy("chars")
-               .agg(*[F.expr(f"bit_or(m{i}) AS f{i}") for i in range(words)]))
-    known = stage(values.join(by_form, "chars", "left").selectExpr(
-        "chars", *bitmap, *[f"w{i} | coalesce(f{i}, 0L) AS k{i}" for i in range(words)]), "near")
-    all_columns = known.agg(*[F.expr(f"bit_or(w{i}) AS u{i}") for i in range(words)]).first()
-    done = " AND ".join(f"k{i} = {all_columns[f'u{i}'] or 0}L" for i in range(words))
-    still = known.filter(f"NOT ({done})")
-    found = segment_matches(still, known, words, slack)
+    merged = forms.groupBy("form").agg(*[F.expr(f"bit_or(w{i}) AS m{i}") for i in bits])
+    by_form = (forms.select("chars", "form").join(merged, "form").groupBy("chars")
+               .agg(*[F.expr(f"bit_or(m{i}) AS f{i}") for i in bits]))
+    known, seen = stage_observed(values.join(by_form, "chars", "left").selectExpr(
+        "chars", "translate(chars, '0123456789', '9999999999') AS pattern", *bitmap,
+        *[f"w{i} | coalesce(f{i}, 0L) AS k{i}" for i in bits]), "near",
+        F.collect_set(F.length("chars")).alias("lengths"))
+    lengths = sorted(seen["lengths"])
+
+    patterns = known.groupBy("pattern").agg(*[F.expr(f"bit_or(w{i}) AS p{i}") for i in bits])
+    patterns = stage(patterns.withColumnRenamed("pattern", "chars"), "patterns")
+    alike = near_pairs(patterns.select("chars"), patterns, slack, lengths).unionByName(
+        patterns.withColumn("other", F.col("chars")))
+    alike = alike.distinct().withColumnRenamed("chars", "pattern").withColumnRenamed("other", "target")
+    openings = " OR ".join(f"(p{i} & ~k{i}) != 0" for i in bits)
+    still = stage(known.join(alike, "pattern").filter(openings).select(
+        "chars", "target", *[f"k{i}" for i in bits]), "open")
+
+    useful = " OR ".join(f"(w{i} & ~k{i}) != 0" for i in bits)
+    close = near_pairs(still, known.withColumnRenamed("pattern", "target").drop(*[f"k{i}" for i in bits]),
+                       slack, lengths, ["target"], useful)
+    found = close.groupBy("chars").agg(*[F.expr(f"bit_or(w{i}) AS s{i}") for i in bits])
     return (known.join(found, "chars", "left")
-            .selectExpr("chars", *bitmap, *[f"k{i} | coalesce(s{i}, 0L) AS r{i}" for i in range(words)]))
+            .selectExpr("chars", *bitmap, *[f"k{i} | coalesce(s{i}, 0L) AS r{i}" for i in bits]))
 
 
-def segment_matches(still: DataFrame, known: DataFrame, words: int, slack: float) -> DataFrame:
-    """(chars, s0, s1, ...): columns reached through the segment filter.
+def near_pairs(left: DataFrame, right: DataFrame, slack: float, lengths: list[int],
+               keys: list[str] | None = None, useful: str = "true") -> DataFrame:
+    """Pairs of different `chars` of `left` and `other` of `right` within the
+    edits their longer length allows, equal in `keys` and `useful`.
 
-    A pair within `edits` edits shares one of edits + 1 even segments of the
-    shorter value, at a place shifted by at most `edits`. The join is on the
-    segment, its number and both lengths, and a candidate is checked only if it
-    would reach a column that is still open.
+    Such a pair shares one of edits + 1 even segments of the shorter value.
+    Taking the first segment left whole bounds how far it has moved: by no more
+    edits than there are segments before it, and, seen from the end, by no more
+    than there are behind it. Only lengths that occur are cut. A pair comes once
+    per segment shared.
     """
-    # For each length of the longer value: the edits allowed, and the lengths it can meet.
-    longer = f"explode(sequence(length(chars), cast(floor(length(chars) / {1 - slack} + 1e-9D) AS int)))"
-    shorter = f"explode(sequence(cast(ceil(length(chars) * {1 - slack} - 1e-9D) AS int), length(chars)))"
+    present = f"array({', '.join(str(n) for n in lengths) or '0'})"
+    allowed = f"cast(floor({slack} * big + 1e-9D) AS int) AS edits"
     cut = """transform(sequence(0, edits), j -> struct(j AS part,
         cast(floor(j * small / (edits + 1)) AS int) AS at,
         cast(floor((j + 1) * small / (edits + 1)) AS int) - cast(floor(j * small / (edits + 1)) AS int) AS len))"""
-    allowed = f"cast(floor({slack} * big + 1e-9D) AS int) AS edits"
-
-    def as_small(df: DataFrame, *columns: str) -> DataFrame:
-        return (df.selectExpr(*columns, "length(chars) AS small", f"{longer} AS big")
-                .selectExpr("*", allowed).selectExpr("*", f"inline({cut})")
-                .selectExpr(*columns, "small", "big", "edits", "part",
-                            "substring(chars, at + 1, len) AS segment"))
+    first = "greatest(0, at - part, at + big - small - (edits - part))"
+    final = "least(big - len, at + part, at + big - small + (edits - part))"
 
-    def as_big(df: DataFrame, *columns: str) -> DataFrame:
-        return (df.selectExpr(*columns, "length(chars) AS big", f"{shorter} AS small")
-                .selectExpr("*", allowed).filter("small - edits <= big AND small > 0")
+    def as_small(df: DataFrame, longer: str) -> DataFrame:
+        return (df.selectExpr("*", "length(chars) AS small", f"explode({present}) AS big")
+                .filter(f"big {longer} small").selectExpr("*", allowed).filter("big - small <= edits")
                 .selectExpr("*", f"inline({cut})")
-                .selectExpr(*columns, "small", "big", "edits", "part", "at", "len",
-                            "explode(sequence(greatest(0, at - edits), least(big - len, at + edits))) AS place")
-                .selectExpr(*columns, "small", "big", "edits", "part",
-                            "substring(chars, place + 1, len) AS segment").distinct())
-
-    mine = ["chars", *[f"k{i}" for i in range(words)]]
-    theirs = ["chars", *[f"w{i}" for i in range(words)]]
-    useful = " OR ".join(f"(w{i} & ~k{i}) != 0" for i in range(words))
-    on = ["small", "big", "edits", "part", "segment"]
-
-    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-        right = right.withColumnRenamed("chars", "other")
-        return (left.join(right, on).filter(useful).filter("chars != other")
-                .select("chars", "other", "edits", *[f"w{i}" for i in range(words)]))
-
-    open_small, all_big = as_small(still, *mine), as_big(known, *theirs)
-    open_big, all_small = as_big(still, *mine), as_small(known, *theirs)
-    close = (pairs(open_small, all_big).unionByName(pairs(open_big, all_small))
-             .filter("levenshtein(chars, other, edits) >= 0"))
-    return close.groupBy("chars").agg(*[F.expr(f"bit_or(w{i}) AS s{i}") for i in range(words)])
+                .withColumn("segment", F.expr("substring(chars, at + 1, len)")).drop("at", "len"))
+
+    def as_big(df: DataFrame, longer: str) -> DataFrame:
+        return (df.selectExpr("*", "length(chars) AS big", f"explode({present}) AS small")
+                .filter(f"big {longer} small AND small > 0").selectExpr("*", allowed)
+                .filter("big - small <= edits").selectExpr("*", f"inline({cut})")
+                .selectExpr("*", f"{first} AS lo", f"{final} AS hi").filter("lo <= hi")
+                .selectExpr("*", "explode(sequence(lo, hi)) AS place")
+                .withColumn("segment", F.expr("substring(chars, place + 1, len)"))
+                .drop("at", "len", "lo", "hi", "place").distinct())
+
+    on = ["small", "big", "edits", "part", "segment"] + (keys or [])
+
+    def matched(a: DataFrame, b: DataFrame) -> DataFrame:
+        return (a.join(b.withColumnRenamed("chars", "other"), on).filter(useful)
+                .filter("chars != other AND levenshtein(chars, other, edits) >= 0")
+                .drop("small", "big", "edits", "part", "segment"))
+
+    return matched(as_small(left, ">="), as_big(right, ">=")).unionByName(
+        matched(as_big(left, ">"), as_small(right, ">")))
 
 
 # -- discovery ---------------------------------------------------------------
