@@ -224,31 +224,25 @@ def tree_summary(trees: DataFrame, tree_joins: DataFrame, tree_id: int) -> DataF
 def remove_table(trees: DataFrame, tree_joins: DataFrame, feature_scores: DataFrame,
                  tree_id: int, table: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A tree without a table, the tables that hang below it and their features (C20)."""
-    joins = [(r["from_table"], r["to_table"], r["join_idx"]) for r in
-             tree_joins.filter(F.col("tree_id") == tree_id).orderBy("join_idx").collect()]
-    gone, hops_gone = {table}, []
-    for parent, child, idx in joins:
-        if child == table or parent in gone:
-            gone.add(child)
-            hops_gone.append(idx)
     here = F.col("tree_id") == tree_id
-    dropped = F.col("join_idx").isin(hops_gone) if hops_gone else F.lit(False)
-    lost = [r["feature"] for r in feature_scores.filter(here & dropped & F.col("selected"))
+    gone, kept, lost_hops = {table}, [], []
+    for r in tree_joins.filter(here).orderBy("join_idx").collect():
+        if r["to_table"] == table or r["from_table"] in gone:
+            gone.add(r["to_table"])
+            lost_hops.append(r["join_idx"])
+        else:
+            kept += [qualify(r["from_table"], r["from_col"]), qualify(r["to_table"], r["to_col"])]
+    dropped = here & F.col("join_idx").isin(lost_hops)
+    lost = [r["feature"] for r in feature_scores.filter(dropped & F.col("selected"))
             .select("feature").distinct().collect()]
-    lost_keys = [k for p, c, i in joins if i in hops_gone for k in _keys_of(tree_joins, tree_id, i)]
-    def without(column: str, values: list[str]):
-        if not values:
-            return F.col(column)
-        return F.when(here, F.filter(column, lambda v: ~v.isin(values))).otherwise(F.col(column))
-    kept_keys = {k for _, _, i in joins if i not in hops_gone for k in _keys_of(tree_joins, tree_id, i)}
-    trees = trees.withColumn("features", without("features", lost)).withColumn(
-        "join_keys", without("join_keys", [k for k in lost_keys if k not in kept_keys]))
-    return trees, tree_joins.filter(~(here & dropped)), feature_scores.filter(~(here & dropped))
-
-
-def _keys_of(tree_joins: DataFrame, tree_id: int, join_idx: int) -> list[str]:
-    r = tree_joins.filter((F.col("tree_id") == tree_id) & (F.col("join_idx") == join_idx)).first()
-    return [qualify(r["from_table"], r["from_col"]), qualify(r["to_table"], r["to_col"])]
+
+    def texts(values: list[str]):
+        return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+    trees = trees.withColumn("features", F.when(
+        here, F.array_except("features", texts(lost))).otherwise(F.col("features"))).withColumn(
+        "join_keys", F.when(here, texts(kept)).otherwise(F.col("join_keys")))
+    return trees, tree_joins.filter(~dropped), feature_scores.filter(~dropped)
 
 
 def replay(catalog: Catalog, base_frame: DataFrame, joins: list[Edge], dedupe: bool = True,
