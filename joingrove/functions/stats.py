@@ -35,11 +35,15 @@ def value_counts(df: DataFrame, features: list[str], target: str | None = None,
     n = quote(weight) if weight else "1"
     s = (quote(target_sum) if target_sum
          else number_sql(target, df.schema[target].dataType) if target else "0")
-    wide = df.selectExpr(f"cast({n} AS bigint) AS _n", f"cast({s} AS double) AS _s",
-                         *numeric_sql(df, features))
-    long = wide.unpivot(["_n", "_s"], [quote(c) for c in features], "feature", "value")
+    # Features travel by number; their names would weigh more than the values.
+    wide = df.selectExpr(f"cast({n} AS bigint) AS _n", f"cast({s} AS double) AS _s", *[
+        f"{number_sql(c, df.schema[c].dataType)} AS `{i}`" for i, c in enumerate(features)])
+    long = wide.unpivot(["_n", "_s"], [f"`{i}`" for i in range(len(features))], "place", "value")
+    names = ", ".join(text(c) for c in features)
     return (long.filter("value IS NOT NULL AND _s IS NOT NULL")
-            .groupBy("feature", "value").agg(F.sum("_n").alias("n"), F.sum("_s").alias("s")))
+            .selectExpr("cast(place AS int) AS place", "value", "_n", "_s")
+            .groupBy("place", "value").agg(F.sum("_n").alias("n"), F.sum("_s").alias("s"))
+            .selectExpr(f"array({names})[place] AS feature", "value", "n", "s"))
 
 
 def average_ranks(counts: DataFrame, order: str = "value", partition: str = "feature",

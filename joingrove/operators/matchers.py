@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from joingrove.functions.naming import quote, text
+from joingrove.functions.naming import quote
 from joingrove.functions.types import BOOLEAN, FRACTIONAL, INTEGRAL, STRING, TIMESTAMP, family, number_sql
 from joingrove.operators.edges import above, both_directions
 from joingrove.sources.catalog import Catalog
@@ -54,47 +54,52 @@ def column_pairs(columns: DataFrame) -> DataFrame:
 
 
 def _value_sql(name: str, kind: str, dtype) -> str:
-    """Integer, double and string slot of a value; two slots stay null."""
-    col, whole, real, chars = quote(name), "cast(null AS bigint)", "cast(null AS double)", "cast(null AS string)"
+    """A value in a form that is equal for equal values of a family."""
+    col = quote(name)
     if kind == INTEGRAL:
-        whole = f"cast({col} AS bigint)"
-    elif kind == BOOLEAN:
-        whole = f"cast(cast({col} AS int) AS bigint)"
-    elif kind == TIMESTAMP:
-        whole = f"cast(round({number_sql(name, dtype)} * 1e6D) AS bigint)"
-    elif kind == FRACTIONAL:
-        real = number_sql(name, dtype)
-    else:
-        chars = f"CASE WHEN length({col}) > {LONG_VALUE} THEN concat('sha256:', sha2({col}, 256)) ELSE {col} END"
-    return f"{whole} AS whole, {real} AS real, {chars} AS chars"
+        return f"cast({col} AS bigint)"
+    if kind == BOOLEAN:
+        return f"cast(cast({col} AS int) AS bigint)"
+    if kind == TIMESTAMP:
+        return f"cast(round({number_sql(name, dtype)} * 1e6D) AS bigint)"
+    if kind == FRACTIONAL:
+        return number_sql(name, dtype)
+    return f"CASE WHEN length({col}) > {LONG_VALUE} THEN concat('sha256:', sha2({col}, 256)) ELSE {col} END"
 
 
-def column_values(catalog: Catalog, kinds: tuple[str, ...] | None = None) -> tuple[DataFrame, int]:
-    """(family, whole, real, chars, columns...): every distinct value with the
-    bitmap of the columns that hold it, and the number of bitmap words.
+def column_values(catalog: Catalog) -> tuple[dict[str, DataFrame], int]:
+    """Per type family (value, w0, w1, ...): every distinct value with the
+    bitmap of the columns that hold it; and the number of bitmap words.
 
     The bitmaps are merged before the shuffle, so a value that fills a column
     leaves a task once.
     """
     columns = catalog.column_list()
     words = max(1, -(-len(columns) // WORD))
-    parts = []
-    for table in catalog.names:
-        mine = [c for c in columns if c[1] == table and (kinds is None or c[3] in kinds)]
-        if not mine:
-            continue
-        schema = catalog.schema(table)
-        cells = [f"struct({text(kind)} AS family, {i} AS col_id, {_value_sql(name, kind, schema[name].dataType)})"
-                 for i, _, name, kind in mine]
-        parts.append(catalog.table(table).selectExpr(f"inline(array({', '.join(cells)}))"))
-    long = reduce(DataFrame.unionByName, parts)
-    bits = [f"bit_or(CASE WHEN col_id DIV {WORD} = {w} THEN shiftleft(1L, col_id % {WORD}) ELSE 0L END) AS w{w}"
-            for w in range(words)]
-    values = (long.filter("whole IS NOT NULL OR real IS NOT NULL OR chars IS NOT NULL")
-              .groupBy("family", "whole", "real", "chars").agg(*[F.expr(b) for b in bits]))
+    bits = [f"bit_or(CASE WHEN id DIV {WORD} = {w} THEN shiftleft(1L, id % {WORD}) ELSE 0L END) AS w{w}"
+            for w in range(words)] if words > 1 else ["bit_or(shiftleft(1L, id)) AS w0"]
+    values = {}
+    for kind in sorted({c[3] for c in columns}):
+        parts = []
+        for table in catalog.names:
+            mine = [(i, name) for i, t, name, k in columns if t == table and k == kind]
+            if not mine:
+                continue
+            schema = catalog.schema(table)
+            wide = catalog.table(table).selectExpr(*[
+                f"{_value_sql(name, kind, schema[name].dataType)} AS `{i}`" for i, name in mine])
+            parts.append(wide.unpivot([], [f"`{i}`" for i, _ in mine], "id", "value"))
+        long = reduce(DataFrame.unionByName, parts).filter("value IS NOT NULL")
+        values[kind] = (long.selectExpr("cast(id AS int) AS id", "value").groupBy("value")
+                        .agg(*[F.expr(b) for b in bits]))
     return values, words
 
 
+def bitmaps(values: list[DataFrame], words: int) -> DataFrame:
+    """The column bitmaps of all values, whatever their family."""
+    return reduce(DataFrame.unionByName, [v.select(*[f"w{w}" for w in range(words)]) for v in values])
+
+
 def _members(prefix: str, words: int) -> str:
     """SQL of the column ids in a bitmap."""
     parts = [f"transform(filter(sequence(0, {WORD - 1}), b -> getbit({prefix}{w}, b) = 1), b -> b + {w * WORD})"
@@ -121,7 +126,7 @@ def jaccard(catalog: Catalog) -> DataFrame:
     of columns of two tables that share at least one (B3)."""
     values, words = column_values(catalog)
     # One row per pair of columns.
-    counts = stage(overlap_counts(values, words), "overlap")
+    counts = stage(overlap_counts(bitmaps(list(values.values()), words), words), "overlap")
     return _jaccard_of(catalog, counts, counts.filter("a < b"))
 
 
@@ -192,18 +197,22 @@ def near_jaccard(catalog: Catalog, near: float = NEAR, max_length: int = NEAR_LE
     if max_length > LONG_VALUE:
         raise ValueError(f"near-equality reaches up to {LONG_VALUE} characters")
     values, words = column_values(catalog)
-    values = stage(values, "values")
-    counts = stage(overlap_counts(values, words), "overlap")
+    if STRING not in values:
+        return jaccard(catalog)
+    strings = stage(values.pop(STRING).withColumnRenamed("value", "chars"), "strings")
+    is_short = F.length("chars") <= max_length
+    exact = stage(overlap_counts(bitmaps([*values.values(), strings.filter(~is_short)], words), words), "overlap")
+    short = strings.filter(is_short)
+    counts = exact.unionByName(overlap_counts(bitmaps([short], words), words)).groupBy("a", "b").agg(
+        F.sum("n").alias("n"))
     sizes = counts.filter("a = b").select(F.col("a").alias("id"), F.col("n").alias("size"))
-    short = values.filter(f"family = '{STRING}' AND length(chars) <= {max_length}")
-    reach = near_columns(short.drop("family", "whole", "real"), words, near)
+    reach = near_columns(short, words, near)
     # (a, b, n): values of a with a near value in b, both ways round.
     reached = (reach.groupBy(*[f"w{w}" for w in range(words)], *[f"r{w}" for w in range(words)])
                .agg(F.count(F.lit(1)).alias("n"))
                .selectExpr(f"explode({_members('w', words)}) AS a", f"{_members('r', words)} AS ids", "n")
                .selectExpr("a", "explode(ids) AS b", "n").filter("a != b"))
-    rest = values.filter(f"NOT (family = '{STRING}' AND length(chars) <= {max_length})")
-    exact = overlap_counts(rest, words).filter("a < b")
+    exact = exact.filter("a < b")
     both = exact.unionByName(exact.selectExpr("b AS a", "a AS b", "n")).unionByName(reached)
     found = both.groupBy("a", "b").agg(F.sum("n").alias("n"))
     small = (found.join(sizes.selectExpr("id AS a", "size AS na"), "a")
