@@ -740,6 +740,16 @@ def f3_algorithms(spark, sf):
     return reduce(DataFrame.unionByName, scores)
 
 
+def f4_train(spark, sf):
+    """One model fitted on an augmented table, and what it says about the test rows."""
+    catalog = star(spark, sf)
+    trees, joins = _given_tree(spark, CHAIN[:1], ["orders__o_totalprice", "customer__c_acctbal"])
+    table = evaluate.evaluation_table(catalog, orders_base(catalog), TARGET, trees, joins, 1)
+    rows, _ = evaluate.model_rows(table, TARGET)
+    predict = algorithms("LR")[0].fit(rows.filter("NOT is_test").select("label", "v"))
+    return predict(rows.filter("is_test")).select(J.ROW_ID, "label", "prediction")
+
+
 def f5_accuracy(spark, sf):
     return rounded(evaluate.accuracy(_rule_predictions(spark, sf)), "accuracy")
 

@@ -10,8 +10,10 @@ from joingrove.functions.naming import SEPARATOR, quote, quoted
 from joingrove.functions.stats import numeric_sql
 from joingrove.functions.types import BOOLEAN, NUMERIC, STRING, TIMESTAMP, families, number_sql
 
-# A string column with more distinct values than this is text, not a category.
+# A string column with more distinct values, or a longer one, is text, not a
+# category. Both together bound the code lookups, which are broadcast.
 MAX_CATEGORIES = 10_000
+MAX_LABEL = 256
 BINS = 5
 # The calendar parts of a time column.
 DATE_PARTS = ("year", "month", "day", "dayofweek")
@@ -69,7 +71,8 @@ def profile(df: DataFrame, columns: list[str], max_categories: int = MAX_CATEGOR
 def is_category(column: str, max_categories: int = MAX_CATEGORIES) -> Column:
     """Aggregate: whether a string column may be a category. The estimate is
     only used far from the limit; `category_codes` counts exactly."""
-    return F.approx_count_distinct(quoted(column)) <= 2 * max_categories
+    few = F.approx_count_distinct(quoted(column)) <= 2 * max_categories
+    return few & (F.coalesce(F.max(F.length(quoted(column))), F.lit(0)) <= MAX_LABEL)
 
 
 def category_counts(df: DataFrame, columns: list[str], weight: str | None = None,
@@ -99,7 +102,7 @@ def category_codes(counts: DataFrame, max_categories: int = MAX_CATEGORIES) -> D
 
 def with_codes(df: DataFrame, codes: DataFrame, columns: list[str]) -> DataFrame:
     """Replace the labels of `columns` by their codes. Each lookup holds at
-    most `max_categories` rows."""
+    most `max_categories` labels of at most `MAX_LABEL` characters."""
     for c in columns:
         lookup = codes.filter(F.col("feature") == c).select(
             F.col("label").alias("_label"), F.col("code").alias("_code"))

@@ -13,8 +13,8 @@ from joingrove.functions.naming import quote, quoted, text
 from joingrove.functions.types import cell_type, number_sql
 from joingrove.sources.staging import stage
 
-# Above this many distinct rows the running count of a feature is cut into
-# value ranges, so that no task holds all values of one feature.
+# Running counts over more distinct values than this are cut into value ranges,
+# so that no task holds all values of one feature.
 CHUNK_ROWS = 4_000_000
 
 # A correlation or score this close to 0 or 1 counts as 0 or 1.
@@ -46,39 +46,34 @@ def value_counts(df: DataFrame, features: list[str], target: str | None = None,
             .selectExpr(f"array({names})[place] AS feature", "value", "n", "s"))
 
 
+def pieces_for(rows: int, chunk_rows: int | None = None) -> int:
+    """Value ranges that keep about `chunk_rows` rows in each."""
+    return max(1, -(-rows // (chunk_rows or CHUNK_ROWS)))
+
+
 def average_ranks(counts: DataFrame, order: str = "value", partition: str = "feature",
-                  large: bool = False, chunk_rows: int | None = None) -> DataFrame:
+                  pieces: int = 1) -> DataFrame:
     """Adds `rank`: 1-based, ties share their average.
 
     `counts` holds one row per (partition, order) with its number of rows `n`.
-    With `large` the values of a partition are first cut into ranges of about
-    `chunk_rows` values; only the totals per range meet in one task.
+    With several `pieces` the rows are first cut into ordered ranges, written
+    with the number of their range; only the totals per range meet in one task.
     """
+    upto = (W.unboundedPreceding, W.currentRow)
     half = (F.col("n") + 1) / 2.0
-    if not large:
-        before = F.sum("n").over(
-            W.partitionBy(partition).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    if pieces <= 1:
+        before = F.sum("n").over(W.partitionBy(partition).orderBy(order).rowsBetween(*upto))
         return counts.withColumn("rank", before - F.col("n") + half)
-    counts = stage(counts, "value-counts")
-    chunk_rows = chunk_rows or CHUNK_ROWS
-    sizes = counts.groupBy(partition).agg(F.count(F.lit(1)).alias("size"))
-    widest = sizes.agg(F.max("size")).first()[0] or 0
-    pieces = max(1, -(-widest // chunk_rows))
-    cuts = counts.groupBy(partition).agg(F.percentile_approx(
-        order, [i / pieces for i in range(1, pieces)] or [1.0], 100 * pieces).alias("cuts"))
-    cuts = stage(cuts, "value-cuts")
-    # One row of `pieces` numbers per feature.
-    placed = counts.join(F.broadcast(cuts), partition, "left").withColumn(
-        "chunk", F.size(F.filter("cuts", lambda c: c < F.col(order)))).drop("cuts")
-    totals = placed.groupBy(partition, "chunk").agg(F.sum("n").alias("chunk_n"))
-    totals = totals.select(partition, "chunk", (F.sum("chunk_n").over(
-        W.partitionBy(partition).orderBy("chunk").rowsBetween(W.unboundedPreceding, W.currentRow))
-        - F.col("chunk_n")).alias("offset"))
-    within = F.sum("n").over(W.partitionBy(partition, "chunk").orderBy(order)
-                             .rowsBetween(W.unboundedPreceding, W.currentRow))
-    # At most `pieces` rows per feature.
+    # A range may hold the end of one feature and the start of the next.
+    placed = stage(counts.repartitionByRange(pieces, partition, order)
+                   .withColumn("chunk", F.spark_partition_id()), "ranges")
+    totals = placed.groupBy(partition, "chunk").agg(F.sum("n").alias("total"))
+    offsets = totals.select(partition, "chunk", (F.sum("total").over(
+        W.partitionBy(partition).orderBy("chunk").rowsBetween(*upto)) - F.col("total")).alias("offset"))
+    within = F.sum("n").over(W.partitionBy(partition, "chunk").orderBy(order).rowsBetween(*upto))
+    # At most pieces + features rows.
     return (placed.withColumn("_within", within)
-            .join(F.broadcast(totals), [partition, "chunk"])
+            .join(F.broadcast(offsets), [partition, "chunk"])
             .withColumn("rank", F.col("offset") + F.col("_within") - F.col("n") + half)
             .drop("chunk", "offset", "_within"))
 
@@ -86,11 +81,7 @@ def average_ranks(counts: DataFrame, order: str = "value", partition: str = "fea
 def rank_columns(df: DataFrame, features: list[str], chunk_rows: int | None = None) -> DataFrame:
     """(feature, value, n, rank) of every numeric column of `df`."""
     counts = value_counts(df, features).select("feature", "value", "n")
-    return average_ranks(counts, large=_is_large(df, chunk_rows), chunk_rows=chunk_rows)
-
-
-def _is_large(df: DataFrame, chunk_rows: int | None) -> bool:
-    return df.count() > (chunk_rows or CHUNK_ROWS)
+    return average_ranks(counts, pieces=pieces_for(df.count() * len(features), chunk_rows))
 
 
 def pearson(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -109,8 +100,7 @@ def pearson(df: DataFrame, features: list[str], target: str) -> DataFrame:
     return wide.agg(*[F.expr(e) for e in sums]).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def spearman_of_counts(counts: DataFrame, large: bool = False,
-                       chunk_rows: int | None = None) -> DataFrame:
+def spearman_of_counts(counts: DataFrame, pieces: int = 1) -> DataFrame:
     """(feature, score, low, high) against a 0/1 target, from value counts.
 
     The average rank of a two-valued target is a linear function of the
@@ -118,7 +108,7 @@ def spearman_of_counts(counts: DataFrame, large: bool = False,
     the target per value.
     """
     n, s, r = F.col("n").cast("double"), F.col("s"), F.col("rank")
-    sums = average_ranks(counts, large=large, chunk_rows=chunk_rows).groupBy("feature").agg(
+    sums = average_ranks(counts, pieces=pieces).groupBy("feature").agg(
         F.sum(n).alias("N"), F.sum(s).alias("S"), F.sum(s * r).alias("SR"),
         F.sum(n * n * n - n).alias("ties"), F.min("value").alias("low"),
         F.max("value").alias("high"))
@@ -132,8 +122,8 @@ def spearman_of_counts(counts: DataFrame, large: bool = False,
 def spearman_binary(df: DataFrame, features: list[str], target: str,
                     chunk_rows: int | None = None) -> DataFrame:
     """Spearman against a 0/1 target in one grouping and one ordered pass."""
-    return spearman_of_counts(value_counts(df, features, target),
-                              large=_is_large(df, chunk_rows), chunk_rows=chunk_rows).select("feature", "score")
+    pieces = pieces_for(df.count() * len(features), chunk_rows)
+    return spearman_of_counts(value_counts(df, features, target), pieces).select("feature", "score")
 
 
 def spearman(df: DataFrame, features: list[str], target: str,
@@ -146,17 +136,18 @@ def spearman(df: DataFrame, features: list[str], target: str,
     rows = df.count()
     if rows < 2:
         raise ValueError("a rank correlation needs more than one row")
-    large = rows > (chunk_rows or CHUNK_ROWS)
+    pieces = pieces_for(rows * len(features), chunk_rows)
     y = number_sql(target, df.schema[target].dataType)
     long = df.selectExpr(f"{y} AS _y", *numeric_sql(df, features)).unpivot(
         ["_y"], [quote(f) for f in features], "feature", "value").dropna()
     joint = long.groupBy("feature", "value", "_y").agg(F.count(F.lit(1)).alias("n"))
-    if large:
+    if pieces > 1:
         joint = stage(joint, "joint-counts")
     by_x = average_ranks(joint.groupBy("feature", "value").agg(F.sum("n").alias("n")),
-                         large=large, chunk_rows=chunk_rows)
+                         pieces=pieces)
     by_y = average_ranks(joint.groupBy("feature", "_y").agg(F.sum("n").alias("n")),
-                         order="_y", large=large, chunk_rows=chunk_rows)
+                         order="_y", pieces=pieces)
+
     def ties(ranks, name):
         n = F.col("n").cast("double")
         return ranks.groupBy("feature").agg(F.sum(n * n * n - n).alias(name),
@@ -260,13 +251,16 @@ class EntropyPlan:
                  codes: bool = False) -> DataFrame:
         """(feature, term, score) of each (feature, term), from one counting job.
 
-        The entropies, one per set, meet the weights in one row.
+        Sets whose weights cancel are not counted. The entropies, one per set,
+        meet the weights in one row.
         """
-        table = entropies_of_codes(df, self.sets) if codes else entropies(df, self.sets).repartition(1)
+        rows = [(f, i, k, w) for i, (f, term) in enumerate(terms)
+                for k, w in term.items() if abs(w) > EPSILON]
+        used = {k: i for i, k in enumerate(sorted({k for _, _, k, _ in rows}))}
+        sets = [self.sets[k] for k in used]
+        table = entropies_of_codes(df, sets) if codes else entropies(df, sets).repartition(1)
         names = list(dict.fromkeys(f for f, _ in terms))
-        weights = ", ".join(
-            f"struct({names.index(f)}, {i}, {k}, {float(w)!r}D)"
-            for i, (f, term) in enumerate(terms) for k, w in term.items())
+        weights = ", ".join(f"struct({names.index(f)}, {i}, {used[k]}, {float(w)!r}D)" for f, i, k, w in rows)
         listing = ", ".join(text(f) for f in names)
         return (table.agg(F.map_from_entries(F.collect_list(F.struct("set_id", "h"))).alias("h"))
                 .selectExpr("h", f"inline(array({weights})) AS (place, term, set_id, weight)")

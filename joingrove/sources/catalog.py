@@ -11,6 +11,9 @@ from joingrove.functions.types import OTHER, TIMESTAMP, family
 
 LINK_FILE = "connections.csv"
 
+# Format of a CSV table with line breaks inside quotes.
+MULTI_LINE = "csv_multiline"
+
 
 @dataclass(frozen=True)
 class Table:
@@ -20,13 +23,16 @@ class Table:
     schema: T.StructType | None = None
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
+             multi_line: bool = False) -> DataFrame:
     """CSV with header, UTF-8, `"` quotes and `\\` escapes (A1, A2).
 
     The schema is inferred once and kept by the catalog. Dates stay strings.
+    Line breaks inside quotes need `multi_line`, which gives each file to one
+    task; without it files are split.
     """
     reader = (spark.read.option("header", True).option("encoding", "UTF-8")
-              .option("quote", '"').option("escape", "\\").option("multiLine", True)
+              .option("quote", '"').option("escape", "\\").option("multiLine", multi_line)
               .option("enforceSchema", False))
     if schema is None:
         found = reader.option("inferSchema", True).csv(path).schema
@@ -87,7 +93,7 @@ class Catalog:
         entry = self._tables[name]
         if entry.schema is None:
             df = (self.spark.read.parquet(entry.path) if entry.format == "parquet"
-                  else read_csv(self.spark, entry.path))
+                  else read_csv(self.spark, entry.path, None, entry.format == MULTI_LINE))
             entry = replace(entry, schema=df.schema)
             self._tables[name] = entry
         return entry.schema
@@ -97,7 +103,7 @@ class Catalog:
         entry, schema = self._tables[name], self.schema(name)
         if entry.format == "parquet":
             return self.spark.read.schema(schema).parquet(entry.path)
-        return read_csv(self.spark, entry.path, schema)
+        return read_csv(self.spark, entry.path, schema, entry.format == MULTI_LINE)
 
     def qualified(self, name: str, target: str | None = None) -> DataFrame:
         """Columns named `<table>__<column>`; a target stays bare and comes

@@ -18,7 +18,7 @@ from joingrove.functions.prepare import (
     MAX_CATEGORIES, Range, binary_target, category_codes, category_counts, is_category, prepare,
     with_codes)
 from joingrove.functions.stats import (
-    CHUNK_ROWS, EPSILON, numeric_sql, spearman_of_counts, value_counts)
+    CHUNK_ROWS, EPSILON, numeric_sql, pieces_for, spearman_of_counts, value_counts)
 from joingrove.functions.types import OTHER, STRING, families
 from joingrove.operators.joins import (
     ROW_ID, KeySummary, joinable, key_counts, left_join_one, matched_keys, one_row_per_key)
@@ -84,13 +84,13 @@ def start(base: DataFrame, target: str, features: list[str], keys: list[str],
 
 
 def relevance_of_keys(keyed: DataFrame, numeric: list[str], categories: list[str],
-                      options: Options, large: bool) -> DataFrame | None:
+                      options: Options, keys: int) -> DataFrame | None:
     """(feature, score, low, high) of right columns from per-key counts."""
     correlate = spearman_of_counts if options.method == "spearman" else _pearson
     scores = None
     if numeric:
         counts = value_counts(keyed, numeric, weight="_n", target_sum="_s")
-        scores = correlate(counts, large, options.chunk_rows)
+        scores = correlate(counts, pieces_for(keys * len(numeric), options.chunk_rows))
     if categories:
         codes = category_codes(category_counts(keyed, categories, "_n", "_s"), options.max_categories)
         part = correlate(codes.select("feature", F.col("code").alias("value"), "n", "s"))
@@ -98,7 +98,7 @@ def relevance_of_keys(keyed: DataFrame, numeric: list[str], categories: list[str
     return scores
 
 
-def _pearson(counts: DataFrame, large: bool = False, chunk_rows: int | None = None) -> DataFrame:
+def _pearson(counts: DataFrame, pieces: int = 1) -> DataFrame:
     """Pearson against a 0/1 target from value counts, around the mean."""
     n, s, v = F.col("n").cast("double"), F.col("s"), F.col("value")
     means = counts.groupBy("feature").agg(
@@ -141,8 +141,7 @@ def hop(partial: Partial, right: DataFrame, right_table: str, left_key: str, rig
                                    F.col("_key") == quoted(right_key)).drop("_key", "_hit"), "right",
         *[is_category(c, options.max_categories).alias(str(i)) for i, c in enumerate(strings)])
     categories = [c for i, c in enumerate(strings) if few[str(i)]]
-    scores = relevance_of_keys(keyed, numeric, categories, options,
-                               summary.keys > options.chunk_rows)
+    scores = relevance_of_keys(keyed, numeric, categories, options, summary.keys)
     # A column of one value is no feature.
     found = [] if scores is None else [
         (r["feature"], abs(r["score"]), r["low"], r["high"]) for r in scores.collect()
