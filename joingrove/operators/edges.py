@@ -15,11 +15,6 @@ def above(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.filter(F.col("weight") > threshold)
 
 
-def reversed_edges(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("to_table").alias("from_table"), F.col("from_table").alias("to_table"),
-                        F.col("to_col").alias("from_col"), F.col("from_col").alias("to_col"), "weight")
-
-
 def both_directions(edges: DataFrame) -> DataFrame:
     """Every edge and its reverse (B5), from one read of the edges."""
     turned = F.struct(F.col("to_table").alias("from_table"), F.col("from_table").alias("to_table"),

@@ -20,13 +20,13 @@ PERMUTED_ROWS = 200_000
 
 
 def evaluation_table(catalog: Catalog, base_frame: DataFrame, target: str, trees: DataFrame,
-                     tree_joins: DataFrame, tree_id: int, balance: bool = True) -> DataFrame:
+                     tree_joins: DataFrame, tree_id: int, hot: dict | None = None) -> DataFrame:
     """Row id, target and tree features without the join keys (F1)."""
     tree = tree_by_id(trees, tree_id).first()
     if tree is None:
         raise ValueError(f"no tree {tree_id}")
     wide = materialise(catalog, base_frame, target, trees, tree_joins, tree_id,
-                       include_target=True, keep=[ROW_ID], balance=balance)
+                       include_target=True, keep=[ROW_ID], hot=hot)
     return wide.drop(*[k for k in tree["join_keys"] if k in wide.columns])
 
 
@@ -95,14 +95,15 @@ def evaluate_model(algorithm: Algorithm, rows: DataFrame, names: list[str]
 
 
 def evaluate_tree(catalog: Catalog, base_frame: DataFrame, target: str, trees: DataFrame,
-                  tree_joins: DataFrame, tree_id: int, algorithm: str | None = "GBM"
-                  ) -> tuple[DataFrame, DataFrame]:
+                  tree_joins: DataFrame, tree_id: int, algorithm: str | None = "GBM",
+                  hot: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """Results and importances of one tree (F8)."""
     chosen = algorithms(algorithm)
     tree = tree_by_id(trees, tree_id).first()
     if tree is None:
         raise ValueError(f"no tree {tree_id}")
-    table = stage(evaluation_table(catalog, base_frame, target, trees, tree_joins, tree_id), "evaluation")
+    table = stage(evaluation_table(catalog, base_frame, target, trees, tree_joins, tree_id, hot),
+                  "evaluation")
     rows, names = model_rows(table, target)
     rows = stage(rows, "model-rows")
     results, importances = [], []
@@ -116,15 +117,15 @@ def evaluate_tree(catalog: Catalog, base_frame: DataFrame, target: str, trees: D
 
 
 def evaluate_trees(catalog: Catalog, base_frame: DataFrame, target: str, trees: DataFrame,
-                   tree_joins: DataFrame, top_k: int = 3, algorithm: str | None = "GBM"
-                   ) -> tuple[DataFrame, DataFrame]:
+                   tree_joins: DataFrame, top_k: int = 3, algorithm: str | None = "GBM",
+                   hot: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """Results and importances of the best trees by rank."""
     spark = catalog.spark
     results = spark.createDataFrame([], schemas.RESULTS)
     importances = spark.createDataFrame([], schemas.IMPORTANCES)
     for row in top_trees(trees, top_k).select("tree_id").collect():
         one, worth = evaluate_tree(catalog, base_frame, target, trees, tree_joins,
-                                   row["tree_id"], algorithm)
+                                   row["tree_id"], algorithm, hot)
         results, importances = add_result(results, one), add_result(importances, worth)
     return results, importances
 

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from joingrove.functions.naming import quote
-from joingrove.functions.types import BOOLEAN, FRACTIONAL, INTEGRAL, STRING, TIMESTAMP, family, number_sql
+from joingrove.functions.types import BOOLEAN, FRACTIONAL, INTEGRAL, STRING, TIMESTAMP, number_sql
 from joingrove.operators.edges import above, both_directions
 from joingrove.sources.catalog import Catalog
 from joingrove.sources.staging import stage, stage_observed

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from joingrove import schemas
-from joingrove.functions.naming import qualify, quoted, short_column_label
+from joingrove.functions.naming import qualify, quote, short_column_label
 from joingrove.operators.joins import (
     ROW_ID, key_counts, key_summary, left_join_all, left_join_one, one_row_per_key)
 from joingrove.sources.catalog import Catalog
@@ -245,37 +245,46 @@ def remove_table(trees: DataFrame, tree_joins: DataFrame, feature_scores: DataFr
     return trees, tree_joins.filter(~dropped), feature_scores.filter(~dropped)
 
 
+def known_hot_keys(trees: list[Tree]) -> dict[tuple, tuple]:
+    """Hot keys of every join the search ran, by edge."""
+    return {_edge_key(j.edge): j.hop.hot for t in trees for j in t.joins}
+
+
+def _edge_key(edge: Edge) -> tuple:
+    return edge.from_table, edge.to_table, edge.from_col, edge.to_col
+
+
 def replay(catalog: Catalog, base_frame: DataFrame, joins: list[Edge], dedupe: bool = True,
-           balance: bool = True) -> DataFrame:
+           balance: bool = True, hot: dict[tuple, tuple] | None = None) -> DataFrame:
     """Left joins of a tree, in order. With `dedupe` every base row stays one
-    row; with `balance` the hot keys of each join are measured and spread."""
-    frame = base_frame
-    total = base_frame.count() if balance and dedupe and joins else 0
+    row. With `balance` the hot keys of each join are spread; those not known
+    in `hot` are measured first."""
+    frame, total = base_frame, None
     for edge in joins:
         right = catalog.qualified(edge.to_table)
         if not dedupe:
             frame = left_join_all(frame, edge.left_key, right, edge.right_key)
             continue
-        hot = None
-        if balance:
-            hot = list(key_summary(key_counts(frame, edge.left_key), total, right,
-                                   edge.right_key).hot)
+        keys = (hot or {}).get(_edge_key(edge))
+        if keys is None and balance:
+            total = base_frame.count() if total is None else total
+            keys = key_summary(key_counts(frame, edge.left_key), total, right, edge.right_key).hot
         frame = left_join_one(frame, edge.left_key, one_row_per_key(right, edge.right_key),
-                              edge.right_key, hot)
+                              edge.right_key, list(keys or ()))
     return frame
 
 
 def materialise(catalog: Catalog, base_frame: DataFrame, target: str, trees: DataFrame,
                 tree_joins: DataFrame, tree_id: int, dedupe: bool = True,
                 include_target: bool = False, keep: list[str] | None = None,
-                balance: bool = False) -> DataFrame:
+                balance: bool = True, hot: dict[tuple, tuple] | None = None) -> DataFrame:
     """The augmented table of a tree, projected to its features."""
     tree = tree_by_id(trees, tree_id).first()
     if tree is None:
         raise ValueError(f"no tree {tree_id}")
-    frame = replay(catalog, base_frame, joins_of(tree_joins, tree_id), dedupe, balance)
+    frame = replay(catalog, base_frame, joins_of(tree_joins, tree_id), dedupe, balance, hot)
     columns = (keep or []) + ([target] if include_target else []) + list(tree["features"])
-    return frame.select(*[quoted(c) for c in dict.fromkeys(columns)])
+    return frame.selectExpr(*[quote(c) for c in dict.fromkeys(columns)])
 
 
 def joins_of(tree_joins: DataFrame, tree_id: int) -> list[Edge]:

@@ -229,6 +229,9 @@ class Augmenter:
         self._trees_stale = self._trees is not None
         self._results_stale = self._results is not None
 
+    def _hot_keys(self) -> dict:
+        return jointree.known_hot_keys(self.search.trees) if self.search else {}
+
     @property
     def trees(self) -> DataFrame:
         self._fresh_trees()
@@ -267,7 +270,8 @@ class Augmenter:
     def materialise_join_tree(self, tree_id: int, dedupe: bool = True,
                               include_target: bool = False) -> DataFrame:
         return jointree.materialise(self._active(), self.base_frame, self.target, self.trees,
-                                    self.tree_joins, tree_id, dedupe, include_target, balance=True)
+                                    self.tree_joins, tree_id, dedupe, include_target,
+                                    hot=self._hot_keys())
 
     # -- features -----------------------------------------------------------------
 
@@ -302,7 +306,7 @@ class Augmenter:
         self._evaluation = {"algorithm": algorithm, "top_k": top_k_trees, "tree_id": None}
         self._results, self._importances = evaluate.evaluate_trees(
             self._active(), self.base_frame, self.target, self.trees, self.tree_joins,
-            top_k_trees, algorithm)
+            top_k_trees, algorithm, self._hot_keys())
         self._results_stale = False
         return self._results
 
@@ -311,7 +315,7 @@ class Augmenter:
         self._evaluation = {"algorithm": algorithm, "top_k": None, "tree_id": tree_id}
         self._results, self._importances = evaluate.evaluate_tree(
             self._active(), self.base_frame, self.target, self.trees, self.tree_joins,
-            tree_id, algorithm)
+            tree_id, algorithm, self._hot_keys())
         self._results_stale = False
         return self._results
 

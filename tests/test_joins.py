@@ -1,6 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
-
 from joingrove.operators import joins as J
 
 

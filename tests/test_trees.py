@@ -113,15 +113,15 @@ def test_single_feature_is_a_bridge_that_later_joins_replay(spark, catalog):
     assert kept.trees.count() == 3
 
 
-def test_bridge_is_recorded(spark, catalog, tmp_path):
-    spark.range(ROWS).selectExpr("id AS bk", "id % 40 AS dk").write.parquet(str(tmp_path / "bridge"))
+def test_bridge_is_recorded_and_replayed(spark, catalog, tmp_path):
+    """A table with nothing but its key is walked through to the one behind it."""
+    spark.range(ROWS).selectExpr("id AS bk").write.parquet(str(tmp_path / "bridge"))
     with_bridge = catalog.add("bridge", str(tmp_path / "bridge"))
-    a = augmenter(spark, with_bridge, [("base", "bridge", "k", "bk", 0.9), ("bridge", "deep", "dk", "dk", 0.9)])
-    a.compute_join_trees()
-    rows = {r["to_table"]: r["is_bridge"] for r in a.tree_joins.collect()}
-    if "bridge" in rows and "deep" in rows:
-        last = a.trees.agg(F.max("tree_id")).first()[0]
-        assert a.materialise_join_tree(last).count() == ROWS
+    a = augmenter(spark, with_bridge, [("base", "bridge", "k", "bk", 0.9), ("bridge", "deep", "bk", "dk", 0.9)])
+    a.compute_join_trees(non_null_threshold=0.1)
+    assert {r["to_table"]: r["is_bridge"] for r in a.tree_joins.collect()} == {"bridge": True, "deep": False}
+    assert a.materialise_join_tree(1).count() == ROWS
+    assert "bridge__bk" not in a.get_tree_by_id(1).first()["features"]
 
 
 def test_tied_keys_both_become_trees(spark, catalog):
