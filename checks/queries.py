@@ -179,7 +179,8 @@ def b3_near_jaccard(spark, sf):
 
 
 def b4_threshold(spark, sf):
-    return rounded(E.above(M.jaccard(star(spark, sf)), 0.5), "weight")
+    """Columns that cannot pass are left out before their values are read."""
+    return rounded(E.above(M.jaccard(star(spark, sf), 0.5), 0.5), "weight")
 
 
 def b5_both_directions(spark, sf):

@@ -114,6 +114,11 @@ class Catalog:
         return df.selectExpr(*first, *[f"{quote(f.name)} AS {quote(qualify(name, f.name))}"
                                        for f in fields if f.name != target])
 
+    def size_in_bytes(self) -> int:
+        """Size of all tables as the planner sees it; nothing is read."""
+        plans = (self.table(n)._jdf.queryExecution().optimizedPlan() for n in self.names)
+        return sum(int(p.stats().sizeInBytes().toString()) for p in plans)
+
     # -- metadata tables --------------------------------------------------
 
     def tables(self) -> DataFrame:

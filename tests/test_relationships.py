@@ -200,3 +200,16 @@ def test_more_columns_than_one_bitmap_word(spark, tmp_path):
         catalog = catalog.add(f"t{t}", str(tmp_path / f"t{t}"))
     got = {(r["col1"], r["col2"]): r["weight"] for r in M.jaccard(catalog).collect()}
     assert got[("c5", "c0")] == 1.0 and got[("c39", "c34")] == 1.0 and ("c0", "c30") not in got
+
+
+def test_columns_that_cannot_overlap_enough_are_not_read(spark, tmp_path):
+    catalog = Catalog(spark)
+    for name, exprs in (("a", ["id AS k", "id + 5000 AS far", "id % 3 AS few", "cast(id AS string) AS s"]),
+                        ("b", ["id + 100 AS k", "cast(id AS double) AS d", "id % 2 AS flag"])):
+        spark.range(1000).selectExpr(*exprs).write.parquet(str(tmp_path / name))
+        catalog = catalog.add(name, str(tmp_path / name))
+    names = {i: f"{t}.{c}" for i, t, c, _ in catalog.column_list()}
+    assert {names[i] for i in M.promising_columns(catalog, 0.5)} == {"a.k", "b.k", "a.few", "b.flag"}
+    key = lambda df: sorted((r["col1"], r["col2"], r["weight"]) for r in df.filter("weight > 0.5").collect())
+    assert key(M.jaccard(catalog, 0.5)) == key(M.jaccard(catalog)) != []
+    assert M.jaccard(catalog, 5.0).count() == 0
