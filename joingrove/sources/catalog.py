@@ -117,7 +117,7 @@ class Catalog:
     def size_in_bytes(self) -> int:
         """Size of all tables as the planner sees it; nothing is read."""
         plans = (self.table(n)._jdf.queryExecution().optimizedPlan() for n in self.names)
-        return sum(int(p.stats().sizeInBytes().toString()) for p in plans)
+        return sum(int(str(p.stats().sizeInBytes())) for p in plans)
 
     # -- metadata tables --------------------------------------------------
 
