@@ -43,11 +43,12 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
 
 
 class Catalog:
-    """Immutable set of named tables; every edit returns a new catalog."""
+    """Set of named tables; every edit returns a new catalog."""
 
     def __init__(self, spark: SparkSession, tables: dict[str, Table] | None = None):
         self.spark = spark
         self._tables = dict(tables or {})
+        self._frames: dict[str, DataFrame] = {}
 
     # -- contents ---------------------------------------------------------
 
@@ -92,18 +93,23 @@ class Catalog:
     def schema(self, name: str) -> T.StructType:
         entry = self._tables[name]
         if entry.schema is None:
-            df = (self.spark.read.parquet(entry.path) if entry.format == "parquet"
-                  else read_csv(self.spark, entry.path, None, entry.format == MULTI_LINE))
+            if entry.format == "parquet":
+                df = self._frames[name] = self.spark.read.parquet(entry.path)
+            else:
+                df = read_csv(self.spark, entry.path, None, entry.format == MULTI_LINE)
             entry = replace(entry, schema=df.schema)
             self._tables[name] = entry
         return entry.schema
 
     def table(self, name: str) -> DataFrame:
-        """The table with its own column names (A2)."""
-        entry, schema = self._tables[name], self.schema(name)
-        if entry.format == "parquet":
-            return self.spark.read.schema(schema).parquet(entry.path)
-        return read_csv(self.spark, entry.path, schema, entry.format == MULTI_LINE)
+        """The table with its own column names (A2). A catalog lists the files
+        of a table once."""
+        if name not in self._frames:
+            entry, schema = self._tables[name], self.schema(name)
+            self._frames[name] = (
+                self.spark.read.schema(schema).parquet(entry.path) if entry.format == "parquet"
+                else read_csv(self.spark, entry.path, schema, entry.format == MULTI_LINE))
+        return self._frames[name]
 
     def qualified(self, name: str, target: str | None = None) -> DataFrame:
         """Columns named `<table>__<column>`; a target stays bare and comes
