@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.queries import ALL, CHAIN, CHOSEN, CODES, GIVEN, LINKS, NEW, NUMBERS, RULES, STAR, TARGET
+from checks.queries import ALL, CHAIN, CHOSEN, CODES, GIVEN, LINKS, NEW, NUMBERS, RULES, SAVED, TARGET
 
 # Columns of the given tables by type family; nested columns take no part.
 COLUMNS = {
@@ -26,6 +26,7 @@ COLUMNS = {
     "supplier": "s_suppkey:integral s_name:string s_nationkey:integral s_acctbal:fractional",
 }
 EPS = "1e-12"
+ALL_OF_CHAIN = CHAIN
 
 
 def cols(table: str) -> list[tuple[str, str]]:
@@ -69,14 +70,14 @@ jac AS (SELECT t1 AS table1, c1 AS col1, t2 AS table2, c2 AS col2,
   JOIN sizes x ON x.t = t1 AND x.c = c1 JOIN sizes y ON y.t = t2 AND y.c = c2)"""
 
 
-def both(pairs: str) -> str:
+def both(pairs: str, threshold: float = 0.5) -> str:
     """edges from pairs(table1, col1, table2, col2, weight)."""
     return f"""edges AS (SELECT table1 AS from_table, table2 AS to_table, col1 AS from_col, col2 AS to_col, weight
-  FROM {pairs} WHERE weight > 0.5 UNION ALL
-  SELECT table2, table1, col2, col1, weight FROM {pairs} WHERE weight > 0.5)"""
+  FROM {pairs} WHERE weight > {threshold} UNION ALL
+  SELECT table2, table1, col2, col1, weight FROM {pairs} WHERE weight > {threshold})"""
 
 
-def on_edges(select: str, tables: list[str] = STAR, more: str = "", recursive: bool = False) -> str:
+def on_edges(select: str, tables: list[str] = ALL, more: str = "", recursive: bool = False) -> str:
     head = "WITH RECURSIVE " if recursive else "WITH "
     return f"{head}{jaccard_cte(tables)}, {both('jac')}{more} {select}"
 
@@ -218,7 +219,7 @@ def mi_target_cte(name: str, source: str) -> str:
 
 def norm(scores: str) -> str:
     """Min-max over scores(feature, score)."""
-    return f"""SELECT feature, CASE WHEN hi - lo > {EPS} THEN (score - lo) / (hi - lo) ELSE 0.0 END AS score
+    return f"""SELECT feature, CASE WHEN hi - lo > {EPS} THEN round((score - lo) / (hi - lo), 12) ELSE 0.0 END AS score
   FROM (SELECT *, min(score) OVER () AS lo, max(score) OVER () AS hi, max(abs(score)) OVER () AS peak FROM {scores})
   WHERE peak > {EPS}"""
 
@@ -244,36 +245,40 @@ def raw_mrmr(selected: list[str]) -> str:
 # -- hops ---------------------------------------------------------------------------
 
 
-def hop_start() -> str:
+IS_F = "CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END"
+
+
+def hop_start(table: str = "orders", rid: str = "o_orderkey", y: str = IS_F, features=tuple(ORDERS_FEATURES)) -> str:
     """rows0 (joined rows so far), sel0(feature, rid, bin): base features, binned."""
     parts = []
-    for c, kind in ORDERS_FEATURES:
+    for c, kind in features:
         v = num(c, kind) if kind != "string" else (
             f"CASE WHEN {c} IS NULL THEN NULL ELSE CAST(dense_rank() OVER (ORDER BY {c} NULLS LAST) - 1 AS DOUBLE) END")
-        limit = "" if kind != "string" else f" WHERE (SELECT count(DISTINCT {c}) FROM orders) <= 10000"
-        parts.append(f"SELECT 'orders__{c}' AS feature, rid, {v} AS v FROM rows0{limit}")
-    return f"""rows0 AS (SELECT *, o_orderkey AS rid, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y FROM orders),
+        parts.append(f"SELECT '{table}__{c}' AS feature, rid, {v} AS v FROM rows0")
+    return f"""rows0 AS (SELECT *, {rid} AS rid, {y} AS y FROM {table}),
 long0 AS ({' UNION ALL '.join(parts)}),
 lim0 AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM long0 GROUP BY feature HAVING min(v) < max(v)),
 sel0 AS (SELECT feature, rid, CASE WHEN v IS NULL THEN 0 ELSE least(CAST(floor((v - lo) / (hi - lo) * 5) AS INT), 4) + 1 END AS bin
   FROM long0 JOIN lim0 USING (feature))"""
 
 
-def hop(i: int, table: str, left: str, right: str, k: int = 10) -> str:
+def hop(i: int, table: str, left: str, right: str, k: int = 10, prefix: str = "") -> str:
     """Hop number i onto rows{i-1} and sel{i-1}: rel{i}, top{i}, red{i}, kept{i}, score{i}, sel{i}, rows{i}."""
     p = i - 1
     parts = []
-    for c, kind in cols(table):
+    for name, kind in cols(table):
+        c = prefix + name
         v = num(c, kind) if kind != "string" else (
             f"CASE WHEN {c} IS NULL THEN NULL ELSE CAST(dense_rank() OVER (ORDER BY {c} NULLS LAST) - 1 AS DOUBLE) END")
-        limit = "" if kind != "string" else f" WHERE (SELECT count(DISTINCT {c}) FROM rows{i}) <= 10000"
-        parts.append(f"SELECT '{table}__{c}' AS feature, rid, y, {v} AS v FROM rows{i}{limit}")
-    return f"""rows{i} AS (SELECT l.*, r.* FROM rows{p} l LEFT JOIN {one(table, right)} r ON l.{left} = r.{right}),
+        parts.append(f"SELECT '{table}__{name}' AS feature, rid, y, {v} AS v FROM rows{i}")
+    renamed = ", ".join(f"{c} AS {prefix}{c}" for c, _ in cols(table))
+    other = f"(SELECT {renamed} FROM {one(table, right)})" if prefix else one(table, right)
+    return f"""rows{i} AS (SELECT l.*, r.* FROM rows{p} l LEFT JOIN {other} r ON l.{left} = r.{prefix}{right}),
 long{i} AS ({' UNION ALL '.join(parts)}),
 lim{i} AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM long{i} GROUP BY feature HAVING min(v) < max(v)),
 rk{i} AS (SELECT feature, y, rank() OVER (PARTITION BY feature ORDER BY v)
   + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS rk FROM long{i} JOIN lim{i} USING (feature) WHERE v IS NOT NULL),
-rel{i} AS (SELECT feature, abs({corr('rk')}) AS score FROM rk{i} GROUP BY feature),
+rel{i} AS (SELECT feature, round(abs({corr('rk')}), 12) AS score FROM rk{i} GROUP BY feature),
 top{i} AS (SELECT feature, score FROM rel{i} WHERE score > {EPS} AND score < 1 - {EPS} ORDER BY score DESC, feature LIMIT {k}),
 new{i} AS (SELECT feature, rid, y, CASE WHEN v IS NULL THEN 0
   ELSE least(CAST(floor((v - lo) / (hi - lo) * 5) AS INT), 4) + 1 END AS bin
@@ -299,8 +304,9 @@ SCORES1 = f"WITH {HOP1}, scores AS ({scores_of(1)})"
 BASE_LIST = ", ".join(f"'orders__{c}'" for c, _ in ORDERS_FEATURES)
 
 
-def chain() -> str:
+def chain(length: int = len(CHAIN)) -> str:
     """trees(tree_id, rank, features, join_keys, hops) and tree_joins of the grown chain."""
+    CHAIN = ALL_OF_CHAIN[:length]
     hops = ", ".join(hop(i + 1, t2, c1, c2) for i, (_, t2, c1, c2) in enumerate(CHAIN))
     steps = []
     for i in range(1, len(CHAIN) + 1):
@@ -371,8 +377,7 @@ N_COLS = {t: len(cols(t)) + (t == "embeddings") for t in ALL}
 
 def survivors(table: str) -> str:
     return " UNION ALL ".join(
-        f"SELECT '{table}__{c}' AS feature FROM {table} HAVING min({c}) < max({c})"
-        + (f" AND count(DISTINCT {c}) <= 10000" if k == "string" else "") for c, k in cols(table))
+        f"SELECT '{table}__{c}' AS feature FROM {table} HAVING min({c}) < max({c})" for c, _ in cols(table))
 
 
 def oracle_sql() -> dict[str, str]:
@@ -384,24 +389,28 @@ def oracle_sql() -> dict[str, str]:
                         "c_nationkey AS customer__c_nationkey, c_acctbal AS customer__c_acctbal FROM customer",
         "a4_base_table": "SELECT c_custkey AS _rid, c_mktsegment, c_custkey AS customer__c_custkey, c_name AS customer__c_name, "
                          "c_nationkey AS customer__c_nationkey, c_acctbal AS customer__c_acctbal FROM customer",
-        "a5_repository": f"SELECT name || '.parquet' AS name, n_rows, n_cols FROM ({table_rows(ALL, N_COLS)})",
+        "a4_base_table_first": "SELECT c_custkey AS _rid, c_mktsegment, c_custkey AS customer__c_custkey, c_name AS customer__c_name, "
+                               "c_nationkey AS customer__c_nationkey, c_acctbal AS customer__c_acctbal FROM customer",
+        "a5_repository": f"SELECT name || '.parquet' AS name, n_rows, n_cols FROM ({table_rows(ALL, N_COLS)}) UNION ALL "
+                         f"SELECT name, n_rows, n_cols FROM ({table_rows(['region'], N_COLS)})",
         "a6_tables": table_rows(ALL, N_COLS),
         "a7_add_table": near_edges(["customer", "nation", "supplier"]),
         "a8_remove_table": on_edges(f"SELECT {EDGE_COLS} FROM edges WHERE from_table != 'part' AND to_table != 'part'"),
-        "a9_edge_text": on_edges(f"SELECT {EDGE_COLS} FROM edges"),
-        "a10_saved_edges": on_edges(f"SELECT {EDGE_COLS} FROM edges"),
+        "a9_edge_text": on_edges(f"SELECT {EDGE_COLS}, CAST(2 AS BIGINT) AS n_malformed FROM edges"),
+        "a10_saved_edges": f"WITH {composite_cte(SAVED)}, {both('comp', 0.3)} SELECT {EDGE_COLS} FROM edges",
         "a11_partial_join": f"SELECT o_orderkey AS _rid, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS {TARGET}, "
                             "o_totalprice AS orders__o_totalprice, c_acctbal AS customer__c_acctbal, "
                             f"c_mktsegment AS customer__c_mktsegment FROM orders LEFT JOIN {one('customer', 'c_custkey')} c "
                             "ON o_custkey = c_custkey",
-        "a12_links": on_edges("SELECT from_table, to_table, from_col, to_col, 1.0::DOUBLE AS weight FROM edges WHERE weight = 1"),
+        "a12_links": on_edges("SELECT 'star/' || from_table AS from_table, 'star/' || to_table AS to_table, from_col, to_col, "
+                              "1.0::DOUBLE AS weight FROM edges WHERE weight = 1"),
         "b1_table_pairs": f"WITH s AS ({table_rows(ALL, N_COLS)}) SELECT a.name AS table1, b.name AS table2, "
                           "a.n_rows AS rows1, b.n_rows AS rows2 FROM s a JOIN s b ON a.name < b.name",
         "b2_composite": f"WITH {composite_cte(ALL)} SELECT table1, col1, table2, col2, {rnd('name_score', 'name_score')}, "
                         f"{rnd('type_score', 'type_score')}, {rnd('inst_score', 'inst_score')}, {rnd('weight', 'weight')} FROM comp",
         "b3_jaccard": f"WITH {jaccard_cte(ALL)} SELECT table1, col1, table2, col2, {rnd('weight', 'weight')} FROM jac",
         "b3_near_jaccard": near_jaccard(),
-        "b4_threshold": f"WITH {jaccard_cte(STAR)} SELECT table1, col1, table2, col2, {rnd('weight', 'weight')} FROM jac WHERE weight > 0.5",
+        "b4_threshold": f"WITH {jaccard_cte(ALL)} SELECT table1, col1, table2, col2, {rnd('weight', 'weight')} FROM jac WHERE weight > 0.5",
         "b5_both_directions": on_edges(f"SELECT {EDGE_COLS} FROM edges"),
         "b6_discovery": f"WITH {composite_cte(ALL)}, {both('comp')} SELECT {EDGE_COLS} FROM edges",
         "b6_discovery_jaccard": on_edges(f"SELECT {EDGE_COLS} FROM edges", ALL),
@@ -410,9 +419,9 @@ def oracle_sql() -> dict[str, str]:
         "b9_best_edges": on_edges(f"SELECT {EDGE_COLS} FROM edges QUALIFY row_number() OVER "
                                   "(PARTITION BY from_table, to_table ORDER BY weight DESC, from_col, to_col) = 1"),
         "b10_weight_matrix": on_edges(
-            "SELECT from_table, " + ", ".join(rnd(f"max(CASE WHEN to_table = '{t}' THEN weight END)", t) for t in STAR)
+            "SELECT from_table, " + ", ".join(rnd(f"max(CASE WHEN to_table = '{t}' THEN weight END)", t) for t in ALL)
             + " FROM (SELECT from_table, to_table, weight FROM edges UNION ALL "
-            + " UNION ALL ".join(f"SELECT '{t}', '{t}', 1.0" for t in STAR) + ") GROUP BY from_table"),
+            + " UNION ALL ".join(f"SELECT '{t}', '{t}', 1.0" for t in ALL) + ") GROUP BY from_table"),
         "b11_column_matrix": on_edges(
             "SELECT from_col, " + ", ".join(rnd(f"max(CASE WHEN to_col = '{c}' THEN weight END)", c) for c in
                                             ["o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate"])
@@ -433,12 +442,22 @@ def oracle_sql() -> dict[str, str]:
         "c1_start": f"SELECT 0 AS tree_id, 'orders' AS begin, 0.0::DOUBLE AS rank, '{','.join(sorted('orders__' + c for c, _ in ORDERS_FEATURES))}' AS features, "
                     "count(*) AS n_rows, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS n_positive FROM orders",
         "c2_join_trees": f"{chain()} SELECT tree_id, 'orders' AS begin, {rnd('rank', 'rank')}, features, join_keys FROM trees",
+        "c2_target_edge": f"{chain()} SELECT tree_id, 'orders' AS begin, {rnd('rank', 'rank')}, features, join_keys FROM trees",
+        "b16_cascade": f"{chain(2)} SELECT tree_id, join_idx, from_table, to_table, {rnd('non_null_ratio', 'non_null_ratio')} FROM tree_joins",
+        "f3_algorithms": "SELECT unnest(['GBM', 'KNN', 'LR', 'RF', 'XGB', 'XT']) AS model, (SELECT count(*) FROM customer "
+                         "WHERE substr(md5(CAST(c_custkey AS VARCHAR)), 1, 2) < '33') AS n_test, true AS reaches",
+        "f4_train": f"SELECT o_orderkey AS _rid, {IS_F} AS label, true AS predicted FROM orders "
+                    "WHERE substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 2) < '33'",
+        "f6_importance": "SELECT 1 AS tree_id, 'LR' AS model, unnest(['orders__o_totalprice', 'customer__c_acctbal']) AS feature, true AS bounded",
+        "f7_evaluate_trees": f"{chain()} SELECT tree_id, 'LR' AS model, {rnd('rank', 'rank')}, true AS reaches FROM "
+                             "(SELECT * FROM trees ORDER BY rank DESC, tree_id LIMIT 2)",
+        "f8_evaluate_tree": "SELECT 1 AS tree_id, 'GBM' AS model, 1.0::DOUBLE AS rank, true AS reaches",
         "c2_reachable": on_edges("SELECT t AS \"table\", CAST(min(d) AS INT) AS depth FROM r GROUP BY t", recursive=True,
-                                 more=", r(t, d) AS (SELECT 'region', 0 UNION SELECT to_table, d + 1 FROM r JOIN edges ON from_table = t WHERE d < 7)"),
+                                 more=", r(t, d) AS (SELECT 'region', 0 UNION SELECT to_table, d + 1 FROM r JOIN edges ON from_table = t WHERE d < 14)"),
         "c3_neighbours": on_edges(f"SELECT {EDGE_COLS} FROM edges WHERE from_table IN (SELECT from_table FROM edges WHERE to_table = 'region')"),
         "c4_unvisited": on_edges("SELECT DISTINCT to_table AS \"table\" FROM edges WHERE to_table NOT IN (SELECT from_table FROM edges WHERE to_table = 'region')"),
         "c5_best_keys": on_edges(f"SELECT {EDGE_COLS} FROM edges QUALIFY rank() OVER (PARTITION BY from_table, to_table ORDER BY weight DESC) = 1"),
-        "c6_type_check": f"WITH {composite_cte(STAR)} SELECT table1, col1, table2, col2 FROM comp WHERE weight > 0.4 AND type_score = 1",
+        "c6_type_check": f"WITH {composite_cte(ALL)} SELECT table1, col1, table2, col2 FROM comp WHERE weight > 0.4 AND type_score = 1",
         "c7_one_per_key": f"SELECT * REPLACE (CAST(l_shipdate AS DATE) AS l_shipdate) FROM {one('lineitem', 'l_orderkey')}",
         "c8_left_join": f"SELECT o_orderkey AS _rid, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS {TARGET}, "
                         "o_totalprice AS orders__o_totalprice, l_orderkey AS lineitem__l_orderkey, l_partkey AS lineitem__l_partkey, "
@@ -448,12 +467,16 @@ def oracle_sql() -> dict[str, str]:
                             f"c_acctbal AS customer__c_acctbal FROM events LEFT JOIN {one('customer', 'c_custkey')} c ON user_id = c_custkey",
         "c9_ratio": f"WITH {ratios_cte()} SELECT from_table, from_col, to_table, to_col, {rnd('ratio', 'ratio')} FROM ratios",
         "c10_prune": f"WITH {ratios_cte()} SELECT from_table, from_col, to_table, to_col, {rnd('ratio', 'ratio')} FROM ratios WHERE ratio >= 0.5",
-        "c11_new_features": " UNION ALL ".join(survivors(t) for t in ("customer", "lineitem", "part", "region")),
+        "c11_new_features": " UNION ALL ".join(survivors(t) for t in ALL),
         "c12_hop": f"{SCORES1} SELECT tree_id, join_idx, feature, kind, {rnd('score', 'score')}, selected, "
                    "(SELECT round(score, 6) FROM score1) AS tree_score FROM scores",
         "c12_hop_lineitem": f"WITH {hop_start()}, {hop(1, 'lineitem', 'o_orderkey', 'l_orderkey')}, scores AS ({scores_of(1)}) "
                             f"SELECT tree_id, join_idx, feature, kind, {rnd('score', 'score')}, selected, "
                             "(SELECT round(score, 6) FROM score1) AS tree_score FROM scores",
+        "c12_hop_text": f"WITH {hop_start('labels', 'doc_id', 'toxic', (('doc_id', 'integral'), ('quality', 'integral')))}, "
+                        f"{hop(1, 'documents', 'doc_id', 'doc_id', prefix='documents_')}, scores AS ({scores_of(1)}) "
+                        f"SELECT tree_id, join_idx, feature, kind, {rnd('score', 'score')}, selected, "
+                        "(SELECT round(score, 6) FROM score1) AS tree_score FROM scores",
         "c13_tree_score": f"{SCORES1} SELECT 1 AS tree_id, 0 AS join_idx, {rnd('score', 'score')} FROM score1",
         "c14_kept_scores": f"{SCORES1} SELECT tree_id, join_idx, feature, kind, {rnd('score', 'score')}, selected FROM scores WHERE selected",
         "c15_tree_joins": f"{chain()} SELECT tree_id, join_idx, from_table, to_table, from_col, to_col, "
@@ -466,8 +489,9 @@ def oracle_sql() -> dict[str, str]:
         "c19_materialise": given(""),
         "c19_fan_out": "SELECT o_orderkey AS _rid, o_totalprice AS orders__o_totalprice, l_linenumber AS lineitem__l_linenumber, "
                        "l_extendedprice AS lineitem__l_extendedprice FROM orders LEFT JOIN lineitem ON o_orderkey IS NOT DISTINCT FROM l_orderkey",
-        "c20_remove_table": f"{chain()} SELECT tree_id, '{','.join(sorted('orders__' + c for c, _ in ORDERS_FEATURES))}' AS features, "
-                            "CAST(0 AS BIGINT) AS n_keys, CAST(0 AS BIGINT) AS n_joins FROM trees WHERE tree_id = 2",
+        "c20_remove_table": f"{chain()} SELECT tree_id, (SELECT string_agg(feature, ',' ORDER BY feature) FROM "
+                            f"(SELECT unnest([{BASE_LIST}]) AS feature UNION ALL SELECT feature FROM kept1)) AS features, "
+                            "CAST(2 AS BIGINT) AS n_keys, CAST(1 AS BIGINT) AS n_joins FROM trees WHERE tree_id = 2",
         "c21_tree_nodes": f"{chain()} SELECT tree_id, {rnd('rank', 'rank')}, CAST(join_idx AS INT) AS from_node, CAST(join_idx + 1 AS INT) AS to_node, "
                           "from_table, to_table, from_col || ' -> ' || to_col AS label FROM tree_joins JOIN trees USING (tree_id)",
         "c22_tree_summary": f"{chain()} SELECT tree_id, 'orders' AS begin, {rnd('rank', 'rank')}, join_idx, from_table, from_col, to_table, to_col, "
@@ -488,13 +512,13 @@ def oracle_sql() -> dict[str, str]:
                        "rank() OVER (PARTITION BY feature ORDER BY t) + (count(*) OVER (PARTITION BY feature, t) - 1) / 2.0 AS ry FROM p) "
                        f"SELECT feature, {rnd(corr('rx', 'ry'), 'score')} FROM r GROUP BY feature",
         "d4_spearman_binary": f"WITH {JOINED}, {long_cte(NUMBERS, extra=CONSTANT)}, {RANKS} SELECT feature, {rnd(corr('rk'), 'score')} FROM ranks GROUP BY feature",
-        "d5_relevance": f"WITH {JOINED}, {long_cte(NUMBERS, extra=LEAK)}, {RANKS}, s AS (SELECT feature, abs({corr('rk')}) AS score FROM ranks GROUP BY feature) "
+        "d5_relevance": f"WITH {JOINED}, {long_cte(NUMBERS, extra=LEAK)}, {RANKS}, s AS (SELECT feature, round(abs({corr('rk')}), 12) AS score FROM ranks GROUP BY feature) "
                         f"SELECT feature, {rnd('score', 'score')}, score > {EPS} AND score < 1 - {EPS} AS selected FROM s",
-        "d5_relevance_pearson": f"WITH {JOINED}, {long_cte(NUMBERS, extra=LEAK)}, s AS (SELECT feature, abs({corr('v')}) AS score FROM long WHERE v IS NOT NULL GROUP BY feature) "
+        "d5_relevance_pearson": f"WITH {JOINED}, {long_cte(NUMBERS, extra=LEAK)}, s AS (SELECT feature, round(abs({corr('v')}), 12) AS score FROM long WHERE v IS NOT NULL GROUP BY feature) "
                                 f"SELECT feature, {rnd('score', 'score')}, score > {EPS} AND score < 1 - {EPS} AS selected FROM s",
-        "d6_top_k": f"WITH {JOINED}, {long_cte(NUMBERS)}, {RANKS}, s AS (SELECT feature, abs({corr('rk')}) AS score FROM ranks GROUP BY feature) "
+        "d6_top_k": f"WITH {JOINED}, {long_cte(NUMBERS)}, {RANKS}, s AS (SELECT feature, round(abs({corr('rk')}), 12) AS score FROM ranks GROUP BY feature) "
                     f"SELECT feature, {rnd('score', 'score')}, true AS selected FROM (SELECT * FROM s WHERE score > {EPS} AND score < 1 - {EPS} ORDER BY score DESC, feature LIMIT 3)",
-        "d7_relevance_plain": f"WITH {JOINED}, {long_cte(NUMBERS)}, {RANKS}, s AS (SELECT feature, abs({corr('rk')}) AS score FROM ranks GROUP BY feature) "
+        "d7_relevance_plain": f"WITH {JOINED}, {long_cte(NUMBERS)}, {RANKS}, s AS (SELECT feature, round(abs({corr('rk')}), 12) AS score FROM ranks GROUP BY feature) "
                               f"SELECT feature, {rnd('score', 'score')} FROM s WHERE score > {EPS} AND score < 1 - {EPS}",
         "d8_bins": f"WITH {JOINED}, {long_cte(NUMBERS)}, {BINS} SELECT rid AS _rid, "
                    + ", ".join(f"CAST(max(CASE WHEN feature = '{n}' THEN bin END) AS INT) AS {n}" for n in NUMBERS) + " FROM bins GROUP BY rid",
@@ -510,7 +534,7 @@ def oracle_sql() -> dict[str, str]:
             + f") SELECT feature, {rnd('score + g', 'score')} FROM mrmr JOIN gain USING (feature)",
         "d16_normalise": f"{MRMR}, n AS ({norm('mrmr')}) SELECT feature, {rnd('score', 'score')}, score > {EPS} AS selected FROM n",
         "d17_both": f"{MRMR}, lr AS (SELECT * FROM long WHERE feature IN ({listed(NEW)})), {RANKS.replace('FROM long', 'FROM lr')}, "
-                    f"s AS (SELECT feature, abs({corr('rk')}) AS score FROM ranks GROUP BY feature), n AS ({norm('mrmr')}) "
+                    f"s AS (SELECT feature, round(abs({corr('rk')}), 12) AS score FROM ranks GROUP BY feature), n AS ({norm('mrmr')}) "
                     f"SELECT 'rel' AS kind, feature, {rnd('score', 'score')}, true AS selected FROM s WHERE score > {EPS} AND score < 1 - {EPS} "
                     f"UNION ALL SELECT 'red', feature, {rnd('score', 'score')}, score > {EPS} FROM n",
         "d18_cmim": f"WITH {JOINED}, raw AS (" + " UNION ALL ".join(

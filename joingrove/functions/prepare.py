@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from joingrove.functions.naming import SEPARATOR, quote, quoted
-from joingrove.functions.stats import numeric_sql
-from joingrove.functions.types import BOOLEAN, NUMERIC, STRING, TIMESTAMP, families, number_sql
-
-# A string column with more distinct values, or a longer one, is text, not a
-# category. Both together bound the code lookups, which are broadcast.
-MAX_CATEGORIES = 10_000
-MAX_LABEL = 256
+from joingrove.functions.stats import numeric_sql, ranked
+from joingrove.functions.types import BOOLEAN, NUMERIC, OTHER, STRING, TIMESTAMP, families, number_sql
+from joingrove.sources.staging import stage, stage_observed
+
+# Labels and characters up to which the codes of a column are broadcast; other
+# codes are joined by a shuffle.
+BROADCAST_LABELS, BROADCAST_CHARS = 10_000, 4_000_000
+# Tasks over which the rows of a hot or missing label are spread.
+SPREAD = 997
 BINS = 5
 # The calendar parts of a time column.
 DATE_PARTS = ("year", "month", "day", "dayofweek")
@@ -37,14 +39,9 @@ def binary_target(df: DataFrame, target: str) -> Column:
         quoted(target) == F.lit(labels[0]), 0)
 
 
-def profile(df: DataFrame, columns: list[str], max_categories: int = MAX_CATEGORIES
-            ) -> tuple[dict[str, Range], list[str]]:
-    """Ranges of the numeric-like columns and the candidate categories, in one
-    pass that returns one row. Columns without two values are left out.
-
-    A string column whose estimated number of values is beyond twice the limit
-    is out; below that, `category_counts` counts exactly.
-    """
+def profile(df: DataFrame, columns: list[str]) -> tuple[dict[str, Range], list[str]]:
+    """Ranges of the numeric-like columns and the categories, in one pass that
+    returns one row. Columns without two values are left out."""
     kinds = families(df.schema)
     aggs = []
     for i, c in enumerate(columns):
@@ -52,8 +49,7 @@ def profile(df: DataFrame, columns: list[str], max_categories: int = MAX_CATEGOR
             x = number_sql(c, df.schema[c].dataType)
             aggs += [F.expr(f"min({x})").alias(f"lo{i}"), F.expr(f"max({x})").alias(f"hi{i}")]
         elif kinds[c] == STRING:
-            varies = F.coalesce(F.min(quoted(c)) < F.max(quoted(c)), F.lit(False))
-            aggs.append((varies & is_category(c, max_categories)).alias(f"ok{i}"))
+            aggs.append(F.coalesce(F.min(quoted(c)) < F.max(quoted(c)), F.lit(False)).alias(f"ok{i}"))
     if not aggs:
         return {}, []
     row = df.agg(*aggs).first()
@@ -68,13 +64,6 @@ def profile(df: DataFrame, columns: list[str], max_categories: int = MAX_CATEGOR
     return ranges, categories
 
 
-def is_category(column: str, max_categories: int = MAX_CATEGORIES) -> Column:
-    """Aggregate: whether a string column may be a category. The estimate is
-    only used far from the limit; `category_codes` counts exactly."""
-    few = F.approx_count_distinct(quoted(column)) <= 2 * max_categories
-    return few & (F.coalesce(F.max(F.length(quoted(column))), F.lit(0)) <= MAX_LABEL)
-
-
 def category_counts(df: DataFrame, columns: list[str], weight: str | None = None,
                     target_sum: str | None = None) -> DataFrame:
     """(feature, label, n, s) of string columns."""
@@ -87,28 +76,43 @@ def category_counts(df: DataFrame, columns: list[str], weight: str | None = None
             .agg(F.sum("_n").alias("n"), F.sum("_s").alias("s")))
 
 
-def category_codes(counts: DataFrame, max_categories: int = MAX_CATEGORIES) -> DataFrame:
-    """Alphabetical codes from 0 of every feature with at most `max_categories`
-    labels: adds `code` to `category_counts`.
+def category_codes(counts: DataFrame, at_most: int, chunk_rows: int | None = None) -> DataFrame:
+    """Adds `code`, alphabetical from 0 in each feature, to `category_counts`;
+    `at_most` bounds the number of labels. Many labels are numbered range by range."""
+    one = counts.withColumn("_one", F.lit(1).cast("bigint"))
+    return (ranked(one, at_most, chunk_rows, "label", "_one")
+            .withColumn("code", F.col("rank") - 1.0).drop("rank", "_one"))
 
-    `is_category` has let no feature with far more labels come here, which
-    bounds what one window holds.
-    """
-    feature = W.partitionBy("feature")
-    return (counts.withColumn("code", (F.row_number().over(feature.orderBy("label")) - 1).cast("double"))
-            .withColumn("_size", F.count(F.lit(1)).over(feature))
-            .filter(F.col("_size") <= max_categories).drop("_size"))
 
+def with_codes(df: DataFrame, codes: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, float]]:
+    """`columns` with codes in place of labels, and the largest code of each.
 
-def with_codes(df: DataFrame, codes: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace the labels of `columns` by their codes. Each lookup holds at
-    most `max_categories` labels of at most `MAX_LABEL` characters."""
-    for c in columns:
-        lookup = codes.filter(F.col("feature") == c).select(
-            F.col("label").alias("_label"), F.col("code").alias("_code"))
-        df = (df.join(F.broadcast(lookup), quoted(c) == F.col("_label"), "left")
-              .withColumn(c, F.col("_code")).drop("_label", "_code"))
-    return df
+    `codes` should be written before: it is read once per column. Few short
+    labels are broadcast. Otherwise rows and codes meet by label, where the rows
+    of the labels above 1 / SPREAD of all, and rows without one, are spread.
+    """
+    found = {r["feature"]: r for r in codes.groupBy("feature").agg(
+        F.max("code").alias("top"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("rows"),
+        F.sum(F.length("label")).alias("chars")).collect()}
+    for c in [c for c in columns if c in found]:
+        size = found[c]
+        lookup = codes.filter(F.col("feature") == c)
+        few = size["labels"] <= BROADCAST_LABELS and size["chars"] <= BROADCAST_CHARS
+        hot = lookup if few else lookup.filter(F.col("n") > size["rows"] // SPREAD)  # fewer than SPREAD labels
+        named = hot.select(F.col("label").alias("_label"), F.col("code").alias("_code"))
+        df = df.join(F.broadcast(named), quoted(c) == F.col("_label"), "left").drop("_label")
+        if not few:
+            cold = lookup.filter(F.col("n") <= size["rows"] // SPREAD).select(
+                F.col("label").alias("_label"), F.col("code").alias("_cold"), F.lit(0).alias("_spread"))
+            kinds = families(df.schema)
+            others = [quote(x) for x in df.columns if x not in (c, "_code") and kinds[x] != OTHER]
+            place = F.pmod(F.expr(f"xxhash64({', '.join(others) or '0'})"), F.lit(SPREAD)).cast("int") + 1
+            done = F.col("_code").isNotNull() | quoted(c).isNull()
+            df = df.withColumn("_at", F.when(done, place).otherwise(0))
+            df = (df.join(cold, (quoted(c) == F.col("_label")) & (F.col("_at") == F.col("_spread")), "left")
+                  .withColumn("_code", F.coalesce("_code", "_cold")).drop("_label", "_cold", "_spread", "_at"))
+        df = df.withColumn(c, F.col("_code")).drop("_code")
+    return df, {c: r["top"] for c, r in found.items()}
 
 
 def date_parts(column: str) -> list[str]:
@@ -117,28 +121,42 @@ def date_parts(column: str) -> list[str]:
             f"AS {quote(column + SEPARATOR + p)}" for p in DATE_PARTS]
 
 
-def prepare(df: DataFrame, columns: list[str], keep: list[str], parts: bool = True,
-            max_categories: int = MAX_CATEGORIES) -> tuple[DataFrame, dict[str, Range]]:
+def date_like(df: DataFrame, columns: list[str]) -> list[str]:
+    """String columns whose every value starts with a day as `2024-01-31`."""
+    strings = [c for c in columns if families(df.schema)[c] == STRING]
+    if not strings:
+        return []
+    is_day = [quoted(c).rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T].*)?$") & quoted(c).try_cast("timestamp_ntz").isNotNull()
+              for c in strings]
+    row = df.agg(*[(F.count(quoted(c)) > 0).alias(f"any{i}") for i, c in enumerate(strings)],
+                 *[F.coalesce(F.min(F.when(quoted(c).isNotNull(), d)), F.lit(False)).alias(f"all{i}")
+                   for i, (c, d) in enumerate(zip(strings, is_day))]).first()
+    return [c for i, c in enumerate(strings) if row[f"any{i}"] and row[f"all{i}"]]
+
+
+def prepare(df: DataFrame, columns: list[str], keep: list[str], parts: bool = True
+            ) -> tuple[DataFrame, dict[str, Range]]:
     """Numeric form of `columns` beside the untouched `keep`, with the range of
     every feature (D1).
 
     Numbers and booleans become doubles, times seconds and calendar parts,
-    strings alphabetical codes. Columns without two values and strings with too
-    many values drop out.
+    strings alphabetical codes. With `parts`, strings that are all days count as
+    times. Columns without two values drop out.
     """
+    days = date_like(df, columns) if parts else []
+    if days:
+        df = df.withColumns({c: quoted(c).try_cast("timestamp_ntz") for c in days})
     kinds = families(df.schema)
     times = [c for c in columns if kinds[c] == TIMESTAMP] if parts else []
     wide = df.selectExpr(*[quote(c) for c in keep], *[quote(c) for c in columns],
                          *[p for c in times for p in date_parts(c)])
     names = columns + [f"{c}{SEPARATOR}{p}" for c in times for p in DATE_PARTS]
-    ranges, categories = profile(wide, names, max_categories)
+    ranges, categories = profile(wide, names)
     if categories:
-        codes = category_codes(category_counts(wide, categories), max_categories)
-        sizes = {r["feature"]: r["top"] for r in
-                 codes.groupBy("feature").agg(F.max("code").alias("top")).collect()}
-        categories = [c for c in categories if c in sizes]
-        ranges.update({c: Range(0.0, sizes[c]) for c in categories})
-        wide = with_codes(wide, codes, categories)
+        counts, seen = stage_observed(category_counts(wide, categories), "labels", F.count(F.lit(1)).alias("n"))
+        codes = stage(category_codes(counts, seen["n"]), "codes")
+        wide, tops = with_codes(wide, codes, categories)
+        ranges.update({c: Range(0.0, tops[c]) for c in categories})
     kept = [c for c in names if c in ranges]
     return wide.selectExpr(*[quote(c) for c in keep], *numeric_sql(wide, kept)), {
         c: ranges[c] for c in kept}

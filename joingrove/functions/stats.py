@@ -10,12 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from joingrove.functions.naming import quote, quoted, text
+from joingrove.functions.spread import join_spread
 from joingrove.functions.types import cell_type, number_sql
-from joingrove.sources.staging import stage
+from joingrove.sources.staging import stage, stage_observed
 
 # Running counts over more distinct values than this are cut into value ranges,
-# so that no task holds all values of one feature.
+# so that no task holds all values of one feature. MAX_PIECES bounds the totals
+# per range, which are broadcast.
 CHUNK_ROWS = 4_000_000
+MAX_PIECES = 4096
+
+# Scores are rounded to so many places before they are ordered: sums over a
+# cluster differ in their last bits from run to run, and ties go by name.
+PLACES = 12
 
 # A correlation or score this close to 0 or 1 counts as 0 or 1.
 EPSILON = 1e-12
@@ -46,42 +53,53 @@ def value_counts(df: DataFrame, features: list[str], target: str | None = None,
             .selectExpr(f"array({names})[place] AS feature", "value", "n", "s"))
 
 
-def pieces_for(rows: int, chunk_rows: int | None = None) -> int:
-    """Value ranges that keep about `chunk_rows` rows in each."""
-    return max(1, -(-rows // (chunk_rows or CHUNK_ROWS)))
+def ranked(counts: DataFrame, at_most: int, chunk_rows: int | None = None, order: str = "value",
+           weight: str = "n") -> DataFrame:
+    """`average_ranks` in as many ranges as the number of distinct values asks for.
+
+    `at_most` bounds that number. Only where it does not fit one task are the
+    counts written and counted.
+    """
+    chunk = chunk_rows or CHUNK_ROWS
+    if at_most <= chunk:
+        return average_ranks(counts, order, weight=weight)
+    counts, seen = stage_observed(counts, "value-counts", F.count(F.lit(1)).alias("n"))
+    return average_ranks(counts, order, pieces=min(MAX_PIECES, max(1, -(-seen["n"] // chunk))), weight=weight)
 
 
 def average_ranks(counts: DataFrame, order: str = "value", partition: str = "feature",
-                  pieces: int = 1) -> DataFrame:
+                  pieces: int = 1, weight: str = "n") -> DataFrame:
     """Adds `rank`: 1-based, ties share their average.
 
-    `counts` holds one row per (partition, order) with its number of rows `n`.
-    With several `pieces` the rows are first cut into ordered ranges, written
-    with the number of their range; only the totals per range meet in one task.
+    `counts` holds one row per (partition, order) with its number of rows in
+    `weight`. With several `pieces` the rows are first cut into ordered ranges,
+    written with the number of their range; only the totals per range meet in
+    one task.
     """
     upto = (W.unboundedPreceding, W.currentRow)
-    half = (F.col("n") + 1) / 2.0
+    n = F.col(weight)
+    half = (n + 1) / 2.0
     if pieces <= 1:
-        before = F.sum("n").over(W.partitionBy(partition).orderBy(order).rowsBetween(*upto))
-        return counts.withColumn("rank", before - F.col("n") + half)
+        before = F.sum(n).over(W.partitionBy(partition).orderBy(order).rowsBetween(*upto))
+        return counts.withColumn("rank", before - n + half)
     # A range may hold the end of one feature and the start of the next.
     placed = stage(counts.repartitionByRange(pieces, partition, order)
                    .withColumn("chunk", F.spark_partition_id()), "ranges")
-    totals = placed.groupBy(partition, "chunk").agg(F.sum("n").alias("total"))
+    totals = placed.groupBy(partition, "chunk").agg(F.sum(n).alias("total"))
     offsets = totals.select(partition, "chunk", (F.sum("total").over(
         W.partitionBy(partition).orderBy("chunk").rowsBetween(*upto)) - F.col("total")).alias("offset"))
-    within = F.sum("n").over(W.partitionBy(partition, "chunk").orderBy(order).rowsBetween(*upto))
-    # At most pieces + features rows.
+    within = F.sum(n).over(W.partitionBy(partition, "chunk").orderBy(order).rowsBetween(*upto))
+    # At most MAX_PIECES + features rows.
     return (placed.withColumn("_within", within)
             .join(F.broadcast(offsets), [partition, "chunk"])
-            .withColumn("rank", F.col("offset") + F.col("_within") - F.col("n") + half)
+            .withColumn("rank", F.col("offset") + F.col("_within") - n + half)
             .drop("chunk", "offset", "_within"))
 
 
 def rank_columns(df: DataFrame, features: list[str], chunk_rows: int | None = None) -> DataFrame:
     """(feature, value, n, rank) of every numeric column of `df`."""
     counts = value_counts(df, features).select("feature", "value", "n")
-    return average_ranks(counts, pieces=pieces_for(df.count() * len(features), chunk_rows))
+    return ranked(counts, df.count() * len(features), chunk_rows)
 
 
 def pearson(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -100,18 +118,21 @@ def pearson(df: DataFrame, features: list[str], target: str) -> DataFrame:
     return wide.agg(*[F.expr(e) for e in sums]).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def spearman_of_counts(counts: DataFrame, pieces: int = 1) -> DataFrame:
+def spearman_of_counts(counts: DataFrame, at_most: int = 0, chunk_rows: int | None = None,
+                       order: str = "value") -> DataFrame:
     """(feature, score, low, high) against a 0/1 target, from value counts.
 
     The average rank of a two-valued target is a linear function of the
     target, so its correlation with a feature's ranks needs only the sum of
-    the target per value.
+    the target per value. Labels rank as their alphabetical codes from 0 do, so
+    with `order` "label" no codes are needed.
     """
     n, s, r = F.col("n").cast("double"), F.col("s"), F.col("rank")
-    sums = average_ranks(counts, pieces=pieces).groupBy("feature").agg(
+    low = F.min("value") if order == "value" else F.lit(0.0)
+    high = F.max("value") if order == "value" else (F.count(F.lit(1)) - 1).cast("double")
+    sums = ranked(counts, at_most, chunk_rows, order).groupBy("feature").agg(
         F.sum(n).alias("N"), F.sum(s).alias("S"), F.sum(s * r).alias("SR"),
-        F.sum(n * n * n - n).alias("ties"), F.min("value").alias("low"),
-        F.max("value").alias("high"))
+        F.sum(n * n * n - n).alias("ties"), low.alias("low"), high.alias("high"))
     N, S = F.col("N"), F.col("S")
     covariance = F.col("SR") - S * (N + 1) / 2
     rank_variance = (N * N * N - N - F.col("ties")) / 12
@@ -122,8 +143,8 @@ def spearman_of_counts(counts: DataFrame, pieces: int = 1) -> DataFrame:
 def spearman_binary(df: DataFrame, features: list[str], target: str,
                     chunk_rows: int | None = None) -> DataFrame:
     """Spearman against a 0/1 target in one grouping and one ordered pass."""
-    pieces = pieces_for(df.count() * len(features), chunk_rows)
-    return spearman_of_counts(value_counts(df, features, target), pieces).select("feature", "score")
+    return spearman_of_counts(value_counts(df, features, target), df.count() * len(features),
+                              chunk_rows).select("feature", "score")
 
 
 def spearman(df: DataFrame, features: list[str], target: str,
@@ -136,24 +157,34 @@ def spearman(df: DataFrame, features: list[str], target: str,
     rows = df.count()
     if rows < 2:
         raise ValueError("a rank correlation needs more than one row")
-    pieces = pieces_for(rows * len(features), chunk_rows)
+    chunk = chunk_rows or CHUNK_ROWS
     y = number_sql(target, df.schema[target].dataType)
     long = df.selectExpr(f"{y} AS _y", *numeric_sql(df, features)).unpivot(
         ["_y"], [quote(f) for f in features], "feature", "value").dropna()
     joint = long.groupBy("feature", "value", "_y").agg(F.count(F.lit(1)).alias("n"))
-    if pieces > 1:
-        joint = stage(joint, "joint-counts")
-    by_x = average_ranks(joint.groupBy("feature", "value").agg(F.sum("n").alias("n")),
-                         pieces=pieces)
-    by_y = average_ranks(joint.groupBy("feature", "_y").agg(F.sum("n").alias("n")),
-                         order="_y", pieces=pieces)
-
-    def ties(ranks, name):
+    at_most, many = rows * len(features), rows * len(features) > chunk
+    if many:
+        joint, seen = stage_observed(joint, "joint-counts", F.count(F.lit(1)).alias("n"))
+        at_most = seen["n"]
+
+    def side(name: str) -> DataFrame:
+        counts = joint.groupBy("feature", name).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pairs"))
+        return ranked(counts, at_most, chunk, name)
+
+    def meet(left: DataFrame, ranks: DataFrame, name: str, rank: str) -> DataFrame:
+        lookup = ranks.select("feature", name, "pairs", F.col("rank").alias(rank))
+        on = ["feature", name]
+        # A value with a large share of the pairs is broadcast, not gathered.
+        return (join_spread(left, stage(lookup, "ranks"), on, "pairs", at_most) if many
+                else left.join(lookup.drop("pairs"), on))
+
+    def ties(ranks: DataFrame, name: str) -> DataFrame:
         n = F.col("n").cast("double")
-        return ranks.groupBy("feature").agg(F.sum(n * n * n - n).alias(name),
-                                            F.sum(n).alias(f"{name}_n"))
-    cross = (joint.join(by_x.select("feature", "value", F.col("rank").alias("rx")), ["feature", "value"])
-             .join(by_y.select("feature", "_y", F.col("rank").alias("ry")), ["feature", "_y"])
+        return ranks.groupBy("feature").agg(F.sum(n * n * n - n).alias(name), F.sum(n).alias(f"{name}_n"))
+
+    by_x, by_y = side("value"), side("_y")
+    with_x = meet(joint, by_x, "value", "rx")
+    cross = (meet(stage(with_x, "joint-ranks") if many else with_x, by_y, "_y", "ry")
              .groupBy("feature").agg(F.sum(F.col("n") * F.col("rx") * F.col("ry")).alias("XY")))
     sums = cross.join(ties(by_x, "tx"), "feature").join(ties(by_y, "ty"), "feature")
     N = F.col("tx_n")

@@ -55,17 +55,6 @@ def key_counts(left: DataFrame, key: str, target: str | None = None) -> DataFram
         F.count(F.lit(1)).alias("_n"), F.sum(s).alias("_s"))
 
 
-def non_null_ratio(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:
-    """One row `ratio`: share of left rows whose key occurs on the right.
-    Only keys are read, and the join is not run."""
-    return ratio_of_counts(key_counts(left, left_key), right, right_key)
-
-
-def ratio_of_counts(counts: DataFrame, right: DataFrame, right_key: str) -> DataFrame:
-    hit = F.sum(F.when(F.col("_hit"), F.col("_n")).otherwise(0))
-    return matched_keys(counts, right, right_key).agg(F.try_divide(hit, F.sum("_n")).alias("ratio"))
-
-
 def matched_keys(counts: DataFrame, right: DataFrame, right_key: str) -> DataFrame:
     """Key counts with `_hit`: whether the key occurs on the right."""
     keys = right.select(quoted(right_key).alias("_rkey")).filter(F.col("_rkey").isNotNull()).distinct()
@@ -78,9 +67,13 @@ class KeySummary:
     """What the matched key counts tell about a join."""
     rows: int
     keys: int
-    ratio: float | None
+    ratio: float | None            # share of left rows whose key occurs on the right (C9)
     hot: tuple
 
+    def passes(self, threshold: float) -> bool:
+        """At or above the threshold; an empty left side never passes."""
+        return self.ratio is not None and self.ratio >= threshold
+
     @staticmethod
     def metrics(total: int, share: float = HOT_SHARE) -> list[Column]:
         """Aggregates over `matched_keys`. `total` is the number of left rows;
@@ -134,8 +127,3 @@ def left_join_one(left: DataFrame, left_key: str, right_one: DataFrame, right_ke
 def left_join_all(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:
     """Left join without the one-row step: rows fan out, null meets null (C19, `dedupe=False`)."""
     return left.join(right, quoted(left_key).eqNullSafe(quoted(right_key)), "left")
-
-
-def passing(ratios: DataFrame, threshold: float) -> DataFrame:
-    """Joins at or above the threshold; an empty left side never passes."""
-    return ratios.filter(F.col("ratio") >= threshold)

@@ -28,9 +28,6 @@ SCHEMA_WEIGHTS = {"name": 0.875, "type": 0.125, "inst": 0.0}
 INSTANCE_WEIGHTS = {"name": 0.7, "type": 0.1, "inst": 0.2}
 NEAR = 0.8
 
-# From this many bytes of tables on, a first pass to leave out columns pays.
-LARGE_REPOSITORY = 4 << 30
-
 # Longer values only count as shared when they are equal.
 NEAR_LENGTH = 64
 
@@ -41,9 +38,8 @@ NEAR_LENGTH = 64
 def table_pairs(columns: DataFrame) -> DataFrame:
     """Unordered pairs of tables (B1): rows of schema, not of data."""
     tables = columns.select("table").distinct()
-    listing = tables.agg(F.sort_array(F.collect_list("table")).alias("all"))
-    return listing.selectExpr("posexplode(all) AS (place, table1)", "all").selectExpr(
-        "table1", "explode(slice(all, place + 2, size(all))) AS table2")
+    first, second = tables.withColumnRenamed("table", "table1"), tables.withColumnRenamed("table", "table2")
+    return first.join(second, F.col("table1") < F.col("table2"))
 
 
 def column_pairs(columns: DataFrame) -> DataFrame:
@@ -70,45 +66,9 @@ def _value_sql(name: str, kind: str, dtype) -> str:
     return f"CASE WHEN length({col}) > {LONG_VALUE} THEN concat('sha256:', sha2({col}, 256)) ELSE {col} END"
 
 
-def promising_columns(catalog: Catalog, threshold: float) -> set[int]:
-    """Columns that may overlap a column of another table by more than `threshold`.
-
-    The overlap is at most the smaller number of values over the larger, and
-    nothing where ranges of numbers are apart. One pass without a shuffle of
-    values estimates both; a factor of two is left for the estimate, which is
-    off by a few percent.
-    """
-    parts = []
-    for table in catalog.names:
-        schema = catalog.schema(table)
-        cells = []
-        for i, t, name, kind in catalog.column_list():
-            if t == table:
-                value = _value_sql(name, kind, schema[name].dataType)
-                ends = ("cast(null AS double), cast(null AS double)" if kind == STRING else
-                        f"cast(min({value}) AS double), cast(max({value}) AS double)")
-                cells.append(f"struct({i}, approx_count_distinct({value}), {ends})")
-        if cells:
-            parts.append(catalog.table(table).agg(F.expr(f"array({', '.join(cells)})").alias("cells"))
-                         .selectExpr("inline(cells) AS (id, n, low, high)"))
-    found = {r["id"]: r for r in reduce(DataFrame.unionByName, parts).collect()}
-
-    def may_meet(a, b) -> bool:
-        x, y = found[a[0]], found[b[0]]
-        if a[1] == b[1] or a[3] != b[3] or not x["n"] or not y["n"]:
-            return False
-        if a[3] != STRING and (x["high"] < y["low"] or y["high"] < x["low"]):
-            return False
-        return 2 * min(x["n"], y["n"]) >= threshold * max(x["n"], y["n"])
-
-    columns = catalog.column_list()
-    return {a[0] for a in columns if any(may_meet(a, b) for b in columns)}
-
-
-def column_values(catalog: Catalog, only: set[int] | None = None) -> tuple[dict[str, DataFrame], int]:
+def column_values(catalog: Catalog) -> tuple[dict[str, DataFrame], int]:
     """Per type family (value, w0, w1, ...): every distinct value with the
-    bitmap of the columns that hold it; and the number of bitmap words. `only`
-    names the columns to read.
+    bitmap of the columns that hold it; and the number of bitmap words.
 
     The bitmaps are merged before the shuffle, so a value that fills a column
     leaves a task once.
@@ -118,11 +78,10 @@ def column_values(catalog: Catalog, only: set[int] | None = None) -> tuple[dict[
     bits = [f"bit_or(CASE WHEN id DIV {WORD} = {w} THEN shiftleft(1L, id % {WORD}) ELSE 0L END) AS w{w}"
             for w in range(words)] if words > 1 else ["bit_or(shiftleft(1L, id)) AS w0"]
     values = {}
-    wanted = [c for c in columns if only is None or c[0] in only]
-    for kind in sorted({c[3] for c in wanted}):
+    for kind in sorted({c[3] for c in columns}):
         parts = []
         for table in catalog.names:
-            mine = [(i, name) for i, t, name, k in wanted if t == table and k == kind]
+            mine = [(i, name) for i, t, name, k in columns if t == table and k == kind]
             if not mine:
                 continue
             schema = catalog.schema(table)
@@ -161,14 +120,12 @@ def overlap_counts(values: DataFrame, words: int) -> DataFrame:
             .groupBy("a", "b").agg(F.sum("n").alias("n")))
 
 
-def jaccard(catalog: Catalog, threshold: float | None = None) -> DataFrame:
+def jaccard(catalog: Catalog) -> DataFrame:
     """(table1, col1, table2, col2, weight): exact Jaccard of the distinct values
-    of columns of two tables that share at least one (B3). With a threshold,
-    columns that cannot exceed it are not read."""
-    only = None if threshold is None else promising_columns(catalog, threshold)
-    if only is not None and not only:
+    of columns of two tables that share at least one (B3)."""
+    values, words = column_values(catalog)
+    if not values:
         return _no_pairs(catalog)
-    values, words = column_values(catalog, only)
     # One row per pair of columns.
     counts = stage(overlap_counts(bitmaps(list(values.values()), words), words), "overlap")
     return _jaccard_of(catalog, counts, counts.filter("a < b"))
@@ -235,8 +192,7 @@ def composite(catalog: Catalog, instances: bool = False) -> DataFrame:
 # -- near-equal values -------------------------------------------------------
 
 
-def near_jaccard(catalog: Catalog, threshold: float | None = None, near: float = NEAR,
-                 max_length: int = NEAR_LENGTH) -> DataFrame:
+def near_jaccard(catalog: Catalog, near: float = NEAR, max_length: int = NEAR_LENGTH) -> DataFrame:
     """Jaccard where a string value counts as shared if some value on the other
     side is near-equal: 1 - distance / longer length >= `near` (B3, fuzzy form).
 
@@ -246,12 +202,9 @@ def near_jaccard(catalog: Catalog, threshold: float | None = None, near: float =
     """
     if max_length > LONG_VALUE:
         raise ValueError(f"near-equality reaches up to {LONG_VALUE} characters")
-    only = None if threshold is None else promising_columns(catalog, threshold)
-    if only is not None and not only:
-        return _no_pairs(catalog)
-    values, words = column_values(catalog, only)
+    values, words = column_values(catalog)
     if STRING not in values:
-        return jaccard(catalog, threshold)
+        return jaccard(catalog)
     strings = stage(values.pop(STRING).withColumnRenamed("value", "chars"), "strings")
     is_short = F.length("chars") <= max_length
     exact = stage(overlap_counts(bitmaps([*values.values(), strings.filter(~is_short)], words), words), "overlap")
@@ -375,8 +328,7 @@ def find_relationships(catalog: Catalog, threshold: float = 0.5, matcher: str =
                        instances: bool = False, fuzzy: bool = True) -> DataFrame:
     """Edges above the threshold over all table pairs, both directions."""
     if matcher == "jaccard":
-        bound = threshold if catalog.size_in_bytes() >= LARGE_REPOSITORY else None
-        pairs = near_jaccard(catalog, bound) if fuzzy else jaccard(catalog, bound)
+        pairs = near_jaccard(catalog) if fuzzy else jaccard(catalog)
     elif matcher == "coma":
         pairs = composite(catalog, instances)
     else:

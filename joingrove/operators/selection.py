@@ -6,15 +6,15 @@ row per feature scored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from joingrove.functions.prepare import Range, binned
-from joingrove.functions.stats import EPSILON, EntropyPlan, pearson, spearman, spearman_binary, weigh
+from joingrove.functions.stats import EPSILON, PLACES, EntropyPlan, pearson, spearman, spearman_binary, weigh
 
 
 def mark_relevant(correlations: DataFrame) -> DataFrame:
     """Absolute correlation; selected iff strictly between 0 and 1."""
-    size = F.abs("score")
+    size = F.round(F.abs("score"), PLACES)
     return correlations.select(
         "feature", size.alias("score"),
         ((size > EPSILON) & (size < 1 - EPSILON)).alias("selected"))
@@ -42,11 +42,6 @@ def measure_relevance(df: DataFrame, features: list[str], target: str,
     return scores
 
 
-def top_k(scores: DataFrame, k: int) -> DataFrame:
-    """The k best selected features; ties by name."""
-    return scores.filter("selected").orderBy(F.desc("score"), "feature").limit(k)
-
-
 def normalise(scores: DataFrame) -> DataFrame:
     """Min-max scale (feature, score); selected iff above 0.
 
@@ -61,7 +56,7 @@ def normalise(scores: DataFrame) -> DataFrame:
     spread = F.col("high") - F.col("low")
 
     def scaled(row: Column) -> Column:
-        share = F.when(spread > EPSILON, (row["score"] - F.col("low")) / spread).otherwise(0.0)
+        share = F.round(F.when(spread > EPSILON, (row["score"] - F.col("low")) / spread).otherwise(0.0), PLACES)
         return F.struct(row["feature"].alias("feature"), share.alias("score"),
                         (share > EPSILON).alias("selected"))
 
@@ -144,16 +139,3 @@ def measure_joint_mutual_information(df: DataFrame, selected: list[str], new: li
                                      target: str) -> DataFrame:
     """mRMR on the values as they are, normalised."""
     return normalise(mrmr(df, new, selected, target, binning="none"))
-
-
-def tree_score(scores: DataFrame, k: int) -> DataFrame:
-    """(tree_id, join_idx, score) of feature_scores rows: mean relevance of the
-    top k plus mean redundancy of the kept features (C13)."""
-    valid = (F.col("kind") == "rel") & (F.col("score") > EPSILON) & (F.col("score") < 1 - EPSILON)
-    # A hop has one row per feature and kind.
-    place = F.row_number().over(W.partitionBy("tree_id", "join_idx", "kind", valid)
-                                .orderBy(F.desc("score"), "feature"))
-    placed = scores.withColumn("_valid", valid).withColumn("_place", place)
-    rel = F.avg(F.when(F.col("_valid") & (F.col("_place") <= k), F.col("score")))
-    red = F.avg(F.when((F.col("kind") == "red") & F.col("selected"), F.col("score")))
-    return placed.groupBy("tree_id", "join_idx").agg((rel + red).alias("score"))

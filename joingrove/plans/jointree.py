@@ -15,6 +15,7 @@ from joingrove.functions.naming import qualify, quote, short_column_label
 from joingrove.operators.joins import (
     ROW_ID, key_counts, key_summary, left_join_all, left_join_one, one_row_per_key)
 from joingrove.sources.catalog import Catalog
+from joingrove.sources.staging import discard, stage
 from joingrove.streaming import hop as hops
 
 
@@ -78,46 +79,82 @@ def strongest(edges: list[Edge]) -> list[Edge]:
     return [e for e in edges if e.weight == top]
 
 
+class Links:
+    """The edges on the driver, by the table they leave: metadata, one entry per related column pair."""
+
+    def __init__(self, edges: list[Edge]):
+        self._from: dict[str, list[Edge]] = {}
+        for e in edges:
+            self._from.setdefault(e.from_table, []).append(e)
+
+    def leaving(self, table: str) -> list[Edge]:
+        """Edges that leave a table."""
+        return self._from.get(table, [])
+
+    def unvisited(self, table: str, visited: set[str]) -> list[str]:
+        """Neighbours of a table not visited yet, sorted (C4)."""
+        return sorted({e.to_table for e in self.leaving(table)} - visited)
+
+    def best_keys(self, table: str, to_table: str) -> list[Edge]:
+        """The heaviest edges from one table to another."""
+        return strongest([e for e in self.leaving(table) if e.to_table == to_table])
+
+    def open_keys(self, table: str, visited: set[str]) -> list[str]:
+        """Columns of a table that lead on to tables not visited yet."""
+        return sorted({e.left_key for e in self.leaving(table) if e.to_table not in visited})
+
+    def levels(self, start: str) -> dict[str, int]:
+        """Depth of every table reachable from `start`, breadth first."""
+        found, level, depth = {start: 0}, [start], 0
+        while level:
+            depth += 1
+            level = sorted({e.to_table for t in level for e in self.leaving(t)} - found.keys())
+            found.update({t: depth for t in level})
+        return found
+
+
 def grow(catalog: Catalog, base: str, target: str, base_frame: DataFrame, edges: DataFrame,
          options: hops.Options = hops.Options(), min_weight: float = 0.0) -> Search:
     """Grow join trees outward from the base table.
 
-    `base_frame` is the base table with qualified columns and its row id.
+    `base_frame` is the base table with qualified columns and its row id. The
+    target is no key: edges that touch it are left out.
     """
-    known = [e for e in read_edges(edges, min_weight) if e.to_table in catalog or e.to_table == base]
-    open_keys = {}
-    for e in known:
-        open_keys.setdefault(e.from_table, set()).add(e.from_col)
-
-    def keys_of(table: str, discovered: set[str]) -> list[str]:
-        return sorted({qualify(table, e.from_col) for e in known
-                       if e.from_table == table and e.to_table not in discovered})
-
+    links = Links([e for e in read_edges(edges, min_weight)
+                   if (e.to_table in catalog or e.to_table == base)
+                   and (base, target) not in ((e.from_table, e.from_col), (e.to_table, e.to_col))])
     features = [c for c in base_frame.columns if c not in (target, ROW_ID)]
     search = Search()
     root = Tree(0, base, 0.0, tuple(features))
     search.trees.append(root)
-    first = hops.start(base_frame, target, features, keys_of(base, {base}), options)
+    first = hops.start(base_frame, target, features, links.open_keys(base, {base}), options)
     live = {base: Live(replace(first, tables=(base,)), root)}
     discovered, level = {base}, [base]
     while level:
         following = []
         for node in level:
-            near = sorted({e.to_table for e in known if e.from_table == node} - discovered)
-            for name in near:
+            for name in links.unvisited(node, discovered):
                 discovered.add(name)
-                keys = strongest([e for e in known if e.from_table == node and e.to_table == name])
-                carry = keys_of(name, discovered)
+                keys = links.best_keys(node, name)
+                carry = links.open_keys(name, discovered)
                 reached = {name} | {t for part in live.values() for t in part.partial.tables}
-                last = not any(e.from_table in reached and e.to_table not in discovered
-                               for e in known)
-                live = _extend(catalog, live, keys, carry, options, last, search)
+                last = not any(links.unvisited(t, discovered) for t in reached)
+                before, live = live, _extend(catalog, live, keys, carry, options, last, search)
+                _discard_replaced(before, live)
                 if any(name in part.partial.tables for part in live.values()):
                     following.append(name)
         level = sorted(set(following))
     return search
 
 
+def _discard_replaced(before: dict[str, Live], after: dict[str, Live]) -> None:
+    """Removes the files of partial joins that no live one is read from any more."""
+    held = {f for part in after.values() for f in part.partial.frame.inputFiles()}
+    for part in before.values():
+        if held.isdisjoint(part.partial.frame.inputFiles()):
+            discard(part.partial.frame)
+
+
 def _extend(catalog: Catalog, live: dict[str, Live], keys: list[Edge], carry: list[str],
             options: hops.Options, last: bool, search: Search) -> dict[str, Live]:
     """Join one table to every live partial join, once per tied key.
@@ -210,7 +247,8 @@ def tree_nodes(trees: DataFrame, tree_joins: DataFrame, top_k: int | None = None
             .join(nodes, ["tree_id", "from_table"], "left")
             .select("tree_id", "rank", F.coalesce("from_node", F.lit(0)).alias("from_node"),
                     (F.col("join_idx") + 1).alias("to_node"), "from_table", "to_table",
-                    label.alias("label")))
+                    label.alias("label"))
+            .orderBy(F.desc("rank"), "tree_id", "to_node"))
 
 
 def tree_summary(trees: DataFrame, tree_joins: DataFrame, tree_id: int) -> DataFrame:
@@ -258,7 +296,7 @@ def replay(catalog: Catalog, base_frame: DataFrame, joins: list[Edge], dedupe: b
            balance: bool = True, hot: dict[tuple, tuple] | None = None) -> DataFrame:
     """Left joins of a tree, in order. With `dedupe` every base row stays one
     row. With `balance` the hot keys of each join are spread; those not known
-    in `hot` are measured first."""
+    in `hot` are measured first, on what the joins before have written."""
     frame, total = base_frame, None
     for edge in joins:
         right = catalog.qualified(edge.to_table)
@@ -268,6 +306,8 @@ def replay(catalog: Catalog, base_frame: DataFrame, joins: list[Edge], dedupe: b
         keys = (hot or {}).get(_edge_key(edge))
         if keys is None and balance:
             total = base_frame.count() if total is None else total
+            if frame is not base_frame:
+                frame = stage(frame, "replay")
             keys = key_summary(key_counts(frame, edge.left_key), total, right, edge.right_key).hot
         frame = left_join_one(frame, edge.left_key, one_row_per_key(right, edge.right_key),
                               edge.right_key, list(keys or ()))

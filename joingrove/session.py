@@ -18,7 +18,7 @@ from joingrove.operators import curate, edges as E, evaluate, matchers
 from joingrove.operators.joins import ROW_ID
 from joingrove.plans import jointree
 from joingrove.sources import edge_files
-from joingrove.sources.catalog import Catalog
+from joingrove.sources.catalog import LINK_FILE, Catalog, read_links
 from joingrove.sources.staging import stage, staging_root
 from joingrove.streaming.hop import Options
 
@@ -41,7 +41,9 @@ class Augmenter:
         self.target: str | None = None
         self._base: DataFrame | None = None
         self._excluded: set[str] = set()
+        self._added: set[str] = set()      # tables that stay when the repository changes
         self._edges: DataFrame | None = None
+        self.malformed_relationships: DataFrame | None = None
         self._match: dict | None = None
         self._edges_stale = False
         self._trees: DataFrame | None = None
@@ -59,9 +61,14 @@ class Augmenter:
     def set_base_table(self, base_table: str, target_column: str, row_key: str | None = None) -> None:
         """Base table and target; all other columns are its features (A4).
 
+        A table that is not in the repository yet is looked up below the root.
         `row_key` names a column that identifies a row. Without one, ids are
         written once beside the table.
         """
+        if base_table not in self.catalog:
+            if self.root is None:
+                raise ValueError(f"no table {base_table!r}; add it or give the augmenter a root folder")
+            self._add(base_table, f"{self.root}/{base_table}")
         self.base_table, self.target = base_table, target_column
         frame = self.catalog.qualified(base_table, target_column)
         if row_key is not None:
@@ -88,10 +95,13 @@ class Augmenter:
 
     def set_dataset_repository(self, dataset_repository: list[str] | None = None,
                                all_tables: bool = False) -> None:
-        """Chooses the datasets below the root (A5)."""
+        """Chooses the datasets below the root (A5). The base table and tables
+        added before stay; relationships and trees are computed again when next read."""
         if self.root is None:
             raise ValueError("give the augmenter a root folder to choose datasets from")
-        self.catalog = Catalog.from_repository(self.spark, self.root, dataset_repository, all_tables)
+        kept = self.catalog.only([*self._added, *([self.base_table] if self.base_table else [])])
+        self.catalog = Catalog.from_repository(self.spark, self.root, dataset_repository, all_tables).merged(kept)
+        self._stale_edges()
 
     def get_tables_repository(self) -> list[str]:
         """Names of the tables in play."""
@@ -102,14 +112,19 @@ class Augmenter:
 
     def add_table(self, table: str, path: str | None = None, format: str | None = None) -> None:
         """Adds a table; relationships are matched again."""
-        if path is None:
-            path = f"{self.root}/{table}"
+        self._add(table, path or f"{self.root}/{table}", format)
+        self._stale_edges()
+
+    def _add(self, table: str, path: str, format: str | None = None) -> None:
         self.catalog = self.catalog.add(table, path, format or (
             "csv" if path.endswith(".csv") else "parquet"))
+        self._added.add(table)
         self._excluded.discard(table)
+
+    def _stale_edges(self) -> None:
         if self._match is not None:
             self._edges_stale = True
-            self._stale_trees()
+        self._stale_trees()
 
     def remove_table(self, table: str) -> None:
         """Excludes a table; its edges go without a rescan."""
@@ -129,13 +144,14 @@ class Augmenter:
     def find_relationships(self, matcher: str = "coma", relationship_threshold: float = 0.5,
                            use_cache: bool = True, instances: bool = False) -> DataFrame:
         """Column relationships over all table pairs (B6); saved ones are used
-        only with `use_cache`, and only for the same tables."""
+        only with `use_cache`, and only for the same tables in the same state.
+        They outlast the session in `cache_root`."""
         self._match = {"matcher": matcher, "threshold": relationship_threshold,
                        "instances": instances, "use_cache": use_cache}
-        names = self.get_tables_repository()
         path = edge_files.cache_path(self.cache_root or staging_root(self.spark),
                                      self.base_table or "any", relationship_threshold,
-                                     f"{matcher}-instances" if instances else matcher, names)
+                                     f"{matcher}-instances" if instances else matcher,
+                                     self._active().states())
         found = edge_files.load_edges(self.spark, path) if use_cache else None
         if found is None:
             found = matchers.find_relationships(self._active(), relationship_threshold, matcher, instances)
@@ -149,13 +165,28 @@ class Augmenter:
         return found
 
     def read_relationships(self, file_path: str) -> DataFrame:
-        """Loads saved edges in text form."""
-        self._edges, self._edges_stale = edge_files.read_edge_text(self.spark, file_path), False
+        """Loads saved edges in text form (A9); records that are none are left in
+        `malformed_relationships`."""
+        self._edges, self.malformed_relationships = edge_files.read_edge_text(self.spark, file_path)
+        self._edges_stale, self._match = False, None
         self._stale_trees()
         return self._edges
 
+    def write_relationships(self, file_path: str) -> None:
+        """Saves the edges in text form (A10)."""
+        edge_files.write_edge_text(self.edges, file_path)
+
+    def read_known_links(self, dataset: str) -> DataFrame:
+        """The links that a dataset's link file names, in both directions, as
+        the edges (A12). Links of tables that are not there stay out."""
+        links = read_links(self.spark, f"{self.root}/{dataset}/{LINK_FILE}", dataset)
+        names = self.get_tables_repository()
+        there = F.col("from_table").isin(names) & F.col("to_table").isin(names)
+        self.set_relationships(E.both_directions(links.filter(there)))
+        return self._edges
+
     def set_relationships(self, edges: DataFrame) -> None:
-        self._edges, self._edges_stale = edges, False
+        self._edges, self._edges_stale, self._match = edges, False, None
         self._stale_trees()
 
     @property

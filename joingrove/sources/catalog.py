@@ -120,10 +120,26 @@ class Catalog:
         return df.selectExpr(*first, *[f"{quote(f.name)} AS {quote(qualify(name, f.name))}"
                                        for f in fields if f.name != target])
 
-    def size_in_bytes(self) -> int:
-        """Size of all tables as the planner sees it; nothing is read."""
-        plans = (self.table(n)._jdf.queryExecution().optimizedPlan() for n in self.names)
-        return sum(int(str(p.stats().sizeInBytes())) for p in plans)
+    def states(self) -> list[str]:
+        """Name, place, schema, size and time of change of every table; nothing is read."""
+        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        out = []
+        for name in self.names:
+            entry = self._tables[name]
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(entry.path)
+            fs = path.getFileSystem(conf)
+            state = fs.getFileStatus(path)
+            files = [state] if state.isFile() else list(fs.listStatus(path))
+            stamp = "|".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
+            out.append(f"{name}|{fs.makeQualified(path).toString()}|{entry.format}|{self.schema(name).json()}|{stamp}")
+        return out
+
+    def merged(self, other: "Catalog") -> "Catalog":
+        """The tables of both; `other` wins where names are equal."""
+        return Catalog(self.spark, {**self._tables, **other._tables})
+
+    def only(self, names: list[str]) -> "Catalog":
+        return Catalog(self.spark, {n: self._tables[n] for n in names if n in self._tables})
 
     # -- metadata tables --------------------------------------------------
 
@@ -149,11 +165,13 @@ class Catalog:
         return [(i, *r) for i, r in enumerate(r for r in rows if r[2] != OTHER)]
 
 
-def read_links(spark: SparkSession, path: str) -> DataFrame:
-    """Known foreign-key links as edges of weight 1."""
+def read_links(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
+    """Known foreign-key links as edges of weight 1 (A12). Link files name the
+    tables of their own dataset, whose name goes in front."""
+    table = (lambda c: F.concat(F.lit(f"{dataset}/"), F.col(c))) if dataset else F.col
     links = read_csv(spark, path)
     return links.select(
-        F.col("fk_table").alias("from_table"), F.col("pk_table").alias("to_table"),
+        table("fk_table").alias("from_table"), table("pk_table").alias("to_table"),
         F.col("fk_column").alias("from_col"), F.col("pk_column").alias("to_col"),
         F.lit(1.0).alias("weight"))
 

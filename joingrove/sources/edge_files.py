@@ -29,11 +29,10 @@ def parse_edge_text(text: DataFrame, column: str = "value") -> tuple[DataFrame,
     return edges, records.filter(~good)
 
 
-def read_edge_text(spark: SparkSession, path: str) -> DataFrame:
-    """Edges of a text file. Records are cut at the separator while reading,
-    so a file of any size is split over tasks."""
-    lines = spark.read.option("lineSep", RECORD_SEPARATOR).text(path)
-    return parse_edge_text(lines)[0]
+def read_edge_text(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Edges of a text file, and its malformed records. Records are cut at the
+    separator while reading, so a file of any size is split over tasks."""
+    return parse_edge_text(spark.read.option("lineSep", RECORD_SEPARATOR).text(path))
 
 
 def edge_text(edges: DataFrame) -> DataFrame:
@@ -48,7 +47,8 @@ def write_edge_text(edges: DataFrame, path: str) -> None:
 
 
 def cache_path(root: str, base: str, threshold: float, matcher: str, tables: list[str]) -> str:
-    """Saved edges depend on the base table, threshold, matcher and the tables matched."""
+    """Saved edges depend on the base table, threshold, matcher and the tables
+    matched: `tables` are their states, so a table elsewhere or written anew is another one."""
     listing = hashlib.md5("\n".join(sorted(tables)).encode()).hexdigest()
     return (f"{root}/edges/base={base.replace('/', '-')}/threshold={threshold}"
             f"/matcher={matcher}/tables={listing}")

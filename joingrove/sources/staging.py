@@ -3,7 +3,6 @@ lineage of a long chain of joins."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -12,21 +11,31 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def staging_root(spark: SparkSession) -> str:
-    """Shared folder for written intermediates, as the session names it.
+    """Shared folder for written intermediates, as the session names it in `spark.checkpoint.dir`.
 
-    A folder of this machine is used only where the setting is absent and the
-    session runs in local mode, as in tests.
+    A session in local mode that names none gets the folder `checkpoints` of its
+    warehouse; on a cluster the setting must be there.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if root:
         return root.rstrip("/")
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="joingrove-")
+    root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     spark.conf.set(CHECKPOINT_DIR, root)
     return root
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the files of a staged frame that nothing reads any more."""
+    spark = df.sparkSession
+    ours = f"{staging_root(spark)}/joingrove/".removeprefix("file://")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if ours in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{staging_root(spark)}/joingrove/{label}-{uuid.uuid4().hex}"
 
@@ -47,11 +56,3 @@ def stage_observed(df: DataFrame, label: str, *metrics: Column) -> tuple[DataFra
     seen = Observation()
     df.observe(seen, *metrics).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get
-
-
-def save_partial_join(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
-
-
-def load_partial_join(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)

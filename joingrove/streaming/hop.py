@@ -15,15 +15,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from joingrove.functions.naming import quote, quoted
 from joingrove.functions.prepare import (
-    MAX_CATEGORIES, Range, binary_target, category_codes, category_counts, is_category, prepare,
-    with_codes)
+    Range, binary_target, category_codes, category_counts, prepare, with_codes)
 from joingrove.functions.stats import (
-    CHUNK_ROWS, EPSILON, numeric_sql, pieces_for, spearman_of_counts, value_counts)
+    CHUNK_ROWS, EPSILON, PLACES, numeric_sql, spearman_of_counts, value_counts)
 from joingrove.functions.types import OTHER, STRING, families
 from joingrove.operators.joins import (
     ROW_ID, KeySummary, joinable, key_counts, left_join_one, matched_keys, one_row_per_key)
 from joingrove.operators.selection import mrmr, normalise
-from joingrove.sources.staging import stage, stage_observed
+from joingrove.sources.staging import discard, stage, stage_observed
 
 TARGET = "_y"
 KEY_PREFIX = "_key__"
@@ -37,7 +36,6 @@ class Options:
     jmi: bool = False
     binning: str = "uniform5"
     keep_single: bool = False
-    max_categories: int = MAX_CATEGORIES
     chunk_rows: int = CHUNK_ROWS
 
 
@@ -77,28 +75,65 @@ def start(base: DataFrame, target: str, features: list[str], keys: list[str],
         row_id, TARGET, *[f"{quote(k)} AS {quote(key_name(k))}" for k in keys],
         *[quote(f) for f in features])
     keep = [ROW_ID, TARGET] + [key_name(k) for k in keys]
-    frame, limits = prepare(wide, features, keep, parts=False, max_categories=options.max_categories)
+    frame, limits = prepare(wide, features, keep, parts=False)
     frame, seen = stage_observed(frame.filter(F.col(TARGET).isNotNull()), "base",
                                  F.count(F.lit(1)).alias("rows"))
     return Partial(frame, seen["rows"], (), tuple(features), limits)
 
 
-def relevance_of_keys(keyed: DataFrame, numeric: list[str], categories: list[str],
-                      options: Options, keys: int) -> DataFrame | None:
+@dataclass(frozen=True)
+class Labels:
+    """Written label counts of the string columns of a hop."""
+    counts: DataFrame
+    n: int
+
+
+def relevance_of_keys(keyed: DataFrame, numeric: list[str], labels: Labels | None, options: Options,
+                      keys: int) -> DataFrame | None:
     """(feature, score, low, high) of right columns from per-key counts."""
-    correlate = spearman_of_counts if options.method == "spearman" else _pearson
-    scores = None
+    chunk, scores = options.chunk_rows, None
     if numeric:
         counts = value_counts(keyed, numeric, weight="_n", target_sum="_s")
-        scores = correlate(counts, pieces_for(keys * len(numeric), options.chunk_rows))
-    if categories:
-        codes = category_codes(category_counts(keyed, categories, "_n", "_s"), options.max_categories)
-        part = correlate(codes.select("feature", F.col("code").alias("value"), "n", "s"))
+        scores = (spearman_of_counts(counts, keys * len(numeric), chunk) if options.method == "spearman"
+                  else _pearson(counts))
+    if labels:
+        if options.method == "spearman":
+            part = spearman_of_counts(labels.counts, labels.n, chunk, "label")
+        else:
+            part = _pearson(category_codes(labels.counts, labels.n, chunk)
+                            .select("feature", F.col("code").alias("value"), "n", "s"))
         scores = part if scores is None else scores.unionByName(part)
     return scores
 
 
-def _pearson(counts: DataFrame, pieces: int = 1) -> DataFrame:
+@dataclass(frozen=True)
+class Relevance:
+    """The k best features with their ranges, and all others."""
+    top: tuple[tuple[str, float, Range], ...]
+    rest: tuple[tuple[str, float], ...]
+
+
+def best_features(scores: list[tuple[str, float, float, float]], k: int) -> Relevance:
+    """The k most relevant of (feature, score, low, high), ties by name.
+
+    A column of one value is no feature; scores that round to 0 or 1 never are
+    among the best.
+    """
+    found = [(f, round(abs(v), PLACES), Range(lo, hi)) for f, v, lo, hi in scores if lo < hi]
+    order = sorted(found, key=lambda r: (-r[1], r[0]))
+    valid = [r for r in order if EPSILON < r[1] < 1 - EPSILON]
+    top = tuple(valid[:k])
+    names = {f for f, _, _ in top}
+    return Relevance(top, tuple((f, v) for f, v, _ in order if f not in names))
+
+
+def mean_score(rel: tuple[tuple[str, float], ...], red: tuple[tuple[str, float], ...]) -> float:
+    """What a hop is worth: mean relevance of its best plus mean redundancy of
+    the kept features (C13)."""
+    return round(sum(v for _, v in rel) / len(rel) + sum(v for _, v in red) / len(red), PLACES)
+
+
+def _pearson(counts: DataFrame) -> DataFrame:
     """Pearson against a 0/1 target from value counts, around the mean."""
     n, s, v = F.col("n").cast("double"), F.col("s"), F.col("value")
     means = counts.groupBy("feature").agg(
@@ -129,37 +164,35 @@ def hop(partial: Partial, right: DataFrame, right_table: str, left_key: str, rig
         matched_keys(key_counts(partial.frame, left_column, TARGET), right, right_key), "keys",
         *KeySummary.metrics(partial.rows))
     summary = KeySummary.of(seen)
-    if summary.ratio is None or summary.ratio < options.non_null_threshold:
+    if not summary.passes(options.non_null_threshold):
+        discard(counts)
         return HopResult("pruned", summary.ratio)
 
     # One row per key that occurs on both sides.
     kinds = families(right.schema)
     strings = [c for c in right.columns if kinds[c] == STRING]
     numeric = [c for c in right.columns if kinds[c] not in (STRING, OTHER)]
-    keyed, few = stage_observed(
-        counts.filter("_hit").join(one_row_per_key(right, right_key),
-                                   F.col("_key") == quoted(right_key)).drop("_key", "_hit"), "right",
-        *[is_category(c, options.max_categories).alias(str(i)) for i, c in enumerate(strings)])
-    categories = [c for i, c in enumerate(strings) if few[str(i)]]
-    scores = relevance_of_keys(keyed, numeric, categories, options, summary.keys)
-    # A column of one value is no feature.
-    found = [] if scores is None else [
-        (r["feature"], abs(r["score"]), r["low"], r["high"]) for r in scores.collect()
-        if r["low"] < r["high"]]
-    kept = sorted((f for f in found if EPSILON < f[1] < 1 - EPSILON), key=lambda f: (-f[1], f[0]))
-    out = [f for f in found if not EPSILON < f[1] < 1 - EPSILON]
-    top = kept[:options.top_k]
-    rel = tuple((f, v) for f, v, _, _ in top)
-    rel_discarded = tuple(sorted(
-        ((f, v) for f, v, _, _ in kept[options.top_k:] + out), key=lambda f: (-f[1], f[0])))
+    keyed = stage(counts.filter("_hit").join(one_row_per_key(right, right_key),
+                                             F.col("_key") == quoted(right_key)).drop("_key", "_hit"), "right")
+    labels = None
+    if strings:
+        held, count = stage_observed(category_counts(keyed, strings, "_n", "_s"), "labels", F.count(F.lit(1)).alias("n"))
+        labels = Labels(held, count["n"])
+    scores = relevance_of_keys(keyed, numeric, labels, options, summary.keys)
+    found = best_features([] if scores is None else [
+        (r["feature"], r["score"], r["low"], r["high"]) for r in scores.collect()], options.top_k)
+    rel, rel_discarded = tuple((f, v) for f, v, _ in found.top), found.rest
     names = [f for f, _ in rel]
-    limits = {**partial.limits, **{f: Range(lo, hi) for f, _, lo, hi in top}}
+    limits = {**partial.limits, **{f: r for f, _, r in found.top}}
 
     joined = partial.frame
     if names or carry:
-        joined = _join(partial, keyed, left_column, right_key, names, categories, carry, summary, options)
+        joined = _join(partial, keyed, left_column, right_key, names, labels, carry, summary, options)
         if not last:
             joined = stage(joined, "partial")
+    if not last or not (names or carry):  # nothing reads what the join was made of
+        for frame in [counts, keyed] + ([labels.counts] if labels else []):
+            discard(frame)
 
     red, red_discarded = (), ()
     if names:
@@ -171,7 +204,7 @@ def hop(partial: Partial, right: DataFrame, right_table: str, left_key: str, rig
         return HopResult("bridge", summary.ratio, None, (), rel_discarded + rel, (), red_discarded,
                          summary.hot, bridge)
     final = [f for f, _ in red]
-    score = (sum(v for _, v in rel) / len(rel)) + (sum(v for _, v in red) / len(red))
+    score = mean_score(rel, red)
     grown = Partial(joined.drop(*[f for f in names if f not in final]), partial.rows, tables,
                     partial.selected + tuple(final), limits)
     return HopResult("tree", summary.ratio, score, rel, rel_discarded, red, red_discarded,
@@ -179,17 +212,18 @@ def hop(partial: Partial, right: DataFrame, right_table: str, left_key: str, rig
 
 
 def _join(partial: Partial, keyed: DataFrame, left_column: str, right_key: str, names: list[str],
-          categories: list[str], carry: list[str], summary: KeySummary,
+          labels: Labels | None, carry: list[str], summary: KeySummary,
           options: Options) -> DataFrame:
     """Rows of the partial join with the new features and keys, nothing else."""
-    chosen = [c for c in categories if c in names]
+    kinds = families(keyed.schema)
+    chosen = [c for c in names if kinds[c] == STRING]
     right = keyed.selectExpr(f"{quote(right_key)} AS _rkey",
                              *[f"{quote(c)} AS {quote(key_name(c))}" for c in carry],
                              *[quote(c) for c in chosen],
                              *numeric_sql(keyed, [c for c in names if c not in chosen]))
     if chosen:
-        right = with_codes(right, category_codes(category_counts(keyed, chosen),
-                                                 options.max_categories), chosen)
+        codes = category_codes(labels.counts, labels.n, options.chunk_rows).filter(F.col("feature").isin(chosen))
+        right, _ = with_codes(right, stage(codes, "codes"), chosen)
     kept = [ROW_ID, TARGET] + [c for c in partial.frame.columns if c.startswith(KEY_PREFIX)]
     kept += [f for f in partial.selected if f in partial.limits]
     left = partial.frame.selectExpr(*[quote(c) for c in kept])
@@ -200,7 +234,7 @@ def _join(partial: Partial, keyed: DataFrame, left_column: str, right_key: str,
 def _redundancy(joined: DataFrame, names: list[str], selected: list[str],
                 limits: dict[str, Range], options: Options):
     raw = mrmr(joined, names, selected, TARGET, options.binning, limits, options.jmi)
-    rows = [(r["feature"], r["score"], r["selected"]) for r in normalise(raw).collect()]
+    rows = [(r["feature"], round(r["score"], PLACES), r["selected"]) for r in normalise(raw).collect()]
     if options.keep_single and len(rows) == 1:
         rows = [(rows[0][0], 1.0, True)]
     rows.sort(key=lambda r: (-r[1], r[0]))

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from joingrove.functions.naming import short_table_label
+from joingrove import Augmenter
+from joingrove.plans import jointree as JT
 from joingrove.operators import edges as E, matchers as M
 from joingrove.schemas import EDGES
 from joingrove.sources import edge_files
@@ -46,7 +48,7 @@ def test_negative_weight_is_refused(edges):
 
 
 def test_best_keys_keep_ties(edges):
-    assert E.best_keys(edges).filter("from_table = 'a' AND to_table = 'b'").count() == 2
+    assert len(JT.Links(JT.read_edges(edges)).best_keys("a", "b")) == 2
     assert E.best_edges(edges).filter("from_table = 'a' AND to_table = 'b'").first()["to_col"] == "y"
 
 
@@ -57,12 +59,13 @@ def test_matrix_has_ones_on_the_diagonal(edges):
 
 def test_reachable_depth(spark, edges):
     more = E.add_edge(edges, "c", "w", "d", "v", 0.6)
-    assert {tuple(r) for r in E.reachable(more, "a").collect()} == {("a", 0), ("b", 1), ("c", 1), ("d", 2)}
+    assert JT.Links(JT.read_edges(more)).levels("a") == {"a": 0, "b": 1, "c": 1, "d": 2}
 
 
 def test_edge_text_round_trip(spark, edges, tmp_path):
     edge_files.write_edge_text(edges, str(tmp_path / "e"))
-    assert rows(edge_files.read_edge_text(spark, str(tmp_path / "e"))) == rows(edges)
+    found, malformed = edge_files.read_edge_text(spark, str(tmp_path / "e"))
+    assert rows(found) == rows(edges) and malformed.count() == 0
 
 
 def test_edge_text_reports_malformed_records(spark):
@@ -202,14 +205,45 @@ def test_more_columns_than_one_bitmap_word(spark, tmp_path):
     assert got[("c5", "c0")] == 1.0 and got[("c39", "c34")] == 1.0 and ("c0", "c30") not in got
 
 
-def test_columns_that_cannot_overlap_enough_are_not_read(spark, tmp_path):
-    catalog = Catalog(spark)
-    for name, exprs in (("a", ["id AS k", "id + 5000 AS far", "id % 3 AS few", "cast(id AS string) AS s"]),
-                        ("b", ["id + 100 AS k", "cast(id AS double) AS d", "id % 2 AS flag"])):
-        spark.range(1000).selectExpr(*exprs).write.parquet(str(tmp_path / name))
-        catalog = catalog.add(name, str(tmp_path / name))
-    names = {i: f"{t}.{c}" for i, t, c, _ in catalog.column_list()}
-    assert {names[i] for i in M.promising_columns(catalog, 0.5)} == {"a.k", "b.k", "a.few", "b.flag"}
-    key = lambda df: sorted((r["col1"], r["col2"], r["weight"]) for r in df.filter("weight > 0.5").collect())
-    assert key(M.jaccard(catalog, 0.5)) == key(M.jaccard(catalog)) != []
-    assert M.jaccard(catalog, 5.0).count() == 0
+def test_saved_edges_are_not_served_for_other_tables(spark, tmp_path):
+    for folder, far in (("one", 0), ("two", 50)):
+        spark.range(100).selectExpr("id AS k").write.parquet(str(tmp_path / folder / "a"))
+        spark.range(100).selectExpr(f"id + {far} AS j").write.parquet(str(tmp_path / folder / "b"))
+
+    def weights(folder):
+        catalog = Catalog(spark).add("a", str(tmp_path / folder / "a")).add("b", str(tmp_path / folder / "b"))
+        session = Augmenter(spark, catalog=catalog, cache_root=str(tmp_path / "saved"))
+        return {round(r["weight"], 6) for r in session.find_relationships("jaccard", 0.1).collect()}
+
+    assert weights("one") == {1.0} and weights("two") == {round(50 / 150, 6)} and weights("one") == {1.0}
+    spark.range(80).selectExpr("id AS j").write.mode("overwrite").parquet(str(tmp_path / "one" / "b"))
+    assert weights("one") == {0.8}
+
+
+def test_malformed_records_are_reported(spark, tmp_path):
+    (tmp_path / "e.txt").write_text("a--b--x--y--0.5,a--b--x--y,a--b--x--y--z,\n a--b--x--q--w--0.5,")
+    session = Augmenter(spark, catalog=Catalog(spark))
+    assert session.read_relationships(str(tmp_path / "e.txt")).count() == 1
+    assert session.malformed_relationships.count() == 3
+
+
+def test_known_links_name_tables_of_the_catalog(spark, tmp_path):
+    lake = tmp_path / "lake" / "steel"
+    lake.mkdir(parents=True)
+    (lake / "a.csv").write_text("k,x\n1,2\n")
+    (lake / "b.csv").write_text("k,z\n1,2\n")
+    (lake / "connections.csv").write_text("fk_table,fk_column,pk_table,pk_column\na.csv,k,b.csv,k\na.csv,k,gone.csv,k\n")
+    session = Augmenter(spark, root=str(tmp_path / "lake"))
+    session.set_dataset_repository(["steel"])
+    got = {tuple(r) for r in session.read_known_links("steel").collect()}
+    assert got == {("steel/a.csv", "steel/b.csv", "k", "k", 1.0), ("steel/b.csv", "steel/a.csv", "k", "k", 1.0)}
+
+
+def test_base_table_before_the_repository(spark, tmp_path):
+    for name in ("x", "y"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "t.csv").write_text("k,c\n1,0\n2,1\n")
+    session = Augmenter(spark, root=str(tmp_path))
+    session.set_base_table("x/t.csv", "c", row_key="k")
+    session.set_dataset_repository(["y"])
+    assert session.get_tables_repository() == ["x/t.csv", "y/t.csv"] and session.base_frame.count() == 2

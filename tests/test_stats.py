@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from joingrove.functions import stats
+from joingrove.streaming.hop import best_features, mean_score
+from joingrove.functions.prepare import category_codes, category_counts
 from joingrove.functions.prepare import Range, bin_sql, binary_target, prepare
 from joingrove.operators import selection as S
 
@@ -157,11 +159,14 @@ def test_normalise(spark):
     assert normalised(spark, [("a", 0.4)]) == {"a": (0.0, False)}
 
 
-def test_worked_tree_score(spark):
-    rows = [(1, 0, f, "rel", v, f != "b") for f, v in (("a", 0.5), ("b", 0.4), ("c", 0.3))]
-    rows += [(1, 0, f, "red", v, f != "b") for f, v in (("a", 1.0), ("b", 0.0), ("c", 0.5))]
-    df = spark.createDataFrame(rows, "tree_id int, join_idx int, feature string, kind string, score double, selected boolean")
-    assert S.tree_score(df, 10).first()["score"] == pytest.approx(1.15)
+def test_worked_tree_score():
+    rel = (("a", 0.5), ("b", 0.4), ("c", 0.3))
+    assert mean_score(rel, (("a", 1.0), ("c", 0.5))) == pytest.approx(1.15)
+
+
+def test_best_features_break_ties_by_name():
+    found = best_features([("b", -0.5, 0, 1), ("a", 0.5 + 1e-15, 0, 1), ("one", 1.0, 0, 1), ("flat", 0.4, 2, 2), ("c", 0.1, 0, 1)], 2)
+    assert [f for f, _, _ in found.top] == ["a", "b"] and [f for f, _ in found.rest] == ["one", "c"]
 
 
 def test_mrmr_without_selected_is_mutual_information(planted):
@@ -187,10 +192,30 @@ def test_prepare_drops_and_codes(spark):
     assert {r["id"]: (r["s"], r["f"]) for r in ready.collect()} == {1: (1.0, 1.0), 2: (0.0, 0.0), 3: (None, 1.0)}
 
 
-def test_too_many_labels_are_text(spark):
-    df = spark.range(50).selectExpr("id", "cast(id AS string) AS s", "cast(id % 3 AS string) AS t")
-    assert set(prepare(df, ["s", "t"], ["id"], max_categories=30)[1]) == {"t"}
-    assert set(prepare(df, ["s", "t"], ["id"], max_categories=50)[1]) == {"s", "t"}
+@pytest.mark.parametrize("labels", [0, 10_000])
+def test_any_number_of_labels_is_coded(spark, monkeypatch, labels):
+    """By broadcast and by a shuffle with hot and missing labels; texts of any length."""
+    monkeypatch.setattr("joingrove.functions.prepare.BROADCAST_LABELS", labels)
+    df = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 7 = 0 THEN null ELSE "
+                                      "concat(repeat('x', 300), lpad(id, 5, '0')) END AS s", "cast(id % 3 AS string) AS t")
+    ready, limits = prepare(df, ["s", "t"], ["id"])
+    want = sorted({r["s"] for r in df.collect()} - {None})
+    assert limits["s"].high == len(want) - 1 and limits["t"].high == 2
+    got = {r["id"]: r["s"] for r in ready.collect()}
+    assert got == {r["id"]: None if r["s"] is None else float(want.index(r["s"])) for r in df.collect()}
+
+
+def test_codes_over_ranges(spark):
+    df = spark.range(500).selectExpr("concat('v', id % 100) AS s", "1 AS one")
+    counts = category_counts(df, ["s"])
+    got = {r["label"]: r["code"] for r in category_codes(counts, 10 ** 9, chunk_rows=7).collect()}
+    assert got == {v: float(i) for i, v in enumerate(sorted({f"v{i}" for i in range(100)}))}
+
+
+def test_days_in_strings_become_times(spark):
+    df = spark.createDataFrame([(1, "2024-01-31", "2024-01-31 x"), (2, "2024-02-01 10:00:00", "b"), (3, None, "c")], "id int, d string, s string")
+    _, limits = prepare(df, ["d", "s"], ["id"])
+    assert "d__month" in limits and "s__month" not in limits and limits["s"].high == 2
 
 
 def test_nan_counts_as_null(spark):

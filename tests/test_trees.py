@@ -79,11 +79,18 @@ def test_signal_is_kept_and_constant_is_not_scored(grown):
 
 
 def test_rank_is_the_score_of_the_last_join(grown):
-    from joingrove.operators.selection import tree_score
-    found = {(r["tree_id"], r["join_idx"]): r["score"] for r in tree_score(grown.feature_scores, 10).collect()}
-    for t in grown.trees.filter("tree_id > 0").collect():
-        last = grown.tree_joins.filter(F.col("tree_id") == t["tree_id"]).agg(F.max("join_idx")).first()[0]
-        assert t["rank"] == pytest.approx(found[(t["tree_id"], last)])
+    for tree in grown.search.trees[1:]:
+        hop = tree.joins[-1].hop
+        assert tree.rank == pytest.approx(sum(v for _, v in hop.rel) / len(hop.rel) + sum(v for _, v in hop.red) / len(hop.red))
+
+
+def test_edges_on_the_target_are_no_joins(grown):
+    target = grown.target
+    before = len(grown.search.trees)
+    edges = grown.edges.unionByName(grown.spark.createDataFrame(
+        [(grown.base_table, t, target, "k", 1.0) for t in grown.get_tables_repository() if t != grown.base_table],
+        grown.edges.schema))
+    assert len(JT.grow(grown.catalog, grown.base_table, target, grown.base_frame, edges, grown.options).trees) == before
 
 
 def test_materialised_tree_keeps_base_rows(grown):
