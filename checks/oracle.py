@@ -395,6 +395,9 @@ def oracle_sql() -> dict[str, str]:
                          f"SELECT name, n_rows, n_cols FROM ({table_rows(['region'], N_COLS)})",
         "a6_tables": table_rows(ALL, N_COLS),
         "a7_add_table": near_edges(["customer", "nation", "supplier"]),
+        "a7_add_table_coma": f"WITH {composite_cte(ALL)}, {both('comp')} SELECT {EDGE_COLS} FROM edges",
+        "b6_discovery_names": f"WITH {composite_cte(ALL)}, names AS (SELECT table1, col1, table2, col2, "
+                              f"0.875 * name_score + 0.125 * type_score AS weight FROM comp), {both('names')} SELECT {EDGE_COLS} FROM edges",
         "a8_remove_table": on_edges(f"SELECT {EDGE_COLS} FROM edges WHERE from_table != 'part' AND to_table != 'part'"),
         "a9_edge_text": on_edges(f"SELECT {EDGE_COLS}, CAST(2 AS BIGINT) AS n_malformed FROM edges"),
         "a10_saved_edges": f"WITH {composite_cte(SAVED)}, {both('comp', 0.3)} SELECT {EDGE_COLS} FROM edges",
@@ -513,7 +516,7 @@ def oracle_sql() -> dict[str, str]:
                        f"SELECT feature, {rnd(corr('rx', 'ry'), 'score')} FROM r GROUP BY feature",
         "d4_spearman_binary": f"WITH {JOINED}, {long_cte(NUMBERS, extra=CONSTANT)}, {RANKS} SELECT feature, {rnd(corr('rk'), 'score')} FROM ranks GROUP BY feature",
         "d5_relevance": f"WITH {JOINED}, {long_cte(NUMBERS, extra=LEAK)}, {RANKS}, s AS (SELECT feature, round(abs({corr('rk')}), 12) AS score FROM ranks GROUP BY feature) "
-                        f"SELECT feature, {rnd('score', 'score')}, score > {EPS} AND score < 1 - {EPS} AS selected FROM s",
+                        f"SELECT feature, {rnd('score', 'score')}, score > {EPS} AND score < 1 - {EPS} AS selected FROM s UNION ALL SELECT 'nothing', 0.0::DOUBLE, false",
         "d5_relevance_pearson": f"WITH {JOINED}, {long_cte(NUMBERS, extra=LEAK)}, s AS (SELECT feature, round(abs({corr('v')}), 12) AS score FROM long WHERE v IS NOT NULL GROUP BY feature) "
                                 f"SELECT feature, {rnd('score', 'score')}, score > {EPS} AND score < 1 - {EPS} AS selected FROM s",
         "d6_top_k": f"WITH {JOINED}, {long_cte(NUMBERS)}, {RANKS}, s AS (SELECT feature, round(abs({corr('rk')}), 12) AS score FROM ranks GROUP BY feature) "

@@ -116,6 +116,14 @@ def a6_tables(spark, sf):
         "name", "n_rows", F.col("n_cols").cast("long").alias("n_cols"))
 
 
+def a7_add_table_coma(spark, sf):
+    """All tables but one are matched, then that one alone against them."""
+    a = Augmenter(spark, catalog=Catalog.from_parquet_dir(spark, sf, [t for t in ALL if t != "orders"]))
+    a.find_relationships("coma", 0.5, use_cache=False, instances=True)
+    a.add_table("orders", f"{sf}/orders.parquet", "parquet")
+    return rounded(a.edges, "weight")
+
+
 def a7_add_table(spark, sf):
     small = Catalog.from_parquet_dir(spark, sf, ["customer", "nation"])
     a = Augmenter(spark, catalog=small)
@@ -214,6 +222,11 @@ def b6_discovery(spark, sf):
     return rounded(M.find_relationships(everything(spark, sf), 0.5, "coma", instances=True), "weight")
 
 
+def b6_discovery_names(spark, sf):
+    """The default matcher: names and types."""
+    return rounded(M.find_relationships(everything(spark, sf)), "weight")
+
+
 def b6_discovery_jaccard(spark, sf):
     return rounded(M.find_relationships(everything(spark, sf), 0.5, "jaccard", fuzzy=False), "weight")
 
@@ -580,8 +593,9 @@ def d4_spearman_binary(spark, sf):
 
 
 def d5_relevance(spark, sf):
-    df = joined(spark, sf).withColumn("constant", F.lit(1.0)).withColumn("leak", F.col(TARGET) * 2)
-    return rounded(S.measure_relevance(df, NUMBERS + ["constant", "leak", TARGET], TARGET), "score")
+    df = (joined(spark, sf).withColumn("constant", F.lit(1.0)).withColumn("leak", F.col(TARGET) * 2)
+          .withColumn("nothing", F.lit(None).cast("double")))
+    return rounded(S.measure_relevance(df, NUMBERS + ["constant", "leak", "nothing", TARGET], TARGET), "score")
 
 
 def d5_relevance_pearson(spark, sf):

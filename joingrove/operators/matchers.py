@@ -106,28 +106,35 @@ def _members(prefix: str, words: int) -> str:
     return f"concat({', '.join(parts)})"
 
 
-def overlap_counts(values: DataFrame, words: int) -> DataFrame:
+def overlap_counts(values: DataFrame, words: int, only: list[int] | None = None) -> DataFrame:
     """(a, b, n): number of distinct values both columns hold, a <= b; a = b
-    gives the number of values of a column.
+    gives the number of values of a column. With `only`, pairs of two other
+    columns are left out.
 
     Values with the same column set are counted first; only the sets spread.
     """
     bitmap = [f"w{w}" for w in range(words)]
     sets = values.groupBy(*bitmap).agg(F.count(F.lit(1)).alias("n"))
-    return (sets.selectExpr(f"{_members('w', words)} AS ids", "n")
-            .selectExpr("posexplode(ids) AS (place, a)", "ids", "n")
-            .selectExpr("a", "explode(slice(ids, place + 1, size(ids))) AS b", "n")
+    pairs = (sets.selectExpr(f"{_members('w', words)} AS ids", "n")
+             .selectExpr("posexplode(ids) AS (place, a)", "ids", "n"))
+    others = "slice(ids, place + 1, size(ids))"
+    if only is not None:
+        wanted = f"array({', '.join(map(str, only)) or 'cast(null AS int)'})"
+        others = f"filter({others}, b -> a = b OR array_contains({wanted}, a) OR array_contains({wanted}, b))"
+    return (pairs.selectExpr("a", f"explode({others}) AS b", "n")
             .groupBy("a", "b").agg(F.sum("n").alias("n")))
 
 
-def jaccard(catalog: Catalog) -> DataFrame:
+def jaccard(catalog: Catalog, table: str | None = None) -> DataFrame:
     """(table1, col1, table2, col2, weight): exact Jaccard of the distinct values
-    of columns of two tables that share at least one (B3)."""
+    of columns of two tables that share at least one (B3). With `table`, only
+    pairs with one of its columns."""
     values, words = column_values(catalog)
     if not values:
         return _no_pairs(catalog)
     # One row per pair of columns.
-    counts = stage(overlap_counts(bitmaps(list(values.values()), words), words), "overlap")
+    only = None if table is None else [i for i, t, _, _ in catalog.column_list() if t == table]
+    counts = stage(overlap_counts(bitmaps(list(values.values()), words), words, only), "overlap")
     return _jaccard_of(catalog, counts, counts.filter("a < b"))
 
 
@@ -172,15 +179,19 @@ def schema_score(pairs: DataFrame) -> DataFrame:
             .withColumn("name_score", (F.col("_edit") + F.col("_tri")) / 2).drop("_edit", "_tri"))
 
 
-def composite(catalog: Catalog, instances: bool = False) -> DataFrame:
+def composite(catalog: Catalog, instances: bool = False, table: str | None = None) -> DataFrame:
     """(table1, col1, table2, col2, name_score, type_score, inst_score, weight):
-    similarity of names and types and, with `instances`, of values (B2)."""
+    similarity of names and types and, with `instances`, of values (B2). With
+    `table`, only pairs with one of its columns."""
     weights = INSTANCE_WEIGHTS if instances else SCHEMA_WEIGHTS
-    scored = schema_score(column_pairs(catalog.columns())).selectExpr(
+    pairs = column_pairs(catalog.columns())
+    if table is not None:
+        pairs = pairs.filter((F.col("c1.table") == table) | (F.col("c2.table") == table))
+    scored = schema_score(pairs).selectExpr(
         "c1.table AS table1", "c1.column AS col1", "c2.table AS table2", "c2.column AS col2",
         "name_score", "type_score")
     if instances:
-        shared = jaccard(catalog).withColumnRenamed("weight", "inst_score")
+        shared = jaccard(catalog, table).withColumnRenamed("weight", "inst_score")
         scored = scored.join(shared, ["table1", "col1", "table2", "col2"], "left").fillna(0.0, ["inst_score"])
     else:
         scored = scored.withColumn("inst_score", F.lit(0.0))
@@ -325,14 +336,16 @@ def near_pairs(left: DataFrame, right: DataFrame, slack: float, lengths: list[in
 
 
 def find_relationships(catalog: Catalog, threshold: float = 0.5, matcher: str = "coma",
-                       instances: bool = False, fuzzy: bool = True) -> DataFrame:
-    """Edges above the threshold over all table pairs, both directions."""
+                       instances: bool = False, fuzzy: bool = True, table: str | None = None) -> DataFrame:
+    """Edges above the threshold over all table pairs, or those with `table`, both directions."""
     if matcher == "jaccard":
-        pairs = near_jaccard(catalog) if fuzzy else jaccard(catalog)
+        pairs = near_jaccard(catalog) if fuzzy else jaccard(catalog, table)
     elif matcher == "coma":
-        pairs = composite(catalog, instances)
+        pairs = composite(catalog, instances, table)
     else:
         raise ValueError("matcher must be 'coma' or 'jaccard'")
+    if table is not None:
+        pairs = pairs.filter((F.col("table1") == table) | (F.col("table2") == table))
     kept = above(pairs, threshold).selectExpr(
         "table1 AS from_table", "table2 AS to_table", "col1 AS from_col", "col2 AS to_col", "weight")
     return both_directions(kept)

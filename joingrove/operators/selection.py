@@ -37,6 +37,9 @@ def measure_relevance(df: DataFrame, features: list[str], target: str,
     else:
         scores = spearman(df, present, target)
     scores = mark_relevant(scores)
+    # A feature without a value has no correlation; it is scored 0 and discarded.
+    names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(f) for f in present])).alias("feature"))
+    scores = names.join(scores, "feature", "left").fillna({"score": 0.0, "selected": False})
     if ordered:
         scores = scores.orderBy(F.desc("selected"), F.desc("score"), "feature")
     return scores

@@ -111,9 +111,19 @@ class Augmenter:
         return self._active().tables()
 
     def add_table(self, table: str, path: str | None = None, format: str | None = None) -> None:
-        """Adds a table; relationships are matched again."""
+        """Adds a table (A7). Where relationships were matched before, those with
+        the new table join them; edits to the others stay."""
+        known = self._edges if self._match is not None and not self._edges_stale else None
+        replaced = table in self.catalog
         self._add(table, path or f"{self.root}/{table}", format)
-        self._stale_edges()
+        if known is None:
+            self._stale_edges()
+            return
+        m = self._match
+        found = matchers.find_relationships(self._active(), m["threshold"], m["matcher"], m["instances"], table=table)
+        known = E.without_table(known, table) if replaced else known
+        self._edges = stage(known.unionByName(found), "edges")
+        self._stale_trees()
 
     def _add(self, table: str, path: str, format: str | None = None) -> None:
         self.catalog = self.catalog.add(table, path, format or (
