@@ -394,7 +394,7 @@ def oracle_sql() -> dict[str, str]:
         "a5_repository": f"SELECT name || '.parquet' AS name, n_rows, n_cols FROM ({table_rows(ALL, N_COLS)}) UNION ALL "
                          f"SELECT name, n_rows, n_cols FROM ({table_rows(['region'], N_COLS)})",
         "a6_tables": table_rows(ALL, N_COLS),
-        "a7_add_table": near_edges(["customer", "nation", "supplier"]),
+        "a7_add_table": near_edges(ALL),
         "a7_add_table_coma": f"WITH {composite_cte(ALL)}, {both('comp')} SELECT {EDGE_COLS} FROM edges",
         "b6_discovery_names": f"WITH {composite_cte(ALL)}, names AS (SELECT table1, col1, table2, col2, "
                               f"0.875 * name_score + 0.125 * type_score AS weight FROM comp), {both('names')} SELECT {EDGE_COLS} FROM edges",

@@ -13,6 +13,8 @@ from joingrove.functions.types import OTHER, families, family
 # most 1 / HOT_SHARE keys can be hot, whatever the data.
 HOT_SHARE = 0.002
 SALTS = 64
+# Rows of one hot key that one task takes; larger keys are spread over more than SALTS tasks.
+ROWS_PER_TASK = 1_000_000
 
 # Identity of a base row, carried through every join.
 ROW_ID = "_rid"
@@ -25,9 +27,11 @@ def joinable(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -
 
 
 def one_row_per_key(right: DataFrame, key: str, columns: list[str] | None = None,
-                    seed: int | None = None) -> DataFrame:
+                    seed: int | None = None, unique: bool = False) -> DataFrame:
     """One row of each non-null key.
 
+    Where the keys read are known to be `unique`, the rows are passed on as they are.
+
     The row is the least one over all other columns, nulls first, in column
     order; with a seed, the least by a seeded digest. It is an aggregate, so a
     hot key shrinks to one row per task before the shuffle, and a join to
@@ -38,6 +42,8 @@ def one_row_per_key(right: DataFrame, key: str, columns: list[str] | None = None
     others = [c for c in right.columns if c != key and kinds[c] != OTHER]
     kept = [c for c in (columns or right.columns) if c == key or c in others]
     present = right.filter(f"{quote(key)} IS NOT NULL")
+    if unique:
+        return present.selectExpr(*[quote(c) for c in kept])
     if not others:
         return present.select(quoted(key)).distinct()
     row = f"struct({', '.join(quote(c) for c in others)})"
@@ -56,19 +62,33 @@ def key_counts(left: DataFrame, key: str, target: str | None = None) -> DataFram
 
 
 def matched_keys(counts: DataFrame, right: DataFrame, right_key: str) -> DataFrame:
-    """Key counts with `_hit`: whether the key occurs on the right."""
-    keys = right.select(quoted(right_key).alias("_rkey")).filter(F.col("_rkey").isNotNull()).distinct()
+    """Key counts with `_hit`: whether the key occurs on the right, and `_copies`: how often."""
+    keys = (right.select(quoted(right_key).alias("_rkey")).filter(F.col("_rkey").isNotNull())
+            .groupBy("_rkey").agg(F.count(F.lit(1)).alias("_copies")))
     return counts.join(keys, F.col("_key") == F.col("_rkey"), "left").withColumn(
         "_hit", F.col("_rkey").isNotNull()).drop("_rkey")
 
 
+@dataclass(frozen=True)
+class Facts:
+    """What a join is run with: its hot keys, the tasks each is spread over, and whether the right keys it
+    meets are unique."""
+    hot: tuple = ()
+    salts: int = SALTS
+    unique: bool = False
+
+
 @dataclass(frozen=True)
 class KeySummary:
     """What the matched key counts tell about a join."""
     rows: int
     keys: int
     ratio: float | None            # share of left rows whose key occurs on the right (C9)
-    hot: tuple
+    facts: Facts
+
+    @property
+    def hot(self) -> tuple:
+        return self.facts.hot
 
     def passes(self, threshold: float) -> bool:
         """At or above the threshold; an empty left side never passes."""
@@ -82,13 +102,15 @@ class KeySummary:
         return [F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("keys"),
                 F.sum(F.when(F.col("_hit"), F.col("_n")).otherwise(0)).alias("hit"),
                 F.collect_list(F.when(busy, F.col("_key"))).alias("hot"),
+                F.max("_n").alias("largest"), F.max("_copies").alias("copies"),
                 F.max(busy & F.col("_key").isNull()).alias("hot_null")]
 
     @staticmethod
     def of(found: dict) -> "KeySummary":
         ratio = found["hit"] / found["rows"] if found["rows"] else None
         hot = tuple(found["hot"]) + ((None,) if found["hot_null"] else ())
-        return KeySummary(found["rows"] or 0, found["keys"], ratio, hot)
+        salts = max(SALTS, -(-(found["largest"] or 0) // ROWS_PER_TASK))
+        return KeySummary(found["rows"] or 0, found["keys"], ratio, Facts(hot, salts, (found["copies"] or 0) <= 1))
 
 
 def key_summary(counts: DataFrame, total: int, right: DataFrame, right_key: str) -> KeySummary:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from joingrove import schemas
 from joingrove.functions.naming import qualify, quote, short_column_label
 from joingrove.operators.joins import (
-    ROW_ID, key_counts, key_summary, left_join_all, left_join_one, one_row_per_key)
+    ROW_ID, Facts, key_counts, key_summary, left_join_all, left_join_one, one_row_per_key)
 from joingrove.sources.catalog import Catalog
 from joingrove.sources.staging import discard, stage
 from joingrove.streaming import hop as hops
@@ -283,9 +283,15 @@ def remove_table(trees: DataFrame, tree_joins: DataFrame, feature_scores: DataFr
     return trees, tree_joins.filter(~dropped), feature_scores.filter(~dropped)
 
 
-def known_hot_keys(trees: list[Tree]) -> dict[tuple, tuple]:
-    """Hot keys of every join the search ran, by edge."""
-    return {_edge_key(j.edge): j.hop.hot for t in trees for j in t.joins}
+def known_facts(trees: list[Tree]) -> dict[tuple, Facts]:
+    """What the search knows of every join it ran, by edge; what holds in all trees that run it."""
+    found: dict[tuple, Facts] = {}
+    for join in (j for t in trees for j in t.joins):
+        key, now = _edge_key(join.edge), join.hop.facts
+        before = found.get(key, now)
+        found[key] = Facts(tuple(dict.fromkeys(before.hot + now.hot)), max(before.salts, now.salts),
+                           before.unique and now.unique)
+    return found
 
 
 def _edge_key(edge: Edge) -> tuple:
@@ -293,7 +299,7 @@ def _edge_key(edge: Edge) -> tuple:
 
 
 def replay(catalog: Catalog, base_frame: DataFrame, joins: list[Edge], dedupe: bool = True,
-           balance: bool = True, hot: dict[tuple, tuple] | None = None) -> DataFrame:
+           balance: bool = True, hot: dict[tuple, Facts] | None = None) -> DataFrame:
     """Left joins of a tree, in order. With `dedupe` every base row stays one
     row. With `balance` the hot keys of each join are spread; those not known
     in `hot` are measured first, on what the joins before have written."""
@@ -303,21 +309,22 @@ def replay(catalog: Catalog, base_frame: DataFrame, joins: list[Edge], dedupe: b
         if not dedupe:
             frame = left_join_all(frame, edge.left_key, right, edge.right_key)
             continue
-        keys = (hot or {}).get(_edge_key(edge))
-        if keys is None and balance:
+        facts = (hot or {}).get(_edge_key(edge))
+        if facts is None and balance:
             total = base_frame.count() if total is None else total
             if frame is not base_frame:
                 frame = stage(frame, "replay")
-            keys = key_summary(key_counts(frame, edge.left_key), total, right, edge.right_key).hot
-        frame = left_join_one(frame, edge.left_key, one_row_per_key(right, edge.right_key),
-                              edge.right_key, list(keys or ()))
+            facts = key_summary(key_counts(frame, edge.left_key), total, right, edge.right_key).facts
+        facts = facts or Facts()
+        frame = left_join_one(frame, edge.left_key, one_row_per_key(right, edge.right_key, unique=facts.unique),
+                              edge.right_key, list(facts.hot), facts.salts)
     return frame
 
 
 def materialise(catalog: Catalog, base_frame: DataFrame, target: str, trees: DataFrame,
                 tree_joins: DataFrame, tree_id: int, dedupe: bool = True,
                 include_target: bool = False, keep: list[str] | None = None,
-                balance: bool = True, hot: dict[tuple, tuple] | None = None) -> DataFrame:
+                balance: bool = True, hot: dict[tuple, Facts] | None = None) -> DataFrame:
     """The augmented table of a tree, projected to its features."""
     tree = tree_by_id(trees, tree_id).first()
     if tree is None:

@@ -271,7 +271,7 @@ class Augmenter:
         self._results_stale = self._results is not None
 
     def _hot_keys(self) -> dict:
-        return jointree.known_hot_keys(self.search.trees) if self.search else {}
+        return jointree.known_facts(self.search.trees) if self.search else {}
 
     @property
     def trees(self) -> DataFrame:

@@ -20,7 +20,7 @@ from joingrove.functions.stats import (
     CHUNK_ROWS, EPSILON, PLACES, numeric_sql, spearman_of_counts, value_counts)
 from joingrove.functions.types import OTHER, STRING, families
 from joingrove.operators.joins import (
-    ROW_ID, KeySummary, joinable, key_counts, left_join_one, matched_keys, one_row_per_key)
+    ROW_ID, Facts, KeySummary, joinable, key_counts, left_join_one, matched_keys, one_row_per_key)
 from joingrove.operators.selection import mrmr, normalise
 from joingrove.sources.staging import discard, stage, stage_observed
 
@@ -58,7 +58,7 @@ class HopResult:
     rel_discarded: tuple[tuple[str, float], ...] = ()
     red: tuple[tuple[str, float], ...] = ()            # kept, best first
     red_discarded: tuple[tuple[str, float], ...] = ()
-    hot: tuple = ()
+    facts: Facts = Facts()
     partial: Partial | None = None
 
 
@@ -172,8 +172,9 @@ def hop(partial: Partial, right: DataFrame, right_table: str, left_key: str, rig
     kinds = families(right.schema)
     strings = [c for c in right.columns if kinds[c] == STRING]
     numeric = [c for c in right.columns if kinds[c] not in (STRING, OTHER)]
-    keyed = stage(counts.filter("_hit").join(one_row_per_key(right, right_key),
-                                             F.col("_key") == quoted(right_key)).drop("_key", "_hit"), "right")
+    right_one = one_row_per_key(right, right_key, unique=summary.facts.unique)
+    keyed = stage(counts.filter("_hit").join(right_one, F.col("_key") == quoted(right_key))
+                  .drop("_key", "_hit", "_copies"), "right")
     labels = None
     if strings:
         held, count = stage_observed(category_counts(keyed, strings, "_n", "_s"), "labels", F.count(F.lit(1)).alias("n"))
@@ -202,13 +203,13 @@ def hop(partial: Partial, right: DataFrame, right_table: str, left_key: str, rig
     if not red:
         bridge = Partial(joined.drop(*names), partial.rows, tables, partial.selected, partial.limits)
         return HopResult("bridge", summary.ratio, None, (), rel_discarded + rel, (), red_discarded,
-                         summary.hot, bridge)
+                         summary.facts, bridge)
     final = [f for f, _ in red]
     score = mean_score(rel, red)
     grown = Partial(joined.drop(*[f for f in names if f not in final]), partial.rows, tables,
                     partial.selected + tuple(final), limits)
     return HopResult("tree", summary.ratio, score, rel, rel_discarded, red, red_discarded,
-                     summary.hot, grown)
+                     summary.facts, grown)
 
 
 def _join(partial: Partial, keyed: DataFrame, left_column: str, right_key: str, names: list[str],
@@ -227,7 +228,7 @@ def _join(partial: Partial, keyed: DataFrame, left_column: str, right_key: str,
     kept = [ROW_ID, TARGET] + [c for c in partial.frame.columns if c.startswith(KEY_PREFIX)]
     kept += [f for f in partial.selected if f in partial.limits]
     left = partial.frame.selectExpr(*[quote(c) for c in kept])
-    joined = left_join_one(left, left_column, right, "_rkey", list(summary.hot))
+    joined = left_join_one(left, left_column, right, "_rkey", list(summary.hot), summary.facts.salts)
     return joined.drop("_rkey")
 
 

@@ -1,7 +1,5 @@
 """Registered queries against their SQL on the smallest given tables."""
 
-import os
-
 import pytest
 
 from checks.compare import compare, connect
@@ -9,8 +7,6 @@ from checks.oracle import oracle_sql
 from checks.queries import queries
 
 SF = "/root/testdata/sf0.001"
-# Run with ALL_QUERIES=1 to include the ones that take long.
-LONG = {"a7_add_table", "b2_composite", "b3_near_jaccard", "b6_discovery", "c2_join_trees"}
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +20,5 @@ def test_every_sql_has_a_query():
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_equals_sql(spark, db, name):
-    if name in LONG and not os.environ.get("ALL_QUERIES"):
-        pytest.skip("long")
     verdict, _, _ = compare(spark, db, SF, name)
     assert verdict.startswith("ok"), verdict
