@@ -3,7 +3,8 @@
 Words go through two hash functions into two embedding tables, so that a chance collision in one does
 not make a harmless word look like a harmful one; a third table is for how a word begins, which
 inflected forms share. Filters of several widths run over the embedded
-words, the maximum of each over the whole text goes through a ramp into one logit. The threshold of the
+words; the maximum of each over the whole text, and the mean of its maxima over the text's quarters, which
+tells one harmful word from many, go through a ramp into one logit. The threshold of the
 logit is calibrated by language, which is told from the function words of the text itself.
 """
 
@@ -24,10 +25,11 @@ from joingrove.llm.quality import one_label
 BUCKETS, DIM, TABLES = 1 << 18, 4, 3  # rows and columns of each table
 BEGINNING = 5  # letters
 WIDTHS, FILTERS = (1, 2, 3), 6
+QUARTERS = 4
 THRESHOLD = 0.5
 #: The fit takes at most so many labelled rows, the first by hash, and leaves out those with more words.
 TRAIN_ROWS, TRAIN_WORDS = 6000, 20_000
-EPOCHS, BATCH, RATE, DECAY = 8, 64, 0.08, 1e-4
+EPOCHS, BATCH, BATCH_WORDS, RATE, DECAY = 8, 64, 1 << 16, 0.08, 1e-4
 #: Positives of a language at which its own threshold weighs as much as the common one.
 ENOUGH = 10
 #: Words whose places a worker remembers, and words scored at a time.
@@ -121,10 +123,9 @@ class Network:
         logits, languages = [], []
         for group in _groups(docs):
             if len(group) == 1 and len(group[0]) > 2 * _BYTES * CHUNK:  # very long: the maximum of overlapping stretches
-                ids, step = _ids(group[0]), CHUNK
-                pooled = np.max([self._pooled([ids[i:i + step + max(WIDTHS)]])[0] for i in range(0, len(ids), step)], 0)
-                logits.append(self.logits(pooled))
-                languages.append(_languages(ids[:, 0], np.zeros(len(ids), np.int64), 1))
+                logits.append(self.logits(self._pooled_by_stretch(_ids(group[0]))))
+                first = _ids(group[0])[:, 0]
+                languages.append(_languages(first, np.zeros(len(first), np.int64), 1))
                 continue
             parts = [_ids(d) for d in group]
             logits.append(self.logits(self._pooled(parts)))
@@ -135,7 +136,22 @@ class Network:
 
     def _pooled(self, parts: list[np.ndarray]) -> np.ndarray:
         ids, starts = _padded(parts)
-        return np.maximum.reduceat(self.convolve(self.embed(ids)), starts, axis=0)
+        maxima = np.maximum.reduceat(self.convolve(self.embed(ids)), starts.ravel(), axis=0).reshape(*starts.shape, -1)
+        return _pool(maxima[:, :QUARTERS])
+
+    def _pooled_by_stretch(self, words: np.ndarray) -> np.ndarray:
+        """The same for one document, CHUNK words at a time."""
+        ids, starts = _padded([words])
+        maxima = []
+        for start, end in zip(starts[0], starts[0][1:]):
+            stretches = [(i, min(i + CHUNK, end)) for i in range(start, end, CHUNK)]
+            maxima.append(np.max([self.convolve(self.embed(ids[i:j + max(WIDTHS) - 1]))[:j - i].max(0) for i, j in stretches], 0))
+        return _pool(np.array(maxima)[None])
+
+
+def _pool(maxima: np.ndarray) -> np.ndarray:
+    """From the maxima of the quarters: that of the whole and the mean."""
+    return np.concatenate([maxima.max(1), maxima.mean(1)], 1)
 
 
 def _groups(docs: list[bytes]) -> Iterator[list[bytes]]:
@@ -150,11 +166,16 @@ def _groups(docs: list[bytes]) -> Iterator[list[bytes]]:
 
 
 def _padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """One batch with empty places behind each document, so that no window spans two."""
-    gap = np.full((max(WIDTHS) - 1, TABLES), _PAD, np.uint32)
+    """One batch, and the places where the quarters of each document begin and the last one ends.
+
+    A document has QUARTERS empty places, so that no quarter is without a place, and others behind them that
+    belong to no quarter: windows that begin there would reach into the next document.
+    """
+    gap = np.full((QUARTERS + max(WIDTHS) - 1, TABLES), _PAD, np.uint32)
     ids = np.concatenate([x for p in parts for x in (p, gap)])
-    lengths = np.array([len(p) + len(gap) for p in parts])
-    return ids, np.concatenate([[0], lengths.cumsum()[:-1]])
+    sizes = np.array([len(p) for p in parts])
+    starts = np.concatenate([[0], (sizes + len(gap)).cumsum()[:-1]])
+    return ids, starts[:, None] + (sizes + QUARTERS)[:, None] * np.arange(QUARTERS + 1) // QUARTERS
 
 
 def train(docs: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
@@ -182,7 +203,7 @@ def train(docs: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
     filters = [rng.normal(0, 0.1, (w, TABLES * DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     for f in filters:  # one filter of each width sums the log odds of its words
         f[:, [DIM * i for i in range(TABLES)], 0] += 1.0 / len(f)
-    k = FILTERS * len(WIDTHS)
+    k = 2 * FILTERS * len(WIDTHS)
     net = Network(tables, filters, np.full(k, -0.3, np.float32), np.full(k, 0.1, np.float32),
                   float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), np.zeros(len(LANGUAGES)))
     if not parts or y.min() == y.max():
@@ -193,27 +214,28 @@ def train(docs: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
     seen = [np.full_like(p, 0.1) for p in params]
     seen_rows, seen_offset = [np.full(t.shape, 0.1, np.float32) for t in tables], 0.1
     for _ in range(EPOCHS):
-        order = rng.permutation(len(parts))
-        for at in range(0, len(order), BATCH):
-            some = order[at:at + BATCH]
+        for some in _batches(rng.permutation(len(parts)), parts):
             ids, starts = _padded([parts[i] for i in some])
             x = net.embed(ids)
             conv = net.convolve(x)
-            ends = np.append(starts[1:], len(ids))
-            best = np.stack([s + conv[s:e].argmax(0) for s, e in zip(starts, ends)])  # place of each maximum
-            pooled = np.take_along_axis(conv, best, 0) + net.bias
+            best = np.stack([a + conv[a:b].argmax(0) for row in starts for a, b in zip(row, row[1:])])  # place of each maximum
+            maxima = np.take_along_axis(conv, best, 0).reshape(len(some), QUARTERS, -1)
+            pooled = _pool(maxima) + net.bias
             ramp = np.maximum(pooled, 0)
             p = 1 / (1 + np.exp(-np.clip(ramp @ net.out + net.offset, -30, 30)))
             g = (p - y[some]) * weight[some] / len(some)
             g_pooled = (g[:, None] * net.out * (pooled > 0)).astype(np.float32)
+            whole, mean = np.split(g_pooled, 2, 1)
+            winner = maxima.argmax(1)[:, None] == np.arange(QUARTERS)[None, :, None]
+            g_best = (winner * whole[:, None] + mean[:, None] / QUARTERS).reshape(len(best), -1)
             grads, g_rows = [], []
             for w, f in enumerate(net.filters):
                 cols = slice(w * FILTERS, (w + 1) * FILTERS)
                 gf = np.zeros_like(f)
                 for o in range(len(f)):
                     place = np.minimum(best[:, cols] + o, len(ids) - 1)
-                    gf[o] = np.einsum("bfd,bf->df", x[place], g_pooled[:, cols])
-                    g_rows.append((place.ravel(), (g_pooled[:, cols, None] * f[o].T[None]).reshape(-1, TABLES * DIM)))
+                    gf[o] = np.einsum("bfd,bf->df", x[place], g_best[:, cols])
+                    g_rows.append((place.ravel(), (g_best[:, cols, None] * f[o].T[None]).reshape(-1, TABLES * DIM)))
                 grads.append(gf + DECAY * f)
             grads += [g_pooled.sum(0), ramp.T @ g + DECAY * net.out]
             for q, s, d in zip(params, seen, grads):
@@ -232,6 +254,18 @@ def train(docs: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
     return net
 
 
+def _batches(order: np.ndarray, parts: list[np.ndarray]) -> Iterator[list[int]]:
+    """Documents in order, BATCH or BATCH_WORDS words at a time, which bounds the driver's memory."""
+    some, words = [], 0
+    for i in order.tolist():
+        if some and (len(some) == BATCH or words + len(parts[i]) > BATCH_WORDS):
+            yield some
+            some, words = [], 0
+        some.append(i)
+        words += len(parts[i])
+    yield some
+
+
 def train_calibrated(docs: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
     """Two networks, each trained on one half, show what logits unseen texts get: these give each language
     its threshold. The network returned is trained on all rows."""

@@ -21,7 +21,8 @@ def reach(nodes, near):
 
     def find(n):
         while root[n] != n:
-            n = root[n] = root[root[n]]
+            root[n] = root[root[n]]
+            n = root[n]
         return n
 
     for a in nodes:
