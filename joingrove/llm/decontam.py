@@ -27,8 +27,9 @@ BITS, BLOCKS, RADIUS = 64, 4, 15
 BLOCK_BITS = BITS // BLOCKS
 #: Bits flipped on the side of the windows and of the items; together RADIUS // BLOCKS.
 WINDOW_FLIPS, ITEM_FLIPS = 1, 2
-#: Rows up to which the shingles of the benchmark, or the keys of documents that share one, are broadcast.
-SMALL = 500_000
+#: Rows up to which the documents that share a shingle are broadcast with the places of their windows (about two
+#: kilobytes each, as measured), and up to which their keys or the shingles of the benchmark are (16 bytes).
+SMALL, KEYS = 20_000, 500_000
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -120,13 +121,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     hashed = items.select("item", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     grams = hashed.select("n", F.posexplode(_grams("h")).alias("place", "gram")).distinct()
     grams, seen = stage_observed(grams, "leak-grams", F.count(F.lit(1)).alias("rows"))
-    small = lambda df, rows: F.broadcast(df) if rows <= SMALL else df
 
     # Which documents share a shingle, and where the items it stands in would begin.
     rows = texts(docs, id_col, text_col).select("doc_id", text_key().alias("key"), "text")
     in_docs = (_hashed_words(rows, "doc_id", "key")
                .select("doc_id", "key", F.size("h").alias("of"), F.posexplode(_grams("h")).alias("at", "gram")))
-    begun = in_docs.join(small(grams, int(seen["rows"] or 0)), "gram")
+    begun = in_docs.join(F.broadcast(grams) if int(seen["rows"] or 0) <= KEYS else grams, "gram")
     start = F.greatest(F.least(F.col("at") - F.col("place"), F.col("of") - F.col("n")), F.lit(0))
     starts = (begun.select("doc_id", "key", start.alias("start"), "n").distinct()
               .groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("spans")))
@@ -134,7 +134,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                                    "leak-starts", F.count(F.lit(1)).alias("rows"))
 
     # The words of those windows; equal windows become one.
-    near = rows.join(small(starts, int(found["rows"] or 0)), rows.doc_id.eqNullSafe(F.col("s_id")) & (F.col("key") == F.col("s_key")))
+    n, same = int(found["rows"] or 0), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("key") == F.col("s_key"))
+    if SMALL < n <= KEYS:  # only the texts that are needed move
+        rows = rows.join(F.broadcast(starts.select("s_id", "s_key")), same, "left_semi")
+    near = rows.join(F.broadcast(starts) if n <= SMALL else starts, same)
     cut = (near.select("doc_id", "key", "spans", words(F.col("text")).alias("w"))
            .select("doc_id", "key", F.explode(F.transform(F.array_distinct("spans"), lambda s: F.struct(
                s["start"].alias("start"), F.slice("w", s["start"] + 1, s["n"]).alias("w"), F.size("w").alias("of")))).alias("s"))

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -81,9 +82,11 @@ def test_equals_all_windows_against_all_items(spark):
     assert len(got) > 60
 
 
-def test_without_broadcasts(spark, monkeypatch):
+@pytest.mark.parametrize("small, keys", [(0, 0), (0, 500_000)])
+def test_without_broadcasts(spark, monkeypatch, small, keys):
     docs, items = corpus()
-    monkeypatch.setattr(D, "SMALL", 0)
+    monkeypatch.setattr(D, "SMALL", small)
+    monkeypatch.setattr(D, "KEYS", keys)
     assert found(D.leaks(frame(spark, docs), frame(spark, items, "item_id"))).keys() == brute(docs, items).keys()
 
 
