@@ -64,37 +64,44 @@ def ascii_lower(word: Column) -> Column:
     return F.translate(word, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Stand behind the k-grams of each text, the second where it has no word; no word holds their characters. They match
+#: a template of this number, on the diagonal of the last word: texts are read once for words and matches.
+END, END_OF_NONE, LAST_WORD = "\x00", "\x00\x00", -1
+
+
 def _gram_rows(spark: SparkSession, known: list[Template]) -> DataFrame:
     """A row per k-gram of a template: its hash, its words, its place."""
     rows = [(" ".join(t.words[i:i + GRAM]), n, i) for n, t in enumerate(known) for i in range(len(t.words) - GRAM + 1)]
+    rows += [(END, LAST_WORD, 0), (END_OF_NONE, LAST_WORD, 1)]
     return (spark.createDataFrame(rows, "t_gram string, template int, place int")
             .select(F.xxhash64("t_gram").alias("gram"), "t_gram", "template", "place"))
 
 
 def votes(docs: DataFrame, known: list[Template], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key, template, place, at: verified matches of k-grams, `at` in words from 0."""
+    """doc_id, key, template, place, at: verified matches of k-grams, `at` in words from 0; and a row of
+    template LAST_WORD for each row of `docs`."""
     spark = docs.sparkSession
     words = F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))
     rows = texts(docs, id_col, text_col).select("doc_id", text_key().alias("key"), words.alias("w"))
     grams = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get("w", i + 1)))
-    grams = rows.select("doc_id", "key", F.posexplode(grams).alias("at", "raw"))
+    end = F.array(F.when(F.size("w") == 0, F.lit(END_OF_NONE)).otherwise(F.lit(END)))
+    grams = rows.select("doc_id", "key", F.posexplode(F.concat(grams, end)).alias("at", "raw"))
     # lower() also lowers letters beyond ASCII: it can only add candidates, which the comparison of words drops
     hashed = grams.select("doc_id", "key", "at", "raw", F.xxhash64(F.lower("raw")).alias("gram"))
     matched = hashed.join(F.broadcast(_gram_rows(spark, known)), "gram")  # a fixed number of templates
     return matched.where(ascii_lower(F.col("raw")) == F.col("t_gram")).select("doc_id", "key", "template", "place", "at")
 
 
-def spans(docs: DataFrame, known: list[Template] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key, template, start, words, cover: a row per verified occurrence of a template.
+def spans(found: DataFrame, known: list[Template]) -> DataFrame:
+    """doc_id, key, template, start, words, cover from `votes`: a row per verified occurrence of a template.
 
     A base template occurs where all its words stand in a row: its diagonal has every k-gram. Another
     occurs where one diagonal, or neighbouring ones together within STRETCH of its length, hold COVER of
     its k-grams.
     """
-    known = known or templates()
     size = F.create_map(*[F.lit(x) for n, t in enumerate(known) for x in (n, len(t.words))])[F.col("template")]
     base = F.col("template").isin([n for n, t in enumerate(known) if t.base] or [-1])
-    diagonals = (votes(docs, known, id_col, text_col)
+    diagonals = (found.where(F.col("template") != LAST_WORD)
                  .groupBy("doc_id", "key", "template", (F.col("at") - F.col("place")).alias("diagonal"))
                  .agg(F.collect_set("place").alias("places"), F.min("at").alias("first"), F.max("at").alias("last")))
     # Neighbours: occurrences on one diagonal are apart by construction, so a new one starts at a jump.
@@ -126,7 +133,8 @@ def scan(docs: DataFrame, known: list[Template] | None = None, id_col: str = "do
     """
     known = known or templates()
     label = F.create_map(*[F.lit(x) for n, t in enumerate(known) for x in (n, t.label)])[F.col("template")]
-    found = (spans(docs, known, id_col, text_col)
+    voted = stage(votes(docs, known, id_col, text_col), "licence-votes")
+    found = (spans(voted, known)
              .groupBy("doc_id", "key")
              .agg(F.sum(F.col("base").cast("long")).alias("n_base"),
                   F.min(F.when(F.col("base"), F.col("start"))).alias("first_word"),
@@ -134,9 +142,10 @@ def scan(docs: DataFrame, known: list[Template] | None = None, id_col: str = "do
                   F.array_join(F.sort_array(F.collect_set(F.when(F.col("base"), label))), ",").alias("base_labels"),
                   F.array_join(F.sort_array(F.collect_set(label)), ",").alias("labels"),
                   F.max("cover").alias("score")))
-    found = stage(found.select(F.col("doc_id").alias("f_id"), F.col("key").alias("f_key"),
-                               *[c for c in found.columns if c not in ("doc_id", "key")]), "licences")
-    rows = texts(docs, id_col, text_col).select("doc_id", text_key().alias("key"), F.regexp_count("text", F.lit(WORDS)).cast("long").alias("n_words"))
+    found = found.select(F.col("doc_id").alias("f_id"), F.col("key").alias("f_key"),
+                         *[c for c in found.columns if c not in ("doc_id", "key")])
+    rows = voted.where(F.col("template") == LAST_WORD).select(
+        "doc_id", "key", (F.col("at") - F.col("place") + 1).cast("long").alias("n_words"))
     joined = rows.join(found, rows.doc_id.eqNullSafe(found.f_id) & (rows.key == found.f_key), "left")
     return joined.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
                          F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
