@@ -9,7 +9,6 @@ best fit decreasing places the rest, and pieces then take their places by their
 from __future__ import annotations
 
 import base64
-import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
@@ -26,8 +25,8 @@ from joingrove.llm.common import map_batches, stage, texts
 CAPACITY, END = 2048, 0
 #: Pieces of one length that are ranked in one task.
 RANKED = 200_000
-#: Stretches of text whose ids a worker remembers.
-REMEMBER = 300_000
+#: Words whose ids a worker remembers.
+REMEMBER = 500_000
 
 PIECE_COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -43,10 +42,12 @@ def tokenizer_path() -> str:
 class Encoder:
     """Ids as little-endian bytes. Special tokens in a text are ordinary text.
 
-    Where all white space is single blanks and line ends, stretches between them are encoded once and
+    Where all white space is single blanks and line ends, words between them are encoded once and
     remembered: the vocabulary's split never joins what such a blank separates. Other texts are encoded whole.
     """
-    _other_space = re.compile(r"\s\s|[^\S \n]")
+    _together = ("  ", "\n\n", " \n", "\n ")
+    _other_space = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+    _other_ascii = tuple(c for c in _other_space if c.isascii())
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -55,43 +56,55 @@ class Encoder:
         self.bpe = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.line = self.whole("\n")
         self.line_id = int(np.frombuffer(self.line, "<u4")[0])
-        self.known = {"": b"", " ": self.whole(" "), "\n": self.line}
+        # By word: the ids of a blank and the word, or, with a line end in front, of the line end and the word.
+        self.known = {"": self.whole(" "), "\n": self.line}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
 
+    def plain(self, text: str) -> bool:
+        """Whether all white space is single blanks and line ends."""
+        other = self._other_ascii if text.isascii() else self._other_space
+        return not any(c in text for c in self._together) and not any(c in text for c in other)
+
     def batch(self, bodies: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
+        waiting, missing = [], set()
         for t in bodies:
-            if self._other_space.search(t):
-                split.append(None)
+            if not self.plain(t):
+                waiting.append((t, None))
                 continue
-            units = []
+            names = []
             for line in t.split("\n"):
-                first, *rest = line.split(" ")
-                units.append(first)
-                units += [" " + w for w in rest]
-                units.append("\n")
-            units.pop()
-            split.append(units)
-        new = list({u for units in split if units for u in units if u not in self.known})
-        fresh = dict(zip(new, self._each(new))) if new else {}
-        known = self.known
-        if len(known) + len(fresh) <= REMEMBER:
-            known.update(fresh)
-            fresh = known
-        get = known.get
-        return [self.whole(t) if units is None else b"".join([get(u) or fresh.get(u, b"") for u in units])
-                for t, units in zip(bodies, split)]
-
-    def _each(self, units: list[str]) -> Iterator[bytes]:
-        """Many stretches at once, with line ends between them, which nothing merges with."""
-        for i in range(0, len(units), 20_000):
-            some = units[i:i + 20_000]
-            ids = np.array(self.bpe.encode_ordinary("\n".join(some)), "<u4")
+                words = line.split(" ")
+                words[0] = "\n" + words[0]
+                names += words
+            ids = list(map(self.known.get, names))
+            gaps = [(i, names[i]) for i, found in enumerate(ids) if found is None]
+            missing.update(name for _, name in gaps)
+            waiting.append((ids, gaps))
+        new = list(missing)
+        fresh = dict(zip(new, self._each(new)))
+        if len(self.known) + len(fresh) <= REMEMBER:
+            self.known.update(fresh)
+        out = []
+        for ids, gaps in waiting:
+            if gaps is None:
+                out.append(self.whole(ids))
+                continue
+            for i, name in gaps:
+                ids[i] = fresh[name]
+            out.append(b"".join(ids)[4:])  # the first line has no line end before it
+        return out
+
+    def _each(self, names: list[str]) -> Iterator[bytes]:
+        """Many words at once, with line ends between them, which nothing merges with."""
+        for i in range(0, len(names), 20_000):
+            some = names[i:i + 20_000]
+            ids = np.array(self.bpe.encode_ordinary("\n".join([n[1:] if n[0] == "\n" else " " + n for n in some])), "<u4")
             data, ends = ids.tobytes(), np.append(np.flatnonzero(ids == self.line_id), len(ids)) * 4
             starts = np.append(0, ends[:-1] + 4)
-            yield from (data[s:e] for s, e in zip(starts.tolist(), ends.tolist()))
+            for name, start, end in zip(some, starts.tolist(), ends.tolist()):
+                yield self.line + data[start:end] if name[0] == "\n" else data[start:end]
 
 
 @cache
