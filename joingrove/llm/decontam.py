@@ -1,14 +1,10 @@
 """Benchmark decontamination by SimHash over item-sized windows, in DataFrame operations only.
 
-A window of as many words as a benchmark item has is fingerprinted by the SimHash of its five-word
-shingles. Items lie within RADIUS bits of a window exactly if at least one of BLOCKS blocks of the two
-fingerprints differs in at most RADIUS // BLOCKS bits, so an index over block values, with the allowed
-flips split between its two sides, finds all of them. The exact similarity of the weighted shingle sets
-(weights are counts) decides.
-
-A window without any shingle of an item has similarity 0 to all of them. Only windows that put a shared
-shingle where the item has it are therefore fingerprinted, and equal windows only once, in however
-many documents they stand.
+A window of as many words as a benchmark item has is compared with it by the weighted sets of their five-word
+shingles (weights are counts). A window that is similar enough has one of the item's rarest shingles, which
+names the candidates; where the item's shingles stand in the document then gives the similarity of all windows at
+once, whatever the order of the shingles. The best window of each document and item is fingerprinted by the
+SimHash of its shingles, equal windows only once, in however many documents they stand.
 """
 
 from __future__ import annotations
@@ -18,6 +14,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from joingrove.llm.common import join_hot, stage, text_key, texts
 from joingrove.sources.staging import stage_observed
@@ -106,6 +103,50 @@ def _counted(rows: DataFrame, key: str, words_col: str = "w") -> DataFrame:
             .groupBy(key, "shingle").agg(F.count(F.lit(1)).alias("n")))
 
 
+def _in_docs(rows: DataFrame, *keep: str) -> DataFrame:
+    """`keep`, at and gram: a row per shingle of the word hashes h."""
+    return rows.select(*keep, F.posexplode(_grams("h")).alias("at", "gram"))
+
+
+def _rarest(item_grams: DataFrame, similarity: float) -> DataFrame:
+    """gram, item: shingles of each item, rarest in the benchmark first, of which every window that is similar has one.
+
+    A similar window shares at least `similarity` of the item's shingles, so it cannot miss more than the rest.
+    """
+    per_gram = item_grams.groupBy("gram").agg(F.sum("c").alias("everywhere"))
+    before = F.sum("c").over(W.partitionBy("item").orderBy("everywhere", "gram").rowsBetween(W.unboundedPreceding, -1))
+    missable = F.col("m") - F.ceil(F.col("m") * similarity - 1e-9)
+    return (item_grams.join(per_gram, "gram").withColumn("before", F.coalesce(before, F.lit(0)))
+            .where(F.col("before") <= missable).select("gram", "item"))
+
+
+def _best_windows(hits: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, key, item, n, start, similarity: the best window of each document and item, where similar enough.
+
+    `hits` has a row per place in a document of a shingle of a candidate item: doc_id, key, of (words of the document),
+    item, n (words), m (shingles), gram, c (how often the item has it), at. A place counts in the windows that hold it
+    and not the c-th place of its shingle before it, which is one run of window starts; the sum of the runs
+    over a start is the weight that its window shares with the item.
+    """
+    pair = ["doc_id", "key", "item"]
+    last, shape = F.greatest(F.col("of") - F.col("n"), F.lit(0)), ["of", "n", "m"]
+    run = lambda p, i: F.struct(
+        F.greatest(F.coalesce(F.get("places", (i - F.col("c")).cast("int")), F.lit(-1)) + 1, p - F.col("m") + 1, F.lit(0)).alias("first"),
+        F.least(p, last).alias("last"))
+    runs = (hits.groupBy(*pair, *shape, "gram", "c").agg(F.sort_array(F.collect_set("at")).alias("places"))
+            .select(*pair, *shape, F.explode(F.transform("places", run)).alias("r")).where("r.first <= r.last"))
+    steps = runs.select(*pair, *shape, F.explode(F.array(
+        F.struct(F.col("r.first").alias("start"), F.lit(1).alias("step")),
+        F.struct((F.col("r.last") + 1).alias("start"), F.lit(-1).alias("step")))).alias("s"))
+    shared = F.sum("step").over(W.partitionBy(*pair).orderBy("start"))
+    best = (steps.groupBy(*pair, *shape, "s.start").agg(F.sum("s.step").alias("step")).withColumn("common", shared)
+            .groupBy(*pair, *shape).agg(F.max(F.struct("common", (-F.col("start")).alias("back"))).alias("b")))
+    own = F.col("m") - F.greatest(F.col("n") - F.col("of"), F.lit(0))  # shingles of the window
+    return (best.withColumn("similarity", F.col("b.common") / (own + F.col("m") - F.col("b.common")))
+            .where(F.col("similarity") >= similarity)
+            .select(*pair, "n", (-F.col("b.back")).alias("start"), "similarity"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, key, item_id, start_word, n_words, distance, similarity: the best window of each document and item.
@@ -117,55 +158,52 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     items = (benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(item_text_col, F.lit("")).alias("text"))
              .where("item_id is not null").withColumn("item", F.xxhash64("item_id", "text")).distinct())
-    items = stage(items.select("item_id", "item", words(F.col("text")).alias("w")).where(F.size("w") >= SHINGLE), "leak-items")
+    items, known = stage_observed(items.select("item_id", "item", words(F.col("text")).alias("w")).where(F.size("w") >= SHINGLE),
+                                  "leak-items", F.count(F.lit(1)).alias("rows"))
     hashed = items.select("item", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    grams = hashed.select("n", F.posexplode(_grams("h")).alias("place", "gram")).distinct()
+    grams = (hashed.select("item", "n", F.size(_grams("h")).alias("m"), F.explode(_grams("h")).alias("gram"))
+             .groupBy("item", "n", "m", "gram").agg(F.count(F.lit(1)).alias("c")))
     grams, seen = stage_observed(grams, "leak-grams", F.count(F.lit(1)).alias("rows"))
+    small = lambda d, counted: F.broadcast(d) if int(counted["rows"] or 0) <= KEYS else d
 
-    # Which documents share a shingle, and where the items it stands in would begin.
+    # Which documents may hold which items.
     rows = texts(docs, id_col, text_col).select("doc_id", text_key().alias("key"), "text")
-    in_docs = (_hashed_words(rows, "doc_id", "key")
-               .select("doc_id", "key", F.size("h").alias("of"), F.posexplode(_grams("h")).alias("at", "gram")))
-    begun = in_docs.join(F.broadcast(grams) if int(seen["rows"] or 0) <= KEYS else grams, "gram")
-    start = F.greatest(F.least(F.col("at") - F.col("place"), F.col("of") - F.col("n")), F.lit(0))
-    starts = (begun.select("doc_id", "key", start.alias("start"), "n").distinct()
-              .groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("spans")))
-    starts, found = stage_observed(starts.select(F.col("doc_id").alias("s_id"), F.col("key").alias("s_key"), "spans"),
-                                   "leak-starts", F.count(F.lit(1)).alias("rows"))
+    rare = stage(_rarest(grams, similarity), "leak-rarest")
+    pairs = (_in_docs(_hashed_words(rows, "doc_id", "key"), "doc_id", "key").join(small(rare, seen), "gram")
+             .groupBy("doc_id", "key").agg(F.collect_set("item").alias("items")))
+    pairs, found = stage_observed(pairs.select(F.col("doc_id").alias("s_id"), F.col("key").alias("s_key"), "items"),
+                                  "leak-pairs", F.count(F.lit(1)).alias("rows"))
 
-    # The words of those windows; equal windows become one.
+    # The best window of each, from all places of the item's shingles.
     n, same = int(found["rows"] or 0), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("key") == F.col("s_key"))
     if SMALL < n <= KEYS:  # only the texts that are needed move
-        rows = rows.join(F.broadcast(starts.select("s_id", "s_key")), same, "left_semi")
-    near = rows.join(F.broadcast(starts) if n <= SMALL else starts, same)
-    cut = (near.select("doc_id", "key", "spans", words(F.col("text")).alias("w"))
-           .select("doc_id", "key", F.explode(F.transform(F.array_distinct("spans"), lambda s: F.struct(
-               s["start"].alias("start"), F.slice("w", s["start"] + 1, s["n"]).alias("w"), F.size("w").alias("of")))).alias("s"))
-           .select("doc_id", "key", "s.start", "s.w"))
-    windows, total = stage_observed(cut.withColumn("wid", F.xxhash64("w")), "leak-windows", F.count(F.lit(1)).alias("rows"))
-    distinct = stage(windows.groupBy("wid").agg(F.first("w").alias("w"), F.count(F.lit(1)).alias("n_rows")), "leak-distinct")
-
-    window_shingles = stage(_counted(distinct, "wid"), "leak-window-shingles")
-    item_shingles = stage(_counted(items.select("item", "w"), "item"), "leak-item-shingles")
-    candidates = within_radius(_fingerprints(window_shingles, "wid"), _fingerprints(item_shingles, "item"))
-
-    # Exact similarity of the candidates.
-    both = (candidates.join(window_shingles.withColumnRenamed("n", "nw"), "wid")
-            .join(item_shingles.withColumnRenamed("n", "ni"), ["item", "shingle"], "left"))
-    weight = lambda d, k, c: d.groupBy(k).agg(F.sum("n").alias(c))
-    scored = (both.groupBy("wid", "item", "distance").agg(F.sum(F.least("nw", F.coalesce("ni", F.lit(0)))).alias("common"), F.sum("nw").alias("w"))
-              .join(weight(item_shingles, "item", "i"), "item")
-              .select("wid", "item", "distance", (F.col("common") / (F.col("w") + F.col("i") - F.col("common"))).alias("similarity"))
-              .where(F.col("similarity") >= similarity))
-    verified = stage(scored.join(items.select("item", "item_id"), "item")
-                     .join(distinct.select("wid", "n_rows"), "wid")
-                     .select("wid", "n_rows", "item_id", "distance", "similarity"), "leak-verified")
-    at = windows.select("doc_id", "key", "start", F.size("w").alias("n_words"), "wid")
-    hits = join_hot(at, verified, "wid", "n_rows", int(total["rows"] or 0))
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words", "distance")).alias("b")
-    return (hits.groupBy("doc_id", "key", "item_id").agg(best)
-            .select("doc_id", "key", "item_id", (-F.col("b.back")).cast("long").alias("start_word"), F.col("b.n_words").cast("long").alias("n_words"),
-                    F.col("b.distance").cast("int").alias("distance"), F.col("b.similarity").alias("similarity")))
+        rows = rows.join(F.broadcast(pairs.select("s_id", "s_key")), same, "left_semi")
+    near = rows.join(F.broadcast(pairs) if n <= SMALL else pairs, same)
+    near = stage(near.select("doc_id", "key", "items", words(F.col("text")).alias("w")), "leak-texts")
+    places = (_in_docs(near.select("doc_id", "key", "items", F.size("w").alias("of"), F.transform("w", lambda x: F.xxhash64(x)).alias("h")),
+                       "doc_id", "key", "items", "of")
+              .select("doc_id", "key", "of", "at", "gram", F.explode("items").alias("item")))
+    best = stage(_best_windows(places.join(small(grams, seen), ["item", "gram"]), similarity), "leak-best")
+
+    # The words of those windows; equal windows become one.
+    spans = (best.groupBy(F.col("doc_id").alias("s_id"), F.col("key").alias("s_key"))
+             .agg(F.collect_list(F.struct("item", "start", "n", "similarity")).alias("spans")))
+    cut = (near.join(spans, same).select("doc_id", "key", "w", F.explode("spans").alias("s"))
+           .select("doc_id", "key", "s.item", "s.start", "s.similarity", F.slice("w", F.col("s.start").cast("int") + 1, F.col("s.n")).alias("w")))
+    windows, total = stage_observed(cut.withColumn("wid", F.xxhash64("w")).withColumn("pair", F.xxhash64("wid", "item")),
+                                    "leak-windows", F.count(F.lit(1)).alias("rows"))
+    distinct = windows.groupBy("wid").agg(F.first("w").alias("w"))
+    prints = _fingerprints(_counted(distinct, "wid"), "wid")
+    item_prints = (_fingerprints(_counted(items.select("item", "w"), "item"), "item").withColumnRenamed("fp", "item_fp")
+                   .join(items.select("item", "item_id"), "item"))
+    verified = (windows.groupBy("pair", "wid", "item").agg(F.count(F.lit(1)).alias("n_rows"))
+                .join(prints, "wid").join(small(item_prints, known), "item")
+                .select("pair", "n_rows", "item_id", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance")))
+    verified = stage(verified.where(F.col("distance") <= RADIUS), "leak-verified")
+    at = windows.select("doc_id", "key", "start", F.size("w").alias("n_words"), "similarity", "pair")
+    return (join_hot(at, verified, "pair", "n_rows", int(total["rows"] or 0)).distinct()
+            .select("doc_id", "key", "item_id", F.col("start").cast("long").alias("start_word"), F.col("n_words").cast("long").alias("n_words"),
+                    F.col("distance").cast("int").alias("distance"), "similarity"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -141,3 +141,16 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count() - 3
     assert D.leaks(no_docs, items).count() == 0 and D.leaks(odd_docs, items.limit(0)).count() == 0
     assert D.without_leaks(odd_docs, items.limit(0)).count() == odd_docs.count()
+
+
+def test_swapped_halves_are_found(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    items = {n: text(n) for n in (40, 50, 59, 90)}
+    docs = {}
+    for n, t in items.items():
+        w = t.split()
+        docs[n] = f"{text(100)} {' '.join(w[n // 2:] + w[:n // 2])} {text(100)}"
+    got = found(D.leaks(frame(spark, docs), frame(spark, items, "item_id")))
+    assert {k: round(v, 9) for k, v in got.items()} == {(n, n): round((n - 8) / n, 9) for n in items}
+    assert got.keys() == brute(docs, items).keys()
