@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash over item-sized windows, in DataFrame operations only.
 
 A window of as many words as a benchmark item has is compared with it by the weighted sets of their five-word
-shingles (weights are counts). A window that is similar enough has one of the item's rarest shingles, which
+shingles (weights are counts; fewer than five words are one shingle). A window that is similar enough has one of the item's rarest shingles, which
 names the candidates; where the item's shingles stand in the document then gives the similarity of all windows at
 once, whatever the order of the shingles. The best window of each document and item is fingerprinted by the
 SimHash of its shingles, equal windows only once, in however many documents they stand.
@@ -28,20 +28,31 @@ WINDOW_FLIPS, ITEM_FLIPS = 1, 2
 #: kilobytes each, as measured), and up to which their keys or the shingles of the benchmark are (16 bytes).
 SMALL, KEYS = 20_000, 500_000
 WORD = r"[\p{L}\p{N}]+"
+#: Letters of scripts that put no blanks between words: Thai, Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3031-\u3035\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}]"
 
 
 # ---------------------------------------------------------------- words, shingles, fingerprints
 
 def words(text: Column) -> Column:
-    """Runs of letters and digits in lower case: neither marks nor white space matter."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    """Runs of letters and digits in lower case: neither marks nor white space matter.
+
+    Where a script has no blanks between words, each of its letters is a word, so a passage has the same words alone and
+    inside a longer run.
+    """
+    return F.regexp_extract_all(F.regexp_replace(F.lower(text), UNSPACED, " $0 "), F.lit(WORD), F.lit(0))
 
 
-def _grams(hashes: str) -> Column:
-    """The hash of each shingle of an array of word hashes, in order; empty for fewer words."""
-    n = F.size(hashes) - (SHINGLE - 1)
+def _grams(hashes: str, size: int = SHINGLE) -> Column:
+    """The hash of each shingle of `size` words of an array of word hashes, in order; empty for fewer words."""
+    n = F.size(hashes) - (size - 1)
     at = F.slice(hashes, 1, F.greatest(n, F.lit(0)))
-    return F.transform(at, lambda x, i: F.xxhash64(x, *[F.get(hashes, i + k) for k in range(1, SHINGLE)]))
+    return F.transform(at, lambda x, i: F.xxhash64(x, *[F.get(hashes, i + k) for k in range(1, size)]))
+
+
+def _item_grams(hashes: str) -> Column:
+    """As `_grams`; of fewer than SHINGLE words the one shingle of all of them."""
+    return F.coalesce(*[F.when(F.size(hashes) == k, _grams(hashes, k)) for k in range(1, SHINGLE)], _grams(hashes))
 
 
 def _hashed_words(rows: DataFrame, *keep: str) -> DataFrame:
@@ -50,23 +61,23 @@ def _hashed_words(rows: DataFrame, *keep: str) -> DataFrame:
 
 
 def _shingles(words_col: str) -> Column:
-    """The shingles of an array of words, as text."""
-    n = F.size(words_col) - (SHINGLE - 1)
-    return F.transform(F.slice(words_col, 1, F.greatest(n, F.lit(0))),
+    """The shingles of an array of words, as text; fewer than SHINGLE words are one shingle."""
+    n = F.greatest(F.size(words_col) - (SHINGLE - 1), F.least(F.size(words_col), F.lit(1)))
+    return F.transform(F.slice(words_col, 1, n),
                        lambda x, i: F.array_join(F.slice(words_col, i + 1, SHINGLE), " "))
 
 
 def _fingerprints(counted: DataFrame, key: str) -> DataFrame:
     """key, fp from rows of key, shingle, n: bit b is set if more than half of the weight has it.
 
-    Four bits share one sum of a long, sixteen bits of it each, so a window may have 65,535 shingles.
+    Two bits share one sum of a long, 32 bits of it each: more than an array has places for shingles.
     """
-    spread, ones = F.lit(1 + (1 << 15) + (1 << 30) + (1 << 45)), F.lit(1 + (1 << 16) + (1 << 32) + (1 << 48))
+    spread, ones = F.lit(1 + (1 << 31)), F.lit(1 + (1 << 32))
     h = counted.select(key, "n", F.xxhash64("shingle").alias("h"))
-    lanes = [F.sum((F.shiftrightunsigned("h", 4 * k).bitwiseAND(F.lit(15)) * spread).bitwiseAND(ones) * F.col("n")).alias(f"s{k}")
-             for k in range(BITS // 4)]
+    lanes = [F.sum((F.shiftrightunsigned("h", 2 * k).bitwiseAND(F.lit(3)) * spread).bitwiseAND(ones) * F.col("n")).alias(f"s{k}")
+             for k in range(BITS // 2)]
     sums = h.groupBy(key).agg(F.sum("n").alias("n"), *lanes)
-    bits = [F.when(F.shiftrightunsigned(f"s{b // 4}", 16 * (b % 4)).bitwiseAND(F.lit(65535)) * 2 > F.col("n"),
+    bits = [F.when(F.shiftrightunsigned(f"s{b // 2}", 32 * (b % 2)).bitwiseAND(F.lit((1 << 32) - 1)) * 2 > F.col("n"),
                    F.lit(_signed(1 << b))).otherwise(F.lit(0).cast("long")) for b in range(BITS)]
     return sums.select(key, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp"))
 
@@ -103,9 +114,12 @@ def _counted(rows: DataFrame, key: str, words_col: str = "w") -> DataFrame:
             .groupBy(key, "shingle").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _in_docs(rows: DataFrame, *keep: str) -> DataFrame:
-    """`keep`, at and gram: a row per shingle of the word hashes h."""
-    return rows.select(*keep, F.posexplode(_grams("h")).alias("at", "gram"))
+def _in_docs(rows: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
+    """`keep`, at and gram: a row per shingle of each of `sizes` (words) of the word hashes h."""
+    if sizes == [SHINGLE]:
+        return rows.select(*keep, F.posexplode(_grams("h")).alias("at", "gram"))
+    placed = [F.transform(_grams("h", k), lambda x, i: F.struct(i.alias("at"), x.alias("gram"))) for k in sizes]
+    return rows.select(*keep, F.explode(F.concat(*placed)).alias("g")).select(*keep, "g.at", "g.gram")
 
 
 def _rarest(item_grams: DataFrame, similarity: float) -> DataFrame:
@@ -153,23 +167,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     A row stands for a window of the item's number of words (or the whole document, if shorter) whose
     fingerprint lies within RADIUS bits of the item's and whose shingles are similar enough. Best is the most
-    similar, then the earliest. Null or empty texts, items of fewer than five words and null item ids give
-    nothing; items with equal ids are one row each by their text; rows repeated in id and text count once.
+    similar, then the earliest. An item of fewer than five words has one shingle, so it is found where all its words
+    stand in its order. Null or empty texts, items without words and null item ids give nothing; items with equal
+    ids are one row each by their text; rows repeated in id and text count once.
     """
     items = (benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(item_text_col, F.lit("")).alias("text"))
              .where("item_id is not null").withColumn("item", F.xxhash64("item_id", "text")).distinct())
-    items, known = stage_observed(items.select("item_id", "item", words(F.col("text")).alias("w")).where(F.size("w") >= SHINGLE),
+    items, known = stage_observed(items.select("item_id", "item", words(F.col("text")).alias("w")).where(F.size("w") > 0),
                                   "leak-items", F.count(F.lit(1)).alias("rows"))
     hashed = items.select("item", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    grams = (hashed.select("item", "n", F.size(_grams("h")).alias("m"), F.explode(_grams("h")).alias("gram"))
-             .groupBy("item", "n", "m", "gram").agg(F.count(F.lit(1)).alias("c")))
+    m = F.col("n") - F.least(F.col("n"), F.lit(SHINGLE)) + 1
+    grams = (hashed.select("item", "n", F.explode(_item_grams("h")).alias("gram"))
+             .groupBy("item", "n", "gram").agg(F.count(F.lit(1)).alias("c")).withColumn("m", m))
     grams, seen = stage_observed(grams, "leak-grams", F.count(F.lit(1)).alias("rows"))
+    sizes = sorted(r[0] for r in items.select(F.least(F.size("w"), F.lit(SHINGLE))).distinct().collect()) or [SHINGLE]  # at most five
     small = lambda d, counted: F.broadcast(d) if int(counted["rows"] or 0) <= KEYS else d
 
     # Which documents may hold which items.
     rows = texts(docs, id_col, text_col).select("doc_id", text_key().alias("key"), "text")
     rare = stage(_rarest(grams, similarity), "leak-rarest")
-    pairs = (_in_docs(_hashed_words(rows, "doc_id", "key"), "doc_id", "key").join(small(rare, seen), "gram")
+    pairs = (_in_docs(_hashed_words(rows, "doc_id", "key"), sizes, "doc_id", "key").join(small(rare, seen), "gram")
              .groupBy("doc_id", "key").agg(F.collect_set("item").alias("items")))
     pairs, found = stage_observed(pairs.select(F.col("doc_id").alias("s_id"), F.col("key").alias("s_key"), "items"),
                                   "leak-pairs", F.count(F.lit(1)).alias("rows"))
@@ -181,15 +198,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     near = rows.join(F.broadcast(pairs) if n <= SMALL else pairs, same)
     near = stage(near.select("doc_id", "key", "items", words(F.col("text")).alias("w")), "leak-texts")
     places = (_in_docs(near.select("doc_id", "key", "items", F.size("w").alias("of"), F.transform("w", lambda x: F.xxhash64(x)).alias("h")),
-                       "doc_id", "key", "items", "of")
+                       sizes, "doc_id", "key", "items", "of")
               .select("doc_id", "key", "of", "at", "gram", F.explode("items").alias("item")))
     best = stage(_best_windows(places.join(small(grams, seen), ["item", "gram"]), similarity), "leak-best")
 
     # The words of those windows; equal windows become one.
     spans = (best.groupBy(F.col("doc_id").alias("s_id"), F.col("key").alias("s_key"))
              .agg(F.collect_list(F.struct("item", "start", "n", "similarity")).alias("spans")))
-    cut = (near.join(spans, same).select("doc_id", "key", "w", F.explode("spans").alias("s"))
-           .select("doc_id", "key", "s.item", "s.start", "s.similarity", F.slice("w", F.col("s.start").cast("int") + 1, F.col("s.n")).alias("w")))
+    cut = (near.join(spans, same).select("doc_id", "key", F.explode(F.transform("spans", lambda s: F.struct(
+               s["item"].alias("item"), s["start"].alias("start"), s["similarity"].alias("similarity"),
+               F.slice("w", s["start"].cast("int") + 1, s["n"]).alias("w")))).alias("s"))
+           .select("doc_id", "key", "s.item", "s.start", "s.similarity", "s.w"))
     windows, total = stage_observed(cut.withColumn("wid", F.xxhash64("w")).withColumn("pair", F.xxhash64("wid", "item")),
                                     "leak-windows", F.count(F.lit(1)).alias("rows"))
     distinct = windows.groupBy("wid").agg(F.first("w").alias("w"))

@@ -154,3 +154,21 @@ def test_swapped_halves_are_found(spark):
     got = found(D.leaks(frame(spark, docs), frame(spark, items, "item_id")))
     assert {k: round(v, 9) for k, v in got.items()} == {(n, n): round((n - 8) / n, 9) for n in items}
     assert got.keys() == brute(docs, items).keys()
+
+
+def test_short_unspaced_and_huge_items(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    huge = text(70_000)
+    items = {1: "three Short words", 2: "床前明月光疑是地上霜", 3: "สวัสดีชาวโลกทั้งหมด", 4: huge, 5: "?!", 6: "unique", 7: "漢字"}
+    docs = {1: f"{text(9)} three, short WORDS {text(9)}", 2: "昔人云床前明月光疑是地上霜舉頭望", 3: "ก่อนสวัสดีชาวโลกทั้งหมดแล้ว", 4: f"{text(50)} {huge} {text(50)}",
+            5: "short three words", 6: "Unique", 7: "一漢字二", 8: "字漢", 9: "three short", 10: "光月明前床霜上地是疑"}
+    got = found(D.leaks(frame(spark, docs), frame(spark, items, "item_id")))
+    assert got == {(i, i): 1.0 for i in (1, 2, 3, 4, 6, 7)}
+
+
+def test_fingerprint_of_more_shingles_than_sixteen_bits_count(spark):
+    rng = random.Random(10)
+    counts = Counter({f"s{i}": rng.choice([1, 30_000, 2**20]) for i in range(300)})
+    rows = spark.createDataFrame([(1, s, n) for s, n in counts.items()], "wid long, shingle string, n long")
+    assert D._fingerprints(rows, "wid").first()["fp"] % (1 << 64) == fingerprint(counts)
