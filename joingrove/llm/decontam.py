@@ -20,10 +20,10 @@ from joingrove.llm.common import join_hot, stage, text_key, texts
 from joingrove.sources.staging import stage_observed
 
 SHINGLE, SIMILARITY = 5, 0.8
-BITS, BLOCKS, RADIUS = 64, 4, 15
+BITS, BLOCKS, RADIUS = 64, 4, 19
 BLOCK_BITS = BITS // BLOCKS
 #: Bits flipped on the side of the windows and of the items; together RADIUS // BLOCKS.
-WINDOW_FLIPS, ITEM_FLIPS = 1, 2
+WINDOW_FLIPS, ITEM_FLIPS = 2, 2
 #: Rows up to which the documents that share a shingle are broadcast with the places of their windows (about two
 #: kilobytes each, as measured), and up to which their keys or the shingles of the benchmark are (16 bytes).
 SMALL, KEYS = 20_000, 500_000
@@ -98,7 +98,12 @@ def _blocks(rows: DataFrame, key: str, flips: int) -> DataFrame:
 
 
 def within_radius(windows: DataFrame, items: DataFrame) -> DataFrame:
-    """wid, item, distance: all pairs of fingerprints (wid, fp) and (item, fp) at RADIUS bits or less."""
+    """wid, item, distance: all pairs of fingerprints (wid, fp) and (item, fp) at RADIUS bits or less.
+
+    For fingerprints without their texts: at least one of BLOCKS blocks differs in at most RADIUS // BLOCKS bits, and
+    those flips are split between the two sides. `leaks` has the texts and does not go through it, since any radius
+    loses some pairs that are similar enough.
+    """
     a = _blocks(windows, "wid", WINDOW_FLIPS)
     b = _blocks(items, "item", ITEM_FLIPS).withColumnRenamed("fp", "item_fp")
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
@@ -166,7 +171,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """doc_id, key, item_id, start_word, n_words, distance, similarity: the best window of each document and item.
 
     A row stands for a window of the item's number of words (or the whole document, if shorter) whose
-    fingerprint lies within RADIUS bits of the item's and whose shingles are similar enough. Best is the most
+    shingles are similar enough, however far the fingerprints lie apart (distance, in bits). Best is the most
     similar, then the earliest. An item of fewer than five words has one shingle, so it is found where all its words
     stand in its order. Null or empty texts, items without words and null item ids give nothing; items with equal
     ids are one row each by their text; rows repeated in id and text count once.
@@ -218,7 +223,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     verified = (windows.groupBy("pair", "wid", "item").agg(F.count(F.lit(1)).alias("n_rows"))
                 .join(prints, "wid").join(small(item_prints, known), "item")
                 .select("pair", "n_rows", "item_id", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance")))
-    verified = stage(verified.where(F.col("distance") <= RADIUS), "leak-verified")
+    verified = stage(verified, "leak-verified")
     at = windows.select("doc_id", "key", "start", F.size("w").alias("n_words"), "similarity", "pair")
     return (join_hot(at, verified, "pair", "n_rows", int(total["rows"] or 0)).distinct()
             .select("doc_id", "key", "item_id", F.col("start").cast("long").alias("start_word"), F.col("n_words").cast("long").alias("n_words"),

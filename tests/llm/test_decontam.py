@@ -172,3 +172,16 @@ def test_fingerprint_of_more_shingles_than_sixteen_bits_count(spark):
     counts = Counter({f"s{i}": rng.choice([1, 30_000, 2**20]) for i in range(300)})
     rows = spark.createDataFrame([(1, s, n) for s, n in counts.items()], "wid long, shingle string, n long")
     assert D._fingerprints(rows, "wid").first()["fp"] % (1 << 64) == fingerprint(counts)
+
+
+def test_no_pair_is_lost_to_a_radius(spark):
+    rng = random.Random(11)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    items, docs, far = {i: text(49) for i in range(400)}, {}, 0
+    for i, t in items.items():  # one word of 49 replaced: 40 of 50 shingles are shared
+        w = t.split()
+        w[rng.randrange(10, 39)] = "other"
+        docs[i] = f"{text(5)} {' '.join(w)} {text(5)}"
+        far += (fingerprint(shingles(w)) ^ fingerprint(shingles(t.split()))).bit_count() > 15
+    got = found(D.leaks(frame(spark, docs), frame(spark, items, "item_id")))
+    assert got == {(i, i): 0.8 for i in items} and far > 0
