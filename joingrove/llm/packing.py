@@ -9,6 +9,8 @@ best fit decreasing places the rest, and pieces then take their places by their
 from __future__ import annotations
 
 import base64
+import json
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
@@ -40,7 +42,7 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """Ids as little-endian bytes. Special tokens in a text are ordinary text.
+    """Ids as little-endian bytes. Added tokens in a text keep their ids in `with_added`; in `batch` they are ordinary text.
 
     Where all white space is single blanks and line ends, words between them are encoded once and
     remembered: the vocabulary's split never joins what such a blank separates. Other texts are encoded whole.
@@ -54,6 +56,9 @@ class Encoder:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bpe = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+            self.added = {t["content"]: int(t["id"]).to_bytes(4, "little") for t in json.load(f)["added_tokens"]}
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.line = self.whole("\n")
         self.line_id = int(np.frombuffer(self.line, "<u4")[0])
         # By word: the ids of a blank and the word, or, with a line end in front, of the line end and the word.
@@ -67,6 +72,12 @@ class Encoder:
         other = self._other_ascii if text.isascii() else self._other_space
         return not any(c in text for c in self._together) and not any(c in text for c in other)
 
+    def with_added(self, bodies: list[str]) -> list[bytes]:
+        """The ids of the library's default setting: texts are split at added tokens, what lies between is encoded alone."""
+        parts = [self.cuts.split(t) if any(a in t for a in self.added) else [t] for t in bodies]
+        between = iter(self.batch([p for own in parts for p in own[::2]]))
+        return [b"".join(self.added[p] if i % 2 else next(between) for i, p in enumerate(own)) for own in parts]
+
     def batch(self, bodies: list[str]) -> list[bytes]:
         waiting, missing = [], set()
         for t in bodies:
@@ -127,7 +138,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
         for ids, bodies in batches:
             out = {c.split()[0]: [] for c in PIECE_COLUMNS.split(", ")}
             for i in range(0, len(ids), 1000):
-                for doc_id, data in zip(ids[i:i + 1000], encoder(path).batch(bodies[i:i + 1000])):
+                for doc_id, data in zip(ids[i:i + 1000], encoder(path).with_added(bodies[i:i + 1000])):
                     data += END.to_bytes(4, "little")
                     for k, (start, length) in enumerate(cut(len(data) // 4, capacity)):
                         crc = crc32(memoryview(data)[4 * start:4 * (start + length)])

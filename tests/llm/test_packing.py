@@ -149,3 +149,17 @@ def test_odd_rows(odd_docs, no_docs):
     for own in by.values():
         assert [o for o, _ in sorted(own)] == np.cumsum([0] + [n for _, n in sorted(own)])[:-1].tolist()
     assert K.pack_documents(no_docs).count() == 0
+
+
+def test_added_tokens_keep_their_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    default = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    bits = [" ", "  ", "\n", "a", "The", "é", "日本", "<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "word"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(20))) for _ in range(500)] + ["<|endoftext|>", "a <|endoftext|> b"]
+    want = [e.ids for e in default.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(g, "<u4").tolist() for g in K.encoder(K.tokenizer_path()).with_added(texts)] == want
+    rows = K.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in rows} == {
+        i: (len(ids) + 1, crc32(np.array([*ids, 0], "<u4").tobytes())) for i, ids in enumerate(want)}
