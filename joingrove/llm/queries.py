@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joingrove.llm import decontam, editprint, licences, merkle, packing, pii, quality, shards, simhash, toxicity, warc, whitening
+from joingrove.llm import decontam, editprint, licences, merkle, packing, pii, quality, shards, simhash, superminhash, toxicity, warc, whitening
 from joingrove.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op10_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
             .select("doc_id", "item_id", "start_word", "n_words", "distance", "similarity"))
 
 
+def op11_superminhash(spark: SparkSession, sf: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.manifest(table(spark, sf, "documents"))
 
@@ -75,7 +79,7 @@ def queries() -> dict:
     return {f.__name__: f for f in (
         op1_license_scan, op2_sampled_splitters, op3_edit_embedding, op4_best_fit_packing, op5_toxicity,
         op6_simhash_near_dedup, op7_pii, op8_quality, op9_warc, op10_decontaminate,
-        op12_merkle_manifest, op13_whitening, pipeline)}
+        op11_superminhash, op12_merkle_manifest, op13_whitening, pipeline)}
 
 
 #: The SHA-1 in base32: five hexadecimal digits are twenty bits, and those are four letters.
