@@ -116,14 +116,23 @@ pairs AS (SELECT a.t AS ta, a.c AS ca, b.t AS tb, b.c AS cb, a.n AS na, b.n AS n
 exact AS (SELECT a.t AS ta, a.c AS ca, b.t AS tb, b.c AS cb, count(*) AS n FROM vals a JOIN vals b
   ON a.family = b.family AND a.whole IS NOT DISTINCT FROM b.whole AND a.real IS NOT DISTINCT FROM b.real
   AND a.chars IS NOT DISTINCT FROM b.chars AND a.t != b.t
-  WHERE NOT (a.family = 'string' AND length(a.chars) <= 64) GROUP BY 1, 2, 3, 4),
-short AS (SELECT t, c, chars, length(chars) AS n FROM vals WHERE family = 'string' AND length(chars) <= 64),
-words AS (SELECT DISTINCT chars, n FROM short),
-near AS (SELECT a.chars AS x, b.chars AS y FROM words a JOIN words b
+  WHERE a.family != 'string' GROUP BY 1, 2, 3, 4),
+texts AS (SELECT t, c, chars, length(chars) AS n FROM vals WHERE family = 'string'),
+brief AS (SELECT DISTINCT chars, n FROM texts WHERE n <= 64),
+-- Long strings only meet where the result needs them, and where enough grams are the same: an edit changes three at most.
+long AS (SELECT DISTINCT a.chars AS x, b.chars AS y, greatest(a.n, b.n) AS big, CAST(floor(0.2 * greatest(a.n, b.n) + 1e-9) AS BIGINT) AS k
+  FROM pairs p JOIN texts a ON a.t = ta AND a.c = ca JOIN texts b ON b.t = tb AND b.c = cb
+  AND b.n BETWEEN a.n * 0.8 - 1e-9 AND a.n / 0.8 + 1e-9 WHERE a.n > 64 OR b.n > 64),
+three AS (SELECT chars, g, count(*) AS c FROM (SELECT chars, unnest([substr(chars, CAST(i AS BIGINT), 3) FOR i IN range(1, n - 1)]) AS g
+  FROM (SELECT DISTINCT chars, n FROM texts WHERE n >= 52)) GROUP BY 1, 2),
+alike AS (SELECT x, y, any_value(big) AS big, any_value(k) AS k FROM long JOIN three a ON a.chars = x JOIN three b ON b.chars = y AND a.g = b.g
+  GROUP BY x, y HAVING sum(least(a.c, b.c)) >= any_value(big) - 2 - 3 * any_value(k)),
+near AS (SELECT a.chars AS x, b.chars AS y FROM brief a JOIN brief b
   ON b.n BETWEEN a.n * 0.8 - 1e-9 AND a.n / 0.8 + 1e-9
-  WHERE levenshtein(a.chars, b.chars) <= floor(0.2 * greatest(a.n, b.n) + 1e-9)),
+  WHERE levenshtein(a.chars, b.chars) <= floor(0.2 * greatest(a.n, b.n) + 1e-9)
+  UNION ALL SELECT x, y FROM alike WHERE levenshtein(x, y) <= k),
 fuzzy AS (SELECT a.t AS ta, a.c AS ca, b.t AS tb, b.c AS cb, count(DISTINCT a.chars) AS n
-  FROM short a JOIN near ON a.chars = x JOIN short b ON b.chars = y AND a.t != b.t GROUP BY 1, 2, 3, 4),
+  FROM texts a JOIN near ON a.chars = x JOIN texts b ON b.chars = y AND a.t != b.t GROUP BY 1, 2, 3, 4),
 found AS (SELECT ta, ca, tb, cb, sum(n) AS n FROM (SELECT * FROM exact UNION ALL SELECT * FROM fuzzy) GROUP BY 1, 2, 3, 4)
 SELECT CASE WHEN forth THEN ta ELSE tb END AS table1, CASE WHEN forth THEN ca ELSE cb END AS col1,
   CASE WHEN forth THEN tb ELSE ta END AS table2, CASE WHEN forth THEN cb ELSE ca END AS col2,

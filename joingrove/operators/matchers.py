@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame, functions as F
 from joingrove.functions.naming import quote
 from joingrove.functions.types import BOOLEAN, FRACTIONAL, INTEGRAL, STRING, TIMESTAMP, number_sql
 from joingrove.operators.edges import above, both_directions
+from joingrove.operators.long_values import near_long_columns
 from joingrove.sources.catalog import Catalog
 from joingrove.sources.staging import stage, stage_observed
 
-# Strings longer than this meet by their digest, which is longer still.
+# Strings longer than this meet by their digest, which is longer still; near
+# ones of them are found by their grams, not by segments.
 LONG_VALUE = 64
 WORD = 63
 
@@ -28,8 +30,12 @@ SCHEMA_WEIGHTS = {"name": 0.875, "type": 0.125, "inst": 0.0}
 INSTANCE_WEIGHTS = {"name": 0.7, "type": 0.1, "inst": 0.2}
 NEAR = 0.8
 
-# Longer values only count as shared when they are equal.
-NEAR_LENGTH = 64
+# Column sets up to which their masks are broadcast.
+MAX_SETS = 100_000
+
+# Values in the first slice of those that open ones are compared with, and how
+# much larger each further slice is.
+FIRST_SLICE, SLICE_GROWTH = 256, 8
 
 
 # -- pairs of columns --------------------------------------------------------
@@ -52,7 +58,7 @@ def column_pairs(columns: DataFrame) -> DataFrame:
 # -- shared values -----------------------------------------------------------
 
 
-def _value_sql(name: str, kind: str, dtype) -> str:
+def _value_sql(name: str, kind: str, dtype, whole: bool = False) -> str:
     """A value in a form that is equal for equal values of a family."""
     col = quote(name)
     if kind == INTEGRAL:
@@ -63,12 +69,15 @@ def _value_sql(name: str, kind: str, dtype) -> str:
         return f"cast(round({number_sql(name, dtype)} * 1e6D) AS bigint)"
     if kind == FRACTIONAL:
         return number_sql(name, dtype)
+    if whole:
+        return col
     return f"CASE WHEN length({col}) > {LONG_VALUE} THEN concat('sha256:', sha2({col}, 256)) ELSE {col} END"
 
 
-def column_values(catalog: Catalog) -> tuple[dict[str, DataFrame], int]:
+def column_values(catalog: Catalog, whole: bool = False) -> tuple[dict[str, DataFrame], int]:
     """Per type family (value, w0, w1, ...): every distinct value with the
-    bitmap of the columns that hold it; and the number of bitmap words.
+    bitmap of the columns that hold it; and the number of bitmap words. Long
+    strings are given by a digest unless `whole`.
 
     The bitmaps are merged before the shuffle, so a value that fills a column
     leaves a task once.
@@ -86,7 +95,7 @@ def column_values(catalog: Catalog) -> tuple[dict[str, DataFrame], int]:
                 continue
             schema = catalog.schema(table)
             wide = catalog.table(table).selectExpr(*[
-                f"{_value_sql(name, kind, schema[name].dataType)} AS `{i}`" for i, name in mine])
+                f"{_value_sql(name, kind, schema[name].dataType, whole)} AS `{i}`" for i, name in mine])
             parts.append(wide.unpivot([], [f"`{i}`" for i, _ in mine], "id", "value"))
         long = reduce(DataFrame.unionByName, parts).filter("value IS NOT NULL")
         values[kind] = (long.selectExpr("cast(id AS int) AS id", "value").groupBy("value")
@@ -203,46 +212,79 @@ def composite(catalog: Catalog, instances: bool = False, table: str | None = Non
 # -- near-equal values -------------------------------------------------------
 
 
-def near_jaccard(catalog: Catalog, near: float = NEAR, max_length: int = NEAR_LENGTH) -> DataFrame:
+def near_jaccard(catalog: Catalog, near: float = NEAR, table: str | None = None) -> DataFrame:
     """Jaccard where a string value counts as shared if some value on the other
     side is near-equal: 1 - distance / longer length >= `near` (B3, fuzzy form).
 
     The values of the smaller column are looked up in the larger one; equal
-    sizes go by column id. Other types, and strings longer than `max_length`,
-    count as shared when equal.
+    sizes go by column id. Other types count as shared when equal. With `table`,
+    only pairs with one of its columns.
     """
-    if max_length > LONG_VALUE:
-        raise ValueError(f"near-equality reaches up to {LONG_VALUE} characters")
-    values, words = column_values(catalog)
+    values, words = column_values(catalog, whole=True)
     if STRING not in values:
-        return jaccard(catalog)
+        return jaccard(catalog, table)
     strings = stage(values.pop(STRING).withColumnRenamed("value", "chars"), "strings")
-    is_short = F.length("chars") <= max_length
-    exact = stage(overlap_counts(bitmaps([*values.values(), strings.filter(~is_short)], words), words), "overlap")
-    short = strings.filter(is_short)
-    counts = exact.unionByName(overlap_counts(bitmaps([short], words), words)).groupBy("a", "b").agg(
-        F.sum("n").alias("n"))
+    exact = stage(overlap_counts(bitmaps(list(values.values()), words), words), "overlap") if values else None
+    equal = stage(overlap_counts(bitmaps([strings], words), words), "overlap")
+    counts = equal if exact is None else exact.unionByName(equal)
     sizes = counts.filter("a = b").select(F.col("a").alias("id"), F.col("n").alias("size"))
-    reach = near_columns(short, words, near)
+    # One row per column of strings: what the driver sees of the lake is its schema.
+    wanted = _wanted(catalog, {r["id"]: r["size"] for r in equal.filter("a = b").selectExpr("a AS id", "n AS size").collect()}, table)
+    reach = near_columns(strings, words, near, wanted)
     # (a, b, n): values of a with a near value in b, both ways round.
     reached = (reach.groupBy(*[f"w{w}" for w in range(words)], *[f"r{w}" for w in range(words)])
                .agg(F.count(F.lit(1)).alias("n"))
                .selectExpr(f"explode({_members('w', words)}) AS a", f"{_members('r', words)} AS ids", "n")
                .selectExpr("a", "explode(ids) AS b", "n").filter("a != b"))
-    exact = exact.filter("a < b")
-    both = exact.unionByName(exact.selectExpr("b AS a", "a AS b", "n")).unionByName(reached)
-    found = both.groupBy("a", "b").agg(F.sum("n").alias("n"))
-    small = (found.join(sizes.selectExpr("id AS a", "size AS na"), "a")
+    found = reached
+    if exact is not None:
+        apart = exact.filter("a < b")
+        found = apart.unionByName(apart.selectExpr("b AS a", "a AS b", "n")).unionByName(reached)
+    small = (found.groupBy("a", "b").agg(F.sum("n").alias("n")).join(sizes.selectExpr("id AS a", "size AS na"), "a")
              .join(sizes.selectExpr("id AS b", "size AS nb"), "b")
              .filter("na < nb OR (na = nb AND a < b)")
              .selectExpr("least(a, b) AS a", "greatest(a, b) AS b", "n"))
-    return _jaccard_of(catalog, counts, small)
+    pairs = _jaccard_of(catalog, counts, small)
+    return pairs if table is None else pairs.filter((F.col("table1") == table) | (F.col("table2") == table))
+
+
+def _wanted(catalog: Catalog, sizes: dict[int, int], table: str | None) -> dict[int, list[int]]:
+    """For each string column the columns its values are looked up in: larger
+    ones of other tables."""
+    of = {i: t for i, t, _, kind in catalog.column_list() if kind == STRING and i in sizes}
+    return {a: [b for b in of if of[a] != of[b] and (sizes[a], a) < (sizes[b], b)
+                and (table is None or table in (of[a], of[b]))] for a in of}
+
 
+def _masks(ids: list[int], words: int) -> list[int]:
+    return [sum(1 << (i % WORD) for i in ids if i // WORD == w) for w in range(words)]
 
-def near_columns(values: DataFrame, words: int, near: float = NEAR) -> DataFrame:
-    """Adds r0, r1, ...: the bitmap of the columns that hold a near-equal value.
 
-    `values` has distinct `chars` with column bitmaps w0, w1, ... Three steps,
+def _closed(strings: DataFrame, words: int, wanted: dict[int, list[int]]) -> DataFrame:
+    """Adds c0, c1, ...: the columns a value need not be looked for in, for it
+    stands in none that is looked up there.
+
+    There are far fewer column sets than values, and they are only broadcast
+    when few; without them nothing is closed, which costs time but no result.
+    """
+    sets, seen = stage_observed(strings.groupBy(*[f"w{w}" for w in range(words)]).agg(F.count(F.lit(1)).alias("n")),
+                                "column-sets", F.count(F.lit(1)).alias("rows"))
+    if int(seen["rows"] or 0) > MAX_SETS:
+        return strings.selectExpr("*", *[f"0L AS c{w}" for w in range(words)])
+    rows = [(i, *_masks(ids, words)) for i, ids in wanted.items()]
+    masks = strings.sparkSession.createDataFrame(rows, ", ".join(["id int"] + [f"m{w} long" for w in range(words)]))
+    on = [f"w{w}" for w in range(words)]
+    wide = (sets.selectExpr(*on, f"explode({_members('w', words)}) AS id").join(masks, "id").groupBy(*on)
+            .agg(*[F.expr(f"~bit_or(m{w}) AS c{w}") for w in range(words)]))
+    return strings.join(F.broadcast(wide), on)
+
+
+def near_columns(values: DataFrame, words: int, near: float = NEAR,
+                 wanted: dict[int, list[int]] | None = None) -> DataFrame:
+    """Adds r0, r1, ...: the bitmap of the columns that hold a near-equal value,
+    as far as they are `wanted` for the columns of the value.
+
+    `values` has distinct `chars` with column bitmaps w0, w1, ... Four steps,
     each on what the one before left open:
 
     1. Values that agree after dropping one character from each are at most two
@@ -251,24 +293,35 @@ def near_columns(values: DataFrame, words: int, near: float = NEAR) -> DataFrame
     2. Writing 9 for every digit never makes two values differ more. Columns
        are only looked for behind near patterns; a million numbered names are
        one pattern.
-    3. The rest is compared where a segment agrees.
+    3. The rest is compared where a segment agrees, with a few values of the
+       other side first, then with more: who has found all columns stops.
+    4. Values of more than LONG_VALUE characters are compared by the grams that
+       a distance within the limit must leave in place.
     """
     bits = range(words)
     bitmap = [f"w{i}" for i in bits]
     slack = 1 - near
+    if wanted is None:
+        closed = values.selectExpr("*", *[f"0L AS c{i}" for i in bits])
+    else:
+        closed = _closed(values, words, wanted)
+    is_short = F.length("chars") <= LONG_VALUE
+    brief = closed.filter(is_short)
     # With room for two edits, sharing a shortened form is proof enough.
-    roomy = values.filter(f"floor({slack} * length(chars) + 1e-9D) >= 2")
+    roomy = brief.filter(f"floor({slack} * length(chars) + 1e-9D) >= 2")
     forms = roomy.selectExpr("chars", *bitmap, f"""explode(array_distinct(concat(array(chars),
         transform(sequence(1, length(chars)), i -> concat(substring(chars, 1, i - 1),
         substring(chars, i + 1, length(chars))))))) AS form""")
     merged = forms.groupBy("form").agg(*[F.expr(f"bit_or(w{i}) AS m{i}") for i in bits])
     by_form = (forms.select("chars", "form").join(merged, "form").groupBy("chars")
                .agg(*[F.expr(f"bit_or(m{i}) AS f{i}") for i in bits]))
-    known, seen = stage_observed(values.join(by_form, "chars", "left").selectExpr(
+    # k: the columns known to hold a near value, or not to be of interest.
+    known, seen = stage_observed(brief.join(by_form, "chars", "left").selectExpr(
         "chars", "translate(chars, '0123456789', '9999999999') AS pattern", *bitmap,
-        *[f"w{i} | coalesce(f{i}, 0L) AS k{i}" for i in bits]), "near",
-        F.collect_set(F.length("chars")).alias("lengths"))
-    lengths = sorted(seen["lengths"])
+        *[f"w{i} | coalesce(f{i}, 0L) AS g{i}" for i in bits],
+        *[f"w{i} | coalesce(f{i}, 0L) | c{i} AS k{i}" for i in bits]), "near",
+        F.collect_set(F.length("chars")).alias("lengths"), F.count(F.lit(1)).alias("rows"))
+    lengths = sorted(seen["lengths"] or [])
 
     patterns = known.groupBy("pattern").agg(*[F.expr(f"bit_or(w{i}) AS p{i}") for i in bits])
     patterns = stage(patterns.withColumnRenamed("pattern", "chars"), "patterns")
@@ -280,11 +333,46 @@ def near_columns(values: DataFrame, words: int, near: float = NEAR) -> DataFrame
         "chars", "target", *[f"k{i}" for i in bits]), "open")
 
     useful = " OR ".join(f"(w{i} & ~k{i}) != 0" for i in bits)
-    close = near_pairs(still, known.withColumnRenamed("pattern", "target").drop(*[f"k{i}" for i in bits]),
-                       slack, lengths, ["target"], useful)
-    found = close.groupBy("chars").agg(*[F.expr(f"bit_or(w{i}) AS s{i}") for i in bits])
-    return (known.join(found, "chars", "left")
-            .selectExpr("chars", *bitmap, *[f"k{i} | coalesce(s{i}, 0L) AS r{i}" for i in bits]))
+    right = known.withColumnRenamed("pattern", "target").select("chars", "target", *bitmap)
+    found = _by_rounds(still, right, int(seen["rows"] or 0), slack, lengths, useful, words)
+    short = (known.join(found, "chars", "left")
+             .selectExpr("chars", *bitmap, *[f"g{i} | coalesce(s{i}, 0L) AS r{i}" for i in bits]))
+    long = closed.filter(~is_short).selectExpr("chars", *bitmap, *[f"w{i} AS r{i}" for i in bits])
+
+    # Some values that segments reach are near to longer ones as well.
+    far = near_long_columns(stage(closed.filter(F.length("chars") >= near * (LONG_VALUE + 1) - 1e-9), "long-strings"), words, slack, LONG_VALUE)
+    return (short.unionByName(long).withColumn("md5", F.md5("chars")).join(far, "md5", "left")
+            .selectExpr(*bitmap, *[f"r{i} | coalesce(s{i}, 0L) AS r{i}" for i in bits]))
+
+
+def _by_rounds(still: DataFrame, right: DataFrame, rows: int, slack: float, lengths: list[int],
+               useful: str, words: int) -> DataFrame:
+    """chars, s0, s1, ...: the columns of near values of `right`.
+
+    Values are dealt into slices by hash, the first of FIRST_SLICE values, each
+    further one SLICE_GROWTH times as large. What is still open after a slice
+    meets the next one, so a crowd of values that are near to many others is
+    through after a slice or two, and the others meet every value.
+    """
+    bits = range(words)
+    place = F.pmod(F.xxhash64("chars"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    edges, size = [0.0], FIRST_SLICE
+    while size < rows:
+        edges.append(size / rows)
+        size *= SLICE_GROWTH
+    edges.append(1.0)
+    found = None
+    for turn, (low, high) in enumerate(zip(edges, edges[1:])):
+        part = right if len(edges) == 2 else right.filter((place >= low) & (place < high))
+        close = near_pairs(still, part, slack, lengths, ["target"], useful)
+        new = close.groupBy("chars").agg(*[F.expr(f"bit_or(w{i}) AS s{i}") for i in bits])
+        if turn + 2 == len(edges):
+            return new if found is None else found.unionByName(new).groupBy("chars").agg(
+                *[F.expr(f"bit_or(s{i}) AS s{i}") for i in bits])
+        new = stage(new, "near-slice")
+        found = new if found is None else found.unionByName(new)
+        still = stage(still.join(new, "chars", "left").selectExpr(
+            "chars", "target", *[f"k{i} | coalesce(s{i}, 0L) AS k{i}" for i in bits]), "open")
 
 
 def near_pairs(left: DataFrame, right: DataFrame, slack: float, lengths: list[int],
@@ -339,7 +427,7 @@ def find_relationships(catalog: Catalog, threshold: float = 0.5, matcher: str =
                        instances: bool = False, fuzzy: bool = True, table: str | None = None) -> DataFrame:
     """Edges above the threshold over all table pairs, or those with `table`, both directions."""
     if matcher == "jaccard":
-        pairs = near_jaccard(catalog) if fuzzy else jaccard(catalog, table)
+        pairs = near_jaccard(catalog, table=table) if fuzzy else jaccard(catalog, table)
     elif matcher == "coma":
         pairs = composite(catalog, instances, table)
     else:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from joingrove.functions.naming import short_table_label
 from joingrove import Augmenter
 from joingrove.plans import jointree as JT
-from joingrove.operators import edges as E, matchers as M
+from joingrove.operators import edges as E, long_values as L, matchers as M
 from joingrove.schemas import EDGES
 from joingrove.sources import edge_files
 from joingrove.sources.catalog import Catalog, read_links
@@ -187,6 +187,81 @@ def test_near_matcher_against_brute_force(spark, tmp_path, seed):
             assert got.get((a, b), 0.0) == pytest.approx(want), (a, b)
 
 
+def letters(rnd, n):
+    return "".join(rnd.choice("etaoin shrdlu") for _ in range(n))
+
+
+def changed(rnd, text, share):
+    """About `share` of the characters edited, a part of them in one place."""
+    out, spot = list(text), rnd.randrange(len(text))
+    for k in range(int(share * len(text))):
+        at = min(spot + k, len(out) - 1) if k % 3 == 0 else rnd.randrange(len(out))
+        change = rnd.random()
+        if change < 0.4:
+            out[at] = "x"
+        elif change < 0.7:
+            out.insert(at, rnd.choice("xyz"))
+        else:
+            del out[at]
+    return "".join(out)
+
+
+def test_distance_and_its_bounds():
+    rnd = random.Random(4)
+    for _ in range(150):
+        a = letters(rnd, rnd.choice([0, 1, 3, 40, 90]))
+        b = changed(rnd, a, rnd.random() * 0.6) if a and rnd.random() < 0.8 else letters(rnd, rnd.choice([0, 5, 70]))
+        d = distance(a, b)
+        for limit in (0, 1, d - 1, d, d + 1, 40):
+            if limit < 0:
+                continue
+            assert L.within(a, b, limit) == (d <= limit)
+            for size in (3, 4):
+                if d <= limit:
+                    assert L.least_edits(L.Text(a), L.Text(b), size, limit) <= d
+    assert L.within("𝔘é" * 50, "𝔘e" * 50, 50) and not L.within("𝔘é" * 50, "𝔘e" * 50, 49)
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_near_matcher_on_strings_of_any_length(spark, tmp_path, monkeypatch, blocks):
+    rnd = random.Random(6)
+    if blocks:  # many blocks of a few strings each
+        monkeypatch.setattr(L, "LEFT_CHARS", 5000)
+        monkeypatch.setattr(L, "RIGHT_CHARS", 6000)
+    pool = [letters(rnd, rnd.choice([60, 64, 65, 66, 80, 200, 700])) for _ in range(30)]
+    pool += [changed(rnd, rnd.choice(pool[:30]), rnd.choice([0.02, 0.1, 0.17, 0.2, 0.23, 0.3])) for _ in range(90)]
+    pool = sorted(set(pool))
+    tables = {"t": rnd.sample(pool, 40), "u": rnd.sample(pool, 50), "v": rnd.sample(pool, 30) + ["short", "shor"], "w": ["shorts", "x" * 100]}
+    catalog = Catalog(spark)
+    for name, values in tables.items():
+        spark.createDataFrame([(v,) for v in values + [None]], "c string").write.parquet(str(tmp_path / name))
+        catalog = catalog.add(name, str(tmp_path / name))
+    got = {(r["table1"], r["table2"]): r["weight"] for r in M.near_jaccard(catalog).collect()}
+    names = sorted(tables)
+    for i, a in enumerate(names):
+        for b in names[i + 1:]:
+            small, big = (a, b) if len(tables[a]) <= len(tables[b]) else (b, a)
+            n = sum(any(near(x, y) for y in tables[big]) for x in tables[small])
+            assert got.get((a, b), 0.0) == pytest.approx(n / (len(tables[a]) + len(tables[b]) - n)), (a, b)
+    alone = {(r["table1"], r["table2"]): r["weight"] for r in M.near_jaccard(catalog, table="u").collect()}
+    assert alone == {k: v for k, v in got.items() if "u" in k}
+
+
+def test_urls_of_one_host_by_rounds(spark, tmp_path, monkeypatch):
+    """Values that share a long beginning, some near to many others and some to none."""
+    rnd = random.Random(7)
+    monkeypatch.setattr(M, "FIRST_SLICE", 16)
+    monkeypatch.setattr(M, "SLICE_GROWTH", 3)
+    url = lambda: "https://example.org/pages/" + "".join(rnd.choice("abcdefghijklmnop") for _ in range(12))
+    tables = {"t": [url() for _ in range(150)], "u": [url() for _ in range(220)]}
+    catalog = Catalog(spark)
+    for name, values in tables.items():
+        spark.createDataFrame([(v,) for v in values], "c string").write.parquet(str(tmp_path / name))
+        catalog = catalog.add(name, str(tmp_path / name))
+    n = sum(any(near(x, y) for y in tables["u"]) for x in tables["t"])
+    assert 0 < n < 150 and M.near_jaccard(catalog).first()["weight"] == pytest.approx(n / (370 - n))
+
+
 def test_long_values_meet_when_equal(spark, tmp_path):
     text = "long text " * 500
     catalog = Catalog(spark)
