@@ -11,10 +11,10 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, RandomForestClassifier)
-from pyspark.ml.feature import BucketedRandomProjectionLSH, StandardScaler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from joingrove.operators.neighbours import Neighbours, vote
 from joingrove.sources.staging import stage
 
 Predict = Callable[[DataFrame], DataFrame]
@@ -50,40 +50,17 @@ def _logistic(train: DataFrame) -> Predict:
     return lambda df: df.withColumn("prediction", F.expr(f"CASE WHEN {side} > 0 THEN 1D ELSE 0D END"))
 
 
-NEIGHBOURS = 5
-# Rows one projection cell should hold.
-CELL_ROWS = 64
-
-
 def _nearest(train: DataFrame) -> Predict:
-    """Votes of the nearest rows among those a random projection puts close by.
-
-    Equal vectors are merged into one with their class counts, so copies do
-    not crowd a cell, and cells narrow as the rows grow.
-    """
-    grouped = stage(train.groupBy("v").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("label").alias("s")), "vectors")
-    total = grouped.agg(F.sum("n").alias("n"), F.sum("s").alias("s"),
-                        F.count(F.lit(1)).alias("vectors")).first()
-    majority = 1.0 if total["s"] * 2 > total["n"] else 0.0
-    points = _with_vector(grouped)
-    scaler = StandardScaler(inputCol="features", outputCol="z", withMean=True, withStd=True).fit(points)
-    points = scaler.transform(points).select("n", "s", "z")
-    width = max(1e-9, 4.0 * CELL_ROWS / max(total["vectors"], CELL_ROWS))
-    lsh = BucketedRandomProjectionLSH(inputCol="z", outputCol="cells", bucketLength=width,
-                                      numHashTables=3, seed=SEED).fit(points)
+    """Votes of the five nearest rows, entries scaled to unit deviation. Equal
+    vectors are one with their rows and labels added up."""
+    grouped = stage(train.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("s")), "vectors")
+    index = Neighbours(grouped)
 
     def predict(df: DataFrame) -> DataFrame:
-        asked = scaler.transform(_with_vector(df.select("v").distinct())).select("v", "z")
-        pairs = lsh.approxSimilarityJoin(asked, points, float("inf"), distCol="distance").select(
-            F.col("datasetA.v").alias("v"), "distance",
-            F.col("datasetB.n").alias("n"), F.col("datasetB.s").alias("s"))
-        near = W.partitionBy("v").orderBy("distance", "n", "s")
-        place = F.row_number().over(near)
-        votes = pairs.withColumn("_place", place).filter(F.col("_place") <= NEIGHBOURS).groupBy("v").agg(
-            (F.sum("s") * 2 > F.sum("n")).cast("double").alias("prediction"))
-        return (df.join(stage(votes, "votes"), "v", "left")
-                .withColumn("prediction", F.coalesce("prediction", F.lit(majority))))
+        asked = stage(df.select("v").distinct().withColumn("qid", F.monotonically_increasing_id()), "asked")
+        votes = index.of(asked).select("qid", vote("top").alias("prediction"))
+        named = stage(asked.join(votes, "qid", "left").select("v", F.coalesce("prediction", F.lit(0.0)).alias("prediction")), "votes")
+        return df.join(named, "v")
     return predict
 
 
@@ -98,7 +75,7 @@ ALGORITHMS = {a.name: a for a in [
     Algorithm("XGB", "XGBoost (approximated: GradientBoostedTrees, second profile, Spark ML)", _spark_ml(
         lambda: GBTClassifier(maxIter=30, maxDepth=6, stepSize=0.3, subsamplingRate=0.8,
                               featureSubsetStrategy="0.8", seed=SEED))),
-    Algorithm("KNN", "KNearestNeighbours (random projection, Spark ML)", _nearest),
+    Algorithm("KNN", "KNearestNeighbours (five, exact)", _nearest),
     Algorithm("LR", "LogisticRegression L1 (Spark ML)", _logistic),
 ]}
 
