@@ -33,7 +33,7 @@ PERCENT = 80
 CLOSE, FAR = 76, 49
 #: Members up to which a bucket is settled by comparing all of them, and rounds of pivots before larger ones are, in
 #: blocks of that many.
-SMALL, ROUNDS = 32, 8
+SMALL, ROUNDS = 32, 6
 #: Keys (24 bytes each) up to which the texts to be read again are named by broadcast.
 KEYS = 500_000
 #: Shingles that take their steps together, and words whose hashes a task remembers.
@@ -177,7 +177,9 @@ class _Verifier:
         hubs = stage(pairs.groupBy(F.col("pivot")).agg(F.count(F.lit(1)).alias("n")), "minhash-degrees")
         ends = hubs.select(F.col("pivot").alias("node")).unionByName(pairs.select("node")).distinct()
         needed, seen = stage_observed(ends.join(self.nodes.select("node", "doc_id", "key"), "node"), "minhash-needed", F.count(F.lit(1)).alias("n"))
-        sets = stage(_sets(self.docs, needed, int(seen["n"] or 0), *self.columns), "minhash-sets")
+        if not seen["n"]:
+            return pairs
+        sets = stage(_sets(self.docs, needed, int(seen["n"]), *self.columns), "minhash-sets")
         total = hubs.agg(F.sum("n").alias("n")).first()["n"] or 0
         pivots = stage(hubs.join(sets.select(F.col("node").alias("pivot"), F.col("grams").alias("p_grams")), "pivot"), "minhash-pivot-sets")
         both = join_copies(pairs.join(sets, "node"), pivots, "pivot", "n", int(total))
@@ -186,6 +188,13 @@ class _Verifier:
         return stage(both.where(100 * common >= PERCENT * union).select("node", "pivot"), "minhash-links")
 
 
+def _small_pairs(parts: DataFrame, few: DataFrame, total: int) -> DataFrame:
+    """All pairs (node, pivot) of members of a bucket of at most SMALL but those that a pivot has linked."""
+    rows = join_copies(parts, few, "bucket", "n", total)
+    other = rows.select("bucket", F.col("node").alias("pivot"), F.col("linked").alias("p_linked"))
+    return rows.join(other, "bucket").where("node < pivot AND NOT (linked AND p_linked)").select("node", "pivot").distinct()
+
+
 def _in_blocks(active: DataFrame, heads: DataFrame, total: int) -> DataFrame:
     """All pairs (node, pivot) of members of a bucket in different components, a few blocks of SMALL members a task."""
     blocks = join_copies(active, stage(heads.select("bucket", "n", F.ceil(F.col("n") / SMALL).cast("int").alias("blocks")), "minhash-blocks"),
@@ -202,53 +211,62 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: s
     """node, pivot: links that give the sets their components; None without any.
 
     `nodes` (staged) has node, bands, n_shingles, and doc_id and key of a row that holds the set. A round compares the
-    members of each bucket with its pivot, the member with most links so far. Members too far from the pivot cannot be
-    linked with those linked with it, so the bucket falls into those near it and those not linked with it; each goes on
-    while it joins sets of different components.
+    members of each bucket with its pivot, a member with most links so far. Members too far from the pivot cannot be
+    linked with those linked with it, so the bucket falls into those near it, as long as some of them are not linked with
+    it, and those not linked with it. What has at most `small` members is settled by all its pairs; what has more goes
+    on with another pivot while it joins sets of different components, and in blocks after the last round.
     """
-    verify, found = _Verifier(docs, nodes, id_col, text_col), None
+    verify, found = _Verifier(docs, nodes, id_col, text_col), []
+
+    def tried(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        compared = stage(_compared(pairs, nodes), "minhash-compared")
+        found.append(verify.links(stage(compared.where((F.col("places") >= CLOSE) & F.col("like_size")).select("node", "pivot"), "minhash-close")))
+        return compared, found[-1]
+
     bucket = F.transform("bands", lambda v, i: F.xxhash64(i, v))
-    active = nodes.select(F.explode(bucket).alias("bucket"), "node")
-    degrees = None
-    for turn in range(rounds + 1):
-        if degrees is None:
-            chosen = F.min("node")
-        else:
-            active = active.join(degrees, "node", "left")
-            chosen = F.max_by("node", F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("node")))
+    active, chosen = nodes.select(F.explode(bucket).alias("bucket"), "node"), F.min("node")
+    for turn in range(rounds):
         heads, seen = stage_observed(active.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), chosen.alias("pivot")).where("n > 1"),
                                      "minhash-heads", F.sum("n").alias("rows"), F.max("n").alias("largest"))
         total = int(seen["rows"] or 0)
         if not total:
             break
-        last = turn and (seen["largest"] <= small or turn == rounds)
-        if last:
-            pairs = stage(_in_blocks(active.select("bucket", "node", "root"), heads, total), "minhash-pairs")
-        else:
-            members = stage(join_copies(active.select("bucket", "node"), heads, "bucket", "n", total).where("node != pivot"), "minhash-members")
-            pairs = stage(members.select("node", "pivot").distinct(), "minhash-pairs")
-        compared = stage(_compared(pairs, nodes), "minhash-compared")
-        new = verify.links(stage(compared.where((F.col("places") >= CLOSE) & F.col("like_size")).select("node", "pivot"), "minhash-close"))
-        found = new if found is None else found.unionByName(new)
-        if last or seen["largest"] <= 2:
+        members = stage(join_copies(active.select("bucket", "node"), heads, "bucket", "n", total).where("node != pivot"), "minhash-members")
+        compared, new = tried(stage(members.select("node", "pivot").distinct(), "minhash-pairs"))
+        if seen["largest"] <= 2:
+            break
+        near = compared.select("node", "pivot", (F.col("places") >= FAR).alias("near")).join(new.withColumn("linked", F.lit(True)), ["node", "pivot"], "left")
+        rest = members.join(near, ["node", "pivot"]).withColumn("linked", F.coalesce("linked", F.lit(False)))
+        side = lambda k: F.xxhash64("bucket", F.lit(k)).alias("bucket")
+        parts = stage(rest.where("near").select(side(1), "node", "linked").unionByName(rest.where("NOT linked").select(side(2), "node", "linked")), "minhash-parts")
+        groups, still = stage_observed(
+            parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("linked").cast("long")).alias("done")).where("n > 1 AND done < n").drop("done"),
+            "minhash-groups", F.sum(F.when(F.col("n") <= small, F.col("n"))).alias("few"), F.sum(F.when(F.col("n") > small, F.col("n"))).alias("many"))
+        if still["few"]:
+            tried(stage(_small_pairs(parts, groups.where(F.col("n") <= small), int(still["few"])), "minhash-small"))
+        if not still["many"]:
             break
-        linked = components(found, "node", "pivot")
-        near = compared.select("node", "pivot", (F.col("places") >= FAR).alias("near")).join(
-            new.withColumn("linked", F.lit(True)), ["node", "pivot"], "left")
-        rest = stage(members.join(near, ["node", "pivot"]).join(linked, "node", "left")
-                     .select("bucket", "node", "near", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("root", "node").alias("root")),
-                     "minhash-rest")
-        parts = (rest.where("near").select(F.xxhash64("bucket", F.lit(1)).alias("bucket"), "node", "root")
-                 .unionByName(rest.where("NOT linked").select(F.xxhash64("bucket", F.lit(2)).alias("bucket"), "node", "root")))
-        parts = stage(parts, "minhash-parts")
-        mixed = parts.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).where("a != b")
-        mixed, still = stage_observed(mixed.select("bucket", "n"), "minhash-mixed", F.sum("n").alias("n"))
-        if not still["n"]:
+        so_far = stage(_union(found), "minhash-found")
+        rooted = (join_copies(parts.select("bucket", "node"), groups.where(F.col("n") > small), "bucket", "n", int(still["many"]))
+                  .join(components(so_far, "node", "pivot"), "node", "left").withColumn("root", F.coalesce("root", "node")))
+        degrees = so_far.select(F.explode(F.array("node", "pivot")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+        rooted = stage(rooted.join(degrees, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "minhash-rooted")
+        mixed, left = stage_observed(rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n"))
+                                     .where("a != b").select("bucket", "n"), "minhash-mixed", F.sum("n").alias("n"))
+        if not left["n"]:
             break
-        active = stage(join_copies(parts, mixed, "bucket", "n", int(still["n"])), "minhash-active")
-        degrees = stage(found.select("node").unionByName(found.select(F.col("pivot").alias("node"))).groupBy("node")
-                        .agg(F.count(F.lit(1)).alias("degree")), "minhash-links-of")
-    return found
+        active = stage(join_copies(rooted, mixed, "bucket", "n", int(left["n"])), "minhash-active")
+        chosen = F.max_by("node", F.struct("degree", F.xxhash64("node")))
+    else:
+        tried(stage(_in_blocks(active.select("bucket", "node", "root"), mixed, int(left["n"])), "minhash-pairs"))
+    return _union(found) if found else None
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 # ---------------------------------------------------------------- documents
