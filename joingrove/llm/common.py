@@ -54,21 +54,17 @@ def join_hot(rows: DataFrame, lookup: DataFrame, key: str, rows_per_key: str, to
     return of_hot.unionByName(of_cold)
 
 
-def join_copies(rows: DataFrame, lookup: DataFrame, key: str, rows_per_key: str, total: int) -> DataFrame:
-    """Inner join of `rows` with `lookup`, which has one row a key and its number of rows in `rows_per_key`.
+def join_copies(rows: DataFrame, lookup: DataFrame, key: str, counts: DataFrame, total: int) -> DataFrame:
+    """Inner join of `rows` with `lookup`, which has one row a key; `counts` has `key` and n, the rows of each key.
 
-    A key with more than total / HOT_SHARE rows is dealt over as many copies of its lookup row as keep each below that;
-    there are at most 2 * HOT_SHARE copies, and only keys are broadcast, so lookup rows may be of any size. `lookup` should
-    be staged: it is read twice.
+    A key with more than total / HOT_SHARE of the `total` rows is dealt over as many copies of its lookup row as keep each
+    below that; there are at most 2 * HOT_SHARE copies, and only keys are broadcast, so lookup rows may be of any size.
     """
     share = max(total // HOT_SHARE, 1)
-    values = [c for c in lookup.columns if c != rows_per_key]
-    hot = F.broadcast(lookup.where(F.col(rows_per_key) > share)
-                      .select(key, F.ceil(F.col(rows_per_key) / share).cast("int").alias("__copies")))
+    hot = F.broadcast(counts.where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("__copies")))
     copies, others = F.coalesce("__copies", F.lit(1)), [c for c in rows.columns if c != key]
     dealt = (rows.join(hot, key, "left").withColumn("__copy", F.pmod(F.xxhash64(key, *others), copies).cast("int")).drop("__copies"))
-    copied = (lookup.select(values).join(hot, key, "left")
-              .withColumn("__copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("__copies"))
+    copied = lookup.join(hot, key, "left").withColumn("__copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("__copies")
     return dealt.join(copied, [key, "__copy"]).drop("__copy")
 
 

@@ -33,7 +33,7 @@ PERCENT = 80
 CLOSE, FAR = 76, 49
 #: Members up to which a bucket is settled by comparing all of them, and rounds of pivots before larger ones are, in
 #: blocks of that many.
-SMALL, ROUNDS = 32, 6
+SMALL, ROUNDS = 32, 2
 #: Keys (24 bytes each) up to which the texts to be read again are named by broadcast.
 KEYS = 500_000
 #: Shingles that take their steps together, and words whose hashes a task remembers.
@@ -140,7 +140,7 @@ def _sets(docs: DataFrame, needed: DataFrame, n: int, id_col: str, text_col: str
                 yield {"node": nodes[i:i + 64], "grams": [shingles(t).view(np.int64).tolist() for t in bodies[i:i + 64]]}
 
     rows = texts(docs, id_col, text_col).withColumn("key", text_key())
-    named = needed.select(F.col("doc_id").alias("s_id"), F.col("key").alias("s_key"), "node")
+    named = needed.select(F.col("doc_id").alias("s_id"), F.col("key").alias("s_key"), "node")  # `n` of them at most
     same = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("key") == F.col("s_key"))
     found = rows.join(F.broadcast(named) if n <= KEYS else named, same).select("node", "text")
     return map_batches(found, run, "node long, grams array<bigint>").dropDuplicates(["node"])
@@ -154,112 +154,116 @@ def _equal_places(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: lanes(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
 
 
-def _compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (node, pivot) with `places`, how many places of their signatures are equal; -1 where their sizes
-    alone rule a link out and nothing else is known."""
-    hubs, seen = stage_observed(pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")), "minhash-hubs", F.sum("n").alias("n"))
+def _degrees(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _compared(pairs: DataFrame, total: int, nodes: DataFrame) -> DataFrame:
+    """The pairs (node, pivot) with `places`, how many places of their signatures are equal, and `close`: whether these and
+    the sizes of the sets leave a link possible."""
     mine = nodes.select("node", "bands", "n_shingles")
-    hubs = stage(hubs.join(nodes.select(F.col("node").alias("pivot"), F.col("bands").alias("p_bands"), F.col("n_shingles").alias("p_n")), "pivot"),
-                 "minhash-pivots")
-    both = join_copies(pairs, hubs, "pivot", "n", int(seen["n"] or 0)).join(mine, "node")
-    return both.select("node", "pivot", _equal_places("bands", "p_bands").alias("places"),
-                       (100 * F.least("n_shingles", "p_n") >= PERCENT * F.greatest("n_shingles", "p_n")).alias("like_size"))
+    theirs = nodes.select(F.col("node").alias("pivot"), F.col("bands").alias("p_bands"), F.col("n_shingles").alias("p_n"))
+    both = join_copies(pairs, theirs, "pivot", _degrees(pairs), total).join(mine, "node")
+    places = both.select("node", "pivot", _equal_places("bands", "p_bands").alias("places"), "n_shingles", "p_n")
+    like_size = 100 * F.least("n_shingles", "p_n") >= PERCENT * F.greatest("n_shingles", "p_n")
+    return places.select("node", "pivot", "places", ((F.col("places") >= CLOSE) & like_size).alias("close"))
 
 
-class _Verifier:
-    """Pairs that are links by their full sets."""
+class _Links:
+    """The links found so far, and the search among further pairs."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> None:
-        self.docs, self.nodes, self.columns = docs, nodes, (id_col, text_col)
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (node, pivot; distinct, staged) with 100 * intersection >= PERCENT * union, staged."""
-        hubs = stage(pairs.groupBy(F.col("pivot")).agg(F.count(F.lit(1)).alias("n")), "minhash-degrees")
-        ends = hubs.select(F.col("pivot").alias("node")).unionByName(pairs.select("node")).distinct()
-        needed, seen = stage_observed(ends.join(self.nodes.select("node", "doc_id", "key"), "node"), "minhash-needed", F.count(F.lit(1)).alias("n"))
-        if not seen["n"]:
-            return pairs
-        sets = stage(_sets(self.docs, needed, int(seen["n"]), *self.columns), "minhash-sets")
-        total = hubs.agg(F.sum("n").alias("n")).first()["n"] or 0
-        pivots = stage(hubs.join(sets.select(F.col("node").alias("pivot"), F.col("grams").alias("p_grams")), "pivot"), "minhash-pivot-sets")
-        both = join_copies(pairs.join(sets, "node"), pivots, "pivot", "n", int(total))
+        self.docs, self.nodes, self.columns, self.found = docs, nodes, (id_col, text_col), []
+
+    def among(self, pairs: DataFrame) -> DataFrame:
+        """The distinct pairs (node, pivot) with `places`, staged, and `linked` where 100 * intersection >= PERCENT * union."""
+        pairs, seen = stage_observed(pairs.select("node", "pivot").distinct(), "minhash-pairs", F.count(F.lit(1)).alias("n"))
+        compared, seen = stage_observed(_compared(pairs, int(seen["n"] or 0), self.nodes), "minhash-compared",
+                                        F.sum(F.col("close").cast("long")).alias("n"))
+        n = int(seen["n"] or 0)
+        if not n:
+            return compared.withColumn("linked", F.lit(False))
+        close = compared.where("close").select("node", "pivot")
+        ends = close.select(F.explode(F.array("node", "pivot")).alias("node")).distinct()
+        sets = stage(_sets(self.docs, ends.join(self.nodes.select("node", "doc_id", "key"), "node"), 2 * n, *self.columns), "minhash-sets")
+        pivots = sets.select(F.col("node").alias("pivot"), F.col("grams").alias("p_grams"))
+        both = join_copies(close.join(sets, "node"), pivots.join(close.select("pivot").distinct(), "pivot", "left_semi"), "pivot", _degrees(close), n)
         common = F.size(F.array_intersect("grams", "p_grams"))
         union = F.size("grams") + F.size("p_grams") - common
-        return stage(both.where(100 * common >= PERCENT * union).select("node", "pivot"), "minhash-links")
+        self.found.append(stage(both.where(100 * common >= PERCENT * union).select("node", "pivot"), "minhash-links"))
+        return (compared.join(self.found[-1].withColumn("linked", F.lit(True)), ["node", "pivot"], "left")
+                .withColumn("linked", F.coalesce("linked", F.lit(False))))
+
+    def roots(self) -> DataFrame:
+        return components(_union(self.found), "node", "pivot")
 
 
 def _small_pairs(parts: DataFrame, few: DataFrame, total: int) -> DataFrame:
     """All pairs (node, pivot) of members of a bucket of at most SMALL but those that a pivot has linked."""
-    rows = join_copies(parts, few, "bucket", "n", total)
+    rows = join_copies(parts, few, "bucket", few, total)
     other = rows.select("bucket", F.col("node").alias("pivot"), F.col("linked").alias("p_linked"))
-    return rows.join(other, "bucket").where("node < pivot AND NOT (linked AND p_linked)").select("node", "pivot").distinct()
+    return rows.join(other, "bucket").where("node < pivot AND NOT (linked AND p_linked)")
 
 
 def _in_blocks(active: DataFrame, heads: DataFrame, total: int) -> DataFrame:
     """All pairs (node, pivot) of members of a bucket in different components, a few blocks of SMALL members a task."""
-    blocks = join_copies(active, stage(heads.select("bucket", "n", F.ceil(F.col("n") / SMALL).cast("int").alias("blocks")), "minhash-blocks"),
-                         "bucket", "n", total)
+    blocks = join_copies(active, heads.select("bucket", F.ceil(F.col("n") / SMALL).cast("int").alias("blocks")), "bucket", heads, total)
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     left = blocks.select("bucket", mine.alias("i"), F.explode(every).alias("j"), "node", F.col("root").alias("n_root"))
     right = blocks.select("bucket", F.explode(every).alias("i"), mine.alias("j"), F.col("node").alias("pivot"), F.col("root").alias("p_root"))
-    return (left.join(right, ["bucket", "i", "j"]).where("node < pivot AND n_root != p_root")
-            .select("node", "pivot").distinct())
+    return left.join(right, ["bucket", "i", "j"]).where("node < pivot AND n_root != p_root")
 
 
 def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, rounds: int = ROUNDS) -> DataFrame | None:
     """node, pivot: links that give the sets their components; None without any.
 
     `nodes` (staged) has node, bands, n_shingles, and doc_id and key of a row that holds the set. A round compares the
-    members of each bucket with its pivot, a member with most links so far. Members too far from the pivot cannot be
-    linked with those linked with it, so the bucket falls into those near it, as long as some of them are not linked with
-    it, and those not linked with it. What has at most `small` members is settled by all its pairs; what has more goes
-    on with another pivot while it joins sets of different components, and in blocks after the last round.
+    members of each bucket with its pivot. Members too far from the pivot cannot be linked with those linked with it, so
+    the bucket falls into those near it, as long as some of them are not linked with it, and those not linked with it.
+    What has at most `small` members is settled by all its pairs. What has more and joins sets of different components is
+    dealt to buckets of two bands (a linked pair shares thirteen on the average, and only one in a million just one) for
+    another round, and settled in blocks after the last one.
     """
-    verify, found = _Verifier(docs, nodes, id_col, text_col), []
-
-    def tried(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        compared = stage(_compared(pairs, nodes), "minhash-compared")
-        found.append(verify.links(stage(compared.where((F.col("places") >= CLOSE) & F.col("like_size")).select("node", "pivot"), "minhash-close")))
-        return compared, found[-1]
-
-    bucket = F.transform("bands", lambda v, i: F.xxhash64(i, v))
-    active, chosen = nodes.select(F.explode(bucket).alias("bucket"), "node"), F.min("node")
+    links_of = _Links(docs, nodes, id_col, text_col)
+    active = nodes.select("node", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "band", "node")
     for turn in range(rounds):
-        heads, seen = stage_observed(active.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), chosen.alias("pivot")).where("n > 1"),
+        heads, seen = stage_observed(active.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1"),
                                      "minhash-heads", F.sum("n").alias("rows"), F.max("n").alias("largest"))
-        total = int(seen["rows"] or 0)
-        if not total:
+        if not seen["rows"]:
             break
-        members = stage(join_copies(active.select("bucket", "node"), heads, "bucket", "n", total).where("node != pivot"), "minhash-members")
-        compared, new = tried(stage(members.select("node", "pivot").distinct(), "minhash-pairs"))
+        members = stage(join_copies(active, heads.select("bucket", "pivot"), "bucket", heads, int(seen["rows"])).where("node != pivot"), "minhash-members")
+        compared = links_of.among(members)
         if seen["largest"] <= 2:
             break
-        near = compared.select("node", "pivot", (F.col("places") >= FAR).alias("near")).join(new.withColumn("linked", F.lit(True)), ["node", "pivot"], "left")
-        rest = members.join(near, ["node", "pivot"]).withColumn("linked", F.coalesce("linked", F.lit(False)))
+        rest = members.join(compared.select("node", "pivot", (F.col("places") >= FAR).alias("near"), "linked"), ["node", "pivot"])
         side = lambda k: F.xxhash64("bucket", F.lit(k)).alias("bucket")
-        parts = stage(rest.where("near").select(side(1), "node", "linked").unionByName(rest.where("NOT linked").select(side(2), "node", "linked")), "minhash-parts")
+        parts = stage(rest.where("near").select(side(1), "band", "node", "linked")
+                      .unionByName(rest.where("NOT linked").select(side(2), "band", "node", "linked")), "minhash-parts")
         groups, still = stage_observed(
             parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("linked").cast("long")).alias("done")).where("n > 1 AND done < n").drop("done"),
             "minhash-groups", F.sum(F.when(F.col("n") <= small, F.col("n"))).alias("few"), F.sum(F.when(F.col("n") > small, F.col("n"))).alias("many"))
         if still["few"]:
-            tried(stage(_small_pairs(parts, groups.where(F.col("n") <= small), int(still["few"])), "minhash-small"))
-        if not still["many"]:
-            break
-        so_far = stage(_union(found), "minhash-found")
-        rooted = (join_copies(parts.select("bucket", "node"), groups.where(F.col("n") > small), "bucket", "n", int(still["many"]))
-                  .join(components(so_far, "node", "pivot"), "node", "left").withColumn("root", F.coalesce("root", "node")))
-        degrees = so_far.select(F.explode(F.array("node", "pivot")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-        rooted = stage(rooted.join(degrees, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "minhash-rooted")
-        mixed, left = stage_observed(rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n"))
-                                     .where("a != b").select("bucket", "n"), "minhash-mixed", F.sum("n").alias("n"))
+            links_of.among(_small_pairs(parts, groups.where(F.col("n") <= small), int(still["few"])))
+        if not still["many"] or not links_of.found:
+            active = parts.withColumn("root", F.col("node")) if still["many"] else None
+            mixed, left = groups.where(F.col("n") > small), {"n": still["many"]}
+        else:
+            large = groups.where(F.col("n") > small)
+            active = (join_copies(parts.select("bucket", "band", "node"), large.select("bucket"), "bucket", large, int(still["many"]))
+                      .join(links_of.roots(), "node", "left").withColumn("root", F.coalesce("root", "node")))
+            active = stage(active, "minhash-rooted")
+            mixed, left = stage_observed(active.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n"))
+                                         .where("a != b").select("bucket", "n"), "minhash-mixed", F.sum("n").alias("n"))
         if not left["n"]:
             break
-        active = stage(join_copies(rooted, mixed, "bucket", "n", int(left["n"])), "minhash-active")
-        chosen = F.max_by("node", F.struct("degree", F.xxhash64("node")))
+        active = stage(join_copies(active.select("bucket", "band", "node", "root"), mixed.select("bucket"), "bucket", mixed, int(left["n"])), "minhash-active")
+        if turn + 1 < rounds:
+            again = active.join(nodes.select("node", "bands"), "node").select("bucket", F.col("band").alias("own"), "node", F.posexplode("bands").alias("band", "value"))
+            active = again.where("band != own").select(F.xxhash64("bucket", "band", "value").alias("bucket"), "band", "node")
     else:
-        tried(stage(_in_blocks(active.select("bucket", "node", "root"), mixed, int(left["n"])), "minhash-pairs"))
-    return _union(found) if found else None
+        links_of.among(_in_blocks(active.select("bucket", "node", "root"), mixed, int(left["n"])))
+    return _union(links_of.found) if links_of.found else None
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -290,14 +294,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = nodes.select("node", "least", "n_rows")
     if found is not None:
         rooted = stage(least.join(components(found, "node", "pivot"), "node", "left"), "minhash-rooted")
-        groups, joined = stage_observed(rooted.where("root IS NOT NULL").groupBy("root")
-                                        .agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("n")), "minhash-groups", F.sum("n").alias("n"))
-        inside = join_copies(rooted.where("root IS NOT NULL"), groups, "root", "n", int(joined["n"] or 0))
+        inside = rooted.where("root IS NOT NULL")
+        groups, joined = stage_observed(inside.groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("n")),
+                                        "minhash-groups", F.sum("n").alias("n"))
+        inside = join_copies(inside, groups.drop("n"), "root", groups, int(joined["n"] or 0))
         alone = rooted.where("root IS NULL").select("node", "n_rows", F.col("least").alias("component_id"))
-        least = alone.unionByName(inside.select("node", "n_rows", F.col("first").alias("component_id")))
+        least = stage(alone.unionByName(inside.select("node", "n_rows", F.col("first").alias("component_id"))), "minhash-named")
     else:
         least = least.withColumnRenamed("least", "component_id")
-    named = join_copies(rows.where("node IS NOT NULL").select("doc_id", "n_shingles", "node"), stage(least, "minhash-named"), "node", "n_rows", total)
+    named = join_copies(rows.where("node IS NOT NULL").select("doc_id", "n_shingles", "node"), least.drop("n_rows"), "node",
+                        least.withColumnRenamed("n_rows", "n"), total)
     empty = rows.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return (named.select("doc_id", "n_shingles", "component_id").unionByName(empty)
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))

@@ -83,7 +83,7 @@ def edited(rng, words, share):
     return [rng.choice(["x", "y", "z"]) + str(rng.randrange(1000)) if rng.random() < share else w for w in words]
 
 
-@pytest.mark.parametrize("small,rounds", [(smh.SMALL, smh.ROUNDS), (0, 2), (1, 1), (10 ** 9, 1)])
+@pytest.mark.parametrize("small,rounds", [(smh.SMALL, smh.ROUNDS), (0, 3), (1, 1), (10 ** 9, 1)])
 def test_groups_equal_brute_force(spark, small, rounds):
     """Chains, hubs whose copies are not linked with one another, common passages, copies and short texts."""
     rng = random.Random(11)
