@@ -501,6 +501,9 @@ def oracle_sql() -> dict[str, str]:
         "c19_materialise": given(""),
         "c19_fan_out": "SELECT o_orderkey AS _rid, o_totalprice AS orders__o_totalprice, l_linenumber AS lineitem__l_linenumber, "
                        "l_extendedprice AS lineitem__l_extendedprice FROM orders LEFT JOIN lineitem ON o_orderkey IS NOT DISTINCT FROM l_orderkey",
+        "c19_fan_out_hot": "SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 1 WHEN c_custkey % 3 = 2 THEN c_custkey END AS lk "
+                           "FROM customer) LEFT JOIN (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 1 WHEN s_suppkey % 3 = 2 THEN s_suppkey END AS rk "
+                           "FROM supplier) ON lk IS NOT DISTINCT FROM rk",
         "c20_remove_table": f"{chain()} SELECT tree_id, (SELECT string_agg(feature, ',' ORDER BY feature) FROM "
                             f"(SELECT unnest([{BASE_LIST}]) AS feature UNION ALL SELECT feature FROM kept1)) AS features, "
                             "CAST(2 AS BIGINT) AS n_keys, CAST(1 AS BIGINT) AS n_joins FROM trees WHERE tree_id = 2",

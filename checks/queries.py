@@ -526,6 +526,15 @@ def c19_fan_out(spark, sf):
                           keep=[J.ROW_ID])
 
 
+def c19_fan_out_hot(spark, sf):
+    """A key and null that hold a third of both sides each, dealt over a grid of tasks."""
+    key = "CASE WHEN {0} % 3 = 0 THEN 1 WHEN {0} % 3 = 1 THEN NULL ELSE {0} END"
+    catalog = star(spark, sf)
+    left = catalog.table("customer").selectExpr("c_custkey", key.format("c_custkey") + " AS lk")
+    right = catalog.table("supplier").selectExpr("s_suppkey", key.format("s_suppkey") + " AS rk")
+    return J.left_join_all(left, "lk", right, "rk", 2000).select("c_custkey", "s_suppkey")
+
+
 def c20_remove_table(spark, sf):
     """The table in the middle goes, and with it what hangs below."""
     a = grown(spark, sf)

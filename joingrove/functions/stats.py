@@ -7,6 +7,8 @@ before any shuffle, so a value that fills a third of the rows costs one row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from joingrove.functions.naming import quote, quoted, text
@@ -208,42 +210,86 @@ def contingency(df: DataFrame, x: str, y: str) -> DataFrame:
 def entropies(df: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
     """(set_id, h): joint entropy, in nats, of each set of up to three columns.
 
-    All sets are counted in one job. A null is a value of its own. Each
-    row spreads to one cell per set and cells are counted before the shuffle;
-    what leaves a task is one row per distinct cell.
+    A null is a value of its own. Rows are only counted for sets that no other
+    set contains: each row spreads to one cell per such set, and cells are
+    counted before the shuffle. The counts of a set inside another one are sums
+    of the other's counts, so what further sets cost depends on distinct cells,
+    not on rows.
     """
     kind = cell_type([df.schema[c].dataType for s in sets for c in s])
-    cells = _cells(df, sets, kind)
-    counts = (cells.selectExpr("set_id", "v[x] AS a", "v[y] AS b", "v[z] AS c")
-              .groupBy("set_id", "a", "b", "c").agg(F.count(F.lit(1)).cast("double").alias("n")))
-    return _entropy_of_counts(counts)
+    above = _containing(sets)
+    counts = (_cells(df, {k: s for k, s in enumerate(sets) if above[k] is None}, kind)
+              .selectExpr("set_id", "v[x] AS a", "v[y] AS b", "v[z] AS c")
+              .groupBy("set_id", "a", "b", "c").agg(F.count(F.lit(1)).alias("n")))
+    return _entropy_of_counts(_rolled_up(counts, sets, above, kind))
 
 
 def entropies_of_codes(df: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
     """As `entropies`, for columns of small codes 0..7: a cell is one number."""
-    counts = (_cells(df, sets, "int", blank="0")
+    above = _containing(sets)
+    counts = (_cells(df, {k: s for k, s in enumerate(sets) if above[k] is None}, "int", blank="0")
               .selectExpr("set_id * 512 + v[x] * 64 + v[y] * 8 + v[z] AS cell")
-              .groupBy("cell").agg(F.count(F.lit(1)).cast("double").alias("n"))
-              .selectExpr("shiftright(cell, 9) AS set_id", "n"))
+              .groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+              .selectExpr("shiftright(cell, 9) AS set_id", "shiftright(cell, 6) & 7 AS a", "shiftright(cell, 3) & 7 AS b", "cell & 7 AS c", "n"))
     # At most 216 counts per set are left.
-    return _entropy_of_counts(counts.repartition(1))
-
-
-def _cells(df: DataFrame, sets: list[tuple[str, ...]], kind: str, blank: str = "null") -> DataFrame:
+    return _entropy_of_counts(_rolled_up(counts.repartition(1), sets, above, "int", blank="0"))
+
+
+def _containing(sets: list[tuple[str, ...]]) -> list[int | None]:
+    """For each set the smallest other one that contains it; None where there is none."""
+    by_column: dict[str, list[int]] = {}
+    for k, s in enumerate(sets):
+        for c in s:
+            by_column.setdefault(c, []).append(k)
+    found = []
+    for k, s in enumerate(sets):
+        wider = [m for m in by_column[s[0]] if len(sets[m]) > len(s) and set(s) < set(sets[m])]
+        found.append(min(wider, key=lambda m: (len(sets[m]), m), default=None))
+    return found
+
+
+def _rolled_up(counts: DataFrame, sets: list[tuple[str, ...]], above: list[int | None], kind: str,
+               blank: str = "null") -> DataFrame:
+    """(set_id, n) of all sets from the counts of those that none contains."""
+    every, level = [counts.select("set_id", "n")], counts
+    at_hand = [k for k, parent in enumerate(above) if parent is None]
+    while at_hand:
+        inside: dict[int, list[int]] = {}
+        for k, parent in enumerate(above):
+            if parent in at_hand:
+                inside.setdefault(parent, []).append(k)
+        if not inside:
+            break
+
+        def kept(k: int, parent: int) -> str:
+            places = ([sets[parent].index(c) + 1 for c in sets[k]] + [0, 0])[:3]
+            return f"struct({', '.join(map(str, [k] + places))})"
+
+        listing = ", ".join(f"{p}, array({', '.join(kept(k, p) for k in children)})" for p, children in inside.items())
+        value = "CASE {0} WHEN 1 THEN a WHEN 2 THEN b WHEN 3 THEN c ELSE cast(" + blank + " AS " + kind + ") END AS {1}"
+        level = (level.selectExpr("a", "b", "c", "n", f"inline(map({listing})[set_id]) AS (child, x, y, z)")
+                 .selectExpr("child AS set_id", *[value.format(p, v) for p, v in zip("xyz", "abc")], "n")
+                 .groupBy("set_id", "a", "b", "c").agg(F.sum("n").alias("n")))
+        every.append(level.select("set_id", "n"))
+        at_hand = [k for children in inside.values() for k in children]
+    return reduce(DataFrame.unionByName, every)
+
+
+def _cells(df: DataFrame, sets: dict[int, tuple[str, ...]], kind: str, blank: str = "null") -> DataFrame:
     """Each row once per set: the row's values `v` and the places x, y, z of
     the set's columns in it. Place 0 is blank."""
-    used = sorted({c for s in sets for c in s})
+    used = sorted({c for s in sets.values() for c in s})
     place = {c: i + 1 for i, c in enumerate(used)}
     values = ", ".join([f"cast({blank} AS {kind})"] + [f"cast({quote(c)} AS {kind})" for c in used])
     listing = ", ".join(
         "struct({}, {}, {}, {})".format(i, *([place[c] for c in s] + [0, 0])[:3])
-        for i, s in enumerate(sets))
+        for i, s in sets.items())
     return df.selectExpr(f"array({values}) AS v").selectExpr(
         "v", f"inline(array({listing})) AS (set_id, x, y, z)")
 
 
 def _entropy_of_counts(counts: DataFrame) -> DataFrame:
-    n, N = F.col("n"), F.col("N")
+    n, N = F.col("n").cast("double"), F.col("N")
     sums = counts.groupBy("set_id").agg(F.sum(n).alias("N"), F.sum(n * F.log(n)).alias("L"))
     return sums.select("set_id", (F.log(N) - F.col("L") / N).alias("h"))
 

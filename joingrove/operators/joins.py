@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from joingrove.functions.naming import quote, quoted
 from joingrove.functions.types import OTHER, families, family
+from joingrove.sources.staging import stage, stage_observed
 
 # A key with more than this share of the left rows is spread over tasks. At
 # most 1 / HOT_SHARE keys can be hot, whatever the data.
@@ -16,6 +17,10 @@ SALTS = 64
 # Rows of one hot key that one task takes; larger keys are spread over more than SALTS tasks.
 ROWS_PER_TASK = 1_000_000
 
+# Pairs of one key that a task of a join without the one-row step makes, and keys that are dealt over several.
+PAIRS_PER_TASK = 4_000_000
+MAX_GRIDS = 10_000
+
 # Identity of a base row, carried through every join.
 ROW_ID = "_rid"
 
@@ -146,6 +151,47 @@ def left_join_one(left: DataFrame, left_key: str, right_one: DataFrame, right_ke
         "_salt", "_rsalt")
 
 
-def left_join_all(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:
-    """Left join without the one-row step: rows fan out, null meets null (C19, `dedupe=False`)."""
-    return left.join(right, quoted(left_key).eqNullSafe(quoted(right_key)), "left")
+def left_join_all(left: DataFrame, left_key: str, right: DataFrame, right_key: str,
+                  pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
+    """Left join without the one-row step: rows fan out, null meets null (C19, `dedupe=False`).
+
+    A key with more than `pairs_per_task` pairs gets a grid: its left rows are dealt to rows of the grid, its
+    right ones to columns, and each is copied along, so a task joins no more than a cell. The sides of the
+    grid follow the numbers of rows, which keeps the copies few beside the pairs that they make. Keys with no
+    partner are dealt as well. Fewer than MAX_GRIDS keys have one, whatever the data.
+    """
+    counts, seen = stage_observed(_both_counts(left, left_key, right, right_key), "pair-counts",
+                                  F.sum(F.col("_nl") * F.greatest("_nr", F.lit(1))).alias("pairs"), F.max(F.col("_nl") * F.greatest("_nr", F.lit(1))).alias("most"))
+    limit = max(pairs_per_task, int(seen["pairs"] or 0) // MAX_GRIDS)
+    on = quoted(left_key).eqNullSafe(quoted(right_key))
+    if int(seen["most"] or 0) <= limit:
+        return left.join(right, on, "left")
+    cells = F.ceil(F.col("_nl") * F.greatest("_nr", F.lit(1)) / F.lit(float(limit)))
+    across = F.least(F.greatest(F.ceil(F.sqrt(cells * F.col("_nr") / F.col("_nl"))), F.lit(1)), F.greatest("_nr", F.lit(1)))
+    grid = F.broadcast(counts.filter(F.col("_nl") * F.greatest("_nr", F.lit(1)) > limit).select(
+        F.col("_key").alias("_gkey"), (F.col("_nr") > 0).alias("_meets"), across.cast("int").alias("_across"),
+        F.ceil(cells / across).cast("int").alias("_down")))
+    line = lambda cells: F.sequence(F.lit(0), F.col(cells) - 1)
+    # A row keeps its place in the grid when a task is run again: by its place in written files.
+    left = stage(left, "fan-out")
+    placed = left.withColumn("_at", F.monotonically_increasing_id()).join(grid, quoted(left_key).eqNullSafe(F.col("_gkey")), "left")
+    own = F.coalesce(F.pmod("_at", F.col("_down")), F.lit(0)).cast("int")
+    many = (placed.filter("_meets").withColumn("_i", own).withColumn("_j", F.explode(line("_across")))
+            .drop("_at", "_gkey", "_meets", "_across", "_down"))
+    other = placed.filter("_meets IS NULL OR NOT _meets").withColumn("_i", own).drop("_at", "_gkey", "_meets", "_across", "_down")
+    dealt = right.withColumn("_at", F.monotonically_increasing_id()).join(
+        grid.filter("_meets"), quoted(right_key).eqNullSafe(F.col("_gkey")), "left")
+    met = (dealt.filter("_meets").withColumn("_rj", F.pmod("_at", F.col("_across")).cast("int")).withColumn("_ri", F.explode(line("_down")))
+           .drop("_at", "_gkey", "_meets", "_across", "_down"))
+    plain = dealt.filter("_meets IS NULL").withColumn("_ri", F.lit(0)).drop("_at", "_gkey", "_meets", "_across", "_down")
+    cell = (F.col("_i") == F.col("_ri")) & (F.col("_j") == F.col("_rj"))
+    columns = left.columns + right.columns
+    in_grid = many.join(met, on & cell).select(*[quoted(c) for c in columns])
+    return in_grid.unionByName(other.join(plain, on & (F.col("_i") == F.col("_ri")), "left").select(*[quoted(c) for c in columns]))
+
+
+def _both_counts(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:
+    """(key, nl, nr): rows of each key of the left side on both sides, null among the keys."""
+    mine = left.groupBy(quoted(left_key).alias("_key")).agg(F.count(F.lit(1)).alias("_nl"))
+    theirs = right.groupBy(quoted(right_key).alias("_rkey")).agg(F.count(F.lit(1)).alias("_r"))
+    return mine.join(theirs, F.col("_key").eqNullSafe(F.col("_rkey")), "left").select("_key", "_nl", F.coalesce("_r", F.lit(0)).alias("_nr"))

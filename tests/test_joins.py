@@ -1,4 +1,6 @@
 import pytest
+from pyspark.sql import functions as F
+
 from joingrove.operators import joins as J
 
 
@@ -80,3 +82,39 @@ def test_families_decide_joinability(spark):
 def test_result_does_not_depend_on_partitions(spark, right, parts):
     got = sorted(map(str, J.one_row_per_key(right.repartition(parts), "k").collect()))
     assert got == sorted(map(str, J.one_row_per_key(right, "k").collect()))
+
+
+@pytest.mark.parametrize("limit", [50, 1000, 10 ** 9])
+def test_rows_fan_out_over_hot_keys_on_both_sides(spark, tmp_path, limit):
+    """A key and null hold a third of both sides each; another key is hot on the left and has no partner."""
+    def side(name, n, rest, lone):
+        rows = [(i, 7 if i % 3 == 0 else None if i % 3 == 1 else rest + i if i % 2 else lone) for i in range(n)]
+        spark.createDataFrame(rows, f"{name}_id long, {name}_k long").repartition(3).write.parquet(str(tmp_path / name))
+        return rows, spark.read.parquet(str(tmp_path / name))
+
+    mine, left = side("l", 240, 1000, 99)
+    theirs, right = side("r", 180, 1003, 98)
+    joined = J.left_join_all(left, "l_k", right, "r_k", limit)
+    assert joined.columns == left.columns + right.columns
+    want = sorted(((a, b) for a, k in mine for b in ([r for r, q in theirs if q == k] or [None])), key=repr)
+    assert sorted(((r["l_id"], r["r_id"]) for r in joined.collect()), key=repr) == want
+
+
+def test_no_task_makes_more_pairs_than_a_cell_of_the_grid(spark, tmp_path):
+    spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 1 WHEN id % 3 = 1 THEN NULL ELSE id END AS k").write.parquet(str(tmp_path / "l"))
+    spark.range(3000).selectExpr("id AS x", "CASE WHEN id % 3 = 0 THEN 1 WHEN id % 3 = 1 THEN NULL ELSE -id END AS j").write.parquet(str(tmp_path / "r"))
+    left, right = spark.read.parquet(str(tmp_path / "l")), spark.read.parquet(str(tmp_path / "r"))
+    with_parts = lambda d: d.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count"), F.sum("count")).first()
+    parts, adaptive = (spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled"))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        largest, rows = with_parts(J.left_join_all(left, "k", right, "j", 20_000))
+        whole, same = with_parts(J.left_join_all(left, "k", right, "j", 10 ** 9))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows == same == 2_001_000
+    assert whole >= 1_000_000 and largest < 160_000  # a handful of cells at most

@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -228,3 +229,31 @@ def test_target_must_have_two_values(spark):
     assert [r[0] for r in good.select(binary_target(good, "t")).collect()] == [1, 0, None]
     with pytest.raises(ValueError):
         binary_target(spark.range(3).selectExpr("id AS t"), "t")
+
+
+def test_counts_of_a_set_are_summed_from_a_wider_one(spark):
+    """Triples, pairs within and without a triple, and single columns, all from one pass over the rows."""
+    rng = random.Random(9)
+    rows = [tuple(rng.choice([None, "a", "b", "c"][:k]) for k in (2, 3, 4, 4, 3)) for _ in range(400)]
+    names = ["p", "q", "r", "s", "t"]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    sets = [("p",), ("p", "q"), ("p", "q", "r"), ("q", "r"), ("s", "t"), ("t",), ("r",), ("s", "p", "r"), ("q",)]
+    assert stats._containing(sets) == [1, 2, None, 2, None, 4, 3, None, 1]
+
+    def entropy(columns):
+        counts = Counter(tuple(r[names.index(c)] for c in columns) for r in rows)
+        return -sum(n / 400 * math.log(n / 400) for n in counts.values())
+
+    got = {r["set_id"]: r["h"] for r in stats.entropies(df, sets).collect()}
+    assert got == {k: pytest.approx(entropy(s)) for k, s in enumerate(sets)}
+    coded = df.selectExpr(*[f"coalesce(ascii({n}) - 96, 0) AS {n}" for n in names])
+    assert {r["set_id"]: r["h"] for r in stats.entropies_of_codes(coded, sets).collect()} == {k: pytest.approx(entropy(s)) for k, s in enumerate(sets)}
+
+
+def test_rows_spread_to_no_more_cells_when_inner_sets_are_asked_for(spark, tmp_path):
+    spark.range(1000).selectExpr("id % 7 AS a", "id % 5 AS b", "id % 3 AS c").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    inner = [("a",), ("b",), ("c",), ("a", "b"), ("a", "c"), ("b", "c")]
+    spread = lambda sets: sum(above is None for above in stats._containing(sets))
+    assert spread([("a", "b", "c")]) == spread([("a", "b", "c"), *inner]) == 1 and spread(inner) == 3
+    assert stats.entropies(df, [("a", "b", "c"), *inner]).count() == 7
