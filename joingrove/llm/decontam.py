@@ -1,10 +1,14 @@
 """Benchmark decontamination by SimHash over item-sized windows, in DataFrame operations only.
 
 A window of as many words as a benchmark item has is compared with it by the weighted sets of their five-word
-shingles (weights are counts; fewer than five words are one shingle). A window that is similar enough has one of the item's rarest shingles, which
-names the candidates; where the item's shingles stand in the document then gives the similarity of all windows at
-once, whatever the order of the shingles. The best window of each document and item is fingerprinted by the
-SimHash of its shingles, equal windows only once, in however many documents they stand.
+shingles (weights are counts; fewer than five words are one shingle). A window that is similar enough has one of the
+item's rarest shingles. Where such a shingle stands in a document, the window in which it has its place in the item is
+fingerprinted by the SimHash of its shingles (equal windows once, in however many documents they stand), blocks of the
+fingerprints find all items within a radius, and the weighted shingles of both verify them.
+
+Any radius loses some pairs that are similar enough, and shingles may stand in another order. So what is left open
+goes through a second search: the places of the item's shingles around the rare ones give the similarity of all
+windows at once.
 """
 
 from __future__ import annotations
@@ -20,13 +24,12 @@ from joingrove.llm.common import join_hot, stage, text_key, texts
 from joingrove.sources.staging import stage_observed
 
 SHINGLE, SIMILARITY = 5, 0.8
-BITS, BLOCKS, RADIUS = 64, 4, 19
+BITS, BLOCKS, RADIUS = 64, 4, 15
 BLOCK_BITS = BITS // BLOCKS
 #: Bits flipped on the side of the windows and of the items; together RADIUS // BLOCKS.
-WINDOW_FLIPS, ITEM_FLIPS = 2, 2
-#: Rows up to which the documents that share a shingle are broadcast with the places of their windows (about two
-#: kilobytes each, as measured), and up to which their keys or the shingles of the benchmark are (16 bytes).
-SMALL, KEYS = 20_000, 500_000
+WINDOW_FLIPS, ITEM_FLIPS = 1, 2
+#: Rows up to which keys of documents and the shingles of the benchmark are broadcast (a few longs each).
+KEYS = 500_000
 WORD = r"[\p{L}\p{N}]+"
 #: Letters of scripts that put no blanks between words: Thai, Lao, Myanmar, Khmer, kana, Han.
 UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3031-\u3035\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}]"
@@ -100,9 +103,8 @@ def _blocks(rows: DataFrame, key: str, flips: int) -> DataFrame:
 def within_radius(windows: DataFrame, items: DataFrame) -> DataFrame:
     """wid, item, distance: all pairs of fingerprints (wid, fp) and (item, fp) at RADIUS bits or less.
 
-    For fingerprints without their texts: at least one of BLOCKS blocks differs in at most RADIUS // BLOCKS bits, and
-    those flips are split between the two sides. `leaks` has the texts and does not go through it, since any radius
-    loses some pairs that are similar enough.
+    At least one of BLOCKS blocks differs in at most RADIUS // BLOCKS bits, and those flips are split between the two
+    sides.
     """
     a = _blocks(windows, "wid", WINDOW_FLIPS)
     b = _blocks(items, "item", ITEM_FLIPS).withColumnRenamed("fp", "item_fp")
@@ -128,7 +130,8 @@ def _in_docs(rows: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
 
 
 def _rarest(item_grams: DataFrame, similarity: float) -> DataFrame:
-    """gram, item: shingles of each item, rarest in the benchmark first, of which every window that is similar has one.
+    """gram, item, n, p: shingles of each item, rarest in the benchmark first, of which every window that is similar has
+    one; n is the item's number of words, p the shingle's first place in it.
 
     A similar window shares at least `similarity` of the item's shingles, so it cannot miss more than the rest.
     """
@@ -136,7 +139,7 @@ def _rarest(item_grams: DataFrame, similarity: float) -> DataFrame:
     before = F.sum("c").over(W.partitionBy("item").orderBy("everywhere", "gram").rowsBetween(W.unboundedPreceding, -1))
     missable = F.col("m") - F.ceil(F.col("m") * similarity - 1e-9)
     return (item_grams.join(per_gram, "gram").withColumn("before", F.coalesce(before, F.lit(0)))
-            .where(F.col("before") <= missable).select("gram", "item"))
+            .where(F.col("before") <= missable).select("gram", "item", "n", "p"))
 
 
 def _best_windows(hits: DataFrame, similarity: float) -> DataFrame:
@@ -166,13 +169,55 @@ def _best_windows(hits: DataFrame, similarity: float) -> DataFrame:
             .select(*pair, "n", (-F.col("b.back")).alias("start"), "similarity"))
 
 
+def _no_null(col: Column) -> Column:
+    return F.coalesce(col, F.lit(_signed(1 << 63)))
+
+
+def _cell_class(n: str) -> Column:
+    """The least c with 2 ** c at or above n."""
+    return F.length(F.bin(F.col(n).cast("long") - 1))
+
+
+def _cut(near: DataFrame, spans: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """d, key, start, n, wid and the words w of windows (d, key, start, n) of the texts `near`, and their number."""
+    spans = spans.groupBy("d", "key").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    cut = (near.join(spans, ["d", "key"]).select("d", "key", F.explode(F.transform("spans", lambda s: F.struct(
+               s["start"].alias("start"), s["n"].alias("n"), F.slice("w", s["start"].cast("int") + 1, s["n"]).alias("w")))).alias("s"))
+           .select("d", "key", "s.start", "s.n", "s.w", F.xxhash64("s.w").alias("wid")))
+    windows, total = stage_observed(cut, label, F.count(F.lit(1)).alias("rows"))
+    return windows, int(total["rows"] or 0)
+
+
+def _verified(windows: DataFrame, items: DataFrame, item_counts: DataFrame, item_prints: DataFrame, similarity: float) -> DataFrame:
+    """wid, item, n, distance, similarity: windows within the radius of an item of their size that are similar enough.
+
+    Equal windows are one, in however many documents they stand.
+    """
+    distinct = windows.groupBy("wid").agg(F.first("w").alias("w"))
+    counted = stage(_counted(distinct, "wid"), "leak-counted")
+    prints = stage(_fingerprints(counted, "wid"), "leak-prints")
+    sized = windows.select("wid", "n").distinct()
+    pairs = (within_radius(prints, item_prints).join(items.select("item", F.size("w").alias("n")), "item")
+             .join(sized, ["wid", "n"]))
+    pairs = stage(pairs, "leak-close")
+    mine = counted.groupBy("wid").agg(F.sum("n").alias("own"))
+    theirs = item_counts.groupBy("item").agg(F.sum("n").alias("all"))
+    common = (pairs.select("wid", "item").join(counted, "wid").join(item_counts.withColumnRenamed("n", "c"), ["item", "shingle"])
+              .groupBy("wid", "item").agg(F.sum(F.least("n", "c")).alias("common")))
+    return (pairs.join(common, ["wid", "item"]).join(mine, "wid").join(theirs, "item")
+            .withColumn("similarity", F.col("common") / (F.col("own") + F.col("all") - F.col("common")))
+            .where(F.col("similarity") >= similarity).select("wid", "item", "n", "distance", "similarity"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, key, item_id, start_word, n_words, distance, similarity: the best window of each document and item.
+    """doc_id, key, item_id, start_word, n_words, distance, similarity, by_blocks: a window for each document and item it holds.
 
     A row stands for a window of the item's number of words (or the whole document, if shorter) whose
-    shingles are similar enough, however far the fingerprints lie apart (distance, in bits). Best is the most
-    similar, then the earliest. An item of fewer than five words has one shingle, so it is found where all its words
+    shingles are similar enough. With `by_blocks` it is, of the windows on which one of the item's rarest shingles stands in
+    its place and whose fingerprints lie within RADIUS bits, the most similar, then the earliest. Else none of those is
+    similar enough, and it is the most similar, then the earliest, of all windows of that size. distance is that of the
+    fingerprints, in bits. An item of fewer than five words has one shingle, so it is found where all its words
     stand in its order. Null or empty texts, items without words and null item ids give nothing; items with equal
     ids are one row each by their text; rows repeated in id and text count once.
     """
@@ -182,56 +227,73 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                                   "leak-items", F.count(F.lit(1)).alias("rows"))
     hashed = items.select("item", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     m = F.col("n") - F.least(F.col("n"), F.lit(SHINGLE)) + 1
-    grams = (hashed.select("item", "n", F.explode(_item_grams("h")).alias("gram"))
-             .groupBy("item", "n", "gram").agg(F.count(F.lit(1)).alias("c")).withColumn("m", m))
+    grams = (hashed.select("item", "n", F.posexplode(_item_grams("h")).alias("p", "gram"))
+             .groupBy("item", "n", "gram").agg(F.count(F.lit(1)).alias("c"), F.min("p").alias("p")).withColumn("m", m))
     grams, seen = stage_observed(grams, "leak-grams", F.count(F.lit(1)).alias("rows"))
     sizes = sorted(r[0] for r in items.select(F.least(F.size("w"), F.lit(SHINGLE))).distinct().collect()) or [SHINGLE]  # at most five
-    small = lambda d, counted: F.broadcast(d) if int(counted["rows"] or 0) <= KEYS else d
+    small = lambda d, rows: F.broadcast(d) if int(rows or 0) <= KEYS else d
 
-    # Which documents may hold which items.
-    rows = texts(docs, id_col, text_col).select("doc_id", text_key().alias("key"), "text")
+    # Where the rarest shingles of items stand in documents.
+    rows = texts(docs, id_col, text_col).select(_no_null(F.col("doc_id")).alias("d"), text_key().alias("key"), "text")
     rare = stage(_rarest(grams, similarity), "leak-rarest")
-    pairs = (_in_docs(_hashed_words(rows, "doc_id", "key"), sizes, "doc_id", "key").join(small(rare, seen), "gram")
-             .groupBy("doc_id", "key").agg(F.collect_set("item").alias("items")))
-    pairs, found = stage_observed(pairs.select(F.col("doc_id").alias("s_id"), F.col("key").alias("s_key"), "items"),
-                                  "leak-pairs", F.count(F.lit(1)).alias("rows"))
-
-    # The best window of each, from all places of the item's shingles.
-    n, same = int(found["rows"] or 0), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("key") == F.col("s_key"))
-    if SMALL < n <= KEYS:  # only the texts that are needed move
-        rows = rows.join(F.broadcast(pairs.select("s_id", "s_key")), same, "left_semi")
-    near = rows.join(F.broadcast(pairs) if n <= SMALL else pairs, same)
-    near = stage(near.select("doc_id", "key", "items", words(F.col("text")).alias("w")), "leak-texts")
-    places = (_in_docs(near.select("doc_id", "key", "items", F.size("w").alias("of"), F.transform("w", lambda x: F.xxhash64(x)).alias("h")),
-                       sizes, "doc_id", "key", "items", "of")
-              .select("doc_id", "key", "of", "at", "gram", F.explode("items").alias("item")))
-    best = stage(_best_windows(places.join(small(grams, seen), ["item", "gram"]), similarity), "leak-best")
-
-    # The words of those windows; equal windows become one.
-    spans = (best.groupBy(F.col("doc_id").alias("s_id"), F.col("key").alias("s_key"))
-             .agg(F.collect_list(F.struct("item", "start", "n", "similarity")).alias("spans")))
-    cut = (near.join(spans, same).select("doc_id", "key", F.explode(F.transform("spans", lambda s: F.struct(
-               s["item"].alias("item"), s["start"].alias("start"), s["similarity"].alias("similarity"),
-               F.slice("w", s["start"].cast("int") + 1, s["n"]).alias("w")))).alias("s"))
-           .select("doc_id", "key", "s.item", "s.start", "s.similarity", "s.w"))
-    windows, total = stage_observed(cut.withColumn("wid", F.xxhash64("w")).withColumn("pair", F.xxhash64("wid", "item")),
-                                    "leak-windows", F.count(F.lit(1)).alias("rows"))
-    distinct = windows.groupBy("wid").agg(F.first("w").alias("w"))
-    prints = _fingerprints(_counted(distinct, "wid"), "wid")
-    item_prints = (_fingerprints(_counted(items.select("item", "w"), "item"), "item").withColumnRenamed("fp", "item_fp")
-                   .join(items.select("item", "item_id"), "item"))
-    verified = (windows.groupBy("pair", "wid", "item").agg(F.count(F.lit(1)).alias("n_rows"))
-                .join(prints, "wid").join(small(item_prints, known), "item")
-                .select("pair", "n_rows", "item_id", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance")))
-    verified = stage(verified, "leak-verified")
-    at = windows.select("doc_id", "key", "start", F.size("w").alias("n_words"), "similarity", "pair")
-    return (join_hot(at, verified, "pair", "n_rows", int(total["rows"] or 0)).distinct()
-            .select("doc_id", "key", "item_id", F.col("start").cast("long").alias("start_word"), F.col("n_words").cast("long").alias("n_words"),
-                    F.col("distance").cast("int").alias("distance"), "similarity"))
+    hashes = _hashed_words(rows, "d", "key").select("d", "key", "h", F.size("h").alias("of"))
+    hits = stage(_in_docs(hashes, sizes, "d", "key", "of").join(small(rare, seen["rows"]), "gram")
+                 .select("d", "key", "of", "item", "n", "at", "p"), "leak-hits")
+    holders, found = stage_observed(hits.select("d", "key").distinct(), "leak-holders", F.count(F.lit(1)).alias("rows"))
+    near = rows.join(small(holders, found["rows"]), ["d", "key"]).groupBy("d", "key").agg(F.min("text").alias("text"))
+    near = stage(near.select("d", "key", words(F.col("text")).alias("w")), "leak-texts")
+
+    # The windows that these shingles point at: close by their fingerprints, then by their shingles.
+    last = F.greatest(F.col("of") - F.col("n"), F.lit(0))
+    start = F.greatest(F.least(F.col("at") - F.col("p"), last), F.lit(0)).cast("long")
+    windows, total = _cut(near, hits.select("d", "key", start.alias("start"), "n").distinct(), "leak-windows")
+    item_counts = stage(_counted(items.select("item", "w"), "item"), "leak-item-counts")
+    item_prints = stage(_fingerprints(item_counts, "item"), "leak-item-prints")
+    verified = _verified(windows, items, item_counts, item_prints, similarity)
+    times = windows.groupBy("wid", "n").agg(F.count(F.lit(1)).alias("n_rows"))
+    per_window = (verified.join(times, ["wid", "n"]).groupBy("wid", "n", "n_rows")
+                  .agg(F.collect_list(F.struct("item", "distance", "similarity")).alias("of_items"))
+                  .withColumn("pair", F.xxhash64("wid", "n")).drop("wid", "n"))
+    at = windows.select("d", "key", "start", F.size("w").alias("n_words"), F.xxhash64("wid", "n").alias("pair"))
+    by_blocks = (join_hot(at, stage(per_window, "leak-verified"), "pair", "n_rows", total)
+                 .select("d", "key", "start", "n_words", F.explode("of_items").alias("f")).groupBy("d", "key", "f.item")
+                 .agg(F.max(F.struct("f.similarity", (-F.col("start")).alias("back"), "n_words", "f.distance")).alias("b"))
+                 .select("d", "key", "item", (-F.col("b.back")).alias("start_word"), "b.n_words", "b.distance", "b.similarity",
+                         F.lit(True).alias("by_blocks")))
+    by_blocks = stage(by_blocks, "leak-by-blocks")
+
+    # What no radius reaches: the similarity of all windows, where a document's rare shingles left the pair open.
+    open_hits = hits.join(by_blocks.select("d", "key", "item"), ["d", "key", "item"], "left_anti")
+    cell = F.floor(F.col("at") / F.pow(F.lit(2), F.col("kind"))).cast("long")
+    cells = (open_hits.withColumn("kind", _cell_class("n")).select("d", "key", "of", "item", "kind", cell.alias("cell"))
+             .withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))).distinct())
+    cells, left = stage_observed(cells, "leak-cells", F.count(F.lit(1)).alias("rows"))
+    kinds = sorted(r[0] for r in cells.select("kind").distinct().collect())  # at most thirty
+    places = _in_docs(near.select("d", "key", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+                      .join(small(cells.select("d", "key").distinct(), left["rows"]), ["d", "key"], "left_semi"), sizes, "d", "key")
+    places = places.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds or [0]]))).withColumn("cell", cell)
+    shared = (places.join(cells, ["d", "key", "kind", "cell"]).join(small(grams, seen["rows"]), ["item", "gram"])
+              .select(F.col("d").alias("doc_id"), "key", "of", "item", "n", "m", "gram", "c", "at"))
+    best = stage(_best_windows(shared, similarity).withColumnRenamed("doc_id", "d"), "leak-best")
+    windows, total = _cut(near, best.select("d", "key", F.col("start").cast("long").alias("start"), "n"), "leak-other-windows")
+    prints = _fingerprints(_counted(windows.groupBy("wid").agg(F.first("w").alias("w")), "wid"), "wid")
+    prints = stage(windows.groupBy("wid").agg(F.count(F.lit(1)).alias("n_rows")).join(prints, "wid"), "leak-other-prints")
+    printed = join_hot(windows.select("d", "key", "start", "n", F.size("w").alias("n_words"), "wid"), prints, "wid", "n_rows", total)
+    others = (best.withColumn("start", F.col("start").cast("long")).join(printed, ["d", "key", "start", "n"])
+              .join(small(item_prints.withColumnRenamed("fp", "item_fp"), known["rows"]), "item")
+              .select("d", "key", "item", F.col("start").alias("start_word"), "n_words",
+                      F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance"), "similarity", F.lit(False).alias("by_blocks")))
+    named = items.select("item", "item_id")
+    return (by_blocks.unionByName(others).join(small(named, known["rows"]), "item")
+            .select(F.when(F.col("d") != F.lit(_signed(1 << 63)), F.col("d")).alias("doc_id"), "key", "item_id", F.col("start_word").cast("long").alias("start_word"),
+                    F.col("n_words").cast("long").alias("n_words"), F.col("distance").cast("int").alias("distance"), "similarity", "by_blocks"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, in which no item of the benchmark was found."""
+    """The rows of `docs`, with all their columns, in which no item of the benchmark was found.
+
+    Rows with null or empty texts stay, repeated rows stay or go together, an empty benchmark leaves all rows.
+    """
     found = stage(leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_leak_id"), F.col("key").alias("_leak_key")).distinct(), "leaks")
     own = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
     return docs.join(found, docs[id_col].cast("long").eqNullSafe(found["_leak_id"]) & (own == found["_leak_key"]), "left_anti")
