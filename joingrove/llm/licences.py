@@ -2,12 +2,13 @@
 
 Templates are short word sequences. All rolling word k-grams of the texts are hashed and joined with the
 k-grams of the templates; a match votes for the diagonal (place in the text minus place in the template).
-Votes are added up per diagonal, neighbouring diagonals are merged, since a word more or less moves the
+Votes are added up per diagonal, each diagonal is merged with its neighbours, since a word more or less moves the
 rest of a template by one, and the merged spans are verified: words must be equal, and enough of them.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +18,6 @@ from pyspark.sql.window import Window as W
 from joingrove.llm.common import stage, text_key, texts
 
 GRAM = 2  # words; the shortest phrase has two
-#: Diagonals at most this far apart belong to one occurrence of a template.
-SHIFT = 3
 #: Share of a template's k-grams that an occurrence must hold, and how long its span may be beside the template.
 COVER, STRETCH = 0.8, 1.5
 
@@ -44,6 +43,43 @@ NOTICES = (
     ("boost software license version 1 0", "bsl"),
 )
 
+# Whole licence texts and their labels, as their words stand.
+LICENCE_TEXTS = (
+    ("""Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
+this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED
+"AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING
+FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""", "mit"),
+    ("""Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""", "isc"),
+    ("""Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""", "bsd"),
+    ("""This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for
+any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original
+software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but
+is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the
+original software. 3. This notice may not be removed or altered from any source distribution.""", "zlib"),
+)
+
 #: Words: digits, letters and all beyond ASCII. Capitals are part of them here and lowered word by word.
 WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -57,7 +93,8 @@ class Template:
 
 def templates() -> list[Template]:
     return ([Template(tuple(p.split()), label, True) for p, label in BASE]
-            + [Template(tuple(p.split()), label, False) for p, label in NOTICES])
+            + [Template(tuple(p.split()), label, False) for p, label in NOTICES]
+            + [Template(tuple(w.lower() for w in re.findall(WORDS, p)), label, False) for p, label in LICENCE_TEXTS])
 
 
 def ascii_lower(word: Column) -> Column:
@@ -96,31 +133,43 @@ def spans(found: DataFrame, known: list[Template]) -> DataFrame:
     """doc_id, key, template, start, words, cover from `votes`: a row per verified occurrence of a template.
 
     A base template occurs where all its words stand in a row: its diagonal has every k-gram. Another
-    occurs where one diagonal, or neighbouring ones together within STRETCH of its length, hold COVER of
-    its k-grams.
+    occurs where one diagonal holds COVER of its k-grams, or a diagonal together with those up to `reach` above it does:
+    words that were put in or left out move the rest of the template to these, and their matches span no more than STRETCH of
+    its length. Each diagonal is the lowest of a group of its own, so matches further along, however many, take nothing
+    from it. Of groups that overlap in the text the one with the best cover is the occurrence.
     """
     size = F.create_map(*[F.lit(x) for n, t in enumerate(known) for x in (n, len(t.words))])[F.col("template")]
     base = F.col("template").isin([n for n, t in enumerate(known) if t.base] or [-1])
+    reach = F.floor(size * F.lit(STRETCH - 1)).cast("int")
+    widest = max([int(len(t.words) * (STRETCH - 1)) for t in known if not t.base], default=0)
+    text, total = ["doc_id", "key", "template"], size - (GRAM - 1)
     diagonals = (found.where(F.col("template") != LAST_WORD)
-                 .groupBy("doc_id", "key", "template", (F.col("at") - F.col("place")).alias("diagonal"))
+                 .groupBy(*text, (F.col("at") - F.col("place")).alias("diagonal"))
                  .agg(F.collect_set("place").alias("places"), F.min("at").alias("first"), F.max("at").alias("last")))
-    # Neighbours: occurrences on one diagonal are apart by construction, so a new one starts at a jump.
-    line = W.partitionBy("doc_id", "key", "template").orderBy("diagonal")
-    jump = F.when(base | (F.col("diagonal") - F.lag("diagonal").over(line) > SHIFT), 1).otherwise(0)
-    one = F.size("places")
-    merged = (diagonals.withColumn("jump", jump)
-              .withColumn("group", F.sum("jump").over(line.rowsBetween(W.unboundedPreceding, 0)))
-              .groupBy("doc_id", "key", "template", "group")
-              .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("together"),
-                   F.min("first").alias("all_start"), (F.max("last") + GRAM).alias("all_end"),
-                   F.max(F.struct(one.alias("n"), F.col("first").alias("start"), (F.col("last") + GRAM).alias("end"))).alias("best")))
-    needed = F.when(base, size - (GRAM - 1)).otherwise(F.ceil((size - (GRAM - 1)) * F.lit(COVER)))
-    alone = F.col("best.n") >= needed
-    together = ~base & (F.col("together") >= needed) & (F.col("all_end") - F.col("all_start") <= STRETCH * size)
-    start, end = F.when(alone, F.col("best.start")).otherwise(F.col("all_start")), F.when(alone, F.col("best.end")).otherwise(F.col("all_end"))
-    return (merged.where(alone | together)
-            .select("doc_id", "key", "template", start.cast("long").alias("start"), (end - start).cast("long").alias("words"),
-                    (F.when(alone, F.col("best.n")).otherwise(F.col("together")) / (size - (GRAM - 1))).alias("cover"), base.alias("base")))
+    phrases = (diagonals.where(base & (F.size("places") >= total))
+               .select(*text, F.col("first").cast("long").alias("start"), size.cast("long").alias("words"), F.lit(1.0).alias("cover"), F.lit(True).alias("base")))
+
+    # At most one row a diagonal: a frame holds no more than `widest` + 1.
+    ahead = W.partitionBy(*text).orderBy("diagonal").rangeBetween(0, widest)
+    group = F.filter(F.collect_list(F.struct("diagonal", "places", "first", "last")).over(ahead), lambda d: d["diagonal"] <= F.col("diagonal") + F.col("reach"))
+    grouped = (diagonals.where(~base).withColumn("reach", reach).withColumn("group", group)
+               .select(*text, F.size("places").alias("alone"), "first", "last",
+                       F.size(F.array_distinct(F.flatten(F.col("group.places")))).alias("together"),
+                       F.array_min("group.first").alias("all_first"), F.array_max("group.last").alias("all_last")))
+    needed = F.ceil(total * F.lit(COVER))
+    one = lambda x, y: F.when(F.col("alone") >= needed, F.col(x)).otherwise(F.col(y))
+    verified = (grouped.where(F.col("together") >= needed)
+                .select(*text, one("first", "all_first").alias("start"), (one("last", "all_last") + GRAM).alias("end"),
+                        (one("alone", "together") / total).alias("cover")))
+    line = W.partitionBy(*text).orderBy("start", "end")
+    before = F.max("end").over(line.rowsBetween(W.unboundedPreceding, -1))
+    opens = F.when(before.isNull() | (F.col("start") >= before), 1).otherwise(0)
+    best = F.max(F.struct("cover", (F.col("start") - F.col("end")).alias("short"), (-F.col("start")).alias("early"), "end")).alias("b")
+    return phrases.unionByName(
+        verified.withColumn("opens", opens).withColumn("n", F.sum("opens").over(line.rowsBetween(W.unboundedPreceding, 0)))
+        .groupBy(*text, "n").agg(best)
+        .select(*text, (-F.col("b.early")).cast("long").alias("start"), (F.col("b.end") + F.col("b.early")).cast("long").alias("words"),
+                F.col("b.cover").alias("cover"), F.lit(False).alias("base")))
 
 
 def scan(docs: DataFrame, known: list[Template] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
