@@ -9,6 +9,7 @@ that meet in a list are tallied (how many positional bytes they share), kept fro
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from joingrove.llm.common import join_hot, map_batches, stage, text_key, texts
+from joingrove.llm.common import join_copies, join_hot, map_batches, stage, text_key, texts
 from joingrove.llm.components import components
 from joingrove.sources.staging import stage_observed
 
@@ -28,6 +29,8 @@ TRIPLES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
 #: Fingerprints in a list up to which all its pairs are tallied. Longer lists are split by two more
 #: positions, and what is still longer goes over shared variants; all three give the same components.
 PAIR_LIMIT = 512
+#: Shingles hashed at once.
+CHUNK = 1 << 16
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -41,14 +44,10 @@ def fingerprint(text: str | None) -> int:
     words = (text or "").encode().lower().split()
     if not words:
         return 0
-    if len(words) <= SHINGLE:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = [b" ".join(s) for s in zip(*(words[i:] for i in range(SHINGLE)))]
-    digest = xxhash.xxh64_intdigest
-    counts, n = np.zeros(64, np.int64), len(shingles)
-    for i in range(0, n, 1 << 16):  # bounded memory however long the text is
-        h = np.array([digest(s, SEED) for s in shingles[i:i + (1 << 16)]], dtype="<u8")
+    digest, n = xxhash.xxh64_intdigest, max(len(words) - SHINGLE + 1, 1)
+    counts = np.zeros(64, np.int64)
+    for i in range(0, n, CHUNK):  # beside the words, memory does not grow with the text
+        h = np.array([digest(b" ".join(words[j:j + SHINGLE]), SEED) for j in range(i, min(i + CHUNK, n))], dtype="<u8")
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0])
 
@@ -89,12 +88,20 @@ def _sizes(postings: DataFrame) -> DataFrame:
     return postings.groupBy("list", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def _tally(postings: DataFrame) -> DataFrame:
-    """Verified links among fingerprints that meet in a list."""
+def tallied(postings: DataFrame) -> DataFrame:
+    """a, b, shared: pairs that meet in a list, with the number of positional bytes they share, from MIN_SHARED on.
+
+    That is the least number two fingerprints within RADIUS bits share; pairs that only meet in their list's positions
+    and one more go here, before the bits are looked at.
+    """
     x, y = postings.select("list", "key", F.col("fp").alias("a")), postings.select("list", "key", F.col("fp").alias("b"))
     pairs = x.join(y, ["list", "key"]).where("a < b").select("a", "b", F.col("a").bitwiseXOR(F.col("b")).alias("fp"))
     shared = sum((F.when(_byte("fp", p) == 0, 1).otherwise(0) for p in range(BYTES)), F.lit(0))
-    return pairs.where((shared >= MIN_SHARED) & (F.bit_count("fp") <= RADIUS)).select("a", "b").distinct()
+    return pairs.select("a", "b", shared.alias("shared")).where(F.col("shared") >= MIN_SHARED).distinct()
+
+
+def _verified(pairs: DataFrame) -> DataFrame:
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).select("a", "b")
 
 
 def _by_variants(postings: DataFrame, lists: list[tuple[int, ...]]) -> DataFrame:
@@ -134,12 +141,12 @@ def links(fps: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
         return few, many, int(seen["long"] or 0)
 
     few, many, n = split(_postings(fps, TRIPLES), "simhash-lists")
-    out = _tally(few)
+    out = _verified(tallied(few))
     if n:
         fives = [t for t in combinations(range(BYTES), MIN_SHARED)]
         hot = stage(many.select("fp").distinct(), "simhash-long")
         few, many, n = split(_postings(hot, fives), "simhash-fives")
-        out = out.unionByName(_tally(few))
+        out = out.unionByName(_verified(tallied(few)))
         if n:
             out = out.unionByName(_by_variants(many, fives))
     return out
@@ -152,16 +159,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, text_key, fp, component_id for each row of `docs`.
 
     component_id is the smallest doc_id that links of RADIUS bits or less reach, its own included (null if
-    all reached are null). Equal fingerprints are one node, so copies cost nothing beyond their count.
+    all reached are null). Equal fingerprints are one node, so copies cost nothing beyond their count; a text without
+    words, or null, has fingerprint 0. An empty table gives no rows.
     """
     rows, seen = stage_observed(fingerprints(docs, id_col, text_col), "simhash-docs", F.count(F.lit(1)).alias("n"))
     nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_rows")), "simhash-nodes")
     linked = components(links(nodes.select("fp"), pair_limit)).withColumnRenamed("node", "fp")
-    with_root = nodes.join(linked, "fp", "left")
-    linked_nodes = stage(with_root, "simhash-roots")
-    least = (linked_nodes.where("root is not null").groupBy("root").agg(F.min("least").alias("root_least")))
-    named = (linked_nodes.join(least, "root", "left")
-             .select("fp", "n_rows", F.coalesce("root_least", "least").alias("component_id")))
+    rooted = stage(nodes.join(linked, "fp", "left"), "simhash-roots")
+    inside = rooted.where("root is not null")
+    groups, joined = stage_observed(inside.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")),
+                                    "simhash-groups", F.sum("n").alias("n"))
+    named = (join_copies(inside, groups.drop("n"), "root", groups, int(joined["n"] or 0)).select("fp", "n_rows", "component_id")
+             .unionByName(rooted.where("root is null").select("fp", "n_rows", F.col("least").alias("component_id"))))
     return join_hot(rows, stage(named, "simhash-named"), "fp", "n_rows", int(seen["n"] or 0)) \
         .select("doc_id", "text_key", "fp", "component_id")
 
@@ -170,15 +179,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of `docs` that are the first of their component, with all their columns.
 
     First is the smallest doc_id (a null one comes last), then the smallest hash of the text; of rows equal
-    in both one stays.
+    in both one stays. Columns of `docs` may have any names.
     """
     found = stage(near_duplicates(docs, id_col, text_col), "simhash-found")
     first = (found.groupBy(F.coalesce("component_id", F.col("fp")).alias("c"), F.col("component_id").isNull().alias("x"))
              .agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key")).alias("f"))
-             .select(F.col("f.doc_id").alias("_keep_id"), F.col("f.text_key").alias("_keep_key")).distinct())
-    own_id, own_key = F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.withColumns({"_own_id": own_id, "_own_key": own_key})
-    kept = rows.join(first, rows["_own_id"].eqNullSafe(first["_keep_id"]) & (rows["_own_key"] == first["_keep_key"]), "left_semi")
+             .select("f.doc_id", "f.text_key").distinct())
+    mine = lambda k: f"{k}_{uuid.uuid4().hex}"  # noqa: E731  a name that no column has
+    an_id, a_key, keep_id, keep_key = map(mine, ("id", "key", "keep_id", "keep_key"))
+    rows = docs.withColumns({an_id: F.col(id_col).cast("long"), a_key: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    first = first.toDF(keep_id, keep_key)
+    kept = rows.join(first, F.col(an_id).eqNullSafe(F.col(keep_id)) & (F.col(a_key) == F.col(keep_key)), "left_semi")
     if not found.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["_own_id", "_own_key"])  # moves the texts again, so only where rows repeat
-    return kept.drop("_own_id", "_own_key")
+        kept = kept.dropDuplicates([an_id, a_key])  # moves the texts again, so only where rows repeat
+    return kept.drop(an_id, a_key)

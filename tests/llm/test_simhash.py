@@ -77,6 +77,28 @@ def test_every_pair_within_the_radius_meets_in_a_list():
         assert any(not set(t) & set(bits) for t in simhash.TRIPLES)
 
 
+def test_the_tally_drops_pairs_and_loses_none(spark):
+    rng = random.Random(13)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = set(base)
+    for x in base:  # within reach; and alike in three or four bytes only
+        fps.add(x ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64))
+        y = x
+        for p in rng.sample(range(8), rng.choice([4, 5])):
+            y ^= rng.randrange(1, 256) << (8 * p)
+        fps.add(y)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    postings = simhash._postings(df, simhash.TRIPLES)
+    meet = {(r["a"], r["b"]) for r in postings.alias("x").join(postings.withColumnRenamed("fp", "b"), ["list", "key"])
+            .selectExpr("fp AS a", "b").where("a < b").collect()}
+    kept = {(r["a"], r["b"]): r["shared"] for r in simhash.tallied(postings).collect()}
+    near = {(a, b) for a in map(signed, fps) for b in map(signed, fps) if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 3}
+    same = lambda a, b: sum((a >> 8 * p & 255) == (b >> 8 * p & 255) for p in range(8))
+    assert near <= kept.keys() < meet and all(n == same(a, b) >= 5 for (a, b), n in kept.items())
+    assert len(meet - kept.keys()) >= 10
+
+
 def test_given_documents(spark):
     sf = "/root/testdata/sf0.01"
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
