@@ -37,7 +37,7 @@ SMALL, ROUNDS = 32, 2
 #: Keys (24 bytes each) up to which the texts to be read again are named by broadcast.
 KEYS = 500_000
 #: Shingles that take their steps together, and words whose hashes a task remembers.
-TOGETHER, REMEMBERED = 1 << 17, 1 << 19
+TOGETHER, REMEMBERED = 1 << 16, 1 << 17
 
 _GOLD, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -221,9 +221,10 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: s
     `nodes` (staged) has node, bands, n_shingles, and doc_id and key of a row that holds the set. A round compares the
     members of each bucket with its pivot. Members too far from the pivot cannot be linked with those linked with it, so
     the bucket falls into those near it, as long as some of them are not linked with it, and those not linked with it.
-    What has at most `small` members is settled by all its pairs. What has more and joins sets of different components is
-    dealt to buckets of two bands (a linked pair shares thirteen on the average, and only one in a million just one) for
-    another round, and settled in blocks after the last one.
+    What has at most `small` members is settled by all its pairs. Of what has more, members outside the component that
+    most belong to are compared with all others, if they are at most `small`. If there are more, the bucket is dealt to
+    buckets of two bands (a linked pair shares thirteen on the average, and only one in a million just one) for another
+    round, and settled in blocks after the last one.
     """
     links_of = _Links(docs, nodes, id_col, text_col)
     active = nodes.select("node", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "band", "node")
@@ -245,24 +246,36 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: s
             "minhash-groups", F.sum(F.when(F.col("n") <= small, F.col("n"))).alias("few"), F.sum(F.when(F.col("n") > small, F.col("n"))).alias("many"))
         if still["few"]:
             links_of.among(_small_pairs(parts, groups.where(F.col("n") <= small), int(still["few"])))
-        if not still["many"] or not links_of.found:
-            active = parts.withColumn("root", F.col("node")) if still["many"] else None
-            mixed, left = groups.where(F.col("n") > small), {"n": still["many"]}
+        if not still["many"]:
+            break
+        large = groups.where(F.col("n") > small)
+        active = join_copies(parts.select("bucket", "band", "node"), large.select("bucket"), "bucket", large, int(still["many"]))
+        if links_of.found:
+            active = active.join(links_of.roots(), "node", "left").withColumn("root", F.coalesce("root", "node"))
         else:
-            large = groups.where(F.col("n") > small)
-            active = (join_copies(parts.select("bucket", "band", "node"), large.select("bucket"), "bucket", large, int(still["many"]))
-                      .join(links_of.roots(), "node", "left").withColumn("root", F.coalesce("root", "node")))
-            active = stage(active, "minhash-rooted")
-            mixed, left = stage_observed(active.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n"))
-                                         .where("a != b").select("bucket", "n"), "minhash-mixed", F.sum("n").alias("n"))
-        if not left["n"]:
+            active = active.withColumn("root", F.col("node"))
+        active = stage(active, "minhash-rooted")
+        # Members outside the component that holds most of a bucket are compared with all others.
+        shares = active.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+        most = shares.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("m"))
+        mixed, left = stage_observed(most.select("bucket", "n", F.col("m.root").alias("main"), (F.col("n") - F.col("m.n")).alias("outside")).where("outside > 0"),
+                                     "minhash-mixed", F.sum(F.when(F.col("outside") <= small, F.col("n"))).alias("few"),
+                                     F.sum(F.when(F.col("outside") > small, F.col("n"))).alias("many"))
+        if left["few"]:
+            few = mixed.where(F.col("outside") <= small)
+            mine = join_copies(active.select("bucket", "node", "root"), few.select("bucket", "main"), "bucket", few, int(left["few"]))
+            outside = mine.where("root != main").groupBy("bucket").agg(F.collect_list(F.struct(F.col("node").alias("pivot"), F.col("root").alias("p_root"))).alias("outside"))
+            met = join_copies(mine.select("bucket", "node", "root"), outside, "bucket", few, int(left["few"])).select("node", "root", F.inline("outside"))
+            links_of.among(met.where("root != p_root").select("node", "pivot"))
+        if not left["many"]:
             break
-        active = stage(join_copies(active.select("bucket", "band", "node", "root"), mixed.select("bucket"), "bucket", mixed, int(left["n"])), "minhash-active")
+        mixed = mixed.where(F.col("outside") > small)
+        active = stage(join_copies(active.select("bucket", "band", "node", "root"), mixed.select("bucket"), "bucket", mixed, int(left["many"])), "minhash-active")
         if turn + 1 < rounds:
             again = active.join(nodes.select("node", "bands"), "node").select("bucket", F.col("band").alias("own"), "node", F.posexplode("bands").alias("band", "value"))
             active = again.where("band != own").select(F.xxhash64("bucket", "band", "value").alias("bucket"), "band", "node")
     else:
-        links_of.among(_in_blocks(active.select("bucket", "node", "root"), mixed, int(left["n"])))
+        links_of.among(_in_blocks(active.select("bucket", "node", "root"), mixed, int(left["many"])))
     return _union(links_of.found) if links_of.found else None
 
 
