@@ -171,42 +171,113 @@ def trigrams(name: str) -> str:
     """SQL of the distinct 3-grams of a lower-cased name, padded by two spaces
     in front and one behind."""
     padded = f"concat('  ', lower({name}), ' ')"
-    return f"array_distinct(transform(sequence(1, length({name}) + 1), i -> substring({padded}, i, 3)))"
+    return f"array_distinct(transform(sequence(1, length(lower({name})) + 1), i -> substring({padded}, i, 3)))"
 
 
 def schema_score(pairs: DataFrame) -> DataFrame:
     """Adds name_score and type_score to pairs (c1, c2) of column rows."""
-    a, b = "lower(c1.column)", "lower(c2.column)"
-    edit = f"1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}))"
-    return (pairs.selectExpr("*", f"{trigrams('c1.column')} AS _g1", f"{trigrams('c2.column')} AS _g2")
-            .selectExpr("c1", "c2", f"{edit} AS _edit",
-                        "size(array_intersect(_g1, _g2)) / size(array_union(_g1, _g2)) AS _tri",
-                        f"""CASE WHEN c1.family = c2.family THEN 1D
-                            WHEN c1.family IN ('{INTEGRAL}', '{FRACTIONAL}')
-                             AND c2.family IN ('{INTEGRAL}', '{FRACTIONAL}') THEN 0.5D
-                            ELSE 0D END AS type_score""")
-            .withColumn("name_score", (F.col("_edit") + F.col("_tri")) / 2).drop("_edit", "_tri"))
-
-
-def composite(catalog: Catalog, instances: bool = False, table: str | None = None) -> DataFrame:
+    return (pairs.selectExpr("*", f"{_name_score('c1.column', 'c2.column')} AS name_score",
+                             f"""CASE WHEN c1.family = c2.family THEN 1D
+                             WHEN c1.family IN ('{INTEGRAL}', '{FRACTIONAL}')
+                              AND c2.family IN ('{INTEGRAL}', '{FRACTIONAL}') THEN 0.5D
+                             ELSE 0D END AS type_score"""))
+
+
+def _name_score(x: str, y: str) -> str:
+    """SQL of the mean of edit similarity and trigram similarity of two names."""
+    a, b, g, h = f"lower({x})", f"lower({y})", trigrams(x), trigrams(y)
+    return (f"(1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}))"
+            f" + size(array_intersect({g}, {h})) / size(array_union({g}, {h}))) / 2")
+
+
+def similar_names(names: DataFrame, least: float) -> DataFrame | None:
+    """(n1, n2): pairs of different names, n1 < n2, that include all with a name
+    score above `least`; None where names that share no trigram can have it.
+
+    With k edits between them, at most 3 k of the n + 1 trigrams of the longer
+    name are not in the other. Hence names without a common one are less than
+    2/3 alike by edits. And where the longer name has n + 1 different ones, s of
+    which are common, edit similarity is at most 1 - (n + 1 - s) / 3n and trigram
+    similarity at most s / (n + 1), so a sum above c = 2 `least` takes more than
+    (n + 1 - 3n (1 - c)) / 4 common ones. Pairs that have so many share one of
+    their rarest when as many trigrams of each, less one, are left out, the most
+    frequent first, and two when less two are. Names that repeat a trigram meet
+    all that share one.
+    """
+    c = 2 * least
+    if c < 2 / 3 - 1e-9:
+        return None
+    n = F.length(F.lower("name"))
+    common = F.greatest(F.floor((n + 1 - 3 * n * F.lit(1 - c)) / 4 - 1e-9) + 1, F.lit(1)).cast("int")
+    held = stage(names.select("name", F.expr(trigrams("name")).alias("grams"), n.alias("n"))
+                 .withColumn("regular", F.size("grams") == F.col("n") + 1), "names")
+    each = held.select("name", "regular", "n", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    often = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    ordered = (each.join(often, "gram").groupBy("name", "n", "regular", "size")
+               .agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams")))
+    ordered = stage(ordered.withColumn("common", common), "rare-trigrams")
+    prefix = lambda more: F.slice(F.transform("grams", lambda g: g["gram"]), F.lit(1), F.greatest(F.col("size") - F.col("common") + more, F.lit(1)))
+    tokens = ordered.filter("regular AND common = 1").select("name", F.explode(prefix(1)).alias("token"))
+    # With two common ones, one more of each name's rarest holds both: far fewer names share two.
+    two = F.expr("flatten(transform(rare, (x, i) -> transform(slice(rare, i + 2, size(rare)), y -> concat(least(x, y), greatest(x, y)))))")
+    pairs = ordered.filter("regular").select("name", prefix(2).alias("rare")).select("name", F.explode(two).alias("token"))
+    tokens = stage(tokens.unionByName(pairs), "name-tokens")
+    odd = each.filter("NOT regular").select("gram", "name")
+    met = (tokens.withColumnRenamed("name", "n1").join(tokens.withColumnRenamed("name", "n2"), "token").filter("n1 < n2").select("n1", "n2")
+           .unionByName(odd.withColumnRenamed("name", "x").join(each.select("gram", F.col("name").alias("y")), "gram").filter("x != y")
+                        .select(F.least("x", "y").alias("n1"), F.greatest("x", "y").alias("n2"))))
+    return met.distinct()
+
+
+def _may_exceed(columns: DataFrame, least: float, table: str | None) -> DataFrame | None:
+    """Pairs (c1, c2) of columns of two tables, the first table first by name,
+    that include all with a name score above `least`. Names are compared once,
+    in however many tables they stand."""
+    pairs = similar_names(columns.select(F.col("column").alias("name")).distinct(), least)
+    if pairs is None:
+        return None
+    alike = stage(pairs.filter(f"{_name_score('n1', 'n2')} > {least - 1e-9!r}D"), "similar-names")
+    same = columns.select(F.col("column").alias("n1"), F.col("column").alias("n2")).distinct()
+    every = same.unionByName(alike).unionByName(alike.select(F.col("n2").alias("n1"), F.col("n1").alias("n2")))
+    first = columns.select(F.col("column").alias("n1"), F.struct("*").alias("c1"))
+    second = columns.select(F.col("column").alias("n2"), F.struct("*").alias("c2"))
+    ours = F.lit(True) if table is None else (F.col("c1.table") == table) | (F.col("c2.table") == table)
+    return every.join(first, "n1").join(second, "n2").filter((F.col("c1.table") < F.col("c2.table")) & ours).select("c1", "c2")
+
+
+def composite(catalog: Catalog, instances: bool = False, table: str | None = None,
+              above: float | None = None) -> DataFrame:
     """(table1, col1, table2, col2, name_score, type_score, inst_score, weight):
     similarity of names and types and, with `instances`, of values (B2). With
-    `table`, only pairs with one of its columns."""
+    `table`, only pairs with one of its columns. With `above`, pairs whose names
+    rule a greater weight out are not looked at, and only greater ones come back."""
     weights = INSTANCE_WEIGHTS if instances else SCHEMA_WEIGHTS
-    pairs = column_pairs(catalog.columns())
-    if table is not None:
-        pairs = pairs.filter((F.col("c1.table") == table) | (F.col("c2.table") == table))
+    columns = catalog.columns()
+    shared = jaccard(catalog, table).withColumnRenamed("weight", "inst_score") if instances else None
+    pairs = None
+    if above is not None:
+        # What a pair without common values must owe to its names.
+        pairs = _may_exceed(columns, (above - weights["type"]) / weights["name"], table)
+        if pairs is not None and shared is not None:
+            shared = stage(shared, "shared-values")
+            first = columns.select(F.col("table").alias("table1"), F.col("column").alias("col1"), F.struct("*").alias("c1"))
+            second = columns.select(F.col("table").alias("table2"), F.col("column").alias("col2"), F.struct("*").alias("c2"))
+            pairs = pairs.unionByName(shared.join(first, ["table1", "col1"]).join(second, ["table2", "col2"]).select("c1", "c2")).distinct()
+    if pairs is None:
+        pairs = column_pairs(columns)
+        if table is not None:
+            pairs = pairs.filter((F.col("c1.table") == table) | (F.col("c2.table") == table))
     scored = schema_score(pairs).selectExpr(
         "c1.table AS table1", "c1.column AS col1", "c2.table AS table2", "c2.column AS col2",
         "name_score", "type_score")
     if instances:
-        shared = jaccard(catalog, table).withColumnRenamed("weight", "inst_score")
         scored = scored.join(shared, ["table1", "col1", "table2", "col2"], "left").fillna(0.0, ["inst_score"])
     else:
         scored = scored.withColumn("inst_score", F.lit(0.0))
     weight = (F.col("name_score") * weights["name"] + F.col("type_score") * weights["type"]
               + F.col("inst_score") * weights["inst"])
-    return scored.withColumn("weight", weight)
+    scored = scored.withColumn("weight", weight)
+    return scored if above is None else scored.filter(F.col("weight") > above)
 
 
 # -- near-equal values -------------------------------------------------------
@@ -429,7 +500,7 @@ def find_relationships(catalog: Catalog, threshold: float = 0.5, matcher: str =
     if matcher == "jaccard":
         pairs = near_jaccard(catalog, table=table) if fuzzy else jaccard(catalog, table)
     elif matcher == "coma":
-        pairs = composite(catalog, instances, table)
+        pairs = composite(catalog, instances, table, threshold)
     else:
         raise ValueError("matcher must be 'coma' or 'jaccard'")
     if table is not None:

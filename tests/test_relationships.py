@@ -280,6 +280,57 @@ def test_more_columns_than_one_bitmap_word(spark, tmp_path):
     assert got[("c5", "c0")] == 1.0 and got[("c39", "c34")] == 1.0 and ("c0", "c30") not in got
 
 
+def names_of(rnd, n):
+    parts = ["cust", "order", "id", "key", "name", "date", "ship", "part", "price", "line", "no", "code", "x", "aaaa"]
+    out = {rnd.choice(["_", "", "."]).join(rnd.choice(parts) for _ in range(rnd.randint(1, 4))) for _ in range(n)}
+    for w in list(out):
+        w = list(w)
+        w[rnd.randrange(len(w))] = rnd.choice(["z", "Q", "", "aa", "É"])
+        out.add("".join(w))
+    return sorted(out - {""})
+
+
+@pytest.mark.parametrize("least", [1 / 3, 3 / 7, 4 / 7, 0.8])
+def test_blocking_of_names_loses_no_pair(spark, least):
+    names = names_of(random.Random(int(least * 100)), 120)
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    both = df.withColumnRenamed("name", "n1").join(df.withColumnRenamed("name", "n2"), F.col("n1") < F.col("n2"))
+    want = {(r["n1"], r["n2"]) for r in both.filter(f"{M._name_score('n1', 'n2')} > {least}").collect()}
+    got = {tuple(r) for r in M.similar_names(df, least).collect()}
+    assert want <= got and len(want) > 20
+    assert least < 0.5 or len(got) < 0.7 * len(names) * (len(names) - 1) / 2
+    assert M.similar_names(df, 0.33) is None
+
+
+@pytest.mark.parametrize("instances", [False, True])
+@pytest.mark.parametrize("threshold", [0.2, 0.5, 0.7])
+def test_blocked_matcher_equals_all_pairs(spark, tmp_path, instances, threshold):
+    rnd = random.Random(8)
+    catalog = Catalog(spark)
+    for t in range(4):
+        own = rnd.sample(names_of(rnd, 12), 9)
+        own = list({n.lower(): n for n in own}.values())
+        spark.createDataFrame([tuple(rnd.randrange(4) if i % 2 else rnd.choice("abc") for i in range(len(own))) for _ in range(6)],
+                              [n.replace(".", "") or "c" for n in {n.replace(".", "").lower(): n for n in own}.values()]
+                              if len({n.replace(".", "").lower() for n in own}) == len(own) else [f"k{i}" for i in range(len(own))]
+                              ).write.parquet(str(tmp_path / f"t{t}"))
+        catalog = catalog.add(f"t{t}", str(tmp_path / f"t{t}"))
+    key = lambda df: {tuple(r[c] for c in ("table1", "col1", "table2", "col2")): round(r["weight"], 9) for r in df.collect()}
+    want = key(M.composite(catalog, instances).filter(F.col("weight") > threshold))
+    assert key(M.composite(catalog, instances, above=threshold)) == want
+    mine = key(M.composite(catalog, instances, "t1", threshold))
+    assert mine == {k: w for k, w in want.items() if "t1" in (k[0], k[2])}
+
+
+def test_many_columns_meet_few(spark):
+    """20,000 names: what is compared is a small part of the 200 million pairs."""
+    rnd = random.Random(1)
+    syllables = [a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in "lmnrst"]
+    names = {"_".join("".join(rnd.choice(syllables) for _ in range(2)) for _ in range(2)) for _ in range(20_000)}
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    assert M.similar_names(df, 3 / 7).count() < len(names) ** 2 / 2 / 20
+
+
 def test_saved_edges_are_not_served_for_other_tables(spark, tmp_path):
     for folder, far in (("one", 0), ("two", 50)):
         spark.range(100).selectExpr("id AS k").write.parquet(str(tmp_path / folder / "a"))
