@@ -14,6 +14,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
+from joingrove.operators.forests import boosted, extra_trees
 from joingrove.operators.neighbours import Neighbours, vote
 from joingrove.sources.staging import stage
 
@@ -69,12 +70,8 @@ ALGORITHMS = {a.name: a for a in [
         lambda: RandomForestClassifier(numTrees=50, maxDepth=8, seed=SEED))),
     Algorithm("GBM", "GradientBoostedTrees (Spark ML)", _spark_ml(
         lambda: GBTClassifier(maxIter=20, maxDepth=5, seed=SEED))),
-    Algorithm("XT", "ExtraTrees (approximated: RandomForest without bootstrap, Spark ML)", _spark_ml(
-        lambda: RandomForestClassifier(numTrees=50, maxDepth=8, bootstrap=False,
-                                       featureSubsetStrategy="sqrt", subsamplingRate=1.0, seed=SEED))),
-    Algorithm("XGB", "XGBoost (approximated: GradientBoostedTrees, second profile, Spark ML)", _spark_ml(
-        lambda: GBTClassifier(maxIter=30, maxDepth=6, stepSize=0.3, subsamplingRate=0.8,
-                              featureSubsetStrategy="0.8", seed=SEED))),
+    Algorithm("XT", "ExtraTrees (random cuts, level by level)", extra_trees),
+    Algorithm("XGB", "XGBoost (second-order boosting on histograms)", boosted),
     Algorithm("KNN", "KNearestNeighbours (five, exact)", _nearest),
     Algorithm("LR", "LogisticRegression L1 (Spark ML)", _logistic),
 ]}
