@@ -8,7 +8,7 @@ has a value, after one to three steps unless it is short.
 
 Equal sets are one node. Texts whose signatures agree in a band of four places meet in a bucket. A bucket of any size
 is searched from pivots: each member is compared with the pivot, and the distance to it (Jaccard distance is a metric)
-together with the components found so far tells which members need comparing any further.
+together with the components found so far tells which members need comparing any further, and these are compared.
 """
 
 from __future__ import annotations
@@ -31,9 +31,8 @@ PERCENT = 80
 #: Equal places (of 128) below which sets of similarity 0.8 are six standard deviations away, and below which sets of
 #: similarity 0.6 are five: these are too far from a pivot to be linked with anything that is linked with it.
 CLOSE, FAR = 76, 49
-#: Members up to which a bucket is settled by comparing all of them, and rounds of pivots before larger ones are, in
-#: blocks of that many.
-SMALL, ROUNDS = 32, 2
+#: Members up to which a bucket is settled by comparing all of them, and members with their sets in a task's block.
+SMALL, BLOCK = 32, 4096
 #: Keys (24 bytes each) up to which the texts to be read again are named by broadcast.
 KEYS = 500_000
 #: Shingles that take their steps together, and words whose hashes a task remembers.
@@ -184,8 +183,7 @@ class _Links:
         if not n:
             return compared.withColumn("linked", F.lit(False))
         close = compared.where("close").select("node", "pivot")
-        ends = close.select(F.explode(F.array("node", "pivot")).alias("node")).distinct()
-        sets = stage(_sets(self.docs, ends.join(self.nodes.select("node", "doc_id", "key"), "node"), 2 * n, *self.columns), "minhash-sets")
+        sets = self.sets(close.select(F.explode(F.array("node", "pivot")).alias("node")).distinct(), 2 * n)
         pivots = sets.select(F.col("node").alias("pivot"), F.col("grams").alias("p_grams"))
         both = join_copies(close.join(sets, "node"), pivots.join(close.select("pivot").distinct(), "pivot", "left_semi"), "pivot", _degrees(close), n)
         common = F.size(F.array_intersect("grams", "p_grams"))
@@ -194,89 +192,131 @@ class _Links:
         return (compared.join(self.found[-1].withColumn("linked", F.lit(True)), ["node", "pivot"], "left")
                 .withColumn("linked", F.coalesce("linked", F.lit(False))))
 
+    def sets(self, wanted: DataFrame, n: int) -> DataFrame:
+        """node, grams of at most `n` nodes, staged."""
+        return stage(_sets(self.docs, wanted.join(self.nodes.select("node", "doc_id", "key"), "node"), n, *self.columns), "minhash-sets")
+
+    def all(self) -> DataFrame | None:
+        return _union(self.found) if self.found else None
+
     def roots(self) -> DataFrame:
         return components(_union(self.found), "node", "pivot")
 
 
 def _small_pairs(parts: DataFrame, few: DataFrame, total: int) -> DataFrame:
     """All pairs (node, pivot) of members of a bucket of at most SMALL but those that a pivot has linked."""
-    rows = join_copies(parts, few, "bucket", few, total)
+    rows = join_copies(parts.drop("band"), few, "bucket", few, total)
     other = rows.select("bucket", F.col("node").alias("pivot"), F.col("linked").alias("p_linked"))
     return rows.join(other, "bucket").where("node < pivot AND NOT (linked AND p_linked)")
 
 
-def _in_blocks(active: DataFrame, heads: DataFrame, total: int) -> DataFrame:
-    """All pairs (node, pivot) of members of a bucket in different components, a few blocks of SMALL members a task."""
-    blocks = join_copies(active, heads.select("bucket", F.ceil(F.col("n") / SMALL).cast("int").alias("blocks")), "bucket", heads, total)
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = blocks.select("bucket", mine.alias("i"), F.explode(every).alias("j"), "node", F.col("root").alias("n_root"))
-    right = blocks.select("bucket", F.explode(every).alias("i"), mine.alias("j"), F.col("node").alias("pivot"), F.col("root").alias("p_root"))
-    return left.join(right, ["bucket", "i", "j"]).where("node < pivot AND n_root != p_root")
+LARGE = "node long, pivot long"
 
 
-def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, rounds: int = ROUNDS) -> DataFrame | None:
+def _large_buckets(rows: DataFrame, open_: DataFrame, total: int, nodes: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """node, pivot: links between members of a bucket in different components, one of them outside the main one.
+
+    `rows` (bucket, band, node, root) are those of the buckets `open_` (bucket, n, main). Members with their sets are dealt to
+    blocks of BLOCK, and a task compares two blocks: signatures first, then sets, in numpy. A pair is looked at in the first
+    band that it shares, and not at all once links of this task join its components.
+    """
+    mine = join_copies(rows, open_.select("bucket", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket", open_, total)
+    full = mine.join(nodes.select("node", "bands"), "node").join(sets, "node")
+    own, every = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    columns = ["band", "node", "root", "bands", "grams"]
+    left = full.where("root != main").select("bucket", own.alias("i"), every.alias("j"), F.lit(0).alias("side"), *columns)
+    right = full.select("bucket", every.alias("i"), own.alias("j"), F.lit(1).alias("side"), *columns)
+    dealt = left.unionByName(right).repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+    return map_batches(dealt, _compare_blocks, LARGE)
+
+
+def _compare_blocks(batches: Iterator[tuple]) -> Iterator[dict]:
+    here, left, root_of, found = None, None, {}, []
+
+    def top(root: int) -> int:
+        while root_of.get(root, root) != root:
+            root = root_of[root]
+        return root
+
+    for columns in batches:
+        for bucket, i, j, side, band, node, root, bands, grams in zip(*columns):
+            if here != (bucket, i, j):
+                here, left = (bucket, i, j), ([], [], [], [])
+            sorted_ = np.sort(np.array(grams, np.int64))
+            if side == 0:
+                for part, x in zip(left, (node, root, bands, sorted_)):
+                    part.append(x)
+                continue
+            if not left[0]:
+                continue
+            if isinstance(left[2], list):
+                left = (left[0], left[1], np.array(left[2], "<i8"), left[3])
+            mine = np.array(bands, "<i8")
+            places = (left[2].view(np.uint16) == mine.view(np.uint16)).sum(1)
+            first = (left[2] == mine).argmax(1)
+            for k in np.flatnonzero((places >= CLOSE) & (first == band)):
+                a, b = top(left[1][k]), top(root)
+                if a == b:
+                    continue
+                other = left[3][k]
+                at = np.searchsorted(other, sorted_)
+                common = int((other[np.minimum(at, len(other) - 1)] == sorted_).sum())
+                if 100 * common >= PERCENT * (len(other) + len(sorted_) - common):
+                    root_of[max(a, b)] = min(a, b)
+                    found.append((left[0][k], node))
+        if found:
+            yield {"node": [f[0] for f in found], "pivot": [f[1] for f in found]}
+            found = []
+
+
+def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL) -> DataFrame | None:
     """node, pivot: links that give the sets their components; None without any.
 
-    `nodes` (staged) has node, bands, n_shingles, and doc_id and key of a row that holds the set. A round compares the
-    members of each bucket with its pivot. Members too far from the pivot cannot be linked with those linked with it, so
+    `nodes` (staged) has node, bands, n_shingles, and doc_id and key of a row that holds the set. The members of each
+    bucket are compared with its pivot. Members too far from the pivot cannot be linked with those linked with it, so
     the bucket falls into those near it, as long as some of them are not linked with it, and those not linked with it.
-    What has at most `small` members is settled by all its pairs. Of what has more, members outside the component that
-    most belong to are compared with all others, if they are at most `small`. If there are more, the bucket is dealt to
-    buckets of two bands (a linked pair shares thirteen on the average, and only one in a million just one) for another
-    round, and settled in blocks after the last one.
+    What has at most `small` members is settled by all its pairs. Of what has more, the members outside the component that
+    most belong to are compared with all others within tasks, block by block.
     """
     links_of = _Links(docs, nodes, id_col, text_col)
     active = nodes.select("node", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "band", "node")
-    for turn in range(rounds):
-        heads, seen = stage_observed(active.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1"),
-                                     "minhash-heads", F.sum("n").alias("rows"), F.max("n").alias("largest"))
-        if not seen["rows"]:
-            break
-        members = stage(join_copies(active, heads.select("bucket", "pivot"), "bucket", heads, int(seen["rows"])).where("node != pivot"), "minhash-members")
-        compared = links_of.among(members)
-        if seen["largest"] <= 2:
-            break
-        rest = members.join(compared.select("node", "pivot", (F.col("places") >= FAR).alias("near"), "linked"), ["node", "pivot"])
-        side = lambda k: F.xxhash64("bucket", F.lit(k)).alias("bucket")
-        parts = stage(rest.where("near").select(side(1), "band", "node", "linked")
-                      .unionByName(rest.where("NOT linked").select(side(2), "band", "node", "linked")), "minhash-parts")
-        groups, still = stage_observed(
-            parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("linked").cast("long")).alias("done")).where("n > 1 AND done < n").drop("done"),
-            "minhash-groups", F.sum(F.when(F.col("n") <= small, F.col("n"))).alias("few"), F.sum(F.when(F.col("n") > small, F.col("n"))).alias("many"))
-        if still["few"]:
-            links_of.among(_small_pairs(parts, groups.where(F.col("n") <= small), int(still["few"])))
-        if not still["many"]:
-            break
-        large = groups.where(F.col("n") > small)
-        active = join_copies(parts.select("bucket", "band", "node"), large.select("bucket"), "bucket", large, int(still["many"]))
-        if links_of.found:
-            active = active.join(links_of.roots(), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        else:
-            active = active.withColumn("root", F.col("node"))
-        active = stage(active, "minhash-rooted")
-        # Members outside the component that holds most of a bucket are compared with all others.
-        shares = active.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-        most = shares.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("m"))
-        mixed, left = stage_observed(most.select("bucket", "n", F.col("m.root").alias("main"), (F.col("n") - F.col("m.n")).alias("outside")).where("outside > 0"),
-                                     "minhash-mixed", F.sum(F.when(F.col("outside") <= small, F.col("n"))).alias("few"),
-                                     F.sum(F.when(F.col("outside") > small, F.col("n"))).alias("many"))
-        if left["few"]:
-            few = mixed.where(F.col("outside") <= small)
-            mine = join_copies(active.select("bucket", "node", "root"), few.select("bucket", "main"), "bucket", few, int(left["few"]))
-            outside = mine.where("root != main").groupBy("bucket").agg(F.collect_list(F.struct(F.col("node").alias("pivot"), F.col("root").alias("p_root"))).alias("outside"))
-            met = join_copies(mine.select("bucket", "node", "root"), outside, "bucket", few, int(left["few"])).select("node", "root", F.inline("outside"))
-            links_of.among(met.where("root != p_root").select("node", "pivot"))
-        if not left["many"]:
-            break
-        mixed = mixed.where(F.col("outside") > small)
-        active = stage(join_copies(active.select("bucket", "band", "node", "root"), mixed.select("bucket"), "bucket", mixed, int(left["many"])), "minhash-active")
-        if turn + 1 < rounds:
-            again = active.join(nodes.select("node", "bands"), "node").select("bucket", F.col("band").alias("own"), "node", F.posexplode("bands").alias("band", "value"))
-            active = again.where("band != own").select(F.xxhash64("bucket", "band", "value").alias("bucket"), "band", "node")
+    heads, seen = stage_observed(active.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1"),
+                                 "minhash-heads", F.sum("n").alias("rows"), F.max("n").alias("largest"))
+    if not seen["rows"]:
+        return None
+    members = stage(join_copies(active, heads.select("bucket", "pivot"), "bucket", heads, int(seen["rows"])).where("node != pivot"), "minhash-members")
+    compared = links_of.among(members)
+    if seen["largest"] <= 2:
+        return links_of.all()
+    rest = members.join(compared.select("node", "pivot", (F.col("places") >= FAR).alias("near"), "linked"), ["node", "pivot"])
+    side = lambda k: F.xxhash64("bucket", F.lit(k)).alias("bucket")
+    parts = stage(rest.where("near").select(side(1), "band", "node", "linked")
+                  .unionByName(rest.where("NOT linked").select(side(2), "band", "node", "linked")), "minhash-parts")
+    groups, still = stage_observed(
+        parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("linked").cast("long")).alias("done")).where("n > 1 AND done < n").drop("done"),
+        "minhash-groups", F.sum(F.when(F.col("n") <= small, F.col("n"))).alias("few"), F.sum(F.when(F.col("n") > small, F.col("n"))).alias("many"))
+    if still["few"]:
+        links_of.among(_small_pairs(parts, groups.where(F.col("n") <= small), int(still["few"])))
+    if not still["many"]:
+        return links_of.all()
+
+    large = groups.where(F.col("n") > small)
+    rooted = join_copies(parts.select("bucket", "band", "node"), large.select("bucket"), "bucket", large, int(still["many"]))
+    if links_of.found:
+        rooted = rooted.join(links_of.roots(), "node", "left").withColumn("root", F.coalesce("root", "node"))
     else:
-        links_of.among(_in_blocks(active.select("bucket", "node", "root"), mixed, int(left["many"])))
-    return _union(links_of.found) if links_of.found else None
+        rooted = rooted.withColumn("root", F.col("node"))
+    rooted = stage(rooted, "minhash-rooted")
+    most = (rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("m")))
+    open_, left = stage_observed(most.where("m.n < n").select("bucket", "n", F.col("m.root").alias("main")), "minhash-open", F.sum("n").alias("n"))
+    if left["n"]:
+        total = int(left["n"])
+        rows = stage(join_copies(rooted, open_.select("bucket"), "bucket", open_, total), "minhash-rest")
+        sets = links_of.sets(rows.select("node").distinct(), total)
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        links_of.found.append(stage(_large_buckets(rows, open_, total, nodes, sets, parts), "minhash-links"))
+    return links_of.all()
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -288,7 +328,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 # ---------------------------------------------------------------- documents
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of `docs`.
 
     component_id is the smallest doc_id that links reach, the row's own included; a text without words is linked with
@@ -303,7 +343,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                   .agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_rows"), F.min("n_shingles").alias("n_shingles"),
                        F.min("bands").alias("bands"), holder.alias("h"))
                   .select("node", "least", "n_rows", "n_shingles", "bands", "h.doc_id", "h.key"), "minhash-nodes")
-    found = links(docs, nodes, id_col, text_col, small, rounds)
+    found = links(docs, nodes, id_col, text_col, small)
     least = nodes.select("node", "least", "n_rows")
     if found is not None:
         rooted = stage(least.join(components(found, "node", "pivot"), "node", "left"), "minhash-rooted")

@@ -83,9 +83,10 @@ def edited(rng, words, share):
     return [rng.choice(["x", "y", "z"]) + str(rng.randrange(1000)) if rng.random() < share else w for w in words]
 
 
-@pytest.mark.parametrize("small,rounds", [(smh.SMALL, smh.ROUNDS), (0, 3), (1, 1), (10 ** 9, 1)])
-def test_groups_equal_brute_force(spark, small, rounds):
+@pytest.mark.parametrize("small,block", [(smh.SMALL, smh.BLOCK), (1, smh.BLOCK), (2, 5), (10 ** 9, 1)])
+def test_groups_equal_brute_force(spark, monkeypatch, small, block):
     """Chains, hubs whose copies are not linked with one another, common passages, copies and short texts."""
+    monkeypatch.setattr(smh, "BLOCK", block)
     rng = random.Random(11)
     words = [f"w{i}" for i in range(400)]
     rows = []
@@ -103,7 +104,7 @@ def test_groups_equal_brute_force(spark, small, rounds):
     rows += [["one"], ["ONE"], ["one", "two"], ["two", "one"], ["one", "two", "one"], [], []]
     docs = [(i * 7 % 1009, " \t".join(w)) for i, w in enumerate(rows)]
     docs += docs[:20] + [(None, docs[3][1]), (None, "only here, without an id"), (5000, None)]
-    got = plain(smh.near_duplicates(frame(spark, docs), small=small, rounds=rounds))
+    got = plain(smh.near_duplicates(frame(spark, docs), small=small))
     assert got == slow_groups(docs)
 
 
