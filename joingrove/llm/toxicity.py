@@ -19,8 +19,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from joingrove.llm.common import held_out, map_batches, ship, texts
+from joingrove.llm.common import held_out, map_batches, ship, stage, texts
 from joingrove.llm.quality import one_label
+from joingrove.sources.staging import discard
 
 BUCKETS, DIM, TABLES = 1 << 18, 4, 3  # rows and columns of each table
 BEGINNING = 5  # letters
@@ -29,6 +30,8 @@ QUARTERS = 4
 THRESHOLD = 0.5
 #: The fit takes at most so many labelled rows, the first by hash, and leaves out those with more words.
 TRAIN_ROWS, TRAIN_WORDS = 6000, 20_000
+#: Words that the fit takes in all.
+TRAIN_TOTAL = 12_000_000
 EPOCHS, BATCH, BATCH_WORDS, RATE, DECAY = 8, 64, 1 << 16, 0.08, 1e-4
 #: Positives of a language at which its own threshold weighs as much as the common one.
 ENOUGH = 10
@@ -308,10 +311,12 @@ def _calibrate(logit: np.ndarray, language: np.ndarray, y: np.ndarray) -> np.nda
 # ---------------------------------------------------------------- tables
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-        rows: int = TRAIN_ROWS) -> Network:
+        rows: int = TRAIN_ROWS, words: int = TRAIN_TOTAL) -> Network:
     """Learns from labelled rows that are not held out: the first `rows` ids by hash, the documented bound.
 
-    Executors hash the words; the driver gets their places only, _BYTES a word.
+    Executors hash the words; the driver gets their places only, _BYTES a word, of `words` words at most. Where ids repeat or
+    texts are very long, rows count in the order of their ids' hash, then their places, until either bound is reached.
+    Without any row, or with one label only, the network knows no more than that. Null texts are empty ones.
     """
     chosen = (one_label(labels, label).where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
 
@@ -323,8 +328,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
 
     joined = (texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
               .select("doc_id", F.col(label).cast("int").alias("y"), "text"))
-    got = sorted(map(tuple, map_batches(joined, run, "doc_id long, y int, places binary").limit(rows).collect()),
-                 key=lambda r: (r[0], r[2]))
+    hashed = stage(map_batches(joined, run, "doc_id long, y int, places binary"), "toxicity-words")
+    order = F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("i"), F.md5("places").alias("m"))
+    sizes = hashed.select(order.alias("o"), F.length("places").alias("n")).orderBy("o").limit(rows).collect()
+    left, last = words * _BYTES, None
+    for r in sizes:
+        left -= r["n"]
+        if left < 0:
+            break
+        last = r["o"]
+    got = [] if last is None else hashed.where(order <= F.struct(F.lit(last["h"]).cast("long").alias("h"), F.lit(last["i"]).cast("long").alias("i"), F.lit(last["m"]).alias("m"))).limit(len(sizes)).collect()
+    discard(hashed)
+    got = sorted(map(tuple, got), key=lambda r: (r[0], r[2]))
     return train_calibrated([bytes(r[2]) for r in got], np.array([r[1] for r in got]))
 
 

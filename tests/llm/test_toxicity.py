@@ -86,6 +86,80 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.count() == sum(r["predicted"] == 0 for r in rows)
 
 
+def test_the_fit_depends_on_rows_not_on_partitions(spark):
+    rng = random.Random(6)
+    rows = [(i % 40, sentence(rng, i % 4 == 0)) for i in range(200)]  # each id five times
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nets = [toxicity.fit(docs.repartition(n), labels, rows=30) for n in (1, 5, 9)]
+    assert all(np.array_equal(nets[0].out, n.out) for n in nets[1:])
+    few = [toxicity.fit(docs.repartition(n), labels, words=400) for n in (1, 6)]
+    assert np.array_equal(few[0].out, few[1].out) and not np.array_equal(few[0].out, nets[0].out)
+
+
+def plain_logit(net, places):
+    """The network word by word, filter by filter, in plain loops and double precision."""
+    words = np.frombuffer(places, "<u4").reshape(-1, toxicity.TABLES)
+    vectors = [[float(v) for i, t in enumerate(net.tables) for v in t[w[i]]] for w in words]
+    n, q, empty = len(words), toxicity.QUARTERS, [0.0] * (toxicity.TABLES * toxicity.DIM)
+    at = lambda k: vectors[k] if k < n else empty
+    pooled = []
+    for f in net.filters:
+        for column in range(toxicity.FILTERS):
+            response = [sum(at(k + o)[d] * float(f[o][d][column]) for o in range(len(f)) for d in range(len(empty))) for k in range(n + q)]
+            pooled.append([max(response[(n + q) * i // q:(n + q) * (i + 1) // q]) for i in range(q)])
+    features = [max(m) for m in pooled] + [sum(m) / q for m in pooled]
+    return sum(max(v + float(b), 0.0) * float(o) for v, b, o in zip(features, net.bias, net.out)) + float(net.offset)
+
+
+def test_scores_equal_plain_loops():
+    rng = random.Random(7)
+    docs = [toxicity.word_places(sentence(rng, i % 3 == 0)) for i in range(14)] + [b"", toxicity.word_places("one")]
+    net = toxicity.train(docs, np.arange(16) % 3 == 0)
+    logit, _ = net.raw(docs)
+    assert np.allclose(logit, [plain_logit(net, d) for d in docs], atol=1e-4)
+
+
+def test_gradients_equal_finite_differences(monkeypatch):
+    """The first step of training moves weights as the loss of the plain loops says."""
+    rng = random.Random(8)
+    docs, y = [toxicity.word_places(sentence(rng, i % 3 == 0)) for i in range(9)], (np.arange(9) % 3 == 0).astype(float)
+    monkeypatch.setattr(toxicity, "DECAY", 0.0)
+    nets = []
+    for epochs in (0, 1):
+        monkeypatch.setattr(toxicity, "EPOCHS", epochs)
+        nets.append(toxicity.train(docs, y))
+    before, after = nets
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
+
+    def loss():
+        logit = np.array([plain_logit(before, d) for d in docs])
+        return (weight * np.log1p(np.exp(-np.where(y == 1, logit, -logit)))).mean()
+
+    def slope(weights, place, step=1e-3):
+        kept = weights[place]
+        ends = []
+        for d in (step, -step):
+            weights[place] = kept + d
+            ends.append((loss(), float(weights[place])))
+        weights[place] = kept
+        return (ends[0][0] - ends[1][0]) / (ends[0][1] - ends[1][1])
+
+    checked = 0
+    for name, places in (("out", [(0,), (7,), (20,)]), ("bias", [(0,), (6,), (19,)])):
+        for place in places:
+            moved = float(getattr(before, name)[place] - getattr(after, name)[place])
+            gradient = moved * 0.1 ** 0.5 / (toxicity.RATE ** 2 - moved ** 2) ** 0.5  # undoes the first Adagrad step
+            assert abs(gradient - slope(getattr(before, name), place)) < 2e-3 + 0.02 * abs(gradient)
+            checked += abs(gradient) > 1e-4
+    for w, place in ((0, (0, 0, 0)), (1, (1, 4, 0)), (2, (2, 8, 0))):
+        moved = float(before.filters[w][place] - after.filters[w][place])
+        gradient = moved * 0.1 ** 0.5 / (toxicity.RATE ** 2 - moved ** 2) ** 0.5
+        assert abs(gradient - slope(before.filters[w], place)) < 2e-3 + 0.02 * abs(gradient)
+        checked += abs(gradient) > 1e-4
+    assert checked >= 3
+
+
 def test_label_never_enters_a_score(spark):
     """Labels of held-out rows change nothing."""
     sf = "/root/testdata/sf0.001"
