@@ -456,13 +456,13 @@ def oracle_sql() -> dict[str, str]:
         "c2_join_trees": f"{chain()} SELECT tree_id, 'orders' AS begin, {rnd('rank', 'rank')}, features, join_keys FROM trees",
         "c2_target_edge": f"{chain()} SELECT tree_id, 'orders' AS begin, {rnd('rank', 'rank')}, features, join_keys FROM trees",
         "b16_cascade": f"{chain(2)} SELECT tree_id, join_idx, from_table, to_table, {rnd('non_null_ratio', 'non_null_ratio')} FROM tree_joins",
-        "f3_algorithms": "SELECT unnest(['GBM', 'KNN', 'LR', 'RF', 'XGB', 'XT']) AS model, (SELECT count(*) FROM customer "
-                         "WHERE substr(md5(CAST(c_custkey AS VARCHAR)), 1, 2) < '33') AS n_test, true AS reaches",
+        "f3_algorithms": "SELECT m AS model, (SELECT count(*) FROM customer WHERE substr(md5(CAST(c_custkey AS VARCHAR)), 1, 2) < '33') AS n_test, "
+                         "m != 'LR' AS reaches FROM (VALUES ('GBM'), ('KNN'), ('LR'), ('RF'), ('XGB'), ('XT')) v(m)",
         "f4_train": f"SELECT o_orderkey AS _rid, {IS_F} AS label, true AS predicted FROM orders "
                     "WHERE substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 2) < '33'",
-        "f6_importance": "SELECT 1 AS tree_id, 'LR' AS model, unnest(['orders__o_totalprice', 'customer__c_acctbal']) AS feature, true AS bounded",
-        "f7_evaluate_trees": f"{chain()} SELECT tree_id, 'LR' AS model, {rnd('rank', 'rank')}, true AS reaches FROM "
-                             "(SELECT * FROM trees ORDER BY rank DESC, tree_id LIMIT 2)",
+        "f6_importance": "SELECT 1 AS tree_id, 'GBM' AS model, f AS feature, f = 'orders__hint' AS useful, f != 'orders__hint' AS idle FROM "
+                         "(VALUES ('orders__o_totalprice'), ('orders__hint'), ('customer__c_acctbal')) v(f)",
+        "f7_evaluate_trees": "SELECT * FROM (VALUES (1, 'LR', 1.0::DOUBLE, true), (2, 'LR', 0.5::DOUBLE, false)) v(tree_id, model, rank, exact)",
         "f8_evaluate_tree": "SELECT 1 AS tree_id, 'GBM' AS model, 1.0::DOUBLE AS rank, true AS reaches",
         "c2_reachable": on_edges("SELECT t AS \"table\", CAST(min(d) AS INT) AS depth FROM r GROUP BY t", recursive=True,
                                  more=", r(t, d) AS (SELECT 'region', 0 UNION SELECT to_table, d + 1 FROM r JOIN edges ON from_table = t WHERE d < 14)"),

@@ -804,28 +804,32 @@ def _majority(base: DataFrame) -> float:
 
 
 def f3_algorithms(spark, sf):
-    """Every algorithm fitted on the customer table and tried on its test rows."""
-    catalog = star(spark, sf)
-    base = (catalog.qualified("customer").withColumn(TARGET, (F.col("customer__c_acctbal") > 4500).cast("int"))
-            .withColumn(J.ROW_ID, F.col("customer__c_custkey")))
+    """Every algorithm on a rule that crosses two columns: neither the more frequent class nor a straight line tells it."""
+    base = star(spark, sf).table("customer").selectExpr(
+        f"c_custkey AS {J.ROW_ID}", "c_acctbal", "c_nationkey", f"cast((c_acctbal > 4500) = (c_nationkey < 12) AS int) AS {TARGET}")
     rows, _ = evaluate.model_rows(base, TARGET)
     rows = stage(rows, "model-rows")
     train, test = rows.filter("NOT is_test"), rows.filter("is_test")
     hit = (F.col("prediction") == F.col("label")).cast("double")
     scores = [a.fit(train.select("label", "v"))(test.select("label", "v")).agg(
         F.lit(a.name).alias("model"), F.count(F.lit(1)).alias("n_test"), F.avg(hit).alias("accuracy")) for a in algorithms()]
-    return _reaches(reduce(DataFrame.unionByName, scores), _majority(base))
+    return _reaches(reduce(DataFrame.unionByName, scores), min(_majority(base) + 0.2, 0.85))
+
+
+def _hinted(spark, sf) -> DataFrame:
+    """Orders with a column that tells the target: a model that works is right on every row, and needs nothing else."""
+    return orders_base(star(spark, sf)).withColumn("orders__hint", F.col(TARGET) * 2.0)
 
 
 def f4_train(spark, sf):
-    """One model fitted on an augmented table, and what it says about the test rows."""
+    """One model fitted on an augmented table, and whether it is right about the test rows."""
     catalog = star(spark, sf)
-    trees, joins = _given_tree(spark, CHAIN[:1], ["orders__o_totalprice", "customer__c_acctbal"])
-    table = evaluate.evaluation_table(catalog, orders_base(catalog), TARGET, trees, joins, 1)
+    trees, joins = _given_tree(spark, CHAIN[:1], ["orders__o_totalprice", "orders__hint", "customer__c_acctbal"])
+    table = evaluate.evaluation_table(catalog, _hinted(spark, sf), TARGET, trees, joins, 1)
     rows, _ = evaluate.model_rows(table, TARGET)
     predict = algorithms("LR")[0].fit(rows.filter("NOT is_test").select("label", "v"))
     return predict(rows.filter("is_test")).select(
-        J.ROW_ID, F.col("label").cast("int").alias("label"), F.col("prediction").isin(0.0, 1.0).alias("predicted"))
+        J.ROW_ID, F.col("label").cast("int").alias("label"), (F.col("prediction") == F.col("label")).alias("predicted"))
 
 
 def f5_accuracy(spark, sf):
@@ -833,16 +837,20 @@ def f5_accuracy(spark, sf):
 
 
 def f6_importance(spark, sf):
-    catalog = star(spark, sf)
-    trees, joins = _given_tree(spark, CHAIN[:1], ["orders__o_totalprice", "customer__c_acctbal"])
-    found = evaluate.evaluate_tree(catalog, orders_base(catalog), TARGET, trees, joins, 1, "LR")[1]
-    return found.select("tree_id", "model", "feature", F.abs("importance").between(0, 1).alias("bounded"))
+    """The column that tells the target is worth much, one that the model has no use for exactly nothing."""
+    trees, joins = _given_tree(spark, CHAIN[:1], ["orders__o_totalprice", "orders__hint", "customer__c_acctbal"])
+    found = evaluate.evaluate_tree(star(spark, sf), _hinted(spark, sf), TARGET, trees, joins, 1, "GBM")[1]
+    return found.select("tree_id", "model", "feature", (F.col("importance") > 0.2).alias("useful"), (F.col("importance") == 0).alias("idle"))
 
 
 def f7_evaluate_trees(spark, sf):
-    a = grown(spark, sf)
-    found = a.evaluate_trees("LR", 2).select("tree_id", "model", "rank", "accuracy")
-    return _reaches(rounded(found, "rank"), _majority(orders_base(star(spark, sf))))
+    """The two best of three trees; only the best one has the column that tells the target."""
+    plain = ["orders__o_totalprice", "customer__c_acctbal"]
+    parts = [_given_tree(spark, CHAIN[:1], plain + more) for more in (["orders__hint"], [], [])]
+    trees = reduce(DataFrame.unionByName, [t.withColumn("tree_id", F.lit(i)).withColumn("rank", F.lit(1.0 / i)) for i, (t, _) in enumerate(parts, 1)])
+    joins = reduce(DataFrame.unionByName, [j.withColumn("tree_id", F.lit(i)) for i, (_, j) in enumerate(parts, 1)])
+    found = evaluate.evaluate_trees(star(spark, sf), _hinted(spark, sf), TARGET, trees, joins, 2, "LR")[0]
+    return found.select("tree_id", "model", "rank", (F.col("accuracy") == 1).alias("exact"))
 
 
 def f8_evaluate_tree(spark, sf):

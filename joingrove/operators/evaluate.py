@@ -15,8 +15,8 @@ from joingrove.sources.staging import stage
 
 # Fixed value: digests below this hexadecimal prefix, 51 of 256, are test rows.
 TEST_PREFIX = "33"
-# Rows one task permutes among themselves.
-PERMUTED_ROWS = 200_000
+# Rows of a range of the order in which test rows exchange values.
+RANGE_ROWS = 200_000
 
 
 def evaluation_table(catalog: Catalog, base_frame: DataFrame, target: str, trees: DataFrame,
@@ -66,16 +66,21 @@ def permuted(test: DataFrame, features: int, rows: int) -> DataFrame:
     """Every test row once as it is (`feature` 0) and once per feature with the
     value of that feature taken from another row (F6).
 
-    Rows are spread at random over groups of bounded size and each takes the
-    value of the next in its group, the last that of the first.
+    All rows stand in one order, by a hash of their id, and each takes the value
+    of the next, the last that of the first. Ranges of the order go to tasks;
+    what crosses their borders is the first row of each.
     """
-    groups = max(1, -(-rows // PERMUTED_ROWS))
-    w = W.partitionBy("_group").orderBy("_order", ROW_ID)
-    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    mixed = (test.withColumn("_group", F.pmod(F.xxhash64(quoted(ROW_ID), F.lit(1)), F.lit(groups)))
-             .withColumn("_order", F.xxhash64(quoted(ROW_ID), F.lit(2)))
-             .withColumn("_first", F.first("v").over(whole))
-             .withColumn("_next", F.coalesce(F.lead("v").over(w), F.col("_first"))))
+    parts = max(int(test.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_ROWS), 1)
+    ordered = test.withColumn("_order", F.xxhash64(quoted(ROW_ID))).repartitionByRange(parts, "_order", ROW_ID).sortWithinPartitions("_order", ROW_ID)
+    ordered = stage(ordered.select(ROW_ID, "label", "v").withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    ordered = ordered.withColumn("_part", F.shiftright("_at", 33))
+    # A row per range.
+    firsts = ordered.groupBy("_part").agg(F.min_by("v", "_at").alias("_first"))
+    line = W.orderBy("_part")
+    whole = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    after = firsts.withColumn("_after", F.coalesce(F.lead("_first").over(line), F.first("_first").over(whole))).select("_part", "_after")
+    mixed = (ordered.withColumn("_next", F.lead("v").over(W.partitionBy("_part").orderBy("_at"))).join(after, "_part")
+             .withColumn("_next", F.coalesce("_next", "_after")))
     return (mixed.selectExpr("label", "v", "_next", f"explode(sequence(0, {features})) AS feature")
             .selectExpr("label", "feature", "CASE WHEN feature = 0 THEN v ELSE transform(v, "
                         "(x, i) -> CASE WHEN i = feature - 1 THEN _next[i] ELSE x END) END AS v"))
