@@ -12,6 +12,7 @@ All texts of a task walk side by side in numpy, so a step costs the same few cal
 from __future__ import annotations
 
 import hashlib
+import os
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
@@ -20,14 +21,22 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joingrove.llm.common import map_batches, ship, stage, texts
+from joingrove.llm.common import join_copies, map_batches, stage, texts
+from joingrove.operators.long_values import Text, least_edits, within
+from joingrove.sources.staging import stage_observed
 
 SLOTS = 128  # sampled steps, a byte each
 PERIOD = 4096  # of the shared bits; steps are mixed over it
 BLOCK = 512  # steps between two looks at which walks have ended
 #: Characters of a task that walk together, and ranges of ids per shuffle partition's worth of rows.
 TOGETHER, PER_RANGE = 24 << 20, 1
+#: Characters that a text counts for beside its own: steps and notes of its walks take a few kilobytes.
+A_TEXT = 1000
+#: Edits in a text's length up to which two are near.
+SHARE = 0.05
 BANDS, BAND_BYTES = 16, 3
+#: Share of equal slots below which two texts are not looked at: near ones have about 0.3 and more, others a tenth of that.
+NEAR_LEAST = 0.12
 MAX_RANGES = 4096
 
 
@@ -133,7 +142,7 @@ def edited(text: str, following: str) -> str:
 # ---------------------------------------------------------------- tables
 
 ROW_COLUMNS = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-               "near_edited double, near_next double, shared_bands int")
+               "near_edited double, near_next double, shared_bands int, near_by_edits boolean")
 
 
 def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,6 +152,10 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows that share an id follow one another by the hash of their text. A null text counts as empty.
     A document that is alone is its own next. Texts move once: ranges of ids go to tasks, and the first
     document of each range is sent to the range before it as well.
+
+    shared_bands counts the bands in which a text and its edited one agree; where there is one, the pair is a candidate and its edit
+    distance is verified: near_by_edits says whether it is at most SHARE of the longer text, and is false without a shared
+    band. An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col).withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63))))
@@ -199,7 +212,7 @@ def _walk_ranges(batches: Iterator[tuple]) -> Iterator[dict]:
         if before and before[0] == to:
             # a range of its own that is all there is meets itself as its guest
             held.append((before[1], before[2], text))
-            size += 3 * len(before[2])
+            size += 3 * (len(before[2]) + A_TEXT)
             if size > 3 * TOGETHER:
                 yield _finish(held)
                 held, size = [], 0
@@ -228,48 +241,37 @@ def _finish(held: list[tuple]) -> dict:
             "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in new],
             "fingerprint": [r.tobytes().hex() for r in mine], "edited_fingerprint": [r.tobytes().hex() for r in changed],
             "near_edited": likeness(mine, changed).tolist(), "near_next": likeness(mine, theirs).tolist(),
-            "shared_bands": bands.tolist()}
+            "shared_bands": bands.tolist(), "near_by_edits": [bool(b) and near_by_edits(t, e) for b, (_, t, _), e in zip(bands, held, new)]}
 
 
 # ---------------------------------------------------------------- near texts by bands
 
-def edit_distance(a: str, b: str, limit: int) -> int | None:
-    """The Levenshtein distance if it is at most `limit`, else None; memory and time follow the limit's band."""
-    if abs(len(a) - len(b)) > limit:
-        return None
+def near_by_edits(a: str, b: str, share: float = SHARE) -> bool:
+    """Whether the edit distance is at most `share` of the longer text's length.
+
+    What texts begin and end with alike costs no edit. Of the rest, grams that do not stand near their place in the other text
+    tell a least number of edits; where that is not too many, the distance is counted.
+    """
+    limit = int(share * max(len(a), len(b)))
     if a == b:
-        return 0
-    x, y = classes_exact(a), classes_exact(b)
-    offsets = np.arange(-limit, limit + 1)
-    far = limit + 1
-    row = np.where(offsets >= 0, offsets, far)  # row[d] = distance of x[:i] and y[:i + offset]
-    for i in range(1, len(x) + 1):
-        j = i + offsets
-        inside = (j >= 1) & (j <= len(y))
-        same = np.zeros(len(offsets), bool)
-        same[inside] = y[j[inside] - 1] == x[i - 1]
-        best = np.minimum(row + ~same, np.append(row[1:], far) + 1)
-        best[j == 0] = i
-        best[(j < 0) | (j > len(y))] = far
-        best = np.minimum.accumulate(best - offsets) + offsets  # insertions run along the row
-        best[(j < 0) | (j > len(y))] = far
-        row = np.minimum(best, far)
-        if row.min() > limit:
-            return None
-    d = int(row[len(y) - len(x) + limit])
-    return d if d <= limit else None
-
-
-def classes_exact(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.05) -> DataFrame:
-    """class_id per row: texts joined by verified links of at most `share` of the longer text's length in edits.
-
-    Equal texts are one class from the start. Every band of a fingerprint is a bucket; each distinct text
-    of a bucket is compared with the bucket's smallest, so a bucket of any size gives a candidate a member.
-    Like all banding it finds near texts with high probability, not certainty.
+        return True
+    if abs(len(a) - len(b)) > limit:
+        return False
+    start = len(os.path.commonprefix([a, b]))
+    a, b = a[start:], b[start:]
+    x, y = Text(a), Text(b)
+    if max(least_edits(x, y, 4, limit), least_edits(y, x, 4, limit)) > limit:
+        return False
+    return within(a, b, limit)
+
+
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
+    """doc_id, class_id per row: texts joined by verified links of at most `share` of the longer text's length in edits.
+
+    Equal texts are one class from the start, a null text is empty, rows that repeat get the same class each, and an empty table
+    gives no rows. Texts that agree in a band meet in a bucket. Its members are compared with its smallest one; those that are
+    not near it go on among themselves, round by round, until no bucket has two of them. Like all banding it finds near
+    texts with high probability, not certainty, and a text is only compared with the smallest ones of its buckets.
     """
     from joingrove.llm.components import components
 
@@ -279,19 +281,43 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 p = prints([classes(t) for t in bodies[i:i + 256]])
                 yield {"key": keys[i:i + 256], "fp": [r.tobytes().hex() for r in p]}
 
+    def verify(batches: Iterator[tuple]) -> Iterator[dict]:
+        for a, b, x, y in batches:
+            near = [near_by_edits(s, t, share) for s, t in zip(x, y)]
+            yield {"a": a, "b": b, "near": near}
+
     rows = texts(docs, id_col, text_col)
-    distinct = rows.groupBy(F.xxhash64("text").alias("key")).agg(F.min("text").alias("text"))
-    distinct = stage(distinct, "edit-texts")
+    distinct, counted = stage_observed(rows.groupBy(F.xxhash64("text").alias("key")).agg(F.min("text").alias("text")), "edit-texts",
+                                       F.count(F.lit(1)).alias("n"))
     fps = stage(map_batches(distinct.select("key", "text"), run, "key long, fp string"), "edit-prints")
-    width = 2 * BAND_BYTES
-    bands = fps.select("key", "fp", F.posexplode(F.array(*[F.substring("fp", 1 + i * width, width) for i in range(BANDS)])).alias("band", "value"))
-    least = bands.groupBy("band", "value").agg(F.min("key").alias("least"))
-    star = bands.join(least, ["band", "value"]).where("key != least").select(F.col("key").alias("a"), F.col("least").alias("b"))
-    pairs = star.distinct()
-    ship(docs.sparkSession)
-    close = F.udf(lambda a, b: edit_distance(a, b, int(share * max(len(a), len(b)))) is not None, "boolean")
-    left, right = distinct.select(F.col("key").alias("a"), F.col("text").alias("ta")), distinct.select(F.col("key").alias("b"), F.col("text").alias("tb"))
-    links = pairs.join(left, "a").join(right, "b").where(close("ta", "tb")).select("a", "b")
-    linked = components(links)
-    return (rows.select("doc_id", F.xxhash64("text").alias("node")).join(linked, "node", "left")
-            .select("doc_id", F.coalesce("root", "node").alias("class_id")))
+    bands = [F.xxhash64(F.lit(k), *[F.substring("fp", 1 + 2 * slot, 2) for slot in slots]) for k, slots in enumerate(near_bands(int(counted["n"] or 0)))]
+    active, found = fps.select("key", F.explode(F.array(*bands)).alias("bucket")), None
+    while True:
+        heads, seen = stage_observed(active.groupBy("bucket").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"),
+                                     "edit-heads", F.sum("n").alias("rows"))
+        if not seen["rows"]:
+            break
+        members = stage(join_copies(active, heads.select("bucket", "b"), "bucket", heads, int(seen["rows"])).where("key != b"), "edit-members")
+        pairs = members.select(F.col("key").alias("a"), "b").distinct()
+        alike = sum(((F.substring("p", 1 + 2 * i, 2) == F.substring("q", 1 + 2 * i, 2)).cast("int") for i in range(SLOTS)), F.lit(0))
+        pairs = (pairs.join(fps.toDF("a", "p"), "a").join(fps.toDF("b", "q"), "b").where(alike >= NEAR_LEAST * SLOTS).select("a", "b"))
+        left, right = distinct.toDF("a", "x"), distinct.toDF("b", "y")
+        near = stage(map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), verify, "a long, b long, near boolean")
+                     .where("near").select("a", "b"), "edit-links")
+        found = near if found is None else found.unionByName(near)
+        active = stage(members.join(near.select(F.col("a").alias("key"), "b"), ["key", "b"], "left_anti").select("bucket", "key"), "edit-left")
+    named = rows.select("doc_id", F.xxhash64("text").alias("node"))
+    if found is None:
+        return named.withColumnRenamed("node", "class_id")
+    return named.join(components(found), "node", "left").select("doc_id", F.coalesce("root", "node").alias("class_id"))
+
+
+def near_bands(n: int) -> list[tuple[int, ...]]:
+    """Slots of the bands in which near texts are searched: two a band for up to 65,536 texts, one more for each 256 times as many,
+    so that texts unlike each other seldom meet; and four times the bands for each, so that near ones do as often."""
+    size = max(2, -(-max(n - 1, 1).bit_length() // 8))
+    rng, out = np.random.default_rng(11), []
+    for _ in range(2 * 4 ** (size - 2)):
+        order = rng.permutation(SLOTS)
+        out += [tuple(map(int, order[i:i + size])) for i in range(0, SLOTS - size + 1, size)]
+    return out

@@ -97,12 +97,71 @@ def distance(a, b):
     return row[-1]
 
 
-def test_edit_distance_in_a_band():
+def test_verified_edit_distances():
     rng = random.Random(4)
     for _ in range(600):
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(14))) for _ in range(2))
-        limit, d = rng.randrange(9), distance(a, b)
-        assert E.edit_distance(a, b, limit) == (d if d <= limit else None)
+        share = rng.choice([0.05, 0.2, 0.5, 0.8])
+        assert E.near_by_edits(a, b, share) == (distance(a, b) <= int(share * max(len(a), len(b))))
+
+
+def edit(rng, text, share):
+    out = list(text)
+    for _ in range(int(share * len(text))):
+        k, change = rng.randrange(len(out)), rng.random()
+        out[k:k + 1] = [rng.choice("xyz")] if change < 0.34 else [rng.choice("xyz"), out[k]] if change < 0.67 else []
+    return "".join(out)
+
+
+def test_the_query_verifies_pairs_that_share_a_band(spark):
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(600))
+    rows = [(5, text), (4, text[:0] + text[400:600] + "other"), (3, "tail " * 40), (2, "short"), (1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in E.fingerprint_pairs(docs).collect()}
+    assert got[5]["near_by_edits"] and got[5]["near_edited"] == 1.0  # its last third gives way to the same
+    assert not got[3]["near_by_edits"]
+    by_id = dict(rows)
+    for i, r in got.items():
+        mine, following = by_id[i] or "", by_id[i - 1 or 5] or ""
+        changed = E.edited(mine, following)
+        assert r["near_by_edits"] == (r["shared_bands"] > 0 and distance(mine, changed) <= int(0.05 * max(len(mine), len(changed))))
+
+
+def test_recall_of_near_texts(spark):
+    """Pairs with edits up to the limit of 5 %."""
+    rng = random.Random(6)
+    rows, pairs = [], []
+    for n, count in ((1000, 100), (4000, 60)):
+        for share in (0.01, 0.03, 0.045, 0.05):
+            for _ in range(count // 4):
+                text = "".join(rng.choice("abcdefghijklmnopqrst ") for _ in range(n))
+                pairs.append((len(rows), len(rows) + 1, share))
+                rows += [(len(rows), text), (len(rows) + 1, edit(rng, text, share))]
+    got = {r["doc_id"]: r["class_id"] for r in E.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = [got[a] == got[b] for a, b, _ in pairs]
+    assert sum(hits) / len(hits) >= 0.93 and len(set(got.values())) == len(rows) - sum(hits)
+    hardest = [h for h, (_, _, share) in zip(hits, pairs) if share >= 0.045]
+    assert sum(hardest) / len(hardest) >= 0.9
+
+
+def test_links_between_others_of_a_bucket_are_found(spark):
+    """Pairs of near texts whose buckets all hold another text that is near to none of them."""
+    rng = random.Random(7)
+    head = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    rows = []
+    for i in range(6):  # alike by nine tenths: they meet, but are too far apart
+        text = head + "".join(rng.choice("ijklmnop") for _ in range(100))
+        rows += [(2 * i, text), (2 * i + 1, text[:500] + "Q" + text[501:])]
+    got = {r["doc_id"]: r["class_id"] for r in E.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] for i in range(6)) and len(set(got.values())) == 6
+
+
+def test_near_texts_of_odd_rows(spark, odd_docs, no_docs):
+    got = E.near_texts(odd_docs).collect()
+    assert len(got) == odd_docs.count()
+    assert len({r["class_id"] for r in got if r["doc_id"] in (1, 5)}) == 1
+    assert E.near_texts(no_docs).count() == 0
 
 
 def test_near_texts(spark):
