@@ -31,8 +31,17 @@ def test_run_equals_brute_force(spark):
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
-    for docs in (odd_docs, no_docs):
-        rows = docs.drop("w", "key", "fp", "score")
+    """All columns stay through the stages, clashing names included, and the rows are those that should stay."""
+    odd = odd_docs.selectExpr("*", "1 AS d", "2 AS item", "3 AS component_id", "'q' AS _own_id")
+    for docs in (odd, no_docs):
+        rows = docs
         for _, function in corpus_pipeline.STAGES[:-1]:
             rows = function(spark, rows, SF)
-        assert corpus_pipeline.STAGES[-1][1](spark, rows, SF).count() >= rows.count() >= 0
+            assert rows.columns == docs.columns
+        kept = rows.collect()
+        if docs is odd:
+            assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [1, 2, 4, 6, 8]
+            assert [r["text"] for r in kept if r["doc_id"] is None] == ["no id here at all"]
+            assert all((r["d"], r["item"], r["component_id"], r["_own_id"], r["key"]) == (1, 2, 3, "q", "k") for r in kept)
+        pieces = corpus_pipeline.STAGES[-1][1](spark, rows, SF).collect()
+        assert len({r["doc_id"] for r in pieces}) == len({r["doc_id"] for r in kept})
