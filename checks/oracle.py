@@ -117,20 +117,27 @@ exact AS (SELECT a.t AS ta, a.c AS ca, b.t AS tb, b.c AS cb, count(*) AS n FROM
   ON a.family = b.family AND a.whole IS NOT DISTINCT FROM b.whole AND a.real IS NOT DISTINCT FROM b.real
   AND a.chars IS NOT DISTINCT FROM b.chars AND a.t != b.t
   WHERE a.family != 'string' GROUP BY 1, 2, 3, 4),
-texts AS (SELECT t, c, chars, length(chars) AS n FROM vals WHERE family = 'string'),
-brief AS (SELECT DISTINCT chars, n FROM texts WHERE n <= 64),
+-- levenshtein counts bytes here: each letter beyond ASCII is written as a control character of its own.
+alpha AS MATERIALIZED (SELECT coalesce(string_agg(ch, '' ORDER BY ch), '') AS f FROM (SELECT DISTINCT unnest(string_split(chars, '')) AS ch FROM vals
+  WHERE family = 'string') WHERE ord(ch) > 127),
+codes AS MATERIALIZED (SELECT string_agg(chr(CAST(x AS INTEGER)), '' ORDER BY x) AS f FROM range(1, 32) r(x) WHERE x NOT BETWEEN 9 AND 13),
+texts AS MATERIALIZED (SELECT t, c, chars, length(chars) AS n, translate(chars, (SELECT f FROM alpha), (SELECT f FROM codes)) AS one
+  FROM vals WHERE family = 'string'),
+brief AS (SELECT DISTINCT chars, n, one FROM texts WHERE n <= 64),
 -- Long strings only meet where the result needs them, and where enough grams are the same: an edit changes three at most.
-long AS (SELECT DISTINCT a.chars AS x, b.chars AS y, greatest(a.n, b.n) AS big, CAST(floor(0.2 * greatest(a.n, b.n) + 1e-9) AS BIGINT) AS k
-  FROM pairs p JOIN texts a ON a.t = ta AND a.c = ca JOIN texts b ON b.t = tb AND b.c = cb
+strs AS MATERIALIZED (SELECT chars, n, one, row_number() OVER () AS id FROM (SELECT DISTINCT chars, n, one FROM texts WHERE n >= 52)),
+grams AS MATERIALIZED (SELECT id, list(hash(g, o)) AS h FROM (SELECT id, g, row_number() OVER (PARTITION BY id, g) AS o FROM
+  (SELECT id, substr(chars, CAST(i AS BIGINT), 3) AS g FROM (SELECT id, chars, unnest(range(1, n - 1)) AS i FROM strs))) GROUP BY id),
+held AS MATERIALIZED (SELECT t, c, id, s.n FROM texts JOIN strs s USING (chars)),
+long AS MATERIALIZED (SELECT DISTINCT a.id AS x, b.id AS y, greatest(a.n, b.n) AS big, CAST(floor(0.2 * greatest(a.n, b.n) + 1e-9) AS BIGINT) AS k
+  FROM pairs p JOIN held a ON a.t = ta AND a.c = ca JOIN held b ON b.t = tb AND b.c = cb
   AND b.n BETWEEN a.n * 0.8 - 1e-9 AND a.n / 0.8 + 1e-9 WHERE a.n > 64 OR b.n > 64),
-three AS (SELECT chars, g, count(*) AS c FROM (SELECT chars, unnest([substr(chars, CAST(i AS BIGINT), 3) FOR i IN range(1, n - 1)]) AS g
-  FROM (SELECT DISTINCT chars, n FROM texts WHERE n >= 52)) GROUP BY 1, 2),
-alike AS (SELECT x, y, any_value(big) AS big, any_value(k) AS k FROM long JOIN three a ON a.chars = x JOIN three b ON b.chars = y AND a.g = b.g
-  GROUP BY x, y HAVING sum(least(a.c, b.c)) >= any_value(big) - 2 - 3 * any_value(k)),
+alike AS MATERIALIZED (SELECT x, y, k FROM long JOIN grams p ON p.id = x JOIN grams q ON q.id = y
+  WHERE len(list_intersect(p.h, q.h)) >= big - 2 - 3 * k),
 near AS (SELECT a.chars AS x, b.chars AS y FROM brief a JOIN brief b
   ON b.n BETWEEN a.n * 0.8 - 1e-9 AND a.n / 0.8 + 1e-9
-  WHERE levenshtein(a.chars, b.chars) <= floor(0.2 * greatest(a.n, b.n) + 1e-9)
-  UNION ALL SELECT x, y FROM alike WHERE levenshtein(x, y) <= k),
+  WHERE levenshtein(a.one, b.one) <= floor(0.2 * greatest(a.n, b.n) + 1e-9)
+  UNION ALL SELECT p.chars, q.chars FROM alike JOIN strs p ON p.id = x JOIN strs q ON q.id = y WHERE levenshtein(p.one, q.one) <= k),
 fuzzy AS (SELECT a.t AS ta, a.c AS ca, b.t AS tb, b.c AS cb, count(DISTINCT a.chars) AS n
   FROM texts a JOIN near ON a.chars = x JOIN texts b ON b.chars = y AND a.t != b.t GROUP BY 1, 2, 3, 4),
 found AS (SELECT ta, ca, tb, cb, sum(n) AS n FROM (SELECT * FROM exact UNION ALL SELECT * FROM fuzzy) GROUP BY 1, 2, 3, 4)
