@@ -32,7 +32,7 @@ PERCENT = 80
 #: similarity 0.6 are five: these are too far from a pivot to be linked with anything that is linked with it.
 CLOSE, FAR = 76, 49
 #: Members up to which a bucket is settled by comparing all of them, and members with their sets in a task's block.
-SMALL, BLOCK = 32, 4096
+SMALL, BLOCK = 32, 1024
 #: Keys (24 bytes each) up to which the texts to be read again are named by broadcast.
 KEYS = 500_000
 #: Shingles that take their steps together, and words whose hashes a task remembers.
