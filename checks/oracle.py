@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.queries import ALL, CHAIN, CHOSEN, CODES, GIVEN, LINKS, NEW, NUMBERS, RULES, SAVED, TARGET
+from checks.queries import ALL, CHAIN, CHOSEN, CODES, GIVEN, KEYS, LINKS, NEW, NUMBERS, RULES, SAVED, STAR, TARGET
 
 # Columns of the given tables by type family; nested columns take no part.
 COLUMNS = {
@@ -106,6 +106,26 @@ comp AS (SELECT n.*, coalesce(j.weight, 0.0) AS inst_score,
   FROM named n LEFT JOIN jac j USING (table1, col1, table2, col2))"""
 
 
+def matcher_quality() -> str:
+    known = ", ".join(f"('{min(x, y)[0]}', '{min(x, y)[1]}', '{max(x, y)[0]}', '{max(x, y)[1]}')" for a, b, c, d in KEYS for x, y in [((a, b), (c, d))])
+    return f"""WITH {jaccard_cte(STAR)}, {columns_cte(STAR)},
+named AS (SELECT a.t AS table1, a.c AS col1, b.t AS table2, b.c AS col2,
+  ((1 - levenshtein(lower(a.c), lower(b.c)) / CAST(greatest(length(a.c), length(b.c)) AS DOUBLE))
+   + len(list_intersect(a.g, b.g)) / CAST(len(list_distinct(list_concat(a.g, b.g))) AS DOUBLE)) / 2 AS name_score,
+  CASE WHEN a.family = b.family THEN 1.0::DOUBLE WHEN a.family IN ('integral', 'fractional')
+    AND b.family IN ('integral', 'fractional') THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS type_score
+  FROM grams a JOIN grams b ON a.t < b.t),
+known(table1, col1, table2, col2) AS (VALUES {known}),
+scored AS (SELECT 'coma' AS matcher, table1, col1, table2, col2, 0.875 * name_score + 0.125 * type_score AS weight FROM named
+  UNION ALL SELECT 'jaccard', * FROM jac),
+counts AS (SELECT matcher, round(weight, 6) AS threshold, count(*) AS n, count(k.table1) AS h
+  FROM scored LEFT JOIN known k USING (table1, col1, table2, col2) GROUP BY 1, 2),
+kept AS (SELECT matcher, threshold, CAST(sum(n) OVER w AS BIGINT) AS pairs, CAST(sum(h) OVER w AS BIGINT) AS hits FROM counts
+  WINDOW w AS (PARTITION BY matcher ORDER BY threshold DESC))
+SELECT matcher, {rnd("threshold", "threshold")}, pairs, hits, {rnd("hits / CAST(pairs AS DOUBLE)", "precision")},
+  {rnd(f"hits / CAST({len(KEYS)} AS DOUBLE)", "recall")} FROM kept"""
+
+
 def near_jaccard() -> str:
     ids = ", ".join(f"('{t}', '{c}', {i})" for i, (t, c) in enumerate(
         (t, c) for t in sorted(ALL) for c, _ in cols(t)))
@@ -429,6 +449,7 @@ def oracle_sql() -> dict[str, str]:
                         f"{rnd('type_score', 'type_score')}, {rnd('inst_score', 'inst_score')}, {rnd('weight', 'weight')} FROM comp",
         "b3_jaccard": f"WITH {jaccard_cte(ALL)} SELECT table1, col1, table2, col2, {rnd('weight', 'weight')} FROM jac",
         "b3_near_jaccard": near_jaccard(),
+        "b6_matcher_quality": matcher_quality(),
         "b4_threshold": f"WITH {jaccard_cte(ALL)} SELECT table1, col1, table2, col2, {rnd('weight', 'weight')} FROM jac WHERE weight > 0.5",
         "b5_both_directions": on_edges(f"SELECT {EDGE_COLS} FROM edges"),
         "b6_discovery": f"WITH {composite_cte(ALL)}, {both('comp')} SELECT {EDGE_COLS} FROM edges",

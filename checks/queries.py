@@ -11,7 +11,7 @@ from joingrove import Augmenter, schemas
 from joingrove.functions import stats
 from joingrove.functions.naming import qualify, quote, short_table_label
 from joingrove.functions.prepare import binned, prepare, profile
-from joingrove.operators import curate, edges as E, evaluate, joins as J, matchers as M, selection as S
+from joingrove.operators import curate, edges as E, evaluate, joins as J, matchers as M, quality, selection as S
 from joingrove.operators.models import algorithms
 from joingrove.plans import jointree as JT
 from joingrove.sources import edge_files
@@ -28,6 +28,12 @@ CHAIN = [("orders", "customer", "o_custkey", "c_custkey"),
          ("customer", "nation", "c_nationkey", "n_nationkey"),
          ("nation", "region", "n_regionkey", "r_regionkey")]
 
+# Known links of the star tables: foreign keys and what they refer to.
+KEYS = [("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey"),
+        ("supplier", "s_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey"),
+        ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
+        ("lineitem", "l_suppkey", "supplier", "s_suppkey")]
+
 # (left table, left key, right table, right key) whose ratios are checked.
 LINKS = [("orders", "o_custkey", "customer", "c_custkey"),
          ("customer", "c_nationkey", "nation", "n_nationkey"),
@@ -209,6 +215,15 @@ def b3_near_jaccard(spark, sf):
     return rounded(M.near_jaccard(everything(spark, sf)), "weight")
 
 
+def b6_matcher_quality(spark, sf):
+    """Precision and recall of all thresholds of both matchers against the foreign keys of the star tables."""
+    known = spark.createDataFrame([(a, b, c, d) for a, c, b, d in KEYS], "from_table string, to_table string, from_col string, to_col string")
+    catalog = star(spark, sf)
+    both = [quality.match_quality(scored, known).withColumn("matcher", F.lit(name))
+            for name, scored in (("coma", M.composite(catalog)), ("jaccard", M.jaccard(catalog)))]
+    return rounded(reduce(DataFrame.unionByName, both), "threshold", "precision", "recall")
+
+
 def b4_threshold(spark, sf):
     return rounded(E.above(M.jaccard(everything(spark, sf)), 0.5), "weight")
 
