@@ -490,7 +490,8 @@ def oracle_sql() -> dict[str, str]:
                     "WHERE substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 2) < '33'",
         "f6_importance": "SELECT 1 AS tree_id, 'GBM' AS model, f AS feature, f = 'orders__hint' AS useful, f != 'orders__hint' AS idle FROM "
                          "(VALUES ('orders__o_totalprice'), ('orders__hint'), ('customer__c_acctbal')) v(f)",
-        "f7_evaluate_trees": "SELECT * FROM (VALUES (1, 'LR', 1.0::DOUBLE, true), (2, 'LR', 0.5::DOUBLE, false)) v(tree_id, model, rank, exact)",
+        "f7_evaluate_trees": f"{chain()} SELECT tree_id, 'LR' AS model, {rnd('rank', 'rank')}, true AS reaches, "
+                             "row_number() OVER (ORDER BY trees.rank DESC, tree_id) = 1 AS exact FROM trees",
         "f8_evaluate_tree": "SELECT 1 AS tree_id, 'GBM' AS model, 1.0::DOUBLE AS rank, true AS reaches",
         "c2_reachable": on_edges("SELECT t AS \"table\", CAST(min(d) AS INT) AS depth FROM r GROUP BY t", recursive=True,
                                  more=", r(t, d) AS (SELECT 'region', 0 UNION SELECT to_table, d + 1 FROM r JOIN edges ON from_table = t WHERE d < 14)"),

@@ -220,3 +220,11 @@ def test_models_beat_the_majority_on_a_planted_signal(spark, catalog, grown, alg
     assert a.get_best_result().first()["tree_id"] == 1
     assert a.explain_result(1, algorithm).count() == len(worth)
     assert a.get_feature_importance("good", "signal").count() == 1
+
+
+def test_the_evaluation_query_takes_all_grown_trees(spark):
+    from checks import queries
+    sf = "/root/testdata/sf0.001"
+    got = {(r["tree_id"], r["rank"]) for r in queries.f7_evaluate_trees(spark, sf).collect()}
+    want = {(r["tree_id"], r["rank"]) for r in queries.c2_join_trees(spark, sf).select("tree_id", "rank").collect()}
+    assert got == want and len(got) > 1
