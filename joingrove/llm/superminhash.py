@@ -213,15 +213,14 @@ def _small_pairs(parts: DataFrame, few: DataFrame, total: int) -> DataFrame:
 LARGE = "node long, pivot long"
 
 
-def _large_buckets(rows: DataFrame, open_: DataFrame, total: int, nodes: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+def _large_buckets(rows: DataFrame, nodes: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     """node, pivot: links between members of a bucket in different components, one of them outside the main one.
 
-    `rows` (bucket, band, node, root) are those of the buckets `open_` (bucket, n, main). Members with their sets are dealt to
-    blocks of BLOCK, and a task compares two blocks: signatures first, then sets, in numpy. A pair is looked at in the first
+    `rows` has bucket, band, node, root, and its bucket's main component and number of blocks. Members with their sets are dealt
+    to these blocks, and a task compares two blocks: signatures first, then sets, in numpy. A pair is looked at in the first
     band that it shares, and not at all once links of this task join its components.
     """
-    mine = join_copies(rows, open_.select("bucket", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket", open_, total)
-    full = mine.join(nodes.select("node", "bands"), "node").join(sets, "node")
+    full = rows.join(nodes.select("node", "bands"), "node").join(sets, "node")
     own, every = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     columns = ["band", "node", "root", "bands", "grams"]
     left = full.where("root != main").select("bucket", own.alias("i"), every.alias("j"), F.lit(0).alias("side"), *columns)
@@ -292,30 +291,38 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: s
     side = lambda k: F.xxhash64("bucket", F.lit(k)).alias("bucket")
     parts = stage(rest.where("near").select(side(1), "band", "node", "linked")
                   .unionByName(rest.where("NOT linked").select(side(2), "band", "node", "linked")), "minhash-parts")
+    done = F.col("linked").cast("long")
     groups, still = stage_observed(
-        parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("linked").cast("long")).alias("done")).where("n > 1 AND done < n").drop("done"),
-        "minhash-groups", F.sum(F.when(F.col("n") <= small, F.col("n"))).alias("few"), F.sum(F.when(F.col("n") > small, F.col("n"))).alias("many"))
+        parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(done).alias("done"), F.min(F.when(F.col("linked"), F.col("node"))).alias("one"))
+        .where("n > 1 AND done < n"), "minhash-groups", F.sum(F.when(F.col("n") <= small, F.col("n"))).alias("few"),
+        F.sum(F.when(F.col("n") > small, F.col("n") - F.col("done"))).alias("apart"))
     if still["few"]:
-        links_of.among(_small_pairs(parts, groups.where(F.col("n") <= small), int(still["few"])))
-    if not still["many"]:
+        few = groups.where(F.col("n") <= small).select("bucket", "n")
+        links_of.among(_small_pairs(parts, few, int(still["few"])))
+    if not still["apart"]:
         return links_of.all()
 
-    large = groups.where(F.col("n") > small)
-    rooted = join_copies(parts.select("bucket", "band", "node"), large.select("bucket"), "bucket", large, int(still["many"]))
-    if links_of.found:
-        rooted = rooted.join(links_of.roots(), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    else:
-        rooted = rooted.withColumn("root", F.col("node"))
-    rooted = stage(rooted, "minhash-rooted")
-    most = (rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    # Members linked with the pivot are in one component, which one of them tells: only the others are looked up.
+    large = groups.where(F.col("n") > small).withColumn("n", F.col("n") - F.col("done"))
+    apart = join_copies(parts.where("NOT linked").select("bucket", "node"), large.select("bucket"), "bucket", large, int(still["apart"]))
+    told = apart.withColumn("n", F.lit(1)).unionByName(large.where("done > 0").select("bucket", F.col("one").alias("node"), F.col("done").alias("n")))
+    roots = stage(links_of.roots(), "minhash-rooted") if links_of.found else None
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        if roots is None:
+            return rows.withColumn("root", F.col("node"))
+        return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    most = (rooted(told).groupBy("bucket", "root").agg(F.sum("n").alias("n"))
             .groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("m")))
     open_, left = stage_observed(most.where("m.n < n").select("bucket", "n", F.col("m.root").alias("main")), "minhash-open", F.sum("n").alias("n"))
     if left["n"]:
         total = int(left["n"])
-        rows = stage(join_copies(rooted, open_.select("bucket"), "bucket", open_, total), "minhash-rest")
+        blocks = open_.select("bucket", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        rows = stage(rooted(join_copies(parts.select("bucket", "band", "node"), blocks, "bucket", open_, total)), "minhash-rest")
         sets = links_of.sets(rows.select("node").distinct(), total)
         parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        links_of.found.append(stage(_large_buckets(rows, open_, total, nodes, sets, parts), "minhash-links"))
+        links_of.found.append(stage(_large_buckets(rows, nodes, sets, parts), "minhash-links"))
     return links_of.all()
 
 

@@ -129,6 +129,25 @@ def test_a_hot_bucket_costs_no_pairs(spark):
     assert all(got[5000 + i] == 5000 + i for i in range(30))
 
 
+def test_members_of_a_hot_bucket_are_looked_up_twice_at_most(spark, monkeypatch):
+    """Once for the pivot and once for the blocks; between these only those that the pivot has not linked."""
+    rng, looked_up, plain_join = random.Random(4), [], smh.join_copies
+
+    def counted(rows, lookup, key, counts, total):
+        out = plain_join(rows, lookup, key, counts, total)
+        if key == "bucket":
+            looked_up.append(out.count())
+        return out
+
+    monkeypatch.setattr(smh, "join_copies", counted)
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    rows = [(i, " ".join(edited(rng, base, 0.01))) for i in range(300)]
+    rows += [(1000 + i, " ".join(edited(rng, base, 0.2))) for i in range(10)]
+    got = plain(smh.near_duplicates(frame(spark, rows)))
+    assert got == slow_groups(rows)
+    assert len(looked_up) > 2 and sum(looked_up) < 2.2 * looked_up[0]
+
+
 def test_given_documents(spark):
     from joingrove.llm.queries import op11_superminhash
     rows = [(r[0], r[1]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
