@@ -10,6 +10,7 @@ logit is calibrated by language, which is told from the function words of the te
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -258,7 +259,7 @@ def train(docs: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
 
 
 def _batches(order: np.ndarray, parts: list[np.ndarray]) -> Iterator[list[int]]:
-    """Documents in order, BATCH or BATCH_WORDS words at a time, which bounds the driver's memory."""
+    """Documents in order, BATCH or BATCH_WORDS words at a time, which bounds the memory."""
     some, words = [], 0
     for i in order.tolist():
         if some and (len(some) == BATCH or words + len(parts[i]) > BATCH_WORDS):
@@ -314,8 +315,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         rows: int = TRAIN_ROWS, words: int = TRAIN_TOTAL) -> Network:
     """Learns from labelled rows that are not held out: the first `rows` ids by hash, the documented bound.
 
-    Executors hash the words; the driver gets their places only, _BYTES a word, of `words` words at most. Where ids repeat or
-    texts are very long, rows count in the order of their ids' hash, then their places, until either bound is reached.
+    Executors hash the words, and one task gets their places only, _BYTES a word, of `words` words at most, and trains; the driver
+    gets the network, which has a fixed size. Where ids repeat or texts are very long, rows count in the order of their ids'
+    hash, then their places, until either bound is reached.
     Without any row, or with one label only, the network knows no more than that. Null texts are empty ones.
     """
     chosen = (one_label(labels, label).where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
@@ -337,10 +339,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         if left < 0:
             break
         last = r["o"]
-    got = [] if last is None else hashed.where(order <= F.struct(F.lit(last["h"]).cast("long").alias("h"), F.lit(last["i"]).cast("long").alias("i"), F.lit(last["m"]).alias("m"))).limit(len(sizes)).collect()
+    if last is None:
+        discard(hashed)
+        return train_calibrated([], np.zeros(0))
+    until = F.struct(F.lit(last["h"]).cast("long").alias("h"), F.lit(last["i"]).cast("long").alias("i"), F.lit(last["m"]).alias("m"))
+    trained = map_batches(hashed.where(order <= until).limit(len(sizes)), _learn, "network binary").collect()
     discard(hashed)
-    got = sorted(map(tuple, got), key=lambda r: (r[0], r[2]))
-    return train_calibrated([bytes(r[2]) for r in got], np.array([r[1] for r in got]))
+    return pickle.loads(trained[0]["network"])
+
+
+def _learn(batches: Iterator[tuple]) -> Iterator[dict]:
+    """The pickled network of the rows (doc_id, y, places) of one task, in an order of their own."""
+    got = sorted((row for columns in batches for row in zip(*columns)), key=lambda r: (r[0], r[2]))
+    yield {"network": [pickle.dumps(train_calibrated([r[2] for r in got], np.array([r[1] for r in got])))]}
 
 
 def score_toxicity(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text",

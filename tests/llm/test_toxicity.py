@@ -167,3 +167,14 @@ def test_label_never_enters_a_score(spark):
     flipped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = (plain(toxicity.score_toxicity(docs, toxicity.fit(docs, x))) for x in (labels, flipped))
     assert a == b
+
+
+def test_the_fit_costs_the_driver_no_training(spark, monkeypatch):
+    def fail(*_):
+        raise AssertionError("training on the driver")
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    monkeypatch.setattr(toxicity, "train", fail)
+    net = toxicity.fit(docs, labels)
+    assert net.out.any() and net.by_language.any()
