@@ -218,14 +218,19 @@ def _large_buckets(rows: DataFrame, nodes: DataFrame, sets: DataFrame, parts: in
 
     `rows` has bucket, band, node, root, and its bucket's main component and number of blocks. Members with their sets are dealt
     to these blocks, and a task compares two blocks: signatures first, then sets, in numpy. A pair is looked at in the first
-    band that it shares, and not at all once links of this task join its components.
+    band that it shares, and not at all once links of this task join its components. A node meets its set once and then
+    goes to all its buckets, at most two for each band.
     """
-    full = rows.join(nodes.select("node", "bands"), "node").join(sets, "node")
-    own, every = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    columns = ["band", "node", "root", "bands", "grams"]
-    left = full.where("root != main").select("bucket", own.alias("i"), every.alias("j"), F.lit(0).alias("side"), *columns)
-    right = full.select("bucket", every.alias("i"), own.alias("j"), F.lit(1).alias("side"), *columns)
-    dealt = left.unionByName(right).repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+    homes = rows.groupBy("node", "root").agg(F.collect_list(F.struct("bucket", "band", "main", "blocks")).alias("homes"))
+    full = homes.join(nodes.select("node", "bands"), "node").join(sets, "node")
+    each = full.select("node", "root", "bands", "grams", F.explode("homes").alias("at")).select("at.*", "node", "root", "bands", "grams")
+    own, every = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    cell = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    right, left = F.transform(every, lambda i: cell(i, own, 1)), F.transform(every, lambda j: cell(own, j, 0))
+    cells = F.explode(F.when(F.col("root") != F.col("main"), F.concat(right, left)).otherwise(right)).alias("cell")
+    dealt = (each.select("bucket", cells, "band", "node", "root", "bands", "grams")
+             .select("bucket", "cell.*", "band", "node", "root", "bands", "grams")
+             .repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side"))
     return map_batches(dealt, _compare_blocks, LARGE)
 
 

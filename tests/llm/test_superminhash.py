@@ -148,6 +148,32 @@ def test_members_of_a_hot_bucket_are_looked_up_twice_at_most(spark, monkeypatch)
     assert len(looked_up) > 2 and sum(looked_up) < 2.2 * looked_up[0]
 
 
+def test_members_of_many_hot_buckets_meet_their_sets_once(spark, monkeypatch):
+    """A node stands in up to two buckets a band, but its signature and set are joined to it once."""
+    rng, joined, frames, plain_join = random.Random(4), [], type(spark.range(1)), type(spark.range(1)).join
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    rows = [(i, " ".join(edited(rng, base, 0.01))) for i in range(300)]
+    rows += [(1000 + i, " ".join(edited(rng, base, 0.2))) for i in range(10)]
+    large = smh._large_buckets
+
+    def watched(members, nodes, sets, parts):
+        def counted(self, other, on=None, how=None):
+            out = plain_join(self, other, on, how)
+            joined.append(out.count())
+            return out
+
+        with monkeypatch.context() as m:
+            m.setattr(frames, "join", counted)
+            out = large(members, nodes, sets, parts)
+        joined.append(members.select("node").distinct().count())
+        assert members.count() > 5 * joined[-1]
+        return out
+
+    monkeypatch.setattr(smh, "_large_buckets", watched)
+    assert plain(smh.near_duplicates(frame(spark, rows))) == slow_groups(rows)
+    assert len(joined) == 3 and set(joined) == {joined[-1]}
+
+
 def test_given_documents(spark):
     from joingrove.llm.queries import op11_superminhash
     rows = [(r[0], r[1]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
