@@ -173,6 +173,10 @@ def _no_null(col: Column) -> Column:
     return F.coalesce(col, F.lit(_signed(1 << 63)))
 
 
+def _set_bits(mask: int | None) -> list[int]:
+    return [k for k in range(64) if (mask or 0) >> k & 1]
+
+
 def _cell_class(n: str) -> Column:
     """The least c with 2 ** c at or above n."""
     return F.length(F.bin(F.col(n).cast("long") - 1))
@@ -224,13 +228,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = (benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(item_text_col, F.lit("")).alias("text"))
              .where("item_id is not null").withColumn("item", F.xxhash64("item_id", "text")).distinct())
     items, known = stage_observed(items.select("item_id", "item", words(F.col("text")).alias("w")).where(F.size("w") > 0),
-                                  "leak-items", F.count(F.lit(1)).alias("rows"))
+                                  "leak-items", F.count(F.lit(1)).alias("rows"), F.expr(f"bit_or(shiftleft(1, least(size(w), {SHINGLE})))").alias("sizes"))
     hashed = items.select("item", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     m = F.col("n") - F.least(F.col("n"), F.lit(SHINGLE)) + 1
     grams = (hashed.select("item", "n", F.posexplode(_item_grams("h")).alias("p", "gram"))
              .groupBy("item", "n", "gram").agg(F.count(F.lit(1)).alias("c"), F.min("p").alias("p")).withColumn("m", m))
     grams, seen = stage_observed(grams, "leak-grams", F.count(F.lit(1)).alias("rows"))
-    sizes = sorted(r[0] for r in items.select(F.least(F.size("w"), F.lit(SHINGLE))).distinct().collect()) or [SHINGLE]  # at most five
+    sizes = _set_bits(known["sizes"]) or [SHINGLE]  # at most five
     small = lambda d, rows: F.broadcast(d) if int(rows or 0) <= KEYS else d
 
     # Where the rarest shingles of items stand in documents.
@@ -263,28 +267,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     by_blocks = stage(by_blocks, "leak-by-blocks")
 
     # What no radius reaches: the similarity of all windows, where a document's rare shingles left the pair open.
+    # Where no place or no similar window is left, nothing more is planned or run.
     open_hits = hits.join(by_blocks.select("d", "key", "item"), ["d", "key", "item"], "left_anti")
     cell = F.floor(F.col("at") / F.pow(F.lit(2), F.col("kind"))).cast("long")
     cells = (open_hits.withColumn("kind", _cell_class("n")).select("d", "key", "of", "item", "kind", cell.alias("cell"))
              .withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))).distinct())
-    cells, left = stage_observed(cells, "leak-cells", F.count(F.lit(1)).alias("rows"))
-    kinds = sorted(r[0] for r in cells.select("kind").distinct().collect())  # at most thirty
-    places = _in_docs(near.select("d", "key", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-                      .join(small(cells.select("d", "key").distinct(), left["rows"]), ["d", "key"], "left_semi"), sizes, "d", "key")
-    places = places.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds or [0]]))).withColumn("cell", cell)
-    shared = (places.join(cells, ["d", "key", "kind", "cell"]).join(small(grams, seen["rows"]), ["item", "gram"])
-              .select(F.col("d").alias("doc_id"), "key", "of", "item", "n", "m", "gram", "c", "at"))
-    best = stage(_best_windows(shared, similarity).withColumnRenamed("doc_id", "d"), "leak-best")
-    windows, total = _cut(near, best.select("d", "key", F.col("start").cast("long").alias("start"), "n"), "leak-other-windows")
-    prints = _fingerprints(_counted(windows.groupBy("wid").agg(F.first("w").alias("w")), "wid"), "wid")
-    prints = stage(windows.groupBy("wid").agg(F.count(F.lit(1)).alias("n_rows")).join(prints, "wid"), "leak-other-prints")
-    printed = join_hot(windows.select("d", "key", "start", "n", F.size("w").alias("n_words"), "wid"), prints, "wid", "n_rows", total)
-    others = (best.withColumn("start", F.col("start").cast("long")).join(printed, ["d", "key", "start", "n"])
-              .join(small(item_prints.withColumnRenamed("fp", "item_fp"), known["rows"]), "item")
-              .select("d", "key", "item", F.col("start").alias("start_word"), "n_words",
-                      F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance"), "similarity", F.lit(False).alias("by_blocks")))
+    cells, left = stage_observed(cells, "leak-cells", F.count(F.lit(1)).alias("rows"), F.expr("bit_or(shiftleft(1L, kind))").alias("kinds"))
+    out = by_blocks
+    if left["rows"]:
+        places = _in_docs(near.select("d", "key", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+                          .join(small(cells.select("d", "key").distinct(), left["rows"]), ["d", "key"], "left_semi"), sizes, "d", "key")
+        places = places.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in _set_bits(left["kinds"])]))).withColumn("cell", cell)
+        shared = (places.join(cells, ["d", "key", "kind", "cell"]).join(small(grams, seen["rows"]), ["item", "gram"])
+                  .select(F.col("d").alias("doc_id"), "key", "of", "item", "n", "m", "gram", "c", "at"))
+        best, more = stage_observed(_best_windows(shared, similarity).withColumnRenamed("doc_id", "d"), "leak-best", F.count(F.lit(1)).alias("rows"))
+        if more["rows"]:
+            windows, total = _cut(near, best.select("d", "key", F.col("start").cast("long").alias("start"), "n"), "leak-other-windows")
+            prints = _fingerprints(_counted(windows.groupBy("wid").agg(F.first("w").alias("w")), "wid"), "wid")
+            prints = stage(windows.groupBy("wid").agg(F.count(F.lit(1)).alias("n_rows")).join(prints, "wid"), "leak-other-prints")
+            printed = join_hot(windows.select("d", "key", "start", "n", F.size("w").alias("n_words"), "wid"), prints, "wid", "n_rows", total)
+            others = (best.withColumn("start", F.col("start").cast("long")).join(printed, ["d", "key", "start", "n"])
+                      .join(small(item_prints.withColumnRenamed("fp", "item_fp"), known["rows"]), "item")
+                      .select("d", "key", "item", F.col("start").alias("start_word"), "n_words",
+                              F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance"), "similarity", F.lit(False).alias("by_blocks")))
+            out = out.unionByName(others)
     named = items.select("item", "item_id")
-    return (by_blocks.unionByName(others).join(small(named, known["rows"]), "item")
+    return (out.join(small(named, known["rows"]), "item")
             .select(F.when(F.col("d") != F.lit(_signed(1 << 63)), F.col("d")).alias("doc_id"), "key", "item_id", F.col("start_word").cast("long").alias("start_word"),
                     F.col("n_words").cast("long").alias("n_words"), F.col("distance").cast("int").alias("distance"), "similarity", "by_blocks"))
 

@@ -91,6 +91,21 @@ def test_equals_all_windows_against_all_items(spark):
         assert r["by_blocks"] or abs(r["similarity"] - want[r["doc_id"], r["item_id"]]) < 1e-9
 
 
+def test_the_second_search_ends_where_nothing_is_left(spark, monkeypatch):
+    """Blocks find the copies; an item's rare shingle alone opens the second search, which finds no window in `open_` and is not planned further."""
+    rng, steps, plain_stage = random.Random(5), [], D.stage_observed
+    monkeypatch.setattr(D, "stage_observed", lambda df, label, *m: steps.append(label) or plain_stage(df, label, *m))
+    text = lambda n: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+    items = {i: text(30) for i in range(4)}
+    docs = {10 + i: f"{text(9)} {items[i]} {text(9)}" for i in range(4)} | {20: text(50)}
+    open_ = docs | {30 + k: f"{text(9)} {' '.join(items[0].split()[k:k + 6])} {text(40)}" for k in range(25)}
+    for given in (docs, open_):
+        steps.clear()
+        assert found(D.leaks(frame(spark, given), frame(spark, items, "item_id"))).keys() == {(10 + i, i) for i in range(4)} == brute(given, items).keys()
+        assert ("leak-best" in steps) == (given is open_)
+        assert "leak-cells" in steps and "leak-other-windows" not in steps
+
+
 def test_without_broadcasts(spark, monkeypatch):
     docs, items = corpus()
     monkeypatch.setattr(D, "KEYS", 0)
