@@ -15,6 +15,8 @@ from joingrove.sources.staging import stage
 
 #: A key with more than 1 / HOT_SHARE of all rows counts as hot, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
+#: Where no key has more rows than this, none is treated as hot, whatever its share: any task can take them.
+FEW = 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,14 +41,17 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
-def join_hot(rows: DataFrame, lookup: DataFrame, key: str, rows_per_key: str, total: int) -> DataFrame:
+def join_hot(rows: DataFrame, lookup: DataFrame, key: str, rows_per_key: str, total: int, most: int | None = None) -> DataFrame:
     """Inner join of `rows` with `lookup`, which has one row a key and its number of rows in `rows_per_key`.
 
     The at most HOT_SHARE keys with the most rows are broadcast, so the rows of none of them meet in
-    one task; all others are shuffled. Both frames should be staged: `rows` is read twice.
+    one task; all others are shuffled. Both frames should be staged: `rows` is read twice. Where `most`, the rows of
+    the key that has most or a bound of them, shows that no key is hot, this is one plain join.
     """
     hot_above = max(total // HOT_SHARE, 1)
     values = [c for c in lookup.columns if c != rows_per_key]
+    if most is not None and most <= max(hot_above, FEW):
+        return rows.join(lookup.select(values), key)
     hot = lookup.where(F.col(rows_per_key) > hot_above).select(values)
     cold = lookup.where(F.col(rows_per_key) <= hot_above).select(values)
     of_hot = rows.join(F.broadcast(hot), key)
@@ -54,13 +59,16 @@ def join_hot(rows: DataFrame, lookup: DataFrame, key: str, rows_per_key: str, to
     return of_hot.unionByName(of_cold)
 
 
-def join_copies(rows: DataFrame, lookup: DataFrame, key: str, counts: DataFrame, total: int) -> DataFrame:
+def join_copies(rows: DataFrame, lookup: DataFrame, key: str, counts: DataFrame, total: int, most: int | None = None) -> DataFrame:
     """Inner join of `rows` with `lookup`, which has one row a key; `counts` has `key` and n, the rows of each key.
 
     A key with more than total / HOT_SHARE of the `total` rows is dealt over as many copies of its lookup row as keep each
-    below that; there are at most 2 * HOT_SHARE copies, and only keys are broadcast, so lookup rows may be of any size.
+    below that; there are at most 2 * HOT_SHARE copies, and only keys are broadcast, so lookup rows may be of any size. Where
+    `most`, the rows of the key that has most or a bound of them, shows that no key is hot, this is one plain join.
     """
     share = max(total // HOT_SHARE, 1)
+    if most is not None and most <= max(share, FEW):
+        return rows.join(lookup, key)
     hot = F.broadcast(counts.where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("__copies")))
     copies, others = F.coalesce("__copies", F.lit(1)), [c for c in rows.columns if c != key]
     dealt = (rows.join(hot, key, "left").withColumn("__copy", F.pmod(F.xxhash64(key, *others), copies).cast("int")).drop("__copies"))

@@ -23,6 +23,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = (links.select(F.greatest(F.col(a), F.col(b)).alias("u"), F.least(F.col(a), F.col(b)).alias("v"))
              .where("u != v and u is not null and v is not null").distinct())
     edges, state = _written(edges)
+    if not state[0]:  # no round has anything to do
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(MAX_ROUNDS):
         larger, _ = _written(_large_star(edges, 2 * (state[0] or 0)))
         after, now = _written(_small_star(larger, state[0] or 0))
@@ -45,13 +47,13 @@ def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Links every larger neighbour of a node to the smallest of the node and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    moved = join_copies(both.where("v > u"), least.select("u", F.least("u", "m").alias("m")), "u", least.select("u", "n"), total)
+    moved = join_copies(both.where("v > u"), least.select("u", F.least("u", "m").alias("m")), "u", least.select("u", "n"), total, total)
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Links a node and its smaller neighbours to the smallest of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    moved = join_copies(edges, least.select("u", "m"), "u", least.select("u", "n"), total)
+    moved = join_copies(edges, least.select("u", "m"), "u", least.select("u", "n"), total, total)
     moved = moved.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

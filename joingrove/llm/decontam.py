@@ -259,7 +259,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                   .agg(F.collect_list(F.struct("item", "distance", "similarity")).alias("of_items"))
                   .withColumn("pair", F.xxhash64("wid", "n")).drop("wid", "n"))
     at = windows.select("d", "key", "start", F.size("w").alias("n_words"), F.xxhash64("wid", "n").alias("pair"))
-    by_blocks = (join_hot(at, stage(per_window, "leak-verified"), "pair", "n_rows", total)
+    per_window, times = stage_observed(per_window, "leak-verified", F.max("n_rows").alias("most"))
+    by_blocks = (join_hot(at, per_window, "pair", "n_rows", total, int(times["most"] or 0))
                  .select("d", "key", "start", "n_words", F.explode("of_items").alias("f")).groupBy("d", "key", "f.item")
                  .agg(F.max(F.struct("f.similarity", (-F.col("start")).alias("back"), "n_words", "f.distance")).alias("b"))
                  .select("d", "key", "item", (-F.col("b.back")).alias("start_word"), "b.n_words", "b.distance", "b.similarity",
@@ -284,8 +285,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         if more["rows"]:
             windows, total = _cut(near, best.select("d", "key", F.col("start").cast("long").alias("start"), "n"), "leak-other-windows")
             prints = _fingerprints(_counted(windows.groupBy("wid").agg(F.first("w").alias("w")), "wid"), "wid")
-            prints = stage(windows.groupBy("wid").agg(F.count(F.lit(1)).alias("n_rows")).join(prints, "wid"), "leak-other-prints")
-            printed = join_hot(windows.select("d", "key", "start", "n", F.size("w").alias("n_words"), "wid"), prints, "wid", "n_rows", total)
+            prints, times = stage_observed(windows.groupBy("wid").agg(F.count(F.lit(1)).alias("n_rows")).join(prints, "wid"), "leak-other-prints", F.max("n_rows").alias("most"))
+            printed = join_hot(windows.select("d", "key", "start", "n", F.size("w").alias("n_words"), "wid"), prints, "wid", "n_rows", total, int(times["most"] or 0))
             others = (best.withColumn("start", F.col("start").cast("long")).join(printed, ["d", "key", "start", "n"])
                       .join(small(item_prints.withColumnRenamed("fp", "item_fp"), known["rows"]), "item")
                       .select("d", "key", "item", F.col("start").alias("start_word"), "n_words",

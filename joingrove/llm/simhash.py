@@ -165,13 +165,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows, seen = stage_observed(fingerprints(docs, id_col, text_col), "simhash-docs", F.count(F.lit(1)).alias("n"))
     nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_rows")), "simhash-nodes")
     linked = components(links(nodes.select("fp"), pair_limit)).withColumnRenamed("node", "fp")
-    rooted = stage(nodes.join(linked, "fp", "left"), "simhash-roots")
-    inside = rooted.where("root is not null")
-    groups, joined = stage_observed(inside.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")),
-                                    "simhash-groups", F.sum("n").alias("n"))
-    named = (join_copies(inside, groups.drop("n"), "root", groups, int(joined["n"] or 0)).select("fp", "n_rows", "component_id")
-             .unionByName(rooted.where("root is null").select("fp", "n_rows", F.col("least").alias("component_id"))))
-    return join_hot(rows, stage(named, "simhash-named"), "fp", "n_rows", int(seen["n"] or 0)) \
+    rooted, found = stage_observed(nodes.join(linked, "fp", "left"), "simhash-roots", F.count("root").alias("linked"), F.max("n_rows").alias("most"))
+    named = rooted.where("root is null").select("fp", "n_rows", F.col("least").alias("component_id"))
+    if found["linked"]:
+        inside = rooted.where("root is not null")
+        groups, joined = stage_observed(inside.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")),
+                                        "simhash-groups", F.sum("n").alias("n"), F.max("n").alias("most"))
+        of_groups = join_copies(inside, groups.drop("n"), "root", groups, int(joined["n"] or 0), int(joined["most"] or 0))
+        named = stage(named.unionByName(of_groups.select("fp", "n_rows", "component_id")), "simhash-named")
+    return join_hot(rows, named, "fp", "n_rows", int(seen["n"] or 0), int(found["most"] or 0)) \
         .select("doc_id", "text_key", "fp", "component_id")
 
 

@@ -99,6 +99,26 @@ class Network:
     out: np.ndarray
     offset: float
     by_language: np.ndarray
+    seed: int
+
+    def __getstate__(self) -> dict:
+        """Of the tables only the rows that the fit moved: the others, most, come from the seed again."""
+        moved = []
+        for t, first in zip(self.tables, _first_tables(self.seed)):
+            values, times = np.unique(t[:, 0], return_counts=True)
+            common = values[times.argmax()]  # the log odds of a bucket without words
+            first[:-1, 0] = common
+            rows = np.flatnonzero((t != first).any(1)).astype(np.uint32)
+            moved.append((common, rows, t[rows]))
+        return self.__dict__ | {"tables": moved}
+
+    def __setstate__(self, state: dict) -> None:
+        tables = []
+        for (common, rows, values), t in zip(state["tables"], _first_tables(state["seed"])):
+            t[:-1, 0] = common
+            t[rows] = values
+            tables.append(t)
+        self.__dict__.update(state | {"tables": tables})
 
     def embed(self, ids: np.ndarray) -> np.ndarray:
         return np.concatenate([t[ids[:, i]] for i, t in enumerate(self.tables)], 1)
@@ -153,6 +173,15 @@ class Network:
         return _pool(np.array(maxima)[None])
 
 
+def _first_tables(seed: int, rng: np.random.Generator | None = None) -> Iterator[np.ndarray]:
+    """The tables before the fit, one at a time; they are the first values of the seed's generator."""
+    rng = rng or np.random.default_rng(seed)
+    for _ in range(TABLES):
+        t = rng.normal(0, 0.01, (BUCKETS + 1, DIM)).astype(np.float32)
+        t[-1] = 0
+        yield t
+
+
 def _pool(maxima: np.ndarray) -> np.ndarray:
     """From the maxima of the quarters: that of the whole and the mean."""
     return np.concatenate([maxima.max(1), maxima.mean(1)], 1)
@@ -193,8 +222,7 @@ def train(docs: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
     y = np.asarray(labels, float)
     parts = [_ids(d) for d in docs]
     tables = []
-    for i in range(TABLES):
-        t = rng.normal(0, 0.01, (BUCKETS + 1, DIM)).astype(np.float32)
+    for i, t in enumerate(_first_tables(seed, rng)):
         held = [np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)]
         for p, label in zip(parts, y):
             held[int(label)][np.unique(p[:, i])] += 1
@@ -209,7 +237,7 @@ def train(docs: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
         f[:, [DIM * i for i in range(TABLES)], 0] += 1.0 / len(f)
     k = 2 * FILTERS * len(WIDTHS)
     net = Network(tables, filters, np.full(k, -0.3, np.float32), np.full(k, 0.1, np.float32),
-                  float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), np.zeros(len(LANGUAGES)))
+                  float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), np.zeros(len(LANGUAGES)), seed)
     if not parts or y.min() == y.max():
         net.out[:] = 0
         return net

@@ -140,3 +140,22 @@ def test_components_of_chains_and_stars(spark):
     own = set(real) | {(b, a) for a, b in real}
     assert got == reach(sorted({x for p in real for x in p}), lambda a, b: (a, b) in own)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_without_links_or_hot_keys_little_is_planned(spark, monkeypatch):
+    """No rounds of components, no groups and no broadcast of hot keys where there is nothing of the kind."""
+    from joingrove.llm import common
+    from joingrove.sources import staging
+
+    labels, path = [], staging.fresh_path
+    monkeypatch.setattr(staging, "fresh_path", lambda session, label: labels.append(label) or path(session, label))
+    rng = random.Random(8)
+    docs = {i: " ".join(f"w{rng.randrange(9999)}" for _ in range(30)) for i in range(40)}
+    docs |= {100 + i: docs[i] for i in range(10)}
+    found = simhash.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
+    assert {r["doc_id"]: (f"{r['fp'] % (1 << 64):016x}", r["component_id"]) for r in found.collect()} == brute(docs)
+    assert labels.count("components") == 1 and "simhash-groups" not in labels and "simhash-named" not in labels
+    rows, lookup = spark.createDataFrame([(i % 7, i) for i in range(500)], "k long, v long"), spark.createDataFrame([(i, 72, -i) for i in range(7)], "k long, n long, w long")
+    for join in (common.join_hot(rows, lookup, "k", "n", 500, 72), common.join_copies(rows, lookup.drop("n"), "k", lookup.select("k", "n"), 500, 72)):
+        assert sorted(map(tuple, join.select("k", "v", "w").collect())) == sorted((i % 7, i, -(i % 7)) for i in range(500))
+        assert join._jdf.queryExecution().analyzed().toString().count("Join") == 1

@@ -1,3 +1,4 @@
+import pickle
 import random
 from zlib import crc32
 
@@ -27,6 +28,17 @@ def test_learns_planted_words():
     assert np.array_equal(net.out, again.out)
 
 
+def test_a_network_is_sent_by_the_rows_that_the_fit_moved():
+    rng = random.Random(5)
+    docs, y = [toxicity.word_places(sentence(rng, i % 3 == 0)) for i in range(90)], np.arange(90) % 3 == 0
+    for net in (toxicity.train_calibrated(docs, y), toxicity.train_calibrated(docs, y * 0), toxicity.train_calibrated([], np.zeros(0))):
+        sent = pickle.dumps(net)
+        back = pickle.loads(sent)
+        assert len(sent) < 100_000
+        assert all(np.array_equal(a, b) and a.dtype == b.dtype for a, b in zip(net.tables, back.tables, strict=True))
+        assert np.array_equal(net.raw(docs)[0], back.raw(docs)[0]) and np.array_equal(net.score(docs), back.score(docs))
+
+
 def test_training_lowers_the_loss(monkeypatch):
     rng = random.Random(2)
     docs, y = [toxicity.word_places(sentence(rng, i % 2)) for i in range(80)], np.arange(80) % 2
