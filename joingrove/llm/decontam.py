@@ -241,8 +241,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     rows = texts(docs, id_col, text_col).select(_no_null(F.col("doc_id")).alias("d"), text_key().alias("key"), "text")
     rare = stage(_rarest(grams, similarity), "leak-rarest")
     hashes = _hashed_words(rows, "d", "key").select("d", "key", "h", F.size("h").alias("of"))
+    # They are few, so tasks write them together, not each a file of its own; those of repeated rows are one.
     hits = stage(_in_docs(hashes, sizes, "d", "key", "of").join(small(rare, seen["rows"]), "gram")
-                 .select("d", "key", "of", "item", "n", "at", "p"), "leak-hits")
+                 .select("d", "key", "of", "item", "n", "at", "p").distinct(), "leak-hits")
     holders, found = stage_observed(hits.select("d", "key").distinct(), "leak-holders", F.count(F.lit(1)).alias("rows"))
     near = rows.join(small(holders, found["rows"]), ["d", "key"]).groupBy("d", "key").agg(F.min("text").alias("text"))
     near = stage(near.select("d", "key", words(F.col("text")).alias("w")), "leak-texts")

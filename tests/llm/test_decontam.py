@@ -106,6 +106,21 @@ def test_the_second_search_ends_where_nothing_is_left(spark, monkeypatch):
         assert "leak-cells" in steps and "leak-other-windows" not in steps
 
 
+def test_places_of_rare_shingles_are_written_together_and_once(spark, monkeypatch):
+    """Not a file for each task that read documents, and not again for each row repeated in id and text."""
+    rng, steps, plain_stage = random.Random(6), {}, D.stage
+    monkeypatch.setattr(D, "stage", lambda df, label: steps.setdefault(label, plain_stage(df, label)))
+    text = lambda n: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+    items = {i: text(30) for i in range(4)}
+    docs = {10 + i: f"{text(9)} {items[i]} {text(9)}" for i in range(4)}
+    rows = [*docs.items()] * 30 + [(None, docs[10])] * 30
+    repeated = spark.createDataFrame(rows, "doc_id long, text string").repartition(24)
+    assert found(D.leaks(repeated, frame(spark, items, "item_id"))) == {(10 + i, i): 1.0 for i in range(4)} | {(None, 0): 1.0}
+    hits = steps["leak-hits"]
+    assert hits.count() == hits.distinct().count() > 0 and hits.groupBy("d").count().count() == 5
+    assert len(hits.inputFiles()) < 12
+
+
 def test_without_broadcasts(spark, monkeypatch):
     docs, items = corpus()
     monkeypatch.setattr(D, "KEYS", 0)
