@@ -118,3 +118,39 @@ def test_no_task_makes_more_pairs_than_a_cell_of_the_grid(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert rows == same == 2_001_000
     assert whole >= 1_000_000 and largest < 160_000  # a handful of cells at most
+
+
+def hot_sides(spark, tmp_path):
+    """Two keys and null are hot on both sides, one key is only on the left."""
+    mine = [(i, [5, None, 6, 90 + i % 2][i % 4]) for i in range(200)]
+    theirs = [(i, [6, 5, None, 91][i % 4]) for i in range(120)] + [(500, None)]
+    spark.createDataFrame(mine, "l_id long, l_k long").repartition(3).write.parquet(str(tmp_path / "l"))
+    spark.createDataFrame(theirs, "r_id long, r_k long").repartition(2).write.parquet(str(tmp_path / "r"))
+    want = sorted(((a, b) for a, k in mine for b in ([r for r, q in theirs if q == k] or [None])), key=repr)
+    return spark.read.parquet(str(tmp_path / "l")), spark.read.parquet(str(tmp_path / "r")), want
+
+
+def test_few_right_rows_of_hot_keys_are_held_and_no_row_is_copied(spark, tmp_path):
+    left, right, want = hot_sides(spark, tmp_path)
+    joined = J.left_join_all(left, "l_k", right, "r_k", 20)
+    assert "Generate" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(((r["l_id"], r["r_id"]) for r in joined.collect()), key=repr) == want
+
+
+@pytest.mark.parametrize("limits", [{"HELD_ROWS": 0}, {"HELD_CHARS": 0}, {"HELD_ROWS": 0, "COPIES": 1}])
+def test_many_right_rows_of_hot_keys_meet_in_a_grid(spark, tmp_path, monkeypatch, limits):
+    left, right, want = hot_sides(spark, tmp_path)
+    for name, value in limits.items():
+        monkeypatch.setattr(J, name, value)
+    joined = J.left_join_all(left, "l_k", right, "r_k", 20)
+    assert "Generate" in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(((r["l_id"], r["r_id"]) for r in joined.collect()), key=repr) == want
+
+
+def test_copies_of_a_grid_stay_in_proportion_to_the_rows(spark):
+    sides = [(1, 1_800_000, 120_000), (2, 120_000, 1_800_000), (3, 50_000, 50_000), (4, 900_000, 2), (5, 900_000, 0)]
+    grids = {r["_gkey"]: r for r in J._grids(spark.createDataFrame(sides, "_key long, _nl long, _nr long"), 1000).collect()}
+    for key, left, right in sides[:4]:
+        g = grids[key]
+        assert g["_meets"] and left * g["_across"] + right * g["_down"] <= 4 * J.COPIES * (left + right)
+    assert not grids[5]["_meets"] and grids[5]["_across"] == 1 and grids[5]["_down"] == 900
