@@ -1,5 +1,7 @@
 import random
+import uuid
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -373,3 +375,50 @@ def test_base_table_before_the_repository(spark, tmp_path):
     session.set_base_table("x/t.csv", "c", row_key="k")
     session.set_dataset_repository(["y"])
     assert session.get_tables_repository() == ["x/t.csv", "y/t.csv"] and session.base_frame.count() == 2
+
+
+def _sides(mine, theirs):
+    return (pd.DataFrame({"md5": [f"x{i}" for i in range(len(mine))], "chars": mine, "w0": 1, "c0": ~2}),
+            pd.DataFrame({"md5": [f"y{i}" for i in range(len(theirs))], "chars": theirs, "w0": 2}))
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefghij é", "abcdefghijklmnopqrstuvwxyzÄ𝔘"])
+def test_long_strings_side_by_side_lose_no_near_pair(letters, monkeypatch):
+    """Against the distance of every pair; all go through the words of a block, few at a time."""
+    for name, value in {"FEW": 0, "SIDE_BY_SIDE": 64, "POOL": 200}.items():
+        monkeypatch.setattr(L, name, value)
+    rng = random.Random(7)
+    mine = ["".join(rng.choice(letters) for _ in range(rng.randrange(66, 500))) for _ in range(14)]
+    theirs = [changed(rng, rng.choice(mine), share) + "".join(rng.choice(letters) for _ in range(rng.randrange(40)))
+              for share in (0.02, 0.1, 0.15, 0.18, 0.2, 0.22, 0.3, 0.6) for _ in range(5)]
+    alike = {f"x{i}" for i, a in enumerate(mine) for b in theirs
+             if abs(len(a) - len(b)) <= int(0.2 * max(len(a), len(b)) + 1e-9) and L.within(a, b, int(0.2 * max(len(a), len(b)) + 1e-9))}
+    found = L._compared(*_sides(mine, theirs), 1, 0.2, 64)
+    assert 0 < len(alike) and set(found["md5"]) == alike and set(found["s0"]) == {2}
+
+
+def test_unlike_long_strings_are_not_compared_one_by_one(monkeypatch):
+    """Texts of the same syllables hold the same grams near the same places."""
+    rng, calls = random.Random(3), []
+    syllables = ["tion", "ing", "er ", "the ", "an", "sh", "ou ", "re", "ble", ". ", "ed ", "ha", "on"]
+    texts = ["".join(rng.choice(syllables) for _ in range(600))[:1400] for _ in range(160)]
+    one = L.near
+    monkeypatch.setattr(L, "near", lambda *pair: calls.append(1) or one(*pair))
+    texts[100] = changed(rng, texts[5], 0.14)
+    assert L._compared(*_sides(texts[:80], texts[80:]), 1, 0.2, 64)["md5"].tolist() == ["x5"]
+    assert 1 <= len(calls) <= 100  # of 6,400
+
+
+def test_grams_that_fill_a_string_count_in_full():
+    """More of one gram than two bytes can count."""
+    mine, theirs = "a" * 200_000, "a" * 190_000 + "b"
+    assert L._compared(*_sides([mine], [theirs]), 1, 0.2, 64)["md5"].tolist() == ["x0"]
+
+
+def test_a_long_string_is_copied_a_few_times(spark, monkeypatch):
+    """Rows that are sent to the tasks that compare, for strings of all lengths from 70 to 7,000."""
+    texts = [f"{i:05d}" + "".join(chr(97 + (i * j) % 26) for j in range(65 + 7 * i)) for i in range(0, 1000, 5)]
+    values = spark.createDataFrame([(t, 1 + i % 2, ~2 if i % 2 == 0 else -1) for i, t in enumerate(texts)], "chars string, w0 long, c0 long")
+    monkeypatch.setattr(L, "_compared", lambda x, y, *rest: pd.DataFrame([[f"{uuid.uuid4()}", len(x) + len(y)]], columns=["md5", "s0"]))
+    sent = L.near_long_columns(values, 1, 0.2, 64).agg({"s0": "sum"}).first()[0]
+    assert sent <= 6 * len(texts)
